@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import mixing, sharding
 
 QUERIES = {
     "op4_prefix_sum_shards": sharding.op4_prefix_sum_shards,
+    "op6_source_mixing": mixing.op6_source_mixing,
 }
 
 ORACLES = {
