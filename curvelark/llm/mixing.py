@@ -12,7 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: A word with the white space before it.
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 #: Draws that one row of the generator expands to at most.
-CHUNK = 65_536
+CHUNK = 4_096
 #: Rows of one (source, bucket) window, about.
 BUCKET_ROWS = 500_000
 
@@ -60,7 +60,8 @@ def permuted(index: Column, n: Column, key: Column, seed: int) -> Column:
         right = (right + mix(4, left, b)) % b
         return left + a * right
 
-    return F.aggregate(F.sequence(F.lit(1).cast("long"), a), once(index), lambda acc, _: F.when(acc < n, acc).otherwise(once(acc)))
+    first = once(index)
+    return F.when(first < n, first).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), a), first, lambda acc, _: F.when(acc < n, acc).otherwise(once(acc))))
 
 
 def mix(rows: DataFrame, block: int = 512, n_shards: int = 64, weights: tuple[int, ...] = (1, 2, 3), max_repeats: int = 3, seed: int = 20_24) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -101,7 +102,7 @@ def mix(rows: DataFrame, block: int = 512, n_shards: int = 64, weights: tuple[in
     draws = (
         targets.where("_draws > 0")
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_draws") - 1) / CHUNK).cast("long"))))
-        .repartition("_k", "_chunk")
+        .repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k", "_chunk")
         .withColumn("_draw", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("_draws")) - 1)))
         .withColumns({"_pass": F.floor(d / F.col("_blocks")).cast("long"), "_slot": (d % F.col("_blocks")).cast("long")})
         .select(
@@ -128,7 +129,7 @@ def taken_words(rows: DataFrame, block: int = 512, **settings) -> DataFrame:
     words = F.col("_to") - F.col("_from")
     part = F.when(F.col("_part").isNotNull(), F.greatest(F.lit(0), F.least(F.col("_to"), begin + F.col("_part")) - F.col("_from")))
     return (
-        overlaps.join(uses, ["_k", "_block"], "left")
+        overlaps.join(uses.hint("merge"), ["_k", "_block"], "left")  # its size is not that of the small table it is generated from
         .groupBy("rid", "doc_id", "source", "size", "source_size", "target")
         .agg(F.sum(F.when(F.col("_block") < 0, 0).otherwise(F.coalesce(F.col("_times") * words, F.lit(0)) + F.coalesce(part, F.lit(0)))).cast("long").alias("taken"))
     )
@@ -153,7 +154,7 @@ def mixed_documents(docs: DataFrame, block: int = 512, **settings) -> DataFrame:
     upto = F.least(F.col("_to"), F.col("_block") * block + F.col("_take"))
     pieces = (
         overlaps.where("_block >= 0")
-        .join(draws.select("_k", "_block", "_pass", "_take"), ["_k", "_block"])
+        .join(draws.select("_k", "_block", "_pass", "_take").hint("merge"), ["_k", "_block"])
         .where(upto > F.col("_from"))
         .groupBy("rid", "size", "_pass")
         .agg(F.sort_array(F.collect_list(F.struct((F.col("_from") - F.col("_start") + 1).cast("int").alias("at"), (upto - F.col("_from")).cast("int").alias("n")))).alias("_runs"), F.sum(upto - F.col("_from")).alias("_got"))  # at most size / block + 1 runs
