@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import mixing, sharding
+from . import ann, hamming, mixing, sharding, url_lists
 
 QUERIES = {
+    "op3_url_list_join": url_lists.op3_url_list_join,
     "op4_prefix_sum_shards": sharding.op4_prefix_sum_shards,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op8_kmeans_tree_search": ann.op8_kmeans_tree_search,
+    "op10_hamming_topk": hamming.op10_hamming_topk,
 }
 
 ORACLES = {
+    "op3_url_list_join": url_lists.ORACLE,
     "op4_prefix_sum_shards": sharding.ORACLE,
+    "op10_hamming_topk": hamming.ORACLE,
 }
