@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ann, hamming, mixing, sharding, url_lists
+from . import ann, hamming, mixing, sharding, url_lists, warc
 
 QUERIES = {
     "op3_url_list_join": url_lists.op3_url_list_join,
     "op4_prefix_sum_shards": sharding.op4_prefix_sum_shards,
+    "op5_warc_zstd": warc.op5_warc_zstd,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op8_kmeans_tree_search": ann.op8_kmeans_tree_search,
     "op10_hamming_topk": hamming.op10_hamming_topk,
@@ -15,5 +16,6 @@ QUERIES = {
 ORACLES = {
     "op3_url_list_join": url_lists.ORACLE,
     "op4_prefix_sum_shards": sharding.ORACLE,
+    "op5_warc_zstd": warc.ORACLE,
     "op10_hamming_topk": hamming.ORACLE,
 }
