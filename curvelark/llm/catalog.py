@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, hamming, mixing, sharding, url_lists, warc
+from . import ann, hamming, langid, mixing, sharding, url_lists, warc
 
 QUERIES = {
     "op3_url_list_join": url_lists.op3_url_list_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_warc_zstd": warc.op5_warc_zstd,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op8_kmeans_tree_search": ann.op8_kmeans_tree_search,
+    "op9_language_id": langid.op9_language_id,
     "op10_hamming_topk": hamming.op10_hamming_topk,
 }
 
