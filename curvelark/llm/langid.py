@@ -17,7 +17,9 @@ BUCKETS, DIM = 1 << 15, 16
 #: Lengths of the subwords in bytes; a word's ends count as a byte.
 ORDERS = (2, 3, 4)
 #: Share of right calibration predictions that the rejection threshold lets pass, and the threshold's ceiling.
-KEEP, CEILING = 0.999, 0.5
+KEEP, CEILING = 0.999, 0.4
+#: Share of a label that is spread over all languages in training, so that certainty stays finite.
+SMOOTHING = 0.02
 UNDETERMINED = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -95,7 +97,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: float = 2.0, short: int = 60, seed: int = 3) -> LanguageModel:
+def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rate: float = 1.0, short: int = 60, seed: int = 3) -> LanguageModel:
     """From (buckets, counts, language): stochastic gradient descent, one text a step, in turn whole and as few drawn subwords, so that short texts are learnt too.
 
     A fifth of the examples is kept for calibration: the temperature with the least loss, and the
@@ -125,7 +127,8 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rat
         share = (counts / counts.sum())[:, None]
         mean = (embed[buckets] * share).sum(axis=0)
         p = _softmax((mean @ weight + bias)[None])[0]
-        p[at[lang]] -= 1
+        p -= SMOOTHING / len(langs)
+        p[at[lang]] -= 1 - SMOOTHING
         lr = rate * (1 - step / steps)
         back = weight @ p
         weight -= lr * np.outer(mean, p)
