@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, hamming, langid, mixing, sharding, url_lists, warc
+from . import ann, hamming, langid, mixing, secrets, sharding, url_lists, warc
 
 QUERIES = {
+    "op2_secret_scan": secrets.op2_secret_scan,
     "op3_url_list_join": url_lists.op3_url_list_join,
     "op4_prefix_sum_shards": sharding.op4_prefix_sum_shards,
     "op5_warc_zstd": warc.op5_warc_zstd,
