@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, hamming, langid, mixing, secrets, sharding, url_lists, warc
+from . import ann, bpe, hamming, langid, mixing, secrets, sharding, url_lists, warc
 
 QUERIES = {
     "op2_secret_scan": secrets.op2_secret_scan,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_prefix_sum_shards": sharding.op4_prefix_sum_shards,
     "op5_warc_zstd": warc.op5_warc_zstd,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_bpe": bpe.op7_bpe,
     "op8_kmeans_tree_search": ann.op8_kmeans_tree_search,
     "op9_language_id": langid.op9_language_id,
     "op10_hamming_topk": hamming.op10_hamming_topk,
