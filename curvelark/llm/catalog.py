@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, hamming, langid, mixing, secrets, sharding, url_lists, warc
+from . import ann, bpe, hamming, langid, mixing, ngram_join, secrets, sharding, url_lists, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_secret_scan": secrets.op2_secret_scan,
     "op3_url_list_join": url_lists.op3_url_list_join,
     "op4_prefix_sum_shards": sharding.op4_prefix_sum_shards,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_ngram_jaccard_join": ngram_join.ORACLE,
     "op3_url_list_join": url_lists.ORACLE,
     "op4_prefix_sum_shards": sharding.ORACLE,
     "op5_warc_zstd": warc.ORACLE,
