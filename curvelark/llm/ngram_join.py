@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -17,6 +18,10 @@ from ..operators.staging import staged
 #: Cells of a sketch, whatever the input: what is broadcast is a byte for each.
 CELLS = 1 << 22
 _SLICES = 64
+#: Share of the hashes whose shingles are counted exactly, in shares of shingles in which linked sets may differ.
+SAMPLED = 2.2
+#: Level of a cell (a power of two above the mean) from which its shingles are frequent.
+FREQUENT = 4
 #: Sets that one task compares with each other at most.
 BLOCK = 1024
 _SPACE = np.zeros(256, bool)
@@ -108,25 +113,34 @@ def _chunks(texts: list[bytes], size: int = 8 << 20) -> Iterator[tuple[int, int]
             a, held = i + 1, 0
 
 
-def sketch(tokens: DataFrame, draw) -> np.ndarray:
-    """Counts of hashes by cell, over all rows: ``draw`` turns a batch into arrays of hashes. Tasks add up their own, slices are summed by key; CELLS numbers reach the driver."""
-    per = CELLS // _SLICES
+class Sketch:
+    """Counts of hashes by cell in one task, given out in compressed slices."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells, waiting, held = np.zeros(CELLS, np.uint32), [], 0
-        for b in batches:
-            for part in draw(b):
-                waiting.append((part >> np.uint64(64 - 22)).astype(np.int32))
-                held += len(part)
-                if held > 1 << 21:
-                    cells += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
-                    waiting, held = [], 0
-        if held:
-            cells += np.bincount(np.concatenate(waiting), minlength=CELLS).astype(np.uint32)
-        press = zstandard.ZstdCompressor(level=1)
+    def __init__(self) -> None:
+        self.cells, self.waiting, self.held = np.zeros(CELLS, np.uint32), [], 0
+
+    def add(self, hashes: np.ndarray) -> None:
+        self.waiting.append((hashes >> np.uint64(64 - 22)).astype(np.int32))
+        self.held += len(hashes)
+        if self.held > 1 << 21:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.cells += np.bincount(np.concatenate(self.waiting), minlength=CELLS).astype(np.uint32)
+        self.waiting, self.held = [], 0
+
+    def slices(self) -> Iterator[tuple[int, bytes]]:
+        self.flush()
+        per, press = CELLS // _SLICES, zstandard.ZstdCompressor(level=1)
         for s in range(_SLICES):
-            if (own := cells[s * per : (s + 1) * per]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([press.compress(own.tobytes())], pa.binary())], ["slice", "cells"])
+            if (own := self.cells[s * per : (s + 1) * per]).any():
+                yield s, press.compress(own.tobytes())
+
+
+def summed(slices: DataFrame) -> np.ndarray:
+    """The tasks' slices (slice, cells) added up by key; CELLS numbers reach the driver, whatever the input."""
+    per = CELLS // _SLICES
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(per, np.uint64)
@@ -136,24 +150,40 @@ def sketch(tokens: DataFrame, draw) -> np.ndarray:
         return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "cells": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
     out = np.zeros(CELLS, np.uint32)
-    for r in tokens.mapInArrow(count, "slice int, cells binary").groupBy("slice").applyInArrow(add, "slice int, cells binary").collect():
+    for r in slices.groupBy("slice").applyInArrow(add, "slice int, cells binary").collect():
         out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["cells"]), np.uint32)
     return out
 
 
-def _cell(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - 22)).astype(np.int64)
+def bitmap(ids: DataFrame) -> np.ndarray:
+    """Whether any of the ids (one column of longs) falls into each cell."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Sketch()
+        for b in batches:
+            own.add(_ids(b.column(0).to_numpy()))
+        found = list(own.slices())
+        yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.int32()), pa.array([c for _, c in found], pa.binary())], ["slice", "cells"])
+
+    return summed(ids.mapInArrow(count, "slice int, cells binary")) > 0
 
 
-def _ordered(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
-    """A set in the global order: rare levels first, then by hash."""
-    return s[np.argsort(levels[_cell(s)], kind="stable")]
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - 22)).astype(np.int64)
 
 
 def _prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def _print(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+def _key(fingerprint: bytes) -> int:
+    return int.from_bytes(fingerprint[:8], "little", signed=True)
+
+
 def _ids(ids: np.ndarray) -> np.ndarray:
     return _mix(ids.astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
 
@@ -272,12 +302,14 @@ def _verify(percent: int):
 def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_shingles, component_id, n_links) by the links of Jaccard similarity >= ``percent`` / 100 of sets of ``words``-word shingles.
 
-    1. A sketch of fixed size counts all shingles by cell and fixes one global order, frequent cells last. 2. Each document
-    gives its set's size, fingerprint and prefix; equal sets become one representative with a number of copies. 3. Representatives that share
-    a prefix token are clustered: every linked pair is in one cluster. Prefix tokens of one document only are
-    found by key and then left out by a bitmap of fixed size. 4. Sets of clustered documents go to their cluster's
-    block, or, of clusters beyond BLOCK sets, to the pairs of blocks whose sizes can link; see :func:`join_block`. Blocks give
-    a forest of links and counts, never pairs. 5. Components of the forest are joined to all copies.
+    1. One pass over the texts gives each set's size and fingerprint, and a sketch of fixed size that counts all shingles by
+    cell; equal sets become one representative with a number of copies. 2. Of the shingles with a low hash and no
+    frequent cell, those of two sets or more are found by key. A global order puts shingles so known to be in one set only first, then
+    the others found, by frequency, then all else, rare cells first. A set whose prefix is full of the first kind links with
+    nothing. 3. Of the rest, sets that share a prefix shingle and a size band are clustered: every linked pair is in one
+    cluster. 4. Clustered sets go to their cluster's block, or, of clusters beyond BLOCK sets, to the pairs of blocks
+    whose sizes can link; see :func:`join_block`. Blocks give a forest of links and counts, never pairs. 5. Components of the forest are joined
+    to all copies.
 
     Documents without words have no shingles, link with nothing and are their own component. Rows with a null id come out with
     a null component, linked with nothing; repeated rows are copies. n_links counts linked documents, copies included.
@@ -285,53 +317,107 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
-    def all_tokens(b: pa.RecordBatch) -> Iterator[np.ndarray]:
-        texts = _texts(b["text"])
-        for i, j in _chunks(texts):
-            yield from shingle_sets(texts[i:j], words)
-
-    counts = sketch(docs.select("text"), all_tokens)
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, own = ["doc_id", "n", "print", "key", "slice", "cells"], Sketch()
+        for b in batches:
+            texts = _texts(b["text"])
+            for i, j in _chunks(texts):
+                sets = shingle_sets(texts[i:j], words)
+                for s in sets:
+                    own.add(s)
+                prints = [_print(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([_key(p) for p in prints], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+        for s, cells in own.slices():
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([cells], pa.binary())], names)
+
+    told = staged(docs.mapInArrow(describe, "doc_id long, n long, print binary, key long, slice int, cells binary"), "join-base")
+    base = told.where("slice IS NULL").select("doc_id", "n", "print", "key")
+    counts = summed(told.where("slice IS NOT NULL").select("slice", "cells"))
     levels = spark.sparkContext.broadcast(np.log2(1 + counts / (1 + counts.mean())).astype(np.uint8))  # CELLS bytes
+    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    reps = staged(base.where(linkable).groupBy("print", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("key").alias("key")), "join-reps")
+    low = np.uint64(int((1 << 64) * min(1.0, SAMPLED * (100 - percent) / 100)))
 
-    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sampled(s: np.ndarray) -> np.ndarray:
+        return (s < low) & (levels.value[_cell(s)] < FREQUENT)
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = _texts(b["text"])
+            for i, j in _chunks(texts):
+                tokens, keys, slack = [], [], []
+                for s in shingle_sets(texts[i:j], words):
+                    if not len(s):
+                        continue
+                    own = s[: int(np.searchsorted(s, low))]
+                    own = own[levels.value[_cell(own)] < FREQUENT]
+                    spare = len(own) - _prefix(len(s), percent)
+                    key = _key(_print(s))
+                    if spare < 0:  # a row of its own kind keeps the set, whatever its shingles
+                        own = np.append(own, _ids(np.array([key])))
+                    tokens.append(own)
+                    keys.append(np.full(len(own), key, np.int64))
+                    slack.append(np.full(len(own), max(spare, -1), np.int32))
+                if tokens:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(slack))], ["token", "key", "slack"])
+
+    same = W.partitionBy("token")
+    shared = (
+        docs.where("doc_id IS NOT NULL").select("text").mapInArrow(draw, "token long, key long, slack int")
+        .withColumns({"_lo": F.min("key").over(same), "_hi": F.max("key").over(same), "_n": F.count("*").over(same).cast("int")})
+        .where("_lo <> _hi OR slack < 0")
+        .groupBy("key")
+        .agg(F.collect_set(F.when(F.col("_lo") != F.col("_hi"), F.struct("_n", "token"))).alias("shared"), F.max("slack").alias("slack"))  # shingles of one set
+        .where(F.size("shared") > F.col("slack"))
+    )
+    open_ = staged(shared.join(reps, "key").select("doc", "n", "copies", "print", "shared"), "join-open")
+    wanted = spark.sparkContext.broadcast(bitmap(open_.select("doc")))  # CELLS bytes
+
+    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b.take(pa.array(np.flatnonzero(wanted.value[_cell(_ids(b["doc_id"].to_numpy()))])))
+            texts = _texts(part["text"])
             for i, j in _chunks(texts):
                 sets = shingle_sets(texts[i:j], words)
-                prints = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                heads = [_ordered(s, levels.value)[: _prefix(len(s), percent)].tobytes() if len(s) else b"" for s in sets]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array(heads, pa.binary())], ["doc_id", "n", "print", "head"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"].slice(i, j - i), pa.array([_print(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "print", "set"])
 
-    base = staged(docs.mapInArrow(describe, "doc_id long, n long, print binary, head binary"), "join-base")
-    linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    reps = staged(base.where(linkable).groupBy("print", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies")), "join-reps")
-    heads = staged(base.where(linkable).select(F.col("doc_id").alias("doc"), "head", "print").join(reps.select("doc", "print"), ["doc", "print"], "left_semi").dropDuplicates(["doc"]).select("doc", "head"), "join-heads")
-
-    def postings(seen):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                heads = [np.frombuffer(h, np.uint64) for h in b["head"].to_pylist()]
-                if not heads:
-                    continue
-                token, doc = np.concatenate(heads), np.repeat(b["doc"].to_numpy(), [len(h) for h in heads])
-                if seen is not None:
-                    some = seen.value[_cell(_mix(token))]
-                    token, doc = token[some], doc[some]
-                for i in range(0, len(token), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(token[i : i + 200_000].view(np.int64)), pa.array(doc[i : i + 200_000])], ["token", "doc"])
-
-        return run
-
-    several = heads.mapInArrow(postings(None), "token long, doc long").groupBy("token").agg(F.count("*").alias("_n")).where("_n > 1").select("token")
-    seen = spark.sparkContext.broadcast(sketch(several, lambda b: [_mix(b["token"].to_numpy().view(np.uint64))]) > 0)  # CELLS bytes
-    lists = staged(heads.mapInArrow(postings(seen), "token long, doc long"), "join-lists")
+    def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets, unique = [], []
+            for raw, known in zip(b["set"].to_pylist(), b["shared"].to_pylist(), strict=True):
+                s = np.frombuffer(raw, np.uint64)
+                rank = np.where(sampled(s), 0, (1 << 40) + levels.value[_cell(s)].astype(np.int64))
+                token = np.array([k["token"] for k in known], np.int64).view(np.uint64)
+                at = np.searchsorted(s, token)
+                rank[at] = [k["_n"] for k in known]
+                unique.append(int((rank == 0).sum()))
+                sets.append(s[np.argsort(rank, kind="stable")].tobytes())
+            yield pa.RecordBatch.from_arrays([b["doc"], b["n"], b["copies"], pa.array(unique, pa.int64()), pa.array(sets, pa.binary())], ["doc", "n", "copies", "unique", "set"])
+
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(full, "doc long, print binary, set binary").join(open_, ["doc", "print"]).dropDuplicates(["doc"])
+    ordered = staged(sets.select("doc", "n", "copies", "set", "shared").mapInArrow(arrange, "doc long, n long, copies long, unique long, set binary"), "join-sets")
+    width = float(1.001 * np.log(100 / percent))  # sets link only within a band of sizes or with the next one
+
+    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            tokens, docs = [], []
+            for doc, n, unique, raw in zip(b["doc"].to_pylist(), b["n"].to_pylist(), b["unique"].to_pylist(), b["set"].to_pylist(), strict=True):
+                head = np.frombuffer(raw, np.uint64)[unique : _prefix(n, percent)]
+                for k in (0, 1):
+                    tokens.append(_mix(head + np.uint64((int(np.log(n) / width) + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+                    docs.append(np.full(len(head), doc))
+            if tokens:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["token", "doc"])
+
+    lists = staged(ordered.mapInArrow(postings, "token long, doc long"), "join-lists")
     first = staged(lists.groupBy("token").agg(F.min("doc").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("token", "_first"), "join-first")
     edges = lists.join(first, "token").where(F.col("doc") != F.col("_first")).select(F.col("doc").alias("a"), F.col("_first").alias("b"))
     clusters = staged(connected_components(edges), "join-clusters").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
 
-    members = staged(clusters.join(reps.select("doc", "n", "copies"), "doc"), "join-members")
-    # documents link only within a band of sizes or with the next one
-    band = F.floor(F.log(F.col("n").cast("double")) / float(1.001 * np.log(100 / percent))).cast("int")
+    members = staged(clusters.join(ordered.select("doc", "n", "copies"), "doc"), "join-members")
+    band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
     banded = members.withColumn("_band", band)
     sizes = banded.groupBy("cluster", "_band").agg(F.count("*").alias("_n"))
     whole = sizes.groupBy("cluster").agg(F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))).alias("_blocks"))
@@ -351,22 +437,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .withColumn("_t", F.explode(F.when(F.col("_all") <= BLOCK, small).otherwise(F.concat(same, above, below))))
         .select("doc", "cluster", "copies", "_t.group", "_t.side")
     )
-    wanted = spark.sparkContext.broadcast(sketch(members.select("doc"), lambda b: [_ids(b["doc"].to_numpy())]) > 0)  # CELLS bytes
-
-    def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            some = np.flatnonzero(wanted.value[_cell(_ids(b["doc_id"].to_numpy(zero_copy_only=False)))])
-            part = b.take(pa.array(some))
-            texts = _texts(part["text"])
-            for i, j in _chunks(texts):
-                sets = [_ordered(s, levels.value).tobytes() for s in shingle_sets(texts[i:j], words)]
-                prints = [hashlib.blake2b(np.sort(np.frombuffer(s, np.uint64)).tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([part["doc_id"].slice(i, j - i), pa.array(prints, pa.binary()), pa.array(sets, pa.binary())], ["doc", "print", "set"])
-
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(full, "doc long, print binary, set binary").join(reps.select("doc", "print"), ["doc", "print"], "left_semi").dropDuplicates(["doc"]).select("doc", "set")
-    found = staged(tasks.join(sets, "doc").groupBy("group").applyInArrow(_verify(percent), "a long, b long, n long"), "join-found")
+    found = staged(tasks.join(ordered.select("doc", "set"), "doc").groupBy("group").applyInArrow(_verify(percent), "a long, b long, n long"), "join-found")
     components = staged(connected_components(found.where("b IS NOT NULL").select("a", "b")), "join-components").withColumnRenamed("node", "doc")
     links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("links"))
     answers = staged(reps.join(components, "doc", "left").join(links, "doc", "left").select("print", "n", "copies", F.coalesce("component", "doc").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "join-answers")
