@@ -33,3 +33,23 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+#: Rows of an Arrow batch when they are whole texts.
+TEXT_BATCH_ROWS = 500
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python functions of this session get at most TEXT_BATCH_ROWS rows at once: with long texts, the usual number would fill a worker's memory."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= TEXT_BATCH_ROWS:
+        spark.conf.set(key, str(TEXT_BATCH_ROWS))
+
+
+def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
+    """About ``rows`` rows at most, chosen by a hash of ``key`` alone, and never many more; their number doesn't grow with the input, nor do a task's."""
+    from pyspark.sql import functions as F
+
+    share = int(min(1.0, 1.2 * rows / max(1, df.count())) * (1 << 40))
+    place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
+    return df.where(place < share).orderBy(place, key).limit(rows)

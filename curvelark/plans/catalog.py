@@ -2,5 +2,183 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.scalars import FEATURE_GROUPS, canonical_title, combined_digest, prediction_key
+from ..operators import dedup, distance, evaluation, inference, melody, models
+from ..sources.midi import note_rows, render_midi
+from . import bases as B
+from . import oracles
+
+SEEDS = evaluation.OUTER_SEEDS
+PER_GENRE, SAMPLE_SEED, USABLE = 40, 2026, "n_chars >= 200"
+TREES = 50
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded for comparison, without negative zeros."""
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def titled(spark: SparkSession, sf: str) -> DataFrame:
+    p = B.table(spark, sf, "part")
+    kind = F.col("p_size") % 7
+    ends = [" (Live)", "_1", " - Take 2", " Remastered 2009", " [LP Version]"]
+    end = F.lit("")
+    for k, e in reversed(list(enumerate(ends))):
+        end = F.when(kind == k, e).otherwise(end)
+    named = p.select("p_partkey", F.concat("p_name", end, F.lit(".mid")).alias("file"))
+    return named.select("p_partkey", "file", canonical_title(F.col("file")).alias("title"))
+
+
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return dedup.duplicate_labels(B.files(spark, sf))
+
+
+def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
+    g = dedup.duplicate_groups(labelled(spark, sf))
+    return g.select("group", "label", F.array_join("genres", "/").alias("genres"), "cross_genre", F.col("versions").cast("long").alias("versions"), F.size("titles").cast("long").alias("n_titles"))
+
+
+def results(k: int):
+    return lambda spark, sf: B.knn_results(spark, sf).where(F.col("k") == k)
+
+
+def mcnemar_holm(spark: SparkSession, sf: str) -> DataFrame:
+    all_ = B.knn_results(spark, sf)
+    by = {k: all_.where(F.col("k") == k) for k in (1, 5, 9)}
+    tests = inference.mcnemar(by[1], by[5], "knn_1 vs knn_5").unionByName(inference.mcnemar(by[1], by[9], "knn_1 vs knn_9")).unionByName(inference.mcnemar(by[5], by[9], "knn_5 vs knn_9"))
+    return rounded(inference.holm(tests))
+
+
+def disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    all_ = B.knn_results(spark, sf)
+    return rounded(evaluation.disagreements({f"knn_{k}": all_.where(F.col("k") == k) for k in (1, 5, 9)}))
+
+
+def complementarity(spark: SparkSession, sf: str) -> DataFrame:
+    all_ = B.knn_results(spark, sf)
+    return evaluation.complementarity(*(all_.where(F.col("k") == k) for k in (1, 9, 5)))
+
+
+def choose_k(spark: SparkSession, sf: str) -> DataFrame:
+    items = B.items(spark, sf)
+    outer = evaluation.grouped_folds(items, 5, F.lit(42)).select("id", "fold")
+    return rounded(evaluation.choose(evaluation.inner_scores(distance.symmetric(B.pairs(spark, sf), "dist"), items, outer)))
+
+
+def ablation(spark: SparkSession, sf: str) -> DataFrame:
+    runs = B.runs(spark, sf, SEEDS).select("method", "outer_seed", "balanced_accuracy")
+    base = runs.where("method = 'knn_9'").select("outer_seed", F.col("balanced_accuracy").alias("_b"))
+    rows = runs.where("method <> 'knn_9'").join(base, "outer_seed").select(F.col("method").alias("removed"), F.col("outer_seed").alias("seed"), F.round(F.col("balanced_accuracy") - F.col("_b"), 9).alias("change"))
+    return rounded(evaluation.ablation_summary(rows))
+
+
+def features(group: str):
+    return lambda spark, sf: rounded(melody.melody_features(B.melodies(spark, sf)).select("piece_id", *FEATURE_GROUPS[group]))
+
+
+def forest_probs(spark: SparkSession, sf: str) -> DataFrame:
+    cols = [c for g in FEATURE_GROUPS.values() for c in g]
+    return models.cross_validated(B.described(spark, sf).cache(), cols, lambda t: models.fit_forest(t, cols, TREES))
+
+
+def neighbour_probs(spark: SparkSession, sf: str) -> DataFrame:
+    """Out-of-fold K-NN probabilities on curve distances of the described pieces."""
+    items = B.described(spark, sf).select("id", "grp", "label")
+    mhd = distance.distance_family(distance.as_points(melody.relative_curve(B.curves(spark, sf, 48))), ("mhd",))
+    dealt = evaluation.grouped_folds(items, 5, F.lit(42))
+    test = dealt.select("fold", F.col("id").alias("i"))
+    train = dealt.select("fold", "id", "label").withColumnRenamed("fold", "_f").join(test.select("fold").distinct(), F.col("fold") != F.col("_f")).select("fold", F.col("id").alias("j"), "label")
+    ranked = evaluation.ranked_neighbours(distance.symmetric(mhd, "mhd"), test, train, ("fold",))
+    return evaluation.votes(ranked, ("fold",)).where("k = 5").select(F.col("test").alias("id"), F.col("label").alias("class"), "prob")
+
+
+def fusion(spark: SparkSession, sf: str) -> DataFrame:
+    forest, near = forest_probs(spark, sf).cache(), neighbour_probs(spark, sf).cache()
+    alpha = models.choose_alpha(forest, near)
+    return evaluation.metrics(models.best_class(models.fuse(forest, near, alpha))).withColumn("alpha", F.lit(alpha))
+
+
+def logistic(spark: SparkSession, sf: str) -> DataFrame:
+    cols = [c for g in FEATURE_GROUPS.values() for c in g]
+    return evaluation.metrics(models.best_class(models.cross_validated(B.described(spark, sf).cache(), cols, lambda t: models.fit_logistic(t, cols))))
+
+
+def importance(spark: SparkSession, sf: str) -> DataFrame:
+    cols = [c for g in FEATURE_GROUPS.values() for c in g]
+    rows = B.described(spark, sf).cache()
+    return models.importance_summary(models.permutation_importance(models.fit_forest(rows, cols, TREES), rows, FEATURE_GROUPS))
+
+
+def ablated(spark: SparkSession, sf: str) -> DataFrame:
+    return models.feature_ablation(B.described(spark, sf).cache(), FEATURE_GROUPS, lambda t, cols: models.fit_logistic(t, cols))
+
+
+def ellipses(spark: SparkSession, sf: str) -> DataFrame:
+    e = B.table(spark, sf, "embeddings").select(F.col("label").cast("string").alias("label"), F.get("embedding", F.lit(0)).cast("double").alias("x"), F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return rounded(inference.covariance_ellipses(e))
+
+
+def digests(spark: SparkSession, sf: str) -> DataFrame:
+    """One digest a source over the sorted digests of its texts, in slices of 512 by hash."""
+    d = B.table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("h"), (F.col("doc_id") % 64).alias("slice"))
+    return d.groupBy("source", "slice").agg(combined_digest(F.array_sort(F.collect_list("h"))).alias("digest"))
+
+
+QUERIES = {
+    "skyline": lambda s, d: B.melodies(s, d),
+    "resample_in_time": lambda s, d: rounded(B.curves(s, d)),
+    "curve_minmax": lambda s, d: rounded(melody.minmax_curve(B.curves(s, d))),
+    "curve_relative": lambda s, d: rounded(melody.relative_curve(B.curves(s, d))),
+    "melody_fingerprint": lambda s, d: melody.melody_fingerprint(B.melodies(s, d)),
+    **{f"features_{g}": features(g) for g in FEATURE_GROUPS},
+    "canonical_titles": titled,
+    "prediction_keys": lambda s, d: B.table(s, d, "part").select("p_partkey", prediction_key(F.concat("p_name", F.lit("-"), "p_type", F.lit(" (x)"))).alias("key")),
+    "combined_digest": digests,
+    "midi_note_ons": lambda s, d: note_rows(render_midi(B.notes(s, d).where("velocity > 0"))).select("path", "division", "tick", "pitch", "velocity", "error"),
+    "identifier_audit": lambda s, d: dedup.identifier_audit(B.files(s, d)),
+    "document_duplicate_groups": duplicate_groups,
+    "cross_label_conflicts": lambda s, d: dedup.conflict_summary(dedup.duplicate_groups(labelled(s, d))),
+    "balanced_sample": lambda s, d: dedup.balanced_sample(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE).select("genre", "path", "label", "position"),
+    "dedup_audit": lambda s, d: dedup.data_audit(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE),
+    "grouped_folds": lambda s, d: evaluation.grouped_folds(B.items(s, d), 5, F.lit(42)).select("id", "label", "fold"),
+    "fold_leak_check": lambda s, d: evaluation.group_leaks(evaluation.grouped_folds(B.items(s, d).withColumn("grp", F.col("grp") % 50), 5, F.lit(42))),
+    "curve_phase_rmse": lambda s, d: B.pairs(s, d),
+    "curve_hausdorff_family": lambda s, d: rounded(distance.distance_family(B.vector_curves(s, d))),
+    "dtw_distances": lambda s, d: rounded(distance.multivariate_dtw(B.vector_curves(s, d).select("id", F.transform("values", lambda p: F.slice(p, 2, 1)).alias("values")), 0.1, 64)),
+    "base_distances": lambda s, d: rounded(distance.base_distances(B.curves(s, d, 48))),
+    "mhd_grid": lambda s, d: rounded(distance.mhd_grid(B.melodies(s, d), (24, 48), (0.0, 0.25))),
+    "dtw_grid": lambda s, d: rounded(distance.dtw_grid(B.melodies(s, d), (24,), (0.25,), (0.1, 0.2))),
+    "synthetic_robustness": lambda s, d: rounded(distance.synthetic_robustness(s)),
+    "knn_probabilities": lambda s, d: rounded(B.knn(s, d).select("test", "k", "label", "prob"), 6),
+    "knn_predictions": lambda s, d: B.knn_results(s, d).select("id", "fold", "k", "label", "pred"),
+    "choose_k": choose_k,
+    "confusion": lambda s, d: evaluation.confusion(results(5)(s, d)),
+    "class_recall": lambda s, d: rounded(evaluation.class_recall(results(5)(s, d))),
+    "metric_values": lambda s, d: rounded(evaluation.metrics(B.knn_results(s, d), ("k",))),
+    "fold_metrics": lambda s, d: rounded(evaluation.fold_rows(results(5)(s, d)).select("fold", "accuracy", "balanced_accuracy", "macro_f1", "n_test")),
+    "disagreements": disagreements,
+    "complementarity": complementarity,
+    "mcnemar_holm": mcnemar_holm,
+    "label_mean_distance": lambda s, d: rounded(inference.label_mean_matrix(B.named_pairs(s, d))),
+    "distance_statistics": lambda s, d: rounded(inference.distance_statistics(B.named_pairs(s, d))),
+    "pair_auc": lambda s, d: rounded(inference.pair_auc(B.named_pairs(s, d))),
+    "distance_histogram": lambda s, d: rounded(inference.distance_histogram(B.named_pairs(s, d)), 4),
+    "run_summary": lambda s, d: rounded(evaluation.run_summary(B.runs(s, d, SEEDS))),
+    "paired_differences": lambda s, d: rounded(inference.paired_differences(B.runs(s, d, SEEDS), "knn_1", "knn_9")),
+    "ablation_summary": ablation,
+    "covariance_ellipses": ellipses,
+    "tuned_evaluation": lambda s, d: evaluation.summarize("tuned", evaluation.tuned_evaluation(distance.symmetric(B.pairs(s, d), "dist"), B.items(s, d))[0]),
+    "bootstrap_ci": lambda s, d: inference.bootstrap_intervals(s, results(5)(s, d)),
+    "permutation_test": lambda s, d: inference.permutation_test(s, B.pairs(s, d), B.items(s, d), 999),
+    "paired_bootstrap": lambda s, d: inference.paired_bootstrap(s, inference.paired_differences(B.runs(s, d, SEEDS), "knn_1", "knn_9")),
+    "rf_eval": lambda s, d: evaluation.metrics(models.best_class(forest_probs(s, d))),
+    "logistic_eval": logistic,
+    "fusion_eval": fusion,
+    "permutation_importance": importance,
+    "feature_ablation": ablated,
+}
+
+ORACLES = oracles.ORACLES
