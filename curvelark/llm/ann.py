@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators.staging import staged
+from ..operators.staging import hash_sample, staged
 
 #: Rows that the tree is fitted to, at most.
 FIT_ROWS = 8192
@@ -132,7 +132,7 @@ def tree_search(vectors: DataFrame, is_query, k: int = 20, target_recall: float
     """
     spark = vectors.sparkSession
     rows = staged(vectors, "ann-vectors")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).collect()
+    sample = hash_sample(rows, "id", fit_rows, 0).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim = len(sample[0]["v"])
@@ -148,7 +148,7 @@ def tree_search(vectors: DataFrame, is_query, k: int = 20, target_recall: float
     kind = rows.schema["v"].dataType.simpleString()
     indexed = staged(rows.mapInArrow(assign, f"id long, v {kind}, leaf int"), "ann-index")
 
-    probes = indexed.where(is_query).orderBy(F.xxhash64(F.lit(1), "id"), "id").limit(calibration_rows).select("id", "v").collect()
+    probes = hash_sample(indexed.where(is_query), "id", calibration_rows, 1).select("id", "v").collect()
     probe_ids, probe_v = np.array([r["id"] for r in probes], np.int64), np.array([r["v"] for r in probes], np.float64).reshape(len(probes), dim)
 
     def brute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

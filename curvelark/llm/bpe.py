@@ -4,19 +4,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_dir, small_batches
+
 #: Ids take this many bits in the packed rank map.
-ID_BITS = 20
+ID_BITS = 17
 #: Distinct words that a task holds before it begins a new dictionary.
-MAX_WORDS = 400_000
+MAX_WORDS = 300_000
+#: Texts that the words known to all tasks come from, about, and the number of these words at most.
+CACHE_DOCS, CACHE_WORDS = 16_000, 600_000
+#: Bytes of text that a task takes together at most, where input splits are smaller.
+TASK_BYTES = 64 << 20
 #: Text that is held at once while words are numbered, in characters.
 CHUNK_CHARS = 4 << 20
 
@@ -56,14 +67,15 @@ class RankMap:
         pairs = merge_pairs(ranks)
         keys = np.array([(a << ID_BITS) + b for a, b in pairs], np.int64)
         values = np.fromiter(pairs.values(), np.int64, len(pairs))
-        self.size = _prime(int(len(keys) * 1.35) + 11)
+        self.size = _prime(int(len(keys) * 1.1) + 11)
         self.groups = _prime(len(keys) // 3 + 7)
         self.packed, self.shift = self._displace(keys, values)
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), 1 << ID_BITS) for a in range(256) for b in range(256)], np.int64)
         # tokens that their own merges do not reach: a word equal to one is that token
         self.whole = {t: r for t, r in ranks.items() if len(t) > 1 and merged(t, ranks) != [r]}
 
     def _displace(self, keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        packed, shift = np.full(self.size, 1 << 62, np.int64), np.zeros(self.groups, np.int64)
+        packed, shift = np.full(self.size, -1, np.int64), np.zeros(self.groups, np.int64)
         taken = np.zeros(self.size, bool)
         group, h1, h2 = keys % self.groups, keys % self.size, keys % (self.size - 2) + 1
         order = np.argsort(group, kind="stable")
@@ -95,13 +107,13 @@ class RankMap:
         packed, shift = literal_array(self.packed), literal_array(self.shift)
         of_byte = literal_array(np.array([self.ranks[bytes([b])] for b in range(256)], np.int64))
         none = F.lit(1 << ID_BITS).cast("bigint")
+        rest = F.lit(1 << 30)
         edge = F.array(F.lit(-1).cast("bigint"))
+        first = literal_array(self.byte_pairs)
         ids = F.concat(edge, F.transform(word, lambda b: F.get(of_byte, b.cast("int"))), edge)
+        pairs = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.get(first, a.cast("int") * 256 + b.cast("int")))
         look = lambda a, b: self.look_up(a, b, packed, shift)
 
-        def ranked(t: Column) -> Column:
-            return F.struct(t.alias("t"), F.zip_with(F.slice(t, F.lit(1), F.size(t) - 1), F.slice(t, F.lit(2), F.size(t) - 1), look).alias("k"))
-
         def let(value: Column, body) -> Column:
             return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -110,12 +122,12 @@ class RankMap:
 
             def merge(r: Column, p: Column) -> Column:
                 new = F.transform(F.array(F.struct(F.get(t, p - 2).alias("a"), r.alias("b")), F.struct(r.alias("a"), F.get(t, p + 1).alias("b"))), lambda x: look(x["a"], x["b"]))
-                return F.struct(F.concat(F.slice(t, F.lit(1), p - 1), F.array(r), F.slice(t, p + 2, F.size(t))).alias("t"), F.concat(F.slice(k, F.lit(1), p - 2), new, F.slice(k, p + 2, F.size(k))).alias("k"))
+                return F.struct(F.concat(F.slice(t, F.lit(1), p - 1), F.array(r), F.slice(t, p + 2, rest)).alias("t"), F.concat(F.slice(k, F.lit(1), p - 2), new, F.slice(k, p + 2, rest)).alias("k"))
 
             return let(F.array_min(k), lambda r: F.when(r >= none, s).otherwise(let(F.array_position(k, r).cast("int"), lambda p: merge(r, p))))
 
         # a word of n bytes is merged n - 1 times at most
-        folded = F.aggregate(F.slice(word, F.lit(2), F.size(word)), let(ids, ranked), step, lambda s: F.slice(s["t"], F.lit(2), F.size(s["t"]) - 2))
+        folded = F.aggregate(F.slice(word, F.lit(2), F.size(word)), F.struct(ids.alias("t"), F.concat(F.array(none), pairs, F.array(none)).alias("k")), step, lambda s: F.slice(s["t"], F.lit(2), F.size(s["t"]) - 2))
         if self.whole:
             known = F.create_map(*[x for t, r in self.whole.items() for x in (F.lit(",".join(map(str, t))), F.lit(r))])
             found = F.get(F.transform(F.array(F.array_join(word.cast("array<string>"), ",")), lambda w: F.element_at(known, w)), F.lit(0))
@@ -145,93 +157,160 @@ def rank_map(path: str) -> RankMap:
     return RankMap(load_ranks(path))
 
 
-def encode_documents(docs: DataFrame, keep: list[str], path: str, pattern: str, max_words: int = MAX_WORDS) -> DataFrame:
+def _byte_lists(words: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(words), np.uint8).astype(np.int16), pa.int16()))
+
+
+class Pieces:
+    """Byte strings by number, in one growing buffer."""
+
+    def __init__(self, strings: pa.Array, unit: int = 1):
+        self.data, self.begin, self.unit, self.waiting = np.empty(0, np.uint8), np.zeros(1, np.int64), unit, []
+        self.add(strings)
+
+    def add(self, strings: pa.Array) -> None:
+        """Append binary values, or lists of ids as little-endian unsigned 32-bit integers."""
+        if pa.types.is_binary(strings.type):
+            at = np.frombuffer(strings.buffers()[1], np.int32)[strings.offset : strings.offset + len(strings) + 1].astype(np.int64)
+            new = np.frombuffer(strings.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+        else:
+            at = strings.offsets.to_numpy().astype(np.int64) * 4
+            new = strings.flatten().to_numpy(zero_copy_only=False).astype("<u4").view(np.uint8)
+        self.waiting.append((new.copy(), np.diff(at)))
+
+    def join(self, numbers: np.ndarray) -> bytes:
+        if self.waiting:
+            self.data = np.concatenate((self.data, *(w[0] for w in self.waiting)))
+            self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(np.concatenate([w[1] for w in self.waiting]))))
+            self.waiting = []
+        lo, n = self.begin[numbers] // self.unit, (self.begin[numbers + 1] - self.begin[numbers]) // self.unit
+        which = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+        return self.data.view("<u4" if self.unit == 4 else np.uint8)[which].tobytes()
+
+
+@lru_cache(maxsize=1)
+def _common_words(path: str) -> dict[str, int]:
+    """Number of each common word; a worker reads them once."""
+    return {w.decode(): i for i, w in enumerate(_common(path, "raw").to_pylist())}
+
+
+def _common(path: str, column: str) -> pa.Array:
+    store, base = pafs.FileSystem.from_uri(path)
+    parts = sorted(f.path for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
+    found = [pq.read_table(f, filesystem=store, columns=[column])[column].combine_chunks() for f in parts]
+    found = [c for f in found for c in (f.chunks if isinstance(f, pa.ChunkedArray) else [f]) if len(c)]
+    return pa.concat_arrays(found) if found else pa.array([], pa.binary() if column != "ids" else pa.list_(pa.int32()))
+
+
+def common_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_rows: int = CACHE_DOCS, max_words: int = CACHE_WORDS) -> str:
+    """Where the words of about ``sample_rows`` texts chosen by hash, at most ``max_words``, are stored, encoded like all others.
+
+    They only spare tasks from encoding common words each for itself: which words are there changes no result. They lie in the shared folder, and
+    never pass through the driver.
+    """
+    total = docs.count()
+    chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 40))).select("text")
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        for b in batches:
+            for text in b["text"].to_pylist():
+                found.update(regex.findall(pattern, text or ""))
+        raw = [w.encode() for w in found]
+        for i in range(0, len(raw), 50_000):
+            part = raw[i : i + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), _byte_lists(part)], ["raw", "word"])
+
+    words = chosen.mapInArrow(distinct, "raw binary, word array<smallint>").dropDuplicates(["raw"]).limit(max_words)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = words.repartition(parts).select("raw", ranks.encode(F.col("word")).cast("array<int>").alias("ids")).select("raw", "ids", ranks.decode(F.col("ids")).alias("plain"))
+    path = f"{shared_dir(docs.sparkSession)}/staged/words-{uuid.uuid4().hex}"
+    words.write.parquet(path)
+    return path
+
+
+def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, max_words: int = MAX_WORDS, common_rows: int = CACHE_DOCS) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, ids (little-endian unsigned 32-bit, binary) digested as ids_sha256, and decoded_sha256.
 
     One pass without a shuffle. In each task, a first function splits texts into the pattern's matches and numbers the
     distinct ones; new words leave it once, as byte arrays, before the first document that holds them, and documents as word
     numbers. SQL encodes the word rows by folded merges, and decodes the ids. A second function in the same task
-    keeps the words' results by number and puts documents together. A dictionary that reaches ``max_words`` is begun anew,
+    keeps the words' results by number and puts documents together. Frequent words are encoded once for all tasks, see
+    :func:`common_words`. A dictionary that reaches ``max_words`` others is begun anew,
     so memory is bounded whatever the partition holds. Null text is empty; every row has a result.
     """
-    ranks = rank_map(path)
+    ranks = rank_map(ranks_path)
+    small_batches(docs.sparkSession)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # few large tasks rather than many small ones: each word is encoded once a task
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    docs = docs.coalesce(max(2 * cores, -(-size // TASK_BYTES)))
     given = docs.select(*keep, F.col("text").alias("_text"))
-    schema = {c: given.schema[c].dataType.simpleString() for c in keep}
-    kept = ", ".join(f"`{c}` {t}" for c, t in schema.items())
+    kept = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
+    path = common_words(docs, ranks, pattern, common_rows)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         match = regex.compile(pattern)
-        known: dict[str, int] = {}
+        names = [*keep, "word", "doc"]
+
+        def begun() -> defaultdict[str, int]:
+            out: defaultdict[str, int] = defaultdict(None, _common_words(path))
+            out.default_factory = out.__len__  # a new word gets the next number
+            return out
+
+        known = begun()
         for b in batches:
-            nulls = [pa.nulls(1, b[c].type) for c in keep]
-            texts = b["_text"].to_pylist()
-            at = 0
+            texts, at = b["_text"].to_pylist(), 0
             while at < len(texts):
-                docs, size, new = [], 0, []
-                first = at
-                reset = len(known) >= max_words
-                if reset:
-                    known.clear()
+                if len(known) >= max_words + len(_common_words(path)):
+                    known = begun()
+                    yield pa.RecordBatch.from_arrays([*(pa.nulls(1, b[c].type) for c in keep), pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.binary())], names)
+                docs, size, first, before = [], 0, at, len(known)
                 while at < len(texts) and (at == first or size + len(texts[at] or "") < CHUNK_CHARS):
                     words = match.findall(texts[at] or "")
+                    docs.append(np.fromiter(map(known.__getitem__, words), np.int32, len(words)).tobytes())
                     size += len(texts[at] or "")
-                    before = len(known)
-                    out = np.empty(len(words), np.int32)
-                    for i, w in enumerate(words):
-                        out[i] = known.setdefault(w, len(known))
-                    if len(known) > before:
-                        new += list(known)[before:] if before == 0 else _tail(known, len(known) - before)
-                    docs.append(out.tobytes())
                     at += 1
-                if new or reset:
-                    raw = [w.encode("utf-8", "surrogatepass") for w in new]
-                    offsets = np.concatenate(([0], np.cumsum([len(w) for w in raw]))).astype(np.int32)
-                    words = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(raw), np.uint8).astype(np.int16), pa.int16()))
-                    n = len(raw)
-                    if reset:
-                        yield pa.RecordBatch.from_arrays([*nulls, pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.binary())], [*keep, "word", "doc"])
-                    if n:
-                        yield pa.RecordBatch.from_arrays([*(pa.nulls(n, b[c].type) for c in keep), words, pa.nulls(n, pa.binary())], [*keep, "word", "doc"])
+                if n := len(known) - before:
+                    new = [w.encode() for w in islice(reversed(known), n)][::-1]
+                    for i in range(0, n, 50_000):
+                        part = new[i : i + 50_000]
+                        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), b[c].type) for c in keep), _byte_lists(part), pa.nulls(len(part), pa.binary())], names)
                 part = b.slice(first, at - first)
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.nulls(at - first, pa.list_(pa.int16())), pa.array(docs, pa.binary())], [*keep, "word", "doc"])
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.nulls(at - first, pa.list_(pa.int16())), pa.array(docs, pa.binary())], names)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list[bytes] = []
-        plain: list[bytes] = []
+        def begun() -> tuple[Pieces, Pieces]:
+            return Pieces(_common(path, "ids"), 4), Pieces(_common(path, "plain"))
+
+        ids, plain = begun()
         for b in batches:
-            out: list[tuple[int, str, str]] = []
-            rows: list[int] = []
-            docs, words, texts = b["doc"], b["ids"], b["decoded"]
-            for i in range(b.num_rows):
-                if docs[i].is_valid:
-                    numbers = np.frombuffer(docs[i].as_buffer(), np.int32).tolist()
-                    raw = b"".join([ids[j] for j in numbers])
-                    out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(b"".join([plain[j] for j in numbers])).hexdigest()))
-                    rows.append(i)
-                elif words[i].is_valid:
-                    ids.append(words[i].values.to_numpy().astype("<u4").tobytes())
-                    plain.append(texts[i].as_py())
+            kind = np.where(b["doc"].is_valid().to_numpy(zero_copy_only=False), 2, b["ids"].is_valid().to_numpy(zero_copy_only=False).astype(int))
+            for run in np.split(np.arange(len(kind)), np.flatnonzero(np.diff(kind)) + 1):
+                if not len(run):
+                    continue
+                part = b.slice(int(run[0]), len(run))
+                if kind[run[0]] == 0:
+                    ids, plain = begun()
+                elif kind[run[0]] == 1:
+                    ids.add(part["ids"])
+                    plain.add(part["decoded"])
                 else:
-                    ids.clear()
-                    plain.clear()
-            if rows:
-                part = b.take(pa.array(rows))
-                cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *cols], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+                    out = []
+                    for doc in part["doc"]:
+                        numbers = np.frombuffer(doc.as_buffer(), np.int32)
+                        raw = ids.join(numbers)
+                        out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(plain.join(numbers)).hexdigest()))
+                    cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *cols], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     numbered = given.mapInArrow(number, f"{kept}, word array<smallint>, doc binary")
-    encoded = numbered.select(*keep, "doc", F.when(F.col("word").isNotNull(), ranks.encode(F.col("word"))).alias("ids"))
+    encoded = numbered.select(*keep, "doc", F.when(F.col("word").isNotNull(), ranks.encode(F.col("word")).cast("array<int>")).alias("ids"))
     decoded = encoded.select(*keep, "doc", "ids", F.when(F.col("ids").isNotNull(), ranks.decode(F.col("ids"))).alias("decoded"))
     return decoded.mapInArrow(assemble, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _tail(known: dict[str, int], n: int) -> list[str]:
-    """The last n keys, in order."""
-    from itertools import islice
-
-    return list(islice(reversed(known), n))[::-1]
-
-
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import small_batches
+
 #: Rows that the model is fitted to, at most, for each language.
 FIT_ROWS = 700
 #: Buckets of the hashed subwords, and the length of an embedding.
@@ -192,6 +194,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
     Every row has a result. Only the text is read; texts are whole, empty and very long ones too.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(model)  # BUCKETS rows of a float for each language
     given = docs.select(*keep, F.col("text").alias("_text"))
 

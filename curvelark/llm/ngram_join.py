@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..operators.staging import staged
+from ..operators.staging import small_batches, staged
 
 #: Cells of a sketch, whatever the input: what is broadcast is a byte for each.
 CELLS = 1 << 22
@@ -315,6 +315,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     a null component, linked with nothing; repeated rows are copies. n_links counts linked documents, copies included.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import small_batches
+
 #: Kinds in the order in which spans at one start are listed. Pattern and least length of what is measured.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
@@ -208,6 +210,7 @@ def scan_documents(docs: DataFrame, keep: list[str], clean: bool = False) -> Dat
 
     Null text counts as empty (its clean text stays null). Each row is scanned alone and whole, where it is read: there is no shuffle.
     """
+    small_batches(docs.sparkSession)
     given = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import shared_dir, staged
+from ..operators.staging import hash_sample, shared_dir, small_batches, staged
 
 # Fixed values of the format: the skippable frame of a dictionary, and the magic numbers of frames and of dictionaries.
 DICT_FRAME = 0x184D2A5D
@@ -157,8 +157,8 @@ def write_archives(pages: DataFrame, folder: str) -> int:
     A task writes under names of its own and moves a file to its final name when it is whole, so a task that is run again
     replaces its files and leaves no halves. The dictionary is trained on at most DICT_ROWS pages, by hash.
     """
-    spark = pages.sparkSession
-    sample = pages.where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").select(F.substring("html", 1, DICT_ROW_BYTES)).limit(DICT_ROWS).collect()
+    small_batches(pages.sparkSession)
+    sample = hash_sample(pages.where("html IS NOT NULL"), "page_id", DICT_ROWS, 0).select(F.substring("html", 1, DICT_ROW_BYTES)).collect()
     dictionary = train_dictionary([r[0].encode() for r in sample])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
