@@ -62,15 +62,23 @@ class RankMap:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        if len(ranks) >= 1 << ID_BITS or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("the ranks must hold every byte and fewer tokens than ID_BITS allow")
+        if sorted(ranks.values()) != list(range(len(ranks))) or len(ranks) >= (1 << ID_BITS) - 1 or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must count from 0 without gaps, hold every byte and be fewer than ID_BITS allow")
         pairs = merge_pairs(ranks)
         keys = np.array([(a << ID_BITS) + b for a, b in pairs], np.int64)
         values = np.fromiter(pairs.values(), np.int64, len(pairs))
         self.size = _prime(int(len(keys) * 1.1) + 11)
         self.groups = _prime(len(keys) // 3 + 7)
         self.packed, self.shift = self._displace(keys, values)
-        self.byte_pairs = np.array([ranks.get(bytes([a, b]), 1 << ID_BITS) for a in range(256) for b in range(256)], np.int64)
+        one = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pair = np.array([ranks.get(bytes([a, b]), 1 << ID_BITS) for a in range(256) for b in range(256)], np.int64)
+        self.byte_pairs = (pair << ID_BITS) + np.repeat(one, 256)  # what a byte begins as before another
+        self.byte_pairs_none = one + (1 << (2 * ID_BITS))  # and at the end
+        # tokens that two splits make of overlapping neighbours (a + aa, aa + a): there the leftmost pair need not have the smaller id
+        self.overlapping = np.zeros(len(ranks), np.int64)
+        for t, r in ranks.items():
+            splits = [i for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
+            self.overlapping[r] = any(len(t) - i in splits and t[i:] == t[: len(t) - i] for i in splits)
         # tokens that their own merges do not reach: a word equal to one is that token
         self.whole = {t: r for t, r in ranks.items() if len(t) > 1 and merged(t, ranks) != [r]}
 
@@ -101,45 +109,47 @@ class RankMap:
     def encode(self, word: Column) -> Column:
         """Ids of a word given as an array of its bytes.
 
-        The state holds the ids, with a sentinel at each end, and the rank of each neighbouring pair. A step takes the leftmost of the
-        least ranks, puts the merged id (its rank) in place of the two and looks up its two new pairs only.
+        The state is one array with a sentinel at each end: of each id, the rank of its pair with the next one above the id itself. A step takes
+        the least element, and the leftmost of its rank, puts the merged id (its rank) in place of the two, and looks up
+        the two new pairs only.
         """
-        packed, shift = literal_array(self.packed), literal_array(self.shift)
-        of_byte = literal_array(np.array([self.ranks[bytes([b])] for b in range(256)], np.int64))
-        none = F.lit(1 << ID_BITS).cast("bigint")
-        rest = F.lit(1 << 30)
-        edge = F.array(F.lit(-1).cast("bigint"))
-        first = literal_array(self.byte_pairs)
-        ids = F.concat(edge, F.transform(word, lambda b: F.get(of_byte, b.cast("int"))), edge)
-        pairs = F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.get(first, a.cast("int") * 256 + b.cast("int")))
-        look = lambda a, b: self.look_up(a, b, packed, shift)
+        packed, shift, flags = literal_array(self.packed), literal_array(self.shift), literal_array(self.overlapping)
+        first, single = literal_array(self.byte_pairs), literal_array(self.byte_pairs_none)
+        mask, rest = F.lit((1 << ID_BITS) - 1).cast("bigint"), F.lit(1 << 30)
+        none = F.lit(1 << (2 * ID_BITS)).cast("bigint")
+        edge = F.array(F.lit((1 << (2 * ID_BITS)) + (1 << ID_BITS) - 1).cast("bigint"))
+        unranked = F.lit(1 << ID_BITS).cast("bigint")
+        begin = F.concat(
+            edge,
+            F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.get(first, a.cast("int") * 256 + b.cast("int"))),
+            F.transform(F.slice(word, F.lit(-1), F.lit(1)), lambda a: F.get(single, a.cast("int"))),
+            edge,
+        )
 
         def let(value: Column, body) -> Column:
             return F.get(F.transform(F.array(value), body), F.lit(0))
 
         def step(s: Column, _: Column) -> Column:
-            t, k = s["t"], s["k"]
+            def merge(e: Column, p: Column) -> Column:
+                new = F.shiftright(e, ID_BITS)
+                two = F.array(F.struct(F.get(s, p - 2).bitwiseAND(mask).alias("a"), new.alias("b")), F.struct(new.alias("a"), F.get(s, p + 1).bitwiseAND(mask).alias("b")))
+                return F.concat(F.slice(s, F.lit(1), p - 2), F.transform(two, lambda x: F.shiftleft(F.least(self.look_up(x["a"], x["b"], packed, shift), unranked), ID_BITS) + x["a"]), F.slice(s, p + 2, rest))
 
-            def merge(r: Column, p: Column) -> Column:
-                new = F.transform(F.array(F.struct(F.get(t, p - 2).alias("a"), r.alias("b")), F.struct(r.alias("a"), F.get(t, p + 1).alias("b"))), lambda x: look(x["a"], x["b"]))
-                return F.struct(F.concat(F.slice(t, F.lit(1), p - 1), F.array(r), F.slice(t, p + 2, rest)).alias("t"), F.concat(F.slice(k, F.lit(1), p - 2), new, F.slice(k, p + 2, rest)).alias("k"))
+            def place(e: Column) -> Column:
+                rank = F.shiftright(e, ID_BITS)
+                ranks = F.transform(s, lambda x: F.shiftright(x, ID_BITS))
+                return F.when(F.get(flags, rank.cast("int")) == 1, F.array_position(ranks, rank)).otherwise(F.array_position(s, e)).cast("int")
 
-            return let(F.array_min(k), lambda r: F.when(r >= none, s).otherwise(let(F.array_position(k, r).cast("int"), lambda p: merge(r, p))))
+            return let(F.array_min(s), lambda e: F.when(e >= none, s).otherwise(let(place(e), lambda p: merge(e, p))))
 
         # a word of n bytes is merged n - 1 times at most
-        folded = F.aggregate(F.slice(word, F.lit(2), F.size(word)), F.struct(ids.alias("t"), F.concat(F.array(none), pairs, F.array(none)).alias("k")), step, lambda s: F.slice(s["t"], F.lit(2), F.size(s["t"]) - 2))
+        folded = F.aggregate(F.slice(word, F.lit(2), rest), begin, step, lambda s: F.transform(F.slice(s, F.lit(2), F.size(s) - 2), lambda x: x.bitwiseAND(mask)))
         if self.whole:
             known = F.create_map(*[x for t, r in self.whole.items() for x in (F.lit(",".join(map(str, t))), F.lit(r))])
             found = F.get(F.transform(F.array(F.array_join(word.cast("array<string>"), ",")), lambda w: F.element_at(known, w)), F.lit(0))
             return F.when(found.isNotNull(), F.array(found.cast("bigint"))).otherwise(folded)
         return folded
 
-    def decode(self, ids: Column) -> Column:
-        """Bytes of an array of ids, in hexadecimal pieces that are joined and turned into binary."""
-        by_id = sorted(self.ranks.items(), key=lambda x: x[1])
-        hexes = F.split(F.lit(",".join(t.hex() for t, _ in by_id)), ",")
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i.cast("int"))), ""))
-
 
 def literal_array(values: np.ndarray) -> Column:
     """An array of numbers that the optimizer folds into one literal."""
@@ -189,12 +199,6 @@ class Pieces:
         return self.data.view("<u4" if self.unit == 4 else np.uint8)[which].tobytes()
 
 
-@lru_cache(maxsize=1)
-def _common_words(path: str) -> dict[str, int]:
-    """Number of each common word; a worker reads them once."""
-    return {w.decode(): i for i, w in enumerate(_common(path, "raw").to_pylist())}
-
-
 def _common(path: str, column: str) -> pa.Array:
     store, base = pafs.FileSystem.from_uri(path)
     parts = sorted(f.path for f in store.get_file_info(pafs.FileSelector(base)) if f.path.endswith(".parquet"))
@@ -224,7 +228,7 @@ def common_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_rows: int
 
     words = chosen.mapInArrow(distinct, "raw binary, word array<smallint>").dropDuplicates(["raw"]).limit(max_words)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = words.repartition(parts).select("raw", ranks.encode(F.col("word")).cast("array<int>").alias("ids")).select("raw", "ids", ranks.decode(F.col("ids")).alias("plain"))
+    words = words.repartition(parts).select("raw", ranks.encode(F.col("word")).cast("array<int>").alias("ids"))
     path = f"{shared_dir(docs.sparkSession)}/staged/words-{uuid.uuid4().hex}"
     words.write.parquet(path)
     return path
@@ -235,8 +239,8 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
 
     One pass without a shuffle. In each task, a first function splits texts into the pattern's matches and numbers the
     distinct ones; new words leave it once, as byte arrays, before the first document that holds them, and documents as word
-    numbers. SQL encodes the word rows by folded merges, and decodes the ids. A second function in the same task
-    keeps the words' results by number and puts documents together. Frequent words are encoded once for all tasks, see
+    numbers. SQL encodes the word rows by folded merges. A second function in the same task
+    keeps the words' ids by number, puts documents together, and decodes their ids by concatenating the tokens' bytes. Frequent words are encoded once for all tasks, see
     :func:`common_words`. A dictionary that reaches ``max_words`` others is begun anew,
     so memory is bounded whatever the partition holds. Null text is empty; every row has a result.
     """
@@ -255,15 +259,17 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
         names = [*keep, "word", "doc"]
 
         def begun() -> defaultdict[str, int]:
-            out: defaultdict[str, int] = defaultdict(None, _common_words(path))
+            words = _common(path, "raw")
+            out: defaultdict[str, int] = defaultdict(None, zip((w.as_py().decode() for w in words), range(len(words)), strict=True))
             out.default_factory = out.__len__  # a new word gets the next number
             return out
 
         known = begun()
+        most = len(known) + max_words
         for b in batches:
             texts, at = b["_text"].to_pylist(), 0
             while at < len(texts):
-                if len(known) >= max_words + len(_common_words(path)):
+                if len(known) >= most:
                     known = begun()
                     yield pa.RecordBatch.from_arrays([*(pa.nulls(1, b[c].type) for c in keep), pa.nulls(1, pa.list_(pa.int16())), pa.nulls(1, pa.binary())], names)
                 docs, size, first, before = [], 0, at, len(known)
@@ -281,10 +287,7 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.nulls(at - first, pa.list_(pa.int16())), pa.array(docs, pa.binary())], names)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def begun() -> tuple[Pieces, Pieces]:
-            return Pieces(_common(path, "ids"), 4), Pieces(_common(path, "plain"))
-
-        ids, plain = begun()
+        ids = Pieces(_common(path, "ids"), 4)
         for b in batches:
             kind = np.where(b["doc"].is_valid().to_numpy(zero_copy_only=False), 2, b["ids"].is_valid().to_numpy(zero_copy_only=False).astype(int))
             for run in np.split(np.arange(len(kind)), np.flatnonzero(np.diff(kind)) + 1):
@@ -292,23 +295,22 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
                     continue
                 part = b.slice(int(run[0]), len(run))
                 if kind[run[0]] == 0:
-                    ids, plain = begun()
+                    ids = Pieces(_common(path, "ids"), 4)
                 elif kind[run[0]] == 1:
                     ids.add(part["ids"])
-                    plain.add(part["decoded"])
                 else:
                     out = []
                     for doc in part["doc"]:
                         numbers = np.frombuffer(doc.as_buffer(), np.int32)
                         raw = ids.join(numbers)
-                        out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(plain.join(numbers)).hexdigest()))
+                        out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(pieces.join(np.frombuffer(raw, "<u4"))).hexdigest()))
                     cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *cols], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    pieces = Pieces(pa.array([t for t, _ in sorted(ranks.ranks.items(), key=lambda x: x[1])], pa.binary()))
     numbered = given.mapInArrow(number, f"{kept}, word array<smallint>, doc binary")
     encoded = numbered.select(*keep, "doc", F.when(F.col("word").isNotNull(), ranks.encode(F.col("word")).cast("array<int>")).alias("ids"))
-    decoded = encoded.select(*keep, "doc", "ids", F.when(F.col("ids").isNotNull(), ranks.decode(F.col("ids"))).alias("decoded"))
-    return decoded.mapInArrow(assemble, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.mapInArrow(assemble, f"{kept}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
