@@ -102,9 +102,9 @@ def melody_features(melody: DataFrame) -> DataFrame:
         .withColumns({"_a": F.abs("_iv"), "_turn": F.signum("_iv") * F.signum(F.lag("_iv").over(_order())), "_phase": (F.col("beat") - F.min("beat").over(_piece())) / span, "_log": F.log1p("_ioi")})
         .withColumns({"_lo": F.min("_log").over(_piece()), "_hi": F.max("_log").over(_piece())})
         .withColumns({
-            "_bin": F.least(F.floor((F.col("_log") - F.col("_lo")) / ((F.col("_hi") + 1e-9 - F.col("_lo")) / 8)), F.lit(7)),
+            "_bin": F.when(F.col("_log").isNotNull(), F.least(F.floor((F.col("_log") - F.col("_lo")) / ((F.col("_hi") + 1e-9 - F.col("_lo")) / 8)), F.lit(7))),
             "_pc": F.pmod(F.rint("pitch").cast("int"), F.lit(12)), "_f": F.col("beat") - F.floor("beat"),
-            "_step": F.least(F.greatest(F.rint("_iv"), F.lit(-12)), F.lit(12)),
+            "_step": F.when(F.col("_iv").isNotNull(), F.least(F.greatest(F.rint("_iv"), F.lit(-12)), F.lit(12))),
         })
     )
     share = lambda cond: F.avg(F.when(cond.isNotNull(), cond.cast("int")))

@@ -62,8 +62,8 @@ d2 AS (
   SELECT *, abs(iv) AS a, sign(iv) * sign(lag(iv) OVER w) AS turn, (beat - b0) / greatest(b1 - b0, 1e-9) AS phase, ln(1 + ioi) AS lg FROM d
   WINDOW w AS (PARTITION BY piece_id ORDER BY beat)),
 d3 AS (
-  SELECT *, least(floor((lg - min(lg) OVER p) / ((max(lg) OVER p + 1e-9 - min(lg) OVER p) / 8)), 7) AS bin, ((round_even(pitch, 0)::INT % 12) + 12) % 12 AS pc,
-    beat - floor(beat) AS f, least(greatest(round_even(iv, 0), -12), 12) AS step FROM d2 WINDOW p AS (PARTITION BY piece_id)),
+  SELECT *, CASE WHEN lg IS NOT NULL THEN least(floor((lg - min(lg) OVER p) / ((max(lg) OVER p + 1e-9 - min(lg) OVER p) / 8)), 7) END AS bin, ((round_even(pitch, 0)::INT % 12) + 12) % 12 AS pc,
+    beat - floor(beat) AS f, CASE WHEN iv IS NOT NULL THEN least(greatest(round_even(iv, 0), -12), 12) END AS step FROM d2 WINDOW p AS (PARTITION BY piece_id)),
 wide AS (SELECT piece_id, """ + ", ".join(f"{_WIDE[c]} AS {c}" for c in FEATURES) + " FROM d3 GROUP BY piece_id)"
 
 _ANY = "|".join(VERSION_WORDS)
