@@ -162,7 +162,8 @@ def dtw_grid(melody: DataFrame, points: tuple[int, ...] = (36, 48), weights: tup
 
 def symmetric(pairs: DataFrame, value: str) -> DataFrame:
     """Both directions of each pair: (i, j, dist)."""
-    return pairs.select("i", "j", F.col(value).alias("dist")).unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col(value).alias("dist")))
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))  # the pairs are computed once
+    return pairs.select(F.explode(ends).alias("_e"), F.col(value).alias("dist")).select("_e.i", "_e.j", "dist")
 
 
 def validate_distances(matrix: DataFrame, value: str = "dist") -> None:

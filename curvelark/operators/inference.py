@@ -48,8 +48,8 @@ def distance_statistics(pairs: DataFrame) -> DataFrame:
 
 def label_mean_matrix(pairs: DataFrame) -> DataFrame:
     """(label_a, label_b, mean_dist) over both directions; an item's distance to itself is left out."""
-    both = pairs.select("label_i", "label_j", "dist").unionByName(pairs.select(F.col("label_j").alias("label_i"), F.col("label_i").alias("label_j"), "dist"))
-    return both.groupBy(F.col("label_i").alias("label_a"), F.col("label_j").alias("label_b")).agg(F.avg("dist").alias("mean_dist"))
+    ends = F.array(F.struct(F.col("label_i").alias("a"), F.col("label_j").alias("b")), F.struct(F.col("label_j").alias("a"), F.col("label_i").alias("b")))
+    return pairs.select(F.explode(ends).alias("_e"), "dist").groupBy(F.col("_e.a").alias("label_a"), F.col("_e.b").alias("label_b")).agg(F.avg("dist").alias("mean_dist"))
 
 
 def distance_histogram(pairs: DataFrame, bins: int = 54) -> DataFrame:

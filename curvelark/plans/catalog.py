@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import FEATURE_GROUPS, canonical_title, combined_digest, prediction_key
 from ..operators import dedup, distance, evaluation, inference, melody, models
+from ..operators.staging import staged
 from ..sources.midi import note_rows, render_midi
 from . import bases as B
 from . import oracles
@@ -46,19 +47,19 @@ def results(k: int):
 
 
 def mcnemar_holm(spark: SparkSession, sf: str) -> DataFrame:
-    all_ = B.knn_results(spark, sf)
+    all_ = staged(B.knn_results(spark, sf), "knn")
     by = {k: all_.where(F.col("k") == k) for k in (1, 5, 9)}
     tests = inference.mcnemar(by[1], by[5], "knn_1 vs knn_5").unionByName(inference.mcnemar(by[1], by[9], "knn_1 vs knn_9")).unionByName(inference.mcnemar(by[5], by[9], "knn_5 vs knn_9"))
     return rounded(inference.holm(tests))
 
 
 def disagreements(spark: SparkSession, sf: str) -> DataFrame:
-    all_ = B.knn_results(spark, sf)
+    all_ = staged(B.knn_results(spark, sf), "knn")
     return rounded(evaluation.disagreements({f"knn_{k}": all_.where(F.col("k") == k) for k in (1, 5, 9)}))
 
 
 def complementarity(spark: SparkSession, sf: str) -> DataFrame:
-    all_ = B.knn_results(spark, sf)
+    all_ = staged(B.knn_results(spark, sf), "knn")
     return evaluation.complementarity(*(all_.where(F.col("k") == k) for k in (1, 9, 5)))
 
 
@@ -158,7 +159,7 @@ QUERIES = {
     "confusion": lambda s, d: evaluation.confusion(results(5)(s, d)),
     "class_recall": lambda s, d: rounded(evaluation.class_recall(results(5)(s, d))),
     "metric_values": lambda s, d: rounded(evaluation.metrics(B.knn_results(s, d), ("k",))),
-    "fold_metrics": lambda s, d: rounded(evaluation.fold_rows(results(5)(s, d)).select("fold", "accuracy", "balanced_accuracy", "macro_f1", "n_test")),
+    "fold_metrics": lambda s, d: rounded(evaluation.fold_rows(staged(results(5)(s, d), "knn")).select("fold", "accuracy", "balanced_accuracy", "macro_f1", "n_test")),
     "disagreements": disagreements,
     "complementarity": complementarity,
     "mcnemar_holm": mcnemar_holm,
@@ -170,7 +171,7 @@ QUERIES = {
     "paired_differences": lambda s, d: rounded(inference.paired_differences(B.runs(s, d, SEEDS), "knn_1", "knn_9")),
     "ablation_summary": ablation,
     "covariance_ellipses": ellipses,
-    "tuned_evaluation": lambda s, d: evaluation.summarize("tuned", evaluation.tuned_evaluation(distance.symmetric(B.pairs(s, d), "dist"), B.items(s, d))[0]),
+    "tuned_evaluation": lambda s, d: evaluation.summarize("tuned", staged(evaluation.tuned_evaluation(staged(distance.symmetric(B.pairs(s, d), "dist"), "pairs"), B.items(s, d))[0], "tuned")),
     "bootstrap_ci": lambda s, d: inference.bootstrap_intervals(s, results(5)(s, d)),
     "permutation_test": lambda s, d: inference.permutation_test(s, B.pairs(s, d), B.items(s, d), 999),
     "paired_bootstrap": lambda s, d: inference.paired_bootstrap(s, inference.paired_differences(B.runs(s, d, SEEDS), "knn_1", "knn_9")),
