@@ -85,21 +85,12 @@ def forest_probs(spark: SparkSession, sf: str) -> DataFrame:
     return models.cross_validated(B.described(spark, sf).cache(), cols, lambda t: models.fit_forest(t, cols, TREES))
 
 
-def neighbour_probs(spark: SparkSession, sf: str) -> DataFrame:
-    """Out-of-fold K-NN probabilities on curve distances of the described pieces."""
-    items = B.described(spark, sf).select("id", "grp", "label")
-    mhd = distance.distance_family(distance.as_points(melody.relative_curve(B.curves(spark, sf, 48))), ("mhd",))
-    dealt = evaluation.grouped_folds(items, 5, F.lit(42))
-    test = dealt.select("fold", F.col("id").alias("i"))
-    train = dealt.select("fold", "id", "label").withColumnRenamed("fold", "_f").join(test.select("fold").distinct(), F.col("fold") != F.col("_f")).select("fold", F.col("id").alias("j"), "label")
-    ranked = evaluation.ranked_neighbours(distance.symmetric(mhd, "mhd"), test, train, ("fold",))
-    return evaluation.votes(ranked, ("fold",)).where("k = 5").select(F.col("test").alias("id"), F.col("label").alias("class"), "prob")
-
-
 def fusion(spark: SparkSession, sf: str) -> DataFrame:
-    forest, near = forest_probs(spark, sf).cache(), neighbour_probs(spark, sf).cache()
-    alpha = models.choose_alpha(forest, near)
-    return evaluation.metrics(models.best_class(models.fuse(forest, near, alpha))).withColumn("alpha", F.lit(alpha))
+    """Forest and K-NN on curve distances, k and the forest's share chosen inside each outer fold."""
+    cols = [c for g in FEATURE_GROUPS.values() for c in g]
+    mhd = distance.distance_family(distance.as_points(melody.relative_curve(B.curves(spark, sf, 48))), ("mhd",))
+    dist = staged(distance.symmetric(mhd, "mhd"), "mhd")
+    return evaluation.metrics(staged(models.nested_fusion(B.described(spark, sf), dist, cols, lambda t: models.fit_forest(t, cols, 20)), "fusion"))
 
 
 def logistic(spark: SparkSession, sf: str) -> DataFrame:

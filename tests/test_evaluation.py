@@ -150,7 +150,10 @@ def test_models(spark):
     assert E.metrics(M.best_class(forest)).first().accuracy > 0.8
     logit = M.cross_validated(items, cols, lambda t: M.fit_logistic(t, cols), folds=3)
     assert E.metrics(M.best_class(logit)).first().accuracy > 0.8
-    assert M.choose_alpha(forest, logit) in M.ALPHAS
+    dist = spark.createDataFrame([(a[0], b[0], abs(a[3] - b[3])) for a in rows for b in rows if a[0] != b[0]], "i long, j long, dist double")
+    fused = M.nested_fusion(items, dist, cols, lambda t: M.fit_forest(t, cols, 5), folds=2, inner=2)
+    assert fused.count() == 40 and E.metrics(fused).first().accuracy > 0.8
+    assert M.nested_logistic(items, cols, 2, inner_seeds=(1,)).count() == 80
     drops = {r.feature: r.importance for r in M.importance_summary(M.permutation_importance(M.fit_forest(items, cols, 10), items, {c: [c] for c in cols}, 3)).collect()}
     assert drops["good"] > drops["noise"]
     change = {r.removed: r.change for r in M.feature_ablation(items, {c: [c] for c in cols}, lambda t, c: M.fit_logistic(t, c), folds=2).collect()}
