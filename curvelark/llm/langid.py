@@ -29,7 +29,7 @@ _LOWER[65:91] += 32
 _LOWER[[b for b in range(128) if not chr(b).isalpha()]] = 32
 _ASCII_LETTERS = np.zeros(256, bool)
 _ASCII_LETTERS[[*range(65, 91), *range(97, 123)]] = True
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
 
 
 def subword_windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -178,14 +178,14 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
                 for bucket, _ in subword_windows([t]):
                     n += np.bincount(bucket, minlength=BUCKETS)
                 found = np.flatnonzero(n)
-                ids.append(found.astype(np.int32).tobytes())
-                ns.append(n[found].astype(np.int32).tobytes())
+                ids.append(found.astype(np.uint16).tobytes())
+                ns.append(np.minimum(n[found], 0xFFFF).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays([b["lang"], b["_h"], pa.array(ids, pa.binary()), pa.array(ns, pa.binary())], ["lang", "h", "ids", "ns"])
 
     sample = rows.where(F.col("_h") < limit).mapInArrow(reduce, "lang string, h long, ids binary, ns binary").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], bytes(r["ids"])))
     sample = list({(r["lang"], bytes(r["ids"]), bytes(r["ns"])): r for r in sample}.values())  # copies would flatter the calibration
-    return fit([(np.frombuffer(r["ids"], np.int32), np.frombuffer(r["ns"], np.int32).astype(float), r["lang"]) for r in sample])
+    return fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["ns"], np.uint16), r["lang"]) for r in sample])
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:

@@ -30,7 +30,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _R = np.uint64(0x9E3779B97F4A7C15)
 _R_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_WINDOW = 1 << 20
+_WINDOW = 1 << 18
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,7 +104,7 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _chunks(texts: list[bytes], size: int = 8 << 20) -> Iterator[tuple[int, int]]:
+def _chunks(texts: list[bytes], size: int = 2 << 20) -> Iterator[tuple[int, int]]:
     a, held = 0, 0
     for i, t in enumerate(texts):
         held += len(t)
@@ -117,21 +117,12 @@ class Sketch:
     """Counts of hashes by cell in one task, given out in compressed slices."""
 
     def __init__(self) -> None:
-        self.cells, self.waiting, self.held = np.zeros(CELLS, np.uint32), [], 0
+        self.cells = np.zeros(CELLS, np.uint32)
 
     def add(self, hashes: np.ndarray) -> None:
-        self.waiting.append((hashes >> np.uint64(64 - 22)).astype(np.int32))
-        self.held += len(hashes)
-        if self.held > 1 << 21:
-            self.flush()
-
-    def flush(self) -> None:
-        if self.held:
-            self.cells += np.bincount(np.concatenate(self.waiting), minlength=CELLS).astype(np.uint32)
-        self.waiting, self.held = [], 0
+        np.add.at(self.cells, (hashes >> np.uint64(64 - 22)).astype(np.int64), np.uint32(1))
 
     def slices(self) -> Iterator[tuple[int, bytes]]:
-        self.flush()
         per, press = CELLS // _SLICES, zstandard.ZstdCompressor(level=1)
         for s in range(_SLICES):
             if (own := self.cells[s * per : (s + 1) * per]).any():
@@ -312,7 +303,8 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     to all copies.
 
     Documents without words have no shingles, link with nothing and are their own component. Rows with a null id come out with
-    a null component, linked with nothing; repeated rows are copies. n_links counts linked documents, copies included.
+    a null component, linked with nothing; repeated rows are copies. Different texts under one id share its component, and links of
+    one of them are looked for. n_links counts linked documents, copies included.
     """
     spark = docs.sparkSession
     small_batches(spark)
