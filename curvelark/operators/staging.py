@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -53,3 +54,14 @@ def hash_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     share = int(min(1.0, 1.2 * rows / max(1, df.count())) * (1 << 40))
     place = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40))
     return df.where(place < share).orderBy(place, key).limit(rows)
+
+
+def release_memory() -> None:
+    """Give back to the system what this Python worker has freed: it stays idle for a while beside other stages, with all that it keeps."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
