@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,10 +19,8 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import shared_dir, small_batches
+from ..operators.staging import release_memory, shared_dir, small_batches, staged
 
-#: Ids take this many bits in the packed rank map.
-ID_BITS = 17
 #: Distinct words that a task holds before it begins a new dictionary.
 MAX_WORDS = 300_000
 #: Texts that the words known to all tasks come from, about, and the number of these words at most.
@@ -38,17 +37,24 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def merge_pairs(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
-    """(left id, right id) to the id of their concatenation, for all splits of all tokens into two tokens."""
-    return {(ranks[t[:i]], ranks[t[i:]]): r for t, r in ranks.items() for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks}
+def merge_pairs(ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(left ids, right ids, ids of their concatenations), for all splits of all tokens into two tokens."""
+    left, right, whole = array("i"), array("i"), array("i")
+    for t, r in ranks.items():
+        for i in range(1, len(t)):
+            if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None:
+                left.append(a)
+                right.append(b)
+                whole.append(r)
+    return tuple(np.array(x, np.int64) for x in (left, right, whole))
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The merges of a word, plainly: the leftmost pair of the least rank, until no pair has one."""
     parts = [bytes([b]) for b in word]
     while len(parts) > 1:
-        rank, at = min((ranks.get(a + b, 1 << ID_BITS), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
-        if rank == 1 << ID_BITS:
+        rank, at = min((ranks.get(a + b, len(ranks)), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)))
+        if rank == len(ranks):
             break
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
     return [ranks[p] for p in parts]
@@ -62,18 +68,19 @@ class RankMap:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
-        if sorted(ranks.values()) != list(range(len(ranks))) or len(ranks) >= (1 << ID_BITS) - 1 or any(bytes([b]) not in ranks for b in range(256)):
-            raise ValueError("ranks must count from 0 without gaps, hold every byte and be fewer than ID_BITS allow")
-        pairs = merge_pairs(ranks)
-        keys = np.array([(a << ID_BITS) + b for a, b in pairs], np.int64)
-        values = np.fromiter(pairs.values(), np.int64, len(pairs))
+        if sorted(ranks.values()) != list(range(len(ranks))) or any(bytes([b]) not in ranks for b in range(256)):
+            raise ValueError("ranks must count from 0 without gaps and hold every byte")
+        #: Bits of an id; the highest such number is no id.
+        self.bits = (len(ranks) + 1).bit_length()
+        if self.bits > 20:
+            raise ValueError("the ranks are too many to pack")
+        left, right, values = merge_pairs(ranks)
+        keys = (left << self.bits) + right
         self.size = _prime(int(len(keys) * 1.1) + 11)
         self.groups = _prime(len(keys) // 3 + 7)
         self.packed, self.shift = self._displace(keys, values)
-        one = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
-        pair = np.array([ranks.get(bytes([a, b]), 1 << ID_BITS) for a in range(256) for b in range(256)], np.int64)
-        self.byte_pairs = (pair << ID_BITS) + np.repeat(one, 256)  # what a byte begins as before another
-        self.byte_pairs_none = one + (1 << (2 * ID_BITS))  # and at the end
+        self.byte_pairs = np.array([ranks.get(bytes([a, b]), 1 << self.bits) for a in range(256) for b in range(256)], np.int64)
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         # tokens that two splits make of overlapping neighbours (a + aa, aa + a): there the leftmost pair need not have the smaller id
         self.overlapping = np.zeros(len(ranks), np.int64)
         for t, r in ranks.items():
@@ -97,14 +104,13 @@ class RankMap:
                 if not taken[at].any() and len(set(at.tolist())) == len(at):
                     break
                 d += 1
-            taken[at], packed[at], shift[group[rows[0]]] = True, (keys[rows] << ID_BITS) | values[rows], d
+            taken[at], packed[at], shift[group[rows[0]]] = True, (keys[rows] << self.bits) | values[rows], d
         return packed, shift
 
-    def look_up(self, left: Column, right: Column, packed: Column, shift: Column) -> Column:
-        """The rank of a pair of ids, or a number of at least 2 ** ID_BITS if it has none."""
-        key = left * (1 << ID_BITS) + right
+    def look_up(self, key: Column, packed: Column, shift: Column) -> Column:
+        """The rank of a pair of ids, the left one above the right one in ``key``, or a number of at least 2 ** bits if it has none."""
         at = F.pmod(F.pmod(key, F.lit(self.size)) + F.get(shift, F.pmod(key, F.lit(self.groups))) * (F.pmod(key, F.lit(self.size - 2)) + 1), F.lit(self.size))
-        return F.get(packed, at.cast("int")).bitwiseXOR(key * (1 << ID_BITS)).bitwiseAND(F.lit((1 << 63) - 1))
+        return F.get(packed, at.cast("int")).bitwiseXOR(key * (1 << self.bits)).bitwiseAND(F.lit((1 << 63) - 1))
 
     def encode(self, word: Column) -> Column:
         """Ids of a word given as an array of its bytes.
@@ -113,16 +119,17 @@ class RankMap:
         the least element, and the leftmost of its rank, puts the merged id (its rank) in place of the two, and looks up
         the two new pairs only.
         """
+        bits = self.bits
         packed, shift, flags = literal_array(self.packed), literal_array(self.shift), literal_array(self.overlapping)
-        first, single = literal_array(self.byte_pairs), literal_array(self.byte_pairs_none)
-        mask, rest = F.lit((1 << ID_BITS) - 1).cast("bigint"), F.lit(1 << 30)
-        none = F.lit(1 << (2 * ID_BITS)).cast("bigint")
-        edge = F.array(F.lit((1 << (2 * ID_BITS)) + (1 << ID_BITS) - 1).cast("bigint"))
-        unranked = F.lit(1 << ID_BITS).cast("bigint")
+        first, single = literal_array(self.byte_pairs), literal_array(self.bytes)
+        mask, rest = F.lit((1 << bits) - 1).cast("bigint"), F.lit(1 << 30)
+        none = F.lit(1 << (2 * bits)).cast("bigint")
+        edge = F.array(F.lit((1 << (2 * bits)) + (1 << bits) - 1).cast("bigint"))
+        unranked = F.lit(1 << bits).cast("bigint")
         begin = F.concat(
             edge,
-            F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.get(first, a.cast("int") * 256 + b.cast("int"))),
-            F.transform(F.slice(word, F.lit(-1), F.lit(1)), lambda a: F.get(single, a.cast("int"))),
+            F.zip_with(F.slice(word, F.lit(1), F.size(word) - 1), F.slice(word, F.lit(2), F.size(word) - 1), lambda a, b: F.shiftleft(F.get(first, a.cast("int") * 256 + b.cast("int")), bits) + F.get(single, a.cast("int"))),
+            F.transform(F.slice(word, F.lit(-1), F.lit(1)), lambda a: F.get(single, a.cast("int")) + none),
             edge,
         )
 
@@ -131,13 +138,13 @@ class RankMap:
 
         def step(s: Column, _: Column) -> Column:
             def merge(e: Column, p: Column) -> Column:
-                new = F.shiftright(e, ID_BITS)
-                two = F.array(F.struct(F.get(s, p - 2).bitwiseAND(mask).alias("a"), new.alias("b")), F.struct(new.alias("a"), F.get(s, p + 1).bitwiseAND(mask).alias("b")))
-                return F.concat(F.slice(s, F.lit(1), p - 2), F.transform(two, lambda x: F.shiftleft(F.least(self.look_up(x["a"], x["b"], packed, shift), unranked), ID_BITS) + x["a"]), F.slice(s, p + 2, rest))
+                new = F.shiftright(e, bits)
+                pairs = F.array(F.shiftleft(F.get(s, p - 2).bitwiseAND(mask), bits) + new, F.shiftleft(new, bits) + F.get(s, p + 1).bitwiseAND(mask))
+                return F.concat(F.slice(s, F.lit(1), p - 2), F.transform(pairs, lambda k: F.shiftleft(F.least(self.look_up(k, packed, shift), unranked), bits) + F.shiftright(k, bits)), F.slice(s, p + 2, rest))
 
             def place(e: Column) -> Column:
-                rank = F.shiftright(e, ID_BITS)
-                ranks = F.transform(s, lambda x: F.shiftright(x, ID_BITS))
+                rank = F.shiftright(e, bits)
+                ranks = F.transform(s, lambda x: F.shiftright(x, bits))
                 return F.when(F.get(flags, rank.cast("int")) == 1, F.array_position(ranks, rank)).otherwise(F.array_position(s, e)).cast("int")
 
             return let(F.array_min(s), lambda e: F.when(e >= none, s).otherwise(let(place(e), lambda p: merge(e, p))))
@@ -217,19 +224,26 @@ def common_words(docs: DataFrame, ranks: RankMap, pattern: str, sample_rows: int
     chosen = docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < int(min(1.0, sample_rows / max(1, total)) * (1 << 40))).select("text")
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(found: set[str]) -> pa.RecordBatch:
+            raw = [w.encode() for w in found]
+            return pa.RecordBatch.from_arrays([pa.array(raw, pa.binary()), _byte_lists(raw)], ["raw", "word"])
+
         found: set[str] = set()
         for b in batches:
             for text in b["text"].to_pylist():
                 found.update(regex.findall(pattern, text or ""))
-        raw = [w.encode() for w in found]
-        for i in range(0, len(raw), 50_000):
-            part = raw[i : i + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.binary()), _byte_lists(part)], ["raw", "word"])
+                if len(found) > 50_000:
+                    yield out(found)
+                    found = set()
+        yield out(found)
+        found = set()
+        release_memory()
 
     words = chosen.mapInArrow(distinct, "raw binary, word array<smallint>").dropDuplicates(["raw"]).limit(max_words)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = words.repartition(parts).select("raw", ranks.encode(F.col("word")).cast("array<int>").alias("ids"))
-    path = f"{shared_dir(docs.sparkSession)}/staged/words-{uuid.uuid4().hex}"
+    # the plan with the literal rank map is large in print: it gets no shuffle, so that it is told once and not after each stage
+    words = staged(words.repartition(parts), "words").select("raw", ranks.encode(F.col("word")).cast("array<int>").alias("ids"))
+    path = f"{shared_dir(docs.sparkSession)}/staged/encoded-{uuid.uuid4().hex}"
     words.write.parquet(path)
     return path
 
@@ -285,6 +299,8 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
                         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(part), b[c].type) for c in keep), _byte_lists(part), pa.nulls(len(part), pa.binary())], names)
                 part = b.slice(first, at - first)
                 yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), pa.nulls(at - first, pa.list_(pa.int16())), pa.array(docs, pa.binary())], names)
+        known.clear()
+        release_memory()
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = Pieces(_common(path, "ids"), 4)
@@ -306,6 +322,8 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
                         out.append((len(raw) // 4, hashlib.sha256(raw).hexdigest(), hashlib.sha256(pieces.join(np.frombuffer(raw, "<u4"))).hexdigest()))
                     cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)]
                     yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *cols], [*keep, "n_tokens", "ids_sha256", "decoded_sha256"])
+        del ids
+        release_memory()
 
     pieces = Pieces(pa.array([t for t, _ in sorted(ranks.ranks.items(), key=lambda x: x[1])], pa.binary()))
     numbered = given.mapInArrow(number, f"{kept}, word array<smallint>, doc binary")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import small_batches
+from ..operators.staging import release_memory, small_batches
 
 #: Rows that the model is fitted to, at most, for each language.
 FIT_ROWS = 700
@@ -203,6 +203,7 @@ def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFram
             lang, score = shared.value.predict(b["_text"].cast(pa.binary()).to_pylist())
             rejected = [x == UNDETERMINED or s < shared.value.threshold for x, s in zip(lang, score, strict=True)]
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], [*keep, "lang_pred", "score", "rejected"])
+        release_memory()
 
     schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
     return given.mapInArrow(predict, f"{schema}, lang_pred string, score double, rejected boolean")

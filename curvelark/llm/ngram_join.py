@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from ..operators.staging import small_batches, staged
+from ..operators.staging import release_memory, small_batches, staged
 
 #: Cells of a sketch, whatever the input: what is broadcast is a byte for each.
 CELLS = 1 << 22
@@ -322,6 +322,8 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([_key(p) for p in prints], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         for s, cells in own.slices():
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([cells], pa.binary())], names)
+        del own
+        release_memory()
 
     told = staged(docs.mapInArrow(describe, "doc_id long, n long, print binary, key long, slice int, cells binary"), "join-base")
     base = told.where("slice IS NULL").select("doc_id", "n", "print", "key")
@@ -353,6 +355,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
                     slack.append(np.full(len(own), max(spare, -1), np.int32))
                 if tokens:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(slack))], ["token", "key", "slack"])
+        release_memory()
 
     same = W.partitionBy("token")
     shared = (
@@ -375,6 +378,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for i, j in _chunks(texts):
                 sets = shingle_sets(texts[i:j], words)
                 yield pa.RecordBatch.from_arrays([part["doc_id"].slice(i, j - i), pa.array([_print(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc", "print", "set"])
+        release_memory()
 
     def arrange(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

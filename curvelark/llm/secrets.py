@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import small_batches
+from ..operators.staging import release_memory, small_batches
 
 #: Kinds in the order in which spans at one start are listed. Pattern and least length of what is measured.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -222,6 +222,7 @@ def scan_documents(docs: DataFrame, keep: list[str], clean: bool = False) -> Dat
                 rows.append((*(kinds.count(k) for k in KINDS), hashlib.sha256(joined(_sorted(set(base))).encode()).hexdigest(), joined(spans), layers, refused, redacted(text, spans) if clean and text is not None else None))
             columns = zip(*rows, strict=True) if rows else [[]] * len(FIELDS)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(c, t) for c, (_, t) in zip(columns, FIELDS, strict=True))], [*keep, *(n for n, _ in FIELDS)])
+        release_memory()
 
     schema = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
     return given.mapInArrow(run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_refused long, clean_text string")
