@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import binascii
 import hashlib
 import re
 import urllib.parse
 import zlib
-from base64 import b64decode
-from collections.abc import Iterator
+from binascii import a2b_base64
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,21 @@ _WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 _ESCAPED = re.compile(r"\\u\{([0-9A-Fa-f]+)\}|\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\U([0-9A-Fa-f]{8})")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+_LETTER = "[A-Za-z0-9+/_-]"
+#: A line break, raw or escaped, with the blanks around it.
+_BREAK = r"(?:[ \t\r]*+\n[ \t\r]*+|(?:\\[rn])++)"
+#: A run of base64 over all its lines: one long line with what follows it, or several of any length.
+_BASE64 = re.compile(rf"(?<!{_LETTER})(?:{_LETTER}{{20,}}+(?:{_BREAK}{_LETTER}++)*+|{_LETTER}++(?:{_BREAK}{_LETTER}++)++)={{0,2}}")
+_BREAKS = re.compile(_BREAK)
+LEAST_RUN = 20
+#: Headers of gzip and of zlib in bytes, and in text whose characters stand for bytes.
+_PACKED = re.compile(rb"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([m])) + b"[" + b"".join(re.escape(bytes([f])) for f in range(256) if (m << 8 | f) % 31 == 0 and not f & 32) + b"]" for m in range(8, 128, 16)), re.DOTALL)
+_PACKED_TEXT = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]")
+_WIDE = re.compile("[^\x00-\xff]")
+_NOISE = re.compile("[\x00-\x08\x0e-\x1b\x7f-\x9f\udc80-\udcff]")
+#: Fewer bytes hold no secret, in no coding.
+LEAST_BYTES = 16
+_PIECE = 1 << 14
 #: A decoded layer of more bytes is not opened (counted in n_refused): the guard against archives that unfold without end.
 MAX_LAYER_BYTES = 64 << 20
 
@@ -44,96 +59,182 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _printable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and all(c.isprintable() or c.isspace() for c in text) else None
+class Layer:
+    """A decoded text. ``span`` maps a stretch of it to that of the document it comes from.
+
+    Bytes that are no UTF-8 are characters U+DC80 to U+DCFF of the text, so no layer is given up for a part that cannot be read.
+    """
+
+    __slots__ = ("_at", "_of_bytes", "_raw", "text")
+
+    def __init__(self, text: str, of_bytes: Callable[[int, int], tuple[int, int]], raw: bytes | None = None):
+        """``of_bytes`` maps stretches of ``raw``, or of ``text`` if there are no bytes."""
+        self.text, self._of_bytes, self._raw, self._at = text, of_bytes, raw, None
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        if self._raw is None or len(self._raw) == len(self.text):
+            return self._of_bytes(a, b)
+        if self._at is None:
+            self._at = _byte_offsets(self.text)
+        return self._of_bytes(self._at[a], self._at[b])
+
+    def bytes_span(self, raw: bytes) -> Callable[[int, int], tuple[int, int]]:
+        """The map of stretches of ``raw``, the bytes of the whole text."""
+        if self._raw is not None or len(raw) == len(self.text):
+            return self._of_bytes
+        at = _byte_offsets(self.text)
+        return lambda a, b: self.span(bisect_right(at, a) - 1, bisect_left(at, b))
+
+    def bytes(self) -> bytes:
+        return self._raw if self._raw is not None else self.text.encode("utf-8", "surrogateescape")
+
+
+def _byte_offsets(text: str) -> list[int]:
+    """Where each character begins in the bytes, and their number."""
+    return [0, *accumulate(1 if (o := ord(c)) < 0x80 or 0xDC80 <= o <= 0xDCFF else 2 if o < 0x800 else 3 if o < 0x10000 else 4 for c in text)]
 
 
-def _inflated(raw: bytes) -> tuple[str | None, bool]:
-    """The text in gzip or zlib data; whether it was refused for its size."""
-    if raw[:2] == b"\x1f\x8b" or (len(raw) > 2 and raw[0] & 15 == 8 and (raw[0] << 8 | raw[1]) % 31 == 0):
+def _lossy(raw: bytes) -> str:
+    return raw.decode("utf-8", "surrogateescape")
+
+
+def _member(raw: memoryview, at: int, room: int) -> tuple[bytes, int, bool, bool]:
+    """(output, end of what was read, whether the stream ended, whether it has more than ``room``) of the stream at ``at``; of a damaged one, all that comes before the damage."""
+    one, out, pos, step = zlib.decompressobj(47), [], at, _PIECE
+    while pos < len(raw) and not one.eof:
+        piece = raw[pos : pos + step]
         try:
-            one = zlib.decompressobj(47)
-            out = one.decompress(raw, MAX_LAYER_BYTES)
-            if one.unconsumed_tail:
-                return None, True
-            return _printable(out), False
+            got = one.decompress(piece, room + 1)
         except zlib.error:
-            pass
-    return None, False
+            if step == 1:
+                break
+            one, step = zlib.decompressobj(47), 1
+            if pos > at:
+                one.decompress(raw[at:pos])
+            continue
+        out.append(got)
+        room -= len(got)
+        if room < 0:
+            return b"".join(out), pos, False, True
+        pos += len(piece)
+    return b"".join(out), pos - len(one.unused_data), one.eof, False
 
 
-def decoded_layers(text: str) -> Iterator[tuple[str, list[tuple[int, int]], bool]]:
-    """The layers that one step unwraps: (decoded text, for each of its characters the span of ``text`` it comes from, refused).
+def _inflated(raw: bytes) -> Iterator[tuple[bytes | None, int, int]]:
+    """(text, start, end) of all gzip and zlib data in ``raw``, wherever it begins; members that follow each other are one text. No text: refused for its size.
 
-    Percent and backslash escapes rewrite the layer as a whole; a run of base64 is a layer of its own, whose characters
-    come from the groups of four they are coded in; of compressed data in base64 every character comes from the whole run.
+    A damaged stream gives what comes before the damage; but amid other bytes, a stream whose header is not of the usual window must be whole, for chance makes such headers.
     """
+    view, at = memoryview(raw), 0
+    while found := _PACKED.search(raw, at):
+        begin = end = found.start()
+        out, room, over = [], MAX_LAYER_BYTES, False
+        while True:
+            got, end, whole, over = _member(view, end, room)
+            out.append(got)
+            room -= len(got)
+            if over or not whole or raw[end : end + 3] != b"\x1f\x8b\x08":
+                break
+        if over:
+            yield None, begin, len(raw)
+            return
+        text = b"".join(out)
+        if len(text) >= LEAST_BYTES and (whole or begin == 0 or raw[begin] in b"\x1fx"):
+            yield text, begin, end
+        at = max(begin + 1, end if whole else 0)
+
+
+def _constant(span: tuple[int, int]) -> Callable[[int, int], tuple[int, int]]:
+    return lambda a, b: span
+
+
+def decoded_layers(layer: Layer, document: bool = False) -> Iterator[Layer | None]:
+    """The layers that one step unwraps, none for one that is refused.
+
+    Percent and backslash escapes rewrite the layer as a whole; a run of base64 is a layer of its own for each of the four places where
+    its groups may begin, since other text may stand before it without a gap; its characters come from the groups of four they are coded in.
+    Of compressed data every character comes from the whole of it.
+    """
+    text = layer.text
     for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _unescape)):
         if ("%" if pattern is _PERCENT else "\\") not in text:
             continue
-        parts, spans, at = [], [], 0
+        parts, starts, ends, at = [], [], [], 0
         for m in pattern.finditer(text):
-            if (new := decode(m[0])) is None:
-                continue
             parts.append(text[at : m.start()])
-            spans += [(i, i + 1) for i in range(at, m.start())]
-            for c, a, b in new:
+            starts += range(at, m.start())
+            ends += range(at + 1, m.start() + 1)
+            for c, a, b in decode(m[0]):
                 parts.append(c)
-                spans.append((m.start() + a, m.start() + b))
+                starts.append(m.start() + a)
+                ends.append(m.start() + b)
             at = m.end()
         if at:
             parts.append(text[at:])
-            spans += [(i, i + 1) for i in range(at, len(text))]
-            yield "".join(parts), spans, False
+            starts += range(at, len(text))
+            ends += range(at + 1, len(text) + 1)
+            yield Layer("".join(parts), lambda a, b, s=starts, e=ends: layer.span(s[a], e[b - 1]))
     for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
-            run = run[:-1]
-        try:
-            raw = b64decode(run.translate(_URLSAFE) + "=" * (-len(run) % 4), validate=True)
-        except (binascii.Error, ValueError):
-            continue
-        inner, refused = _inflated(raw)
-        if refused:
-            yield "", [], True
-        elif inner is not None:
-            yield inner, [m.span()] * len(inner), False
-        elif (plain := _printable(raw)) is not None:
-            spans, byte = [], 0
-            for c in plain:
-                n = len(c.encode())
-                spans.append((m.start() + byte // 3 * 4, min(m.end(), m.start() + ((byte + n - 1) // 3 + 1) * 4)))
-                byte += n
-            yield plain, spans, False
+        yield from _base64_layers(layer, m)
+    if not document:
+        raw = layer.bytes()
+        if _PACKED.search(raw):
+            of = layer.bytes_span(raw)
+            yield from (out and Layer(_lossy(out), _constant(of(a, b)), out) for out, a, b in _inflated(raw))
+    if not text.isascii() and (m := _PACKED_TEXT.search(text)):
+        at = m.start()
+        while at < len(text):
+            wide = _WIDE.search(text, at)  # a character that stands for no byte ends the data
+            stop = wide.start() if wide else len(text)
+            raw = text[at:stop].encode("latin-1")
+            for out, a, b in _inflated(raw):
+                yield out and Layer(_lossy(out), _constant(layer.span(at + a, at + b)), out)
+            at = stop + 1
+
+
+def _base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
+    run = m[0].rstrip("=")
+    pieces, begin = [], 0
+    for p in _BREAKS.finditer(run):
+        pieces.append((begin, p.start()))
+        begin = p.end()
+    pieces.append((begin, len(run)))
+    clean = "".join(run[a:b] for a, b in pieces)
+    if len(clean) < LEAST_RUN:
+        return
+    at = [m.start() + i for a, b in pieces for i in range(a, b)] if len(pieces) > 1 else range(m.start(), m.start() + len(run))
+    clean, n = clean.translate(_URLSAFE), len(clean)
+
+    def of_bytes(k: int) -> Callable[[int, int], tuple[int, int]]:
+        def span(a: int, b: int) -> tuple[int, int]:
+            first, last = k + a // 3 * 4, k + ((b - 1) // 3 + 1) * 4
+            return layer.span(at[first], m.end() if last >= n else at[last - 1] + 1)
+
+        return span
+
+    for k in range(4):
+        size = n - k
+        coded = clean[k : n - (size % 4 == 1)]
+        raw = a2b_base64(coded + "=" * (-len(coded) % 4))
+        yield Layer(_lossy(raw), of_bytes(k), raw)
 
 
 _URLSAFE = str.maketrans("-_", "+/")
 
 
-def _percent(run: str) -> list[tuple[str, int, int]] | None:
-    """(character, start, end) of a run of percent escapes, or none if they are no UTF-8."""
-    try:
-        text = urllib.parse.unquote_to_bytes(run).decode()
-    except UnicodeDecodeError:
-        return None
-    out, at = [], 0
-    for c in text:
-        n = 3 * len(c.encode())
-        out.append((c, at, at + n))
-        at += n
-    return out
+def _percent(run: str) -> list[tuple[str, int, int]]:
+    """(character, start, end) of a run of percent escapes; a byte that is no UTF-8 is a character of its own."""
+    text = _lossy(urllib.parse.unquote_to_bytes(run))
+    at = _byte_offsets(text)
+    return [(c, 3 * at[i], 3 * at[i + 1]) for i, c in enumerate(text)]
 
 
-def _unescape(run: str) -> list[tuple[str, int, int]] | None:
+def _unescape(run: str) -> list[tuple[str, int, int]]:
     out: list[tuple[str, int, int]] = []
     for m in _ESCAPED.finditer(run):
         code = int(m[1] or m[2] or m[3] or m[4], 16)
         if code > 0x10FFFF:
-            return None
+            code = 0xFFFD
         if out and 0xDC00 <= code <= 0xDFFF and 0xD800 <= ord(out[-1][0]) <= 0xDBFF:  # a pair of surrogates
             high, a, _ = out.pop()
             out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), a, m.end()))
@@ -143,7 +244,7 @@ def _unescape(run: str) -> list[tuple[str, int, int]] | None:
 
 
 def deep_scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
-    """(base spans, all spans, decoded layers, refused layers) of a text.
+    """(base spans, all spans, decoded layers that can be read or hold a match, refused layers) of a text.
 
     The worklist holds layers not yet unwrapped, with each character's span in the text. A layer seen before, at the same place, is
     not opened again, so nesting ends at its fixpoint whatever it holds. A match in a layer spans, in the text, what its characters come from.
@@ -152,31 +253,34 @@ def deep_scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     found, layers, refused = set(base), 0, 0
     if not _may_decode(text):
         return base, _sorted(found), 0, 0
-    todo: list[tuple[str, list[tuple[int, int]] | None]] = [(text, None)]
+    todo, document = [Layer(text, lambda a, b: (a, b))], True
     seen = {(hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
     while todo:
-        layer, origin = todo.pop()
-        for inner, spans, no in decoded_layers(layer):
-            if no:
+        for inner in decoded_layers(todo.pop(), document):
+            if inner is None:
                 refused += 1
                 continue
-            if not inner:
+            if not inner.text:
+                continue
+            matches = scan(inner.text)
+            counts = bool(matches) or _NOISE.search(inner.text) is None
+            further = _may_decode(inner.text) or _PACKED.search(inner.bytes()) is not None
+            if not counts and not further:
                 continue
-            if origin is not None:
-                spans = [(origin[a][0], origin[b - 1][1]) for a, b in spans]
-            key = (hashlib.blake2b(inner.encode("utf-8", "surrogatepass")).digest(), spans[0][0], spans[-1][1])
+            key = (hashlib.blake2b(inner.text.encode("utf-8", "surrogatepass")).digest(), *inner.span(0, len(inner.text)))
             if key in seen:
                 continue
             seen.add(key)
-            layers += 1
-            for kind, a, b in scan(inner):
-                found.add((kind, min(s for s, _ in spans[a:b]), max(e for _, e in spans[a:b])))
-            todo.append((inner, spans))
+            layers += counts
+            found.update((kind, *inner.span(a, b)) for kind, a, b in matches)
+            if further:
+                todo.append(inner)
+        document = False
     return base, _sorted(found), layers, refused
 
 
 def _may_decode(text: str) -> bool:
-    return "%" in text or "\\" in text or _BASE64.search(text) is not None
+    return "%" in text or "\\" in text or _BASE64.search(text) is not None or (not text.isascii() and _PACKED_TEXT.search(text) is not None)
 
 
 def _sorted(spans: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

@@ -1,5 +1,6 @@
 import base64
 import gzip
+import hashlib
 import re
 import zlib
 
@@ -71,3 +72,37 @@ def test_rows(spark):
     clean = S.scan_documents(docs_frame(spark, rows), ["doc_id"], clean=True).where("doc_id = 1").first()
     assert clean.clean_text is None
     assert S.scan_documents(docs_frame(spark, []), ["doc_id"]).count() == 0
+
+
+FACE = "\U0001f468\u200d\U0001f469 "
+gz = gzip.compress
+lines = lambda s, n=76: "\n".join(s[i : i + n] for i in range(0, len(s), n))
+
+
+@pytest.mark.parametrize("code", [
+    *(b64(c + SECRET) for c in (FACE, "\u200c", "\u00ad", "\ufeff", "id\0")), b64(gz((FACE + SECRET).encode())), b64(b"caf\xe9 " + SECRET.encode()),
+    b64(gz(gz(SECRET.encode()))), b64(zlib.compress(gz(SECRET.encode()))), b64(gz(b64(gz(SECRET.encode())).encode())),
+    "%E9" + percent(SECRET), percent(SECRET) + "%E9", "\\U99999999" + escape(SECRET), "%2541%E9" + percent(b64(SECRET)),
+    *(g + b64(SECRET) for g in ("https://h.example/cb/", "key-", "a_", "ab/", "abc-", "/")), *(g + b64(gz(SECRET.encode())) for g in ("key-", "a_", "x/y/")), b64(SECRET) + "x", b64(SECRET).rstrip("=") + "/tail",
+    *(lines(b64("x" * p + " " + SECRET), n) for p in (40, 45, 50, 55) for n in (76, 64, 10)), lines(b64("x" * 50 + " " + SECRET)).replace("\n", "\r\n\t"), lines(b64("x" * 50 + " " + SECRET)).replace("\n", "\\n"), "-----BEGIN X-----\n" + lines(b64("x" * 50 + " " + SECRET), 64),
+    lines(b64(gz((hashlib.sha512(b"a").hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) * 3 + " " + SECRET).encode()))),
+    b64(gz(b"one ") + gz(SECRET.encode())), b64(gz(b"token = abcdef") + gz(b"0123456789XYZ")), b64(gz(SECRET.encode())[:-6]), b64(gz(SECRET.encode())[:-8] + b"12345678"),
+    "".join(f"\\x{c:02x}" for c in gz(SECRET.encode())), "".join(f"%{c:02x}" for c in gz(SECRET.encode())), "".join(f"%{c:02x}" for c in zlib.compress(SECRET.encode(), 9)),
+])
+def test_no_part_of_a_layer_costs_the_rest(code):
+    text = "é pre " + code + " post"
+    _, spans, _, _ = S.deep_scan(text)
+    assign = [s for s in spans if s[0] == "assign"]
+    assert assign and all(6 <= a < b <= 6 + len(code) for _, a, b in assign)
+    assert SECRET not in S.redacted(text, spans) and not any(k == "assign" for k, _, _ in S.deep_scan(S.redacted(text, spans))[1])
+
+
+def test_glued_base64_maps_to_its_groups():
+    _, spans, _, _ = S.deep_scan("abc-" + b64("xyz" + SECRET))
+    assert ("assign", 8, 4 + len(b64("xyz" + SECRET))) in spans
+
+
+def test_wrapped_lines_map_over_the_break():
+    code = lines(b64("x" * 51 + SECRET))
+    _, spans, _, _ = S.deep_scan("é " + code + " post")
+    assert ("assign", 2 + 68, 2 + len(code)) in spans
