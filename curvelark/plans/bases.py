@@ -11,6 +11,9 @@ from ..operators.inference import labelled_pairs
 from ..operators.melody import melody_features, resample, skyline
 from ..sources.index import GENRES
 
+#: Points of a curve for the base distances.
+BASE_POINTS = 96
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")

@@ -140,9 +140,9 @@ QUERIES = {
     "curve_phase_rmse": lambda s, d: B.pairs(s, d),
     "curve_hausdorff_family": lambda s, d: rounded(distance.distance_family(B.vector_curves(s, d))),
     "dtw_distances": lambda s, d: rounded(distance.multivariate_dtw(B.vector_curves(s, d).select("id", F.transform("values", lambda p: F.slice(p, 2, 1)).alias("values")), 0.1, 64)),
-    "base_distances": lambda s, d: rounded(distance.base_distances(B.curves(s, d, 48))),
-    "mhd_grid": lambda s, d: rounded(distance.mhd_grid(B.melodies(s, d), (24, 48), (0.0, 0.25))),
-    "dtw_grid": lambda s, d: rounded(distance.dtw_grid(B.melodies(s, d), (24,), (0.25,), (0.1, 0.2))),
+    "base_distances": lambda s, d: rounded(distance.base_distances(B.curves(s, d, B.BASE_POINTS))),
+    "mhd_grid": lambda s, d: rounded(distance.mhd_grid(B.melodies(s, d))),
+    "dtw_grid": lambda s, d: rounded(distance.dtw_grid(B.melodies(s, d))),
     "synthetic_robustness": lambda s, d: rounded(distance.synthetic_robustness(s)),
     "knn_probabilities": lambda s, d: rounded(B.knn(s, d).select("test", "k", "label", "prob"), 6),
     "knn_predictions": lambda s, d: B.knn_results(s, d).select("id", "fold", "k", "label", "pred"),

@@ -7,6 +7,8 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from curvelark.operators import distance
+from curvelark.plans import bases as B
 from curvelark.plans.catalog import ORACLES, QUERIES
 
 CHEAP = ["skyline", "resample_in_time", "melody_fingerprint", "features_rhythm", "canonical_titles", "document_duplicate_groups", "dedup_audit", "midi_note_ons", "curve_phase_rmse", "knn_probabilities", "mcnemar_holm", "pair_auc", "synthetic_robustness"]
@@ -34,3 +36,17 @@ def test_against_sql(spark, sf, name):
 def test_contract(spark, sf):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_grids_are_whole(spark, sf):
+    n = B.melodies(spark, sf).select("piece_id").distinct().count()
+    pairs = n * (n - 1) // 2
+    mhd = {(r.points, r.weight): r["count"] for r in QUERIES["mhd_grid"](spark, sf).groupBy("points", "weight").count().collect()}
+    assert mhd == {(p, w): pairs for p in (48, 72, 96) for w in (0.0, 0.1, 0.25, 0.5)}
+    dtw = {(r.points, r.weight, r.window): r["count"] for r in QUERIES["dtw_grid"](spark, sf).groupBy("points", "weight", "window").count().collect()}
+    assert dtw == {(p, w, s): pairs for p in (36, 48) for w in (0.0, 0.25, 0.5) for s in (0.1, 0.2)}
+
+
+def test_base_distances_have_96_points(spark, sf):
+    got, want = QUERIES["base_distances"](spark, sf), distance.base_distances(B.curves(spark, sf, 96))
+    assert rows(got.toPandas()) == rows(want.toPandas())
