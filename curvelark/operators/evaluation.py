@@ -32,13 +32,13 @@ def assert_group_separation(train: DataFrame, test: DataFrame) -> None:
         raise ValueError("group leakage: a group is in both training and test")
 
 
-def ranked_neighbours(dist: DataFrame, test: DataFrame, train: DataFrame, keys: tuple[str, ...], most: int = max(K_CANDIDATES)) -> DataFrame:
-    """(keys, test, rank, label): of each test item its nearest training items, ties by position; one ranking serves every k.
+def ranked_neighbours(dist: DataFrame, test: DataFrame, train: DataFrame, keys: tuple[str, ...], most: int = max(K_CANDIDATES), grid: tuple[str, ...] = ()) -> DataFrame:
+    """(grid, keys, test, rank, label): of each test item its nearest training items, ties by position; one ranking serves every k.
 
-    ``test`` is (keys, i) and ``train`` (keys, j, label).
+    ``test`` is (keys, i) and ``train`` (keys, j, label); ``grid`` are parameter columns of ``dist``.
     """
-    near = W.partitionBy(*keys, "i").orderBy("dist", "j")
-    return dist.join(test, "i").join(train, [*keys, "j"]).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most).select(*keys, F.col("i").alias("test"), "rank", "label")
+    near = W.partitionBy(*grid, *keys, "i").orderBy("dist", "j")
+    return dist.join(test, "i").join(train, [*keys, "j"]).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= most).select(*grid, *keys, F.col("i").alias("test"), "rank", "label")
 
 
 def votes(neighbours: DataFrame, keys: tuple[str, ...], candidates: tuple[int, ...] = K_CANDIDATES) -> DataFrame:

@@ -14,7 +14,8 @@ from . import oracles
 
 SEEDS = evaluation.OUTER_SEEDS
 PER_GENRE, SAMPLE_SEED, USABLE = 40, 2026, "n_chars >= 200"
-TREES = 50
+#: Trees of a forest: as a rule, inside an outer fold of the fusion, and in the ablation.
+TREES, INNER_TREES, ABLATION_TREES = 500, 250, 400
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -86,26 +87,35 @@ def forest_probs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fusion(spark: SparkSession, sf: str) -> DataFrame:
-    """Forest and K-NN on curve distances, k and the forest's share chosen inside each outer fold."""
+    """Forest and K-NN on the whole grid of curve distances; points, weight, k and the forest's share chosen together inside each outer fold."""
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
-    mhd = distance.distance_family(distance.as_points(melody.relative_curve(B.curves(spark, sf, 48))), ("mhd",))
-    dist = staged(distance.symmetric(mhd, "mhd"), "mhd")
-    return evaluation.metrics(staged(models.nested_fusion(B.described(spark, sf), dist, cols, lambda t: models.fit_forest(t, cols, 20)), "fusion"))
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    mhd = distance.mhd_grid(B.melodies(spark, sf)).select("points", "weight", F.explode(ends).alias("_e"), F.col("mhd").alias("dist"))
+    dist = staged(mhd.select("points", "weight", "_e.*", "dist"), "mhd")
+    fit = lambda trees: lambda t: models.fit_forest(t, cols, trees)
+    return evaluation.metrics(staged(models.nested_fusion(B.described(spark, sf), dist, cols, fit(TREES), grid=("points", "weight"), inner_fit=fit(INNER_TREES)), "fusion"))
 
 
 def logistic(spark: SparkSession, sf: str) -> DataFrame:
+    """The cost chosen inside each outer fold."""
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
-    return evaluation.metrics(models.best_class(models.cross_validated(B.described(spark, sf).cache(), cols, lambda t: models.fit_logistic(t, cols))))
+    return evaluation.metrics(models.best_class(models.nested_logistic(B.described(spark, sf).cache(), cols)))
 
 
 def importance(spark: SparkSession, sf: str) -> DataFrame:
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
     rows = B.described(spark, sf).cache()
-    return models.importance_summary(models.permutation_importance(models.fit_forest(rows, cols, TREES), rows, FEATURE_GROUPS))
+    return models.importance_summary(models.heldout_importance(rows, FEATURE_GROUPS, lambda t: models.fit_forest(t, cols, TREES)))
 
 
 def ablated(spark: SparkSession, sf: str) -> DataFrame:
-    return models.feature_ablation(B.described(spark, sf).cache(), FEATURE_GROUPS, lambda t, cols: models.fit_logistic(t, cols))
+    """Forests without each group, for every outer seed."""
+    rows = B.described(spark, sf).cache()
+    out = None
+    for seed in SEEDS:
+        one = models.feature_ablation(rows, FEATURE_GROUPS, lambda t, cols: models.fit_forest(t, cols, ABLATION_TREES), seed)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def ellipses(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,7 +174,7 @@ QUERIES = {
     "covariance_ellipses": ellipses,
     "tuned_evaluation": lambda s, d: evaluation.summarize("tuned", staged(evaluation.tuned_evaluation(staged(distance.symmetric(B.pairs(s, d), "dist"), "pairs"), B.items(s, d))[0], "tuned")),
     "bootstrap_ci": lambda s, d: inference.bootstrap_intervals(s, results(5)(s, d)),
-    "permutation_test": lambda s, d: inference.permutation_test(s, B.pairs(s, d), B.items(s, d), 999),
+    "permutation_test": lambda s, d: inference.permutation_test(s, B.pairs(s, d), B.items(s, d)),
     "paired_bootstrap": lambda s, d: inference.paired_bootstrap(s, inference.paired_differences(B.runs(s, d, SEEDS), "knn_1", "knn_9")),
     "rf_eval": lambda s, d: evaluation.metrics(models.best_class(forest_probs(s, d))),
     "logistic_eval": logistic,

@@ -160,6 +160,28 @@ def test_models(spark):
     assert change["good"] < -0.2 < change["noise"]
 
 
+def test_fusion_chooses_the_distance_too(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, f"g{i}", "ab"[i % 2], float(i % 2 + rng.normal() * 0.1), float(rng.normal())) for i in range(24)]
+    items = spark.createDataFrame(rows, "id long, grp string, label string, good double, noise double")
+    cells = [(p, w, a[0], b[0], abs(a[k] - b[k])) for p, w, k in ((8, 0.0, 4), (16, 0.5, 3)) for a in rows for b in rows if a[0] != b[0]]
+    dist = spark.createDataFrame(cells, "points int, weight double, i long, j long, dist double")
+    fits = []
+    small = lambda n: lambda t: fits.append(n) or M.fit_forest(t, ["noise"], n)
+    got = M.nested_fusion(items, dist, ["noise"], small(2), folds=2, inner=2, inner_seeds=(1, 2), grid=("points", "weight"), inner_fit=small(1)).collect()
+    assert len(got) == 24 and {(r.points, r.weight) for r in got} == {(16, 0.5)} and sum(r.label == r.pred for r in got) > 20
+    assert sorted(fits) == [1] * 8 + [2] * 2
+
+
+def test_importance_is_of_held_out_rows(spark):
+    rows = [(i, f"g{i}", "ab"[i % 2], float(i * 0.37 % 1)) for i in range(30)]
+    items = spark.createDataFrame(rows, "id long, grp string, label string, x double")
+    seen = []
+    drops = M.heldout_importance(items, {"x": ["x"]}, lambda t: seen.append({r.id for r in t.collect()}) or M.fit_forest(t, ["x"], 2), folds=3, repeats=2).collect()
+    assert sorted((r.fold, r.repeat) for r in drops) == [(f, r) for f in range(3) for r in range(2)]
+    assert all(len(s) == 20 for s in seen) and not set.intersection(*seen)
+
+
 def test_tables_in_and_out(spark, tmp_path):
     df = spark.createDataFrame([("é", 1)], "a string, b int")
     write_csv(df, str(tmp_path / "t"))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
-from curvelark.operators import distance
+from curvelark.operators import distance, inference, models
 from curvelark.plans import bases as B
 from curvelark.plans.catalog import ORACLES, QUERIES
 
@@ -50,3 +50,31 @@ def test_grids_are_whole(spark, sf):
 def test_base_distances_have_96_points(spark, sf):
     got, want = QUERIES["base_distances"](spark, sf), distance.base_distances(B.curves(spark, sf, 96))
     assert rows(got.toPandas()) == rows(want.toPandas())
+
+
+def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
+    trees, costs, fusions, ablations, tests = [], [], [], [], []
+    fit = models.fit_forest
+    monkeypatch.setattr(models, "fit_forest", lambda t, cols, n=500, seed=42: trees.append(n) or fit(t, cols, 1, seed))
+    QUERIES["rf_eval"](spark, sf)
+    assert trees == [500] * 5
+    trees.clear()
+    QUERIES["permutation_importance"](spark, sf)
+    assert trees == [500] * 5
+    monkeypatch.setattr(models, "choose_cost", lambda t, cols, seeds: costs.append(seeds) or 1.0)
+    QUERIES["logistic_eval"](spark, sf)
+    assert costs == [(2026, 2027, 2028)] * 5
+    stub = spark.createDataFrame([("a", "a", 1.0)], "label string, pred string, prob double")
+    monkeypatch.setattr(models, "nested_fusion", lambda items, dist, cols, fit, **kw: fusions.append((dist.select("points", "weight").distinct().count(), kw["grid"], fit, kw["inner_fit"])) or stub)
+    QUERIES["fusion_eval"](spark, sf)
+    assert fusions[0][:2] == (12, ("points", "weight"))
+    monkeypatch.setattr(models, "feature_ablation", lambda items, groups, fit, seed=42: ablations.append((seed, fit)) or stub)
+    QUERIES["feature_ablation"](spark, sf)
+    assert [s for s, _ in ablations] == [11, 23, 42, 67, 101]
+    trees.clear()
+    monkeypatch.setattr(models, "fit_forest", lambda t, cols, n=500, seed=42: trees.append(n))
+    fusions[0][2](None), fusions[0][3](None), ablations[0][1](None, [])
+    assert trees == [500, 250, 400]
+    monkeypatch.setattr(inference, "permutation_test", lambda s, pairs, items, iterations=9999: tests.append(iterations))
+    QUERIES["permutation_test"](spark, sf)
+    assert tests == [9999]
