@@ -6,7 +6,10 @@ import re
 import numpy as np
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -107,11 +110,12 @@ def reference():
 
 
 ODD = [None, "", "a", " ", "\x1c\x1d a\x1f\x85b᠎ c   x", "naïve 12 ³½ \U0001f600 ok's 'LL don't\r\n\r\n  end   ", "x" * 3000, "\x00﻿​ zz", "क्षि ไทย 한국어 日本語", "　　a\t\t b", "====== ----- aaaaaaaaaaa       b", "<|endoftext|>", "the " * 60_000]
+LONG = ["".join(np.random.default_rng(5).choice(list("etaoinshrdlu"), 200_000)), "é" * 700 + " " + "x" * 20_001, "ab" * 400 + "c" + "ab" * 400, "漢字かな" * 900, "-" * 2000 + "'s" + "1" * 1500]
 
 
 @pytest.mark.parametrize(("words", "common"), [(300_000, 16_000), (50, 0)])
 def test_bpe_is_that_of_the_library(spark, sf, words, common):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60").unionByName(docs_frame(spark, [(10_000 + i, t) for i, t in enumerate(ODD)] + [(None, "a b")]).select("doc_id", "text"))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").where("doc_id < 60").unionByName(docs_frame(spark, [(10_000 + i, t) for i, t in enumerate(ODD + LONG)] + [(None, "a b")]).select("doc_id", "text"))
     got = bpe.encode_documents(docs.selectExpr("*", "1 AS word", "2 AS doc"), ["doc_id"], PATH, public_tokenizers.PATTERN, words, common).collect()
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     assert len(got) == len(texts)
@@ -122,6 +126,45 @@ def test_bpe_is_that_of_the_library(spark, sf, words, common):
     assert bpe.encode_documents(docs.where("false"), ["doc_id"], PATH, public_tokenizers.PATTERN).count() == 0
 
 
+SIGNS = "ab s t'' ' m r e v l d  \n\r\t \u3000\x85é中½1 23_-.,!\u0301\U0001d7d8\U00020000\x1c\x00"
+
+
+@pytest.mark.parametrize("window", [1 << 17, 16])
+@settings(max_examples=200, deadline=None)
+@given(texts=st.lists(st.text(alphabet=SIGNS, max_size=80), min_size=1, max_size=4))
+def test_windows_hold_the_matches_of_the_pattern(window, texts):
+    splitter = bpe.Splitter(public_tokenizers.PATTERN)
+    assert splitter.runs is not None
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "WINDOW", window)
+        for own in (splitter, bpe.Splitter("(?:" + public_tokenizers.PATTERN + ")")):
+            found = [[] for _ in texts]
+            for group in own.windows(texts):
+                joined, _, start, end, owner = own.split(group)
+                for a, b, i in zip(start.tolist(), end.tolist(), owner.tolist(), strict=True):
+                    found[i].append(joined[a:b])
+            assert found == [regex.findall(public_tokenizers.PATTERN, t) for t in texts]
+
+
+def test_words_of_one_hash_keep_their_numbers():
+    text, words = "ab cd ef ab cd", [(0, 2), (3, 5), (6, 8), (9, 11), (12, 14)]
+    start, end = np.array(words).T
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(bpe, "hashes", lambda codes, a, b: [np.zeros(len(a), np.uint64), codes[a].astype(np.uint64)])
+        none = np.empty(0, np.uint64)
+        numbers, counts, new = bpe.Book(none, none).number(text, bpe._codes(text), start, end)
+    assert sorted(new) == [b"ab", b"cd", b"ef"] and (counts == 1).all()
+    assert [new[i] for i in numbers] == [b"ab", b"cd", b"ef", b"ab", b"cd"]
+
+
+def test_merging_long_words():
+    ranks, rng = bpe.load_ranks(PATH), np.random.default_rng(6)
+    for n in (1, 2, 7, 40, 120):
+        word = "".join(rng.choice(list("aeérst "), n)).encode()
+        assert bpe.merged_long(word, ranks) == bpe.merged(word, ranks)
+    assert bpe.merged_long(b"a" * 300, ranks) == bpe.merged(b"a" * 300, ranks)
+
+
 def test_pipeline(spark):
     text = "the and of with this that from there would could should other which their about these many then them " * 4
     other = "der die das und nicht mit von ist auf für eine dem werden sich des auch als nach wie bei aus " * 4
