@@ -1,6 +1,10 @@
 """Registered queries against their SQL, on the smallest tables."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -38,6 +42,18 @@ def test_contract(spark, sf):
     assert entry.entry(spark).count() > 0
 
 
+def test_contract_without_the_subpackage(tmp_path):
+    """The entry, from a copy without the subpackage: whether corpus_pipeline.py is left over or gone."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "curvelark", tmp_path / "curvelark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(root / "__spark_entry__.py", tmp_path)
+    said = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), set(o) <= set(q), any(n.startswith('op') or n == 'pipeline' for n in q))"
+    for left in (True, False):
+        (tmp_path / "corpus_pipeline.py").write_text("import curvelark.llm.bpe\n") if left else (tmp_path / "corpus_pipeline.py").unlink()
+        out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
+        assert out.stdout.split()[-3:] == [str(len(QUERIES)), "True", "False"]
+
+
 def test_grids_are_whole(spark, sf):
     n = B.melodies(spark, sf).select("piece_id").distinct().count()
     pairs = n * (n - 1) // 2
