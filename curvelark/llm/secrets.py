@@ -7,10 +7,11 @@ import re
 import urllib.parse
 import zlib
 from binascii import a2b_base64
-from bisect import bisect_left, bisect_right
+from array import array
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
-from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,17 +35,35 @@ _BREAK = r"(?:[ \t\r]*+\n[ \t\r]*+|(?:\\[rn])++)"
 #: A run of base64 over all its lines: one long line with what follows it, or several of any length.
 _BASE64 = re.compile(rf"(?<!{_LETTER})(?:{_LETTER}{{20,}}+(?:{_BREAK}{_LETTER}++)*+|{_LETTER}++(?:{_BREAK}{_LETTER}++)++)={{0,2}}")
 _BREAKS = re.compile(_BREAK)
+#: Characters of a run of base64, at least, that can hold a secret without compression.
 LEAST_RUN = 20
+
+
+def _zlib_headers() -> list[int]:
+    """The 16 bits that zlib data may begin with: method 8, no preset dictionary, divisible by 31."""
+    return [h for h in range(0x0800, 0x8000) if h >> 8 & 15 == 8 and h % 31 == 0 and not h & 32]
+
+
+def _packed_base64() -> re.Pattern:
+    """Compressed data in runs too short for all else: the first three characters of each header, and as many more as the least data take."""
+    signs = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    heads = [f"{signs[h >> 10]}{signs[h >> 4 & 63]}[{re.escape(signs[(h & 15) * 4 : (h & 15) * 4 + 4])}{'_-' if h & 15 == 15 else ''}]" for h in _zlib_headers()]
+    return re.compile(rf"(?=[{''.join(sorted({x[0] for x in heads}))}][A-Z])(?:{'|'.join(heads)}){_LETTER}{{5,}}={{0,2}}")
+
+
+_SHORT = _packed_base64()
 #: Headers of gzip and of zlib in bytes, and in text whose characters stand for bytes.
-_PACKED = re.compile(rb"\x1f\x8b\x08|" + b"|".join(re.escape(bytes([m])) + b"[" + b"".join(re.escape(bytes([f])) for f in range(256) if (m << 8 | f) % 31 == 0 and not f & 32) + b"]" for m in range(8, 128, 16)), re.DOTALL)
+_PACKED = re.compile(rb"\x1f\x8b\x08|" + b"|".join(re.escape(h.to_bytes(2, "big")) for h in _zlib_headers()), re.DOTALL)
 _PACKED_TEXT = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]")
 _WIDE = re.compile("[^\x00-\xff]")
 _NOISE = re.compile("[\x00-\x08\x0e-\x1b\x7f-\x9f\udc80-\udcff]")
 #: Fewer bytes hold no secret, in no coding.
 LEAST_BYTES = 16
 _PIECE = 1 << 14
-#: A decoded layer of more bytes is not opened (counted in n_refused): the guard against archives that unfold without end.
-MAX_LAYER_BYTES = 64 << 20
+#: Of compressed data, so many bytes are a layer, which begins so many bytes before the last one's end: matches and codings shorter than that are in one layer whole.
+PART_BYTES, OVERLAP_BYTES = 16 << 20, 1 << 20
+#: Bytes that all compressed data of a document unfold to at most (what is beyond is counted in n_refused): the guard against archives that unfold without end.
+MAX_DOCUMENT_BYTES = 4 << 30
 
 
 def scan(text: str) -> list[tuple[str, int, int]]:
@@ -59,6 +78,27 @@ def scan(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+class Runs:
+    """Where the characters of a text come from: stretches of which each character takes equally many characters of another text."""
+
+    def __init__(self) -> None:
+        self.size, self.out, self.at, self.step = 0, array("q"), array("q"), array("q")
+
+    def add(self, n: int, at: int, step: int = 1) -> None:
+        """The next ``n`` characters come from ``step`` characters each, from ``at`` on."""
+        if not n:
+            return
+        if not self.out or self.step[-1] != step or self.at[-1] + (self.size - self.out[-1]) * step != at:
+            self.out.append(self.size)
+            self.at.append(at)
+            self.step.append(step)
+        self.size += n
+
+    def span(self, a: int, b: int) -> tuple[int, int]:
+        i, j = bisect_right(self.out, a) - 1, bisect_right(self.out, b - 1) - 1
+        return self.at[i] + (a - self.out[i]) * self.step[i], self.at[j] + (b - self.out[j]) * self.step[j]
+
+
 class Layer:
     """A decoded text. ``span`` maps a stretch of it to that of the document it comes from.
 
@@ -76,71 +116,84 @@ class Layer:
             return self._of_bytes(a, b)
         if self._at is None:
             self._at = _byte_offsets(self.text)
-        return self._of_bytes(self._at[a], self._at[b])
+        return self._of_bytes(int(self._at[a]), int(self._at[b]))
 
     def bytes_span(self, raw: bytes) -> Callable[[int, int], tuple[int, int]]:
         """The map of stretches of ``raw``, the bytes of the whole text."""
         if self._raw is not None or len(raw) == len(self.text):
             return self._of_bytes
         at = _byte_offsets(self.text)
-        return lambda a, b: self.span(bisect_right(at, a) - 1, bisect_left(at, b))
+        return lambda a, b: self.span(int(np.searchsorted(at, a, "right")) - 1, int(np.searchsorted(at, b, "left")))
 
     def bytes(self) -> bytes:
         return self._raw if self._raw is not None else self.text.encode("utf-8", "surrogateescape")
 
 
-def _byte_offsets(text: str) -> list[int]:
+def _byte_offsets(text: str) -> np.ndarray:
     """Where each character begins in the bytes, and their number."""
-    return [0, *accumulate(1 if (o := ord(c)) < 0x80 or 0xDC80 <= o <= 0xDCFF else 2 if o < 0x800 else 3 if o < 0x10000 else 4 for c in text)]
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    width = 1 + (code >= 0x80).astype(np.int8) + (code >= 0x800) + (code >= 0x10000)
+    width[(code >= 0xDC80) & (code <= 0xDCFF)] = 1
+    return np.concatenate(([0], np.cumsum(width, dtype=np.int64)))
 
 
 def _lossy(raw: bytes) -> str:
     return raw.decode("utf-8", "surrogateescape")
 
 
-def _member(raw: memoryview, at: int, room: int) -> tuple[bytes, int, bool, bool]:
-    """(output, end of what was read, whether the stream ended, whether it has more than ``room``) of the stream at ``at``; of a damaged one, all that comes before the damage."""
-    one, out, pos, step = zlib.decompressobj(47), [], at, _PIECE
-    while pos < len(raw) and not one.eof:
-        piece = raw[pos : pos + step]
-        try:
-            got = one.decompress(piece, room + 1)
-        except zlib.error:
-            if step == 1:
-                break
-            one, step = zlib.decompressobj(47), 1
-            if pos > at:
-                one.decompress(raw[at:pos])
-            continue
-        out.append(got)
-        room -= len(got)
-        if room < 0:
-            return b"".join(out), pos, False, True
-        pos += len(piece)
-    return b"".join(out), pos - len(one.unused_data), one.eof, False
+def _parts(raw: memoryview, begin: int, budget: list[int]) -> Iterator[tuple[bytes | None, int, bool]]:
+    """(output, end of what was read, whether the stream ended) of the gzip members or the zlib data at ``begin``, in overlapping parts; of damaged data, all that comes before the damage.
+
+    ``budget`` holds the bytes that may still be unfolded; without any left the output is None.
+    """
+    held, at = b"", begin
+    while True:
+        one, pos, step, tail = zlib.decompressobj(47), at, _PIECE, b""
+        while not one.eof and (tail or pos < len(raw)):
+            piece = tail or raw[pos : pos + step]
+            try:
+                got = one.decompress(piece, PART_BYTES)
+            except zlib.error:
+                if step == 1 or tail:
+                    break
+                one, step = zlib.decompressobj(47), 1
+                again = raw[at:pos]
+                while len(again):  # what was given out before is not given out again
+                    one.decompress(again, PART_BYTES)
+                    again = one.unconsumed_tail
+                continue
+            pos += 0 if tail else len(piece)
+            tail = one.unconsumed_tail
+            held += got
+            budget[0] -= len(got)
+            if budget[0] < 0:
+                yield None, pos, False
+                return
+            if len(held) >= PART_BYTES + OVERLAP_BYTES:
+                yield held, pos, False
+                held = held[-OVERLAP_BYTES:]
+        end = pos - len(one.unused_data)
+        if not one.eof or bytes(raw[end : end + 3]) != b"\x1f\x8b\x08":
+            yield held, end, one.eof
+            return
+        at = end
 
 
-def _inflated(raw: bytes) -> Iterator[tuple[bytes | None, int, int]]:
-    """(text, start, end) of all gzip and zlib data in ``raw``, wherever it begins; members that follow each other are one text. No text: refused for its size.
+def _inflated(raw: bytes, budget: list[int]) -> Iterator[tuple[bytes | None, int, int]]:
+    """(text, start, end) of all gzip and zlib data in ``raw``, wherever it begins; members that follow each other are one text, long ones in overlapping parts. No text: refused for the size of all.
 
     A damaged stream gives what comes before the damage; but amid other bytes, a stream whose header is not of the usual window must be whole, for chance makes such headers.
     """
     view, at = memoryview(raw), 0
     while found := _PACKED.search(raw, at):
         begin = end = found.start()
-        out, room, over = [], MAX_LAYER_BYTES, False
-        while True:
-            got, end, whole, over = _member(view, end, room)
-            out.append(got)
-            room -= len(got)
-            if over or not whole or raw[end : end + 3] != b"\x1f\x8b\x08":
-                break
-        if over:
-            yield None, begin, len(raw)
-            return
-        text = b"".join(out)
-        if len(text) >= LEAST_BYTES and (whole or begin == 0 or raw[begin] in b"\x1fx"):
-            yield text, begin, end
+        whole = False
+        for text, end, whole in _parts(view, begin, budget):
+            if text is None:
+                yield None, begin, len(raw)
+                return
+            if len(text) >= LEAST_BYTES and (whole or begin == 0 or raw[begin] in b"\x1fx"):
+                yield text, begin, end if whole else len(raw)
         at = max(begin + 1, end if whole else 0)
 
 
@@ -148,7 +201,7 @@ def _constant(span: tuple[int, int]) -> Callable[[int, int], tuple[int, int]]:
     return lambda a, b: span
 
 
-def decoded_layers(layer: Layer, document: bool = False) -> Iterator[Layer | None]:
+def decoded_layers(layer: Layer, budget: list[int], document: bool = False) -> Iterator[Layer | None]:
     """The layers that one step unwraps, none for one that is refused.
 
     Percent and backslash escapes rewrite the layer as a whole; a run of base64 is a layer of its own for each of the four places where
@@ -159,35 +212,35 @@ def decoded_layers(layer: Layer, document: bool = False) -> Iterator[Layer | Non
     for pattern, decode in ((_PERCENT, _percent), (_ESCAPE, _unescape)):
         if ("%" if pattern is _PERCENT else "\\") not in text:
             continue
-        parts, starts, ends, at = [], [], [], 0
+        parts, runs, at = [], Runs(), 0
         for m in pattern.finditer(text):
             parts.append(text[at : m.start()])
-            starts += range(at, m.start())
-            ends += range(at + 1, m.start() + 1)
-            for c, a, b in decode(m[0]):
-                parts.append(c)
-                starts.append(m.start() + a)
-                ends.append(m.start() + b)
+            runs.add(m.start() - at, at)
+            parts.append(decode(m[0], m.start(), runs))
             at = m.end()
         if at:
             parts.append(text[at:])
-            starts += range(at, len(text))
-            ends += range(at + 1, len(text) + 1)
-            yield Layer("".join(parts), lambda a, b, s=starts, e=ends: layer.span(s[a], e[b - 1]))
+            runs.add(len(text) - at, at)
+            yield Layer("".join(parts), lambda a, b, r=runs: layer.span(*r.span(a, b)))
+        del parts
+    done = 0
     for m in _BASE64.finditer(text):
+        yield from _short_layers(layer, done, m.start())
         yield from _base64_layers(layer, m)
+        done = m.end()
+    yield from _short_layers(layer, done, len(text))
     if not document:
         raw = layer.bytes()
         if _PACKED.search(raw):
             of = layer.bytes_span(raw)
-            yield from (out and Layer(_lossy(out), _constant(of(a, b)), out) for out, a, b in _inflated(raw))
+            yield from (out and Layer(_lossy(out), _constant(of(a, b)), out) for out, a, b in _inflated(raw, budget))
     if not text.isascii() and (m := _PACKED_TEXT.search(text)):
         at = m.start()
         while at < len(text):
             wide = _WIDE.search(text, at)  # a character that stands for no byte ends the data
             stop = wide.start() if wide else len(text)
             raw = text[at:stop].encode("latin-1")
-            for out, a, b in _inflated(raw):
+            for out, a, b in _inflated(raw, budget):
                 yield out and Layer(_lossy(out), _constant(layer.span(at + a, at + b)), out)
             at = stop + 1
 
@@ -202,13 +255,16 @@ def _base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
     clean = "".join(run[a:b] for a, b in pieces)
     if len(clean) < LEAST_RUN:
         return
-    at = [m.start() + i for a, b in pieces for i in range(a, b)] if len(pieces) > 1 else range(m.start(), m.start() + len(run))
+    at = Runs()
+    for a, b in pieces:
+        at.add(b - a, m.start() + a)
     clean, n = clean.translate(_URLSAFE), len(clean)
 
     def of_bytes(k: int) -> Callable[[int, int], tuple[int, int]]:
         def span(a: int, b: int) -> tuple[int, int]:
             first, last = k + a // 3 * 4, k + ((b - 1) // 3 + 1) * 4
-            return layer.span(at[first], m.end() if last >= n else at[last - 1] + 1)
+            first, end = at.span(first, min(last, n))
+            return layer.span(first, m.end() if last >= n else end)
 
         return span
 
@@ -219,28 +275,53 @@ def _base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
         yield Layer(_lossy(raw), of_bytes(k), raw)
 
 
+def _short_layers(layer: Layer, begin: int, end: int) -> Iterator[Layer]:
+    """Compressed data in base64 of the text between two runs that are decoded anyway."""
+    for m in _SHORT.finditer(layer.text, begin, end):
+        run = m[0].rstrip("=").translate(_URLSAFE)
+        coded = run[: len(run) - (len(run) % 4 == 1)]
+        raw = a2b_base64(coded + "=" * (-len(coded) % 4))
+        yield Layer(_lossy(raw), _constant(layer.span(*m.span())), raw)
+
+
 _URLSAFE = str.maketrans("-_", "+/")
+#: Stretches of characters of one, two, three and four bytes.
+_WIDTHS = re.compile("([\0-\x7f\udc80-\udcff]+)|([\x80-\u07ff]+)|([\u0800-\uffff]+)|(.)", re.DOTALL)
 
 
-def _percent(run: str) -> list[tuple[str, int, int]]:
-    """(character, start, end) of a run of percent escapes; a byte that is no UTF-8 is a character of its own."""
+def _percent(run: str, at: int, runs: Runs) -> str:
+    """The text of a run of percent escapes; a byte that is no UTF-8 is a character of its own."""
     text = _lossy(urllib.parse.unquote_to_bytes(run))
-    at = _byte_offsets(text)
-    return [(c, 3 * at[i], 3 * at[i + 1]) for i, c in enumerate(text)]
+    for m in _WIDTHS.finditer(text):
+        runs.add(len(m[0]), at, 3 * m.lastindex)
+        at += 3 * m.lastindex * len(m[0])
+    return text
 
 
-def _unescape(run: str) -> list[tuple[str, int, int]]:
-    out: list[tuple[str, int, int]] = []
+def _unescape(run: str, at: int, runs: Runs) -> str:
+    """The text of a run of backslash escapes; a pair of surrogates is one character, a single one U+FFFD."""
+    out: list[str] = []
+    high, begin = 0, 0
     for m in _ESCAPED.finditer(run):
         code = int(m[1] or m[2] or m[3] or m[4], 16)
-        if code > 0x10FFFF:
-            code = 0xFFFD
-        if out and 0xDC00 <= code <= 0xDFFF and 0xD800 <= ord(out[-1][0]) <= 0xDBFF:  # a pair of surrogates
-            high, a, _ = out.pop()
-            out.append((chr(0x10000 + ((ord(high) - 0xD800) << 10) + code - 0xDC00), a, m.end()))
+        if high and 0xDC00 <= code <= 0xDFFF:
+            out.append(chr(0x10000 + ((high - 0xD800) << 10) + code - 0xDC00))
+            runs.add(1, at + begin, m.end() - begin)
+            high = 0
+            continue
+        if high:
+            out.append("\ufffd")
+            runs.add(1, at + begin, m.start() - begin)
+        high = code if 0xD800 <= code <= 0xDBFF else 0
+        if high:
+            begin = m.start()
         else:
-            out.append((chr(code), *m.span()))
-    return [("\ufffd" if 0xD800 <= ord(c) <= 0xDFFF else c, a, b) for c, a, b in out]
+            out.append("\ufffd" if code > 0x10FFFF or 0xDC00 <= code <= 0xDFFF else chr(code))
+            runs.add(1, at + m.start(), m.end() - m.start())
+    if high:
+        out.append("\ufffd")
+        runs.add(1, at + begin, len(run) - begin)
+    return "".join(out)
 
 
 def deep_scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int, int]:
@@ -250,13 +331,13 @@ def deep_scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
     not opened again, so nesting ends at its fixpoint whatever it holds. A match in a layer spans, in the text, what its characters come from.
     """
     base = scan(text)
-    found, layers, refused = set(base), 0, 0
+    found, layers, refused, budget = set(base), 0, 0, [MAX_DOCUMENT_BYTES]
     if not _may_decode(text):
         return base, _sorted(found), 0, 0
     todo, document = [Layer(text, lambda a, b: (a, b))], True
     seen = {(hashlib.blake2b(text.encode("utf-8", "surrogatepass")).digest(), 0, len(text))}
     while todo:
-        for inner in decoded_layers(todo.pop(), document):
+        for inner in decoded_layers(todo.pop(), budget, document):
             if inner is None:
                 refused += 1
                 continue
@@ -280,7 +361,7 @@ def deep_scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
 
 
 def _may_decode(text: str) -> bool:
-    return "%" in text or "\\" in text or _BASE64.search(text) is not None or (not text.isascii() and _PACKED_TEXT.search(text) is not None)
+    return "%" in text or "\\" in text or _BASE64.search(text) is not None or _SHORT.search(text) is not None or (not text.isascii() and _PACKED_TEXT.search(text) is not None)
 
 
 def _sorted(spans: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
@@ -312,7 +393,9 @@ FIELDS = [("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64
 def scan_documents(docs: DataFrame, keep: list[str], clean: bool = False) -> DataFrame:
     """The columns ``keep`` of ``docs`` with counts of base matches by kind, the digest of the base spans, all spans, the numbers of decoded and of refused layers, and with ``clean`` the text without secrets.
 
-    Null text counts as empty (its clean text stays null). Each row is scanned alone and whole, where it is read: there is no shuffle.
+    Null text counts as empty (its clean text stays null). Each row is scanned alone and whole, where it is read: there is no shuffle. Repeated rows and rows
+    with a null id have results of their own, equal texts equal ones; columns of other names are ignored, and an empty table gives an empty one. A very long text takes
+    some tens of bytes a character while its layers are open.
     """
     small_batches(docs.sparkSession)
     given = docs.select(*keep, F.col("text").alias("_text"))

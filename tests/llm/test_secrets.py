@@ -2,10 +2,11 @@ import base64
 import gzip
 import hashlib
 import re
+import tracemalloc
 import zlib
 
 import pytest
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from curvelark.llm import secrets as S
@@ -19,7 +20,8 @@ packed = lambda s: b64(gzip.compress(s.encode()))
 
 
 def plain(text):
-    out = [("assign", *m.span()) for m in S.ASSIGN.finditer(text) if len(m[2]) >= 12]
+    named = re.compile(r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    out = [("assign", *m.span()) for m in named.finditer(text) if len(m[2]) >= 12]
     out += [("access", *m.span()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
     return out + [("hex", *m.span()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
 
@@ -53,8 +55,6 @@ def test_a_part_of_a_layer_maps_to_its_part():
 def test_cycles_bombs_and_junk_end():
     assert S.deep_scan("%25" * 2000)[2] >= 1
     assert S.deep_scan("%2525252525252561")[2] > 3
-    bomb = b64(zlib.compress(b"a" * (S.MAX_LAYER_BYTES + 10), 9))
-    assert S.deep_scan(bomb)[3] == 1
     assert S.deep_scan("%ff%fe \\uD800 \\U99999999 " + "A" * 4001)[2] >= 0
 
 
@@ -106,3 +106,57 @@ def test_wrapped_lines_map_over_the_break():
     code = lines(b64("x" * 51 + SECRET))
     _, spans, _, _ = S.deep_scan("é " + code + " post")
     assert ("assign", 2 + 68, 2 + len(code)) in spans
+
+
+@pytest.mark.parametrize("data", [b"0" * 16, b"AKIA" + b"A" * 14, b"deadbeef" * 2, b"token=" + b"x" * 12])
+@pytest.mark.parametrize("pad", [True, False])
+def test_short_runs_of_compressed_secrets(data, pad):
+    for raw in (zlib.compress(data), zlib.compress(data, 9), zlib.compress(data, 1), zlib.compress(data, wbits=9), gzip.compress(data)):
+        code = b64(raw) if pad else b64(raw).rstrip("=")
+        for text, at in ((f"an {code} end", 3), (f"x-{code}", 0), (code, 0)):
+            _, spans, _, _ = S.deep_scan(text)
+            assert any(at <= a < b <= at + len(code) + 2 for _, a, b in spans), (code, text)
+
+
+def test_layers_of_any_size(monkeypatch):
+    monkeypatch.setattr(S, "PART_BYTES", 50_000)
+    monkeypatch.setattr(S, "OVERLAP_BYTES", 2_000)
+    noise = hashlib.shake_256(b"x").hexdigest(80_000).translate(str.maketrans("0123456789abcdef", "ghijklmnopqrstuv")).encode()
+    for k in (0, 51_990, 123_456):
+        data = noise[:k] + b" " + SECRET.encode() + b" " + noise[k:]
+        for raw in (gzip.compress(data), zlib.compress(data), gz(data[:70_000]) + gz(data[70_000:]), gzip.compress(noise[:k] + b" " + b64(gz(SECRET.encode())).encode() + b" " + noise[k:])):
+            code = b64(raw)
+            _, spans, _, refused = S.deep_scan("pre " + code + " post")
+            assert refused == 0 and any(kind == "assign" and 4 <= a < b <= 4 + len(code) for kind, a, b in spans)
+    bomb = b64(zlib.compress(b"a" * 3_000_000 + SECRET.encode(), 9))
+    assert [k for k, _, _ in S.deep_scan(bomb)[1]].count("assign") == 1
+    monkeypatch.setattr(S, "MAX_DOCUMENT_BYTES", 1_000_000)
+    assert S.deep_scan(bomb)[3] == 1
+
+
+WRAPS = [b64, percent, escape, packed, lambda s: b64(zlib.compress(s.encode())), lambda s: "".join(f"\\x{c:02x}" for c in s.encode()), lambda s: "".join(f"%{ord(c):02x}" if not c.isalnum() and ord(c) < 128 else c for c in s), lambda s: lines(b64(s), 60)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(chain=st.lists(st.sampled_from(range(len(WRAPS))), min_size=1, max_size=4), before=st.text(alphabet="xyz é,.\n", max_size=12), after=st.text(alphabet="xyz é,.\n", max_size=12))
+def test_any_nesting_is_unwrapped(chain, before, after):
+    """Wrapped in any order: the secret's span lies in what it was wrapped to, and nothing of it is left when spans are cut out."""
+    code = SECRET
+    for k in chain:
+        code = WRAPS[k](code)
+    text = f"{before} {code} {after}"
+    base, spans, _, refused = S.deep_scan(text)
+    at = len(before) + 1
+    assert refused == 0 and set(base) <= set(spans)
+    assert any(k == "assign" and at <= a < b <= at + len(code) for k, a, b in spans)
+    assert not any(k == "assign" for k, _, _ in S.deep_scan(S.redacted(text, spans))[1])
+
+
+def test_a_long_text_that_decodes_is_held_in_little_memory():
+    text = ("word " * 400_000) + "%41" * 700_000 + " " + percent(SECRET) + " " + lines(b64("x" * 2_000_000))
+    tracemalloc.start()
+    _, spans, _, _ = S.deep_scan(text)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    at = 5 * 400_000 + 2_100_000 + 1
+    assert ("assign", at, at + 3 * len(SECRET)) in spans and most < 25 * len(text)
