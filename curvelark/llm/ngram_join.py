@@ -22,8 +22,8 @@ _SLICES = 64
 SAMPLED = 2.2
 #: Level of a cell (a power of two above the mean) from which its shingles are frequent.
 FREQUENT = 4
-#: Sets that one task compares with each other at most.
-BLOCK = 1024
+#: Sets of a block, about, and their bytes: a task compares the sets of two blocks at most.
+BLOCK, BLOCK_BYTES = 1024, 16 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -257,10 +257,10 @@ def join_block(sets: list[np.ndarray], percent: int, side: np.ndarray) -> Iterat
 
 
 def _verify(percent: int):
-    """Of a group's rows (cluster, doc, copies, side, set): a spanning forest of its links, and the number of linked documents of each row."""
+    """Of a group's rows (cluster, rep, copies, side, set): a spanning forest of its links, and the number of linked documents of each row."""
 
     def run(table: pa.Table) -> pa.Table:
-        cluster, doc = table["cluster"].to_numpy(), table["doc"].to_numpy()
+        cluster, doc = table["cluster"].to_numpy(), table["rep"].to_numpy()
         copies, side = table["copies"].to_numpy(), table["side"].to_numpy()
         sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
         a, b, links = [], [], np.zeros(len(doc), np.int64)
@@ -291,27 +291,29 @@ def _verify(percent: int):
 
 
 def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(doc_id, text) -> (doc_id, n_shingles, component_id, n_links) by the links of Jaccard similarity >= ``percent`` / 100 of sets of ``words``-word shingles.
+    """(doc_id, text) -> (doc_id, n_shingles, component_id, n_links, text_hash, component) by the links of Jaccard similarity >= ``percent`` / 100 of sets of ``words``-word shingles.
 
     1. One pass over the texts gives each set's size and fingerprint, and a sketch of fixed size that counts all shingles by
     cell; equal sets become one representative with a number of copies. 2. Of the shingles with a low hash and no
     frequent cell, those of two sets or more are found by key. A global order puts shingles so known to be in one set only first, then
     the others found, by frequency, then all else, rare cells first. A set whose prefix is full of the first kind links with
     nothing. 3. Of the rest, sets that share a prefix shingle and a size band are clustered: every linked pair is in one
-    cluster. 4. Clustered sets go to their cluster's block, or, of clusters beyond BLOCK sets, to the pairs of blocks
+    cluster. 4. Clustered sets go to their cluster's block, or, of clusters beyond BLOCK sets or BLOCK_BYTES, to the pairs of blocks
     whose sizes can link; see :func:`join_block`. Blocks give a forest of links and counts, never pairs. 5. Components of the forest are joined
     to all copies.
 
     Documents without words have no shingles, link with nothing and are their own component. Rows with a null id come out with
-    a null component, linked with nothing; repeated rows are copies. Different texts under one id share its component, and links of
-    one of them are looked for. n_links counts linked documents, copies included.
+    a null component, linked with nothing; repeated rows are copies. Each row is a document: different texts under one id have links and components of
+    their own. n_links counts linked documents, copies included. ``text_hash`` (xxhash64 of the text) tells which of an id's texts a row is about, ``component`` is one
+    number for each component (null without words or id), since components of texts that share an id may have one component_id.
+    Columns of other names are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, own = ["doc_id", "n", "print", "key", "slice", "cells"], Sketch()
+        names, own = ["doc_id", "hash", "n", "print", "key", "slice", "cells"], Sketch()
         for b in batches:
             texts = _texts(b["text"])
             for i, j in _chunks(texts):
@@ -319,18 +321,18 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 for s in sets:
                     own.add(s)
                 prints = [_print(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([_key(p) for p in prints], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([b["doc_id"].slice(i, j - i), b["hash"].slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()), pa.array([_key(p) for p in prints], pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names)
         for s, cells in own.slices():
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([cells], pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([s], pa.int32()), pa.array([cells], pa.binary())], names)
         del own
         release_memory()
 
-    told = staged(docs.mapInArrow(describe, "doc_id long, n long, print binary, key long, slice int, cells binary"), "join-base")
-    base = told.where("slice IS NULL").select("doc_id", "n", "print", "key")
+    told = staged(docs.mapInArrow(describe, "doc_id long, hash long, n long, print binary, key long, slice int, cells binary"), "join-base")
+    base = told.where("slice IS NULL").select("doc_id", "hash", "n", "print", "key")
     counts = summed(told.where("slice IS NOT NULL").select("slice", "cells"))
     levels = spark.sparkContext.broadcast(np.log2(1 + counts / (1 + counts.mean())).astype(np.uint8))  # CELLS bytes
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
-    reps = staged(base.where(linkable).groupBy("print", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("key").alias("key")), "join-reps")
+    reps = staged(base.where(linkable).groupBy("print", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("key").alias("key")).withColumn("rep", F.monotonically_increasing_id()), "join-reps")
     low = np.uint64(int((1 << 64) * min(1.0, SAMPLED * (100 - percent) / 100)))
 
     def sampled(s: np.ndarray) -> np.ndarray:
@@ -366,7 +368,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
         .agg(F.collect_set(F.when(F.col("_lo") != F.col("_hi"), F.struct("_n", "token"))).alias("shared"), F.max("slack").alias("slack"))  # shingles of one set
         .where(F.size("shared") > F.col("slack"))
     )
-    open_ = staged(shared.join(reps, "key").select("doc", "n", "copies", "print", "shared"), "join-open")
+    open_ = staged(shared.join(reps, "key").select("rep", "doc", "n", "copies", "print", "shared"), "join-open")
     wanted = spark.sparkContext.broadcast(bitmap(open_.select("doc")))  # CELLS bytes
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -391,34 +393,35 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 rank[at] = [k["_n"] for k in known]
                 unique.append(int((rank == 0).sum()))
                 sets.append(s[np.argsort(rank, kind="stable")].tobytes())
-            yield pa.RecordBatch.from_arrays([b["doc"], b["n"], b["copies"], pa.array(unique, pa.int64()), pa.array(sets, pa.binary())], ["doc", "n", "copies", "unique", "set"])
+            yield pa.RecordBatch.from_arrays([b["rep"], b["n"], b["copies"], pa.array(unique, pa.int64()), pa.array(sets, pa.binary())], ["rep", "n", "copies", "unique", "set"])
 
-    sets = docs.where("doc_id IS NOT NULL").mapInArrow(full, "doc long, print binary, set binary").join(open_, ["doc", "print"]).dropDuplicates(["doc"])
-    ordered = staged(sets.select("doc", "n", "copies", "set", "shared").mapInArrow(arrange, "doc long, n long, copies long, unique long, set binary"), "join-sets")
+    sets = docs.where("doc_id IS NOT NULL").mapInArrow(full, "doc long, print binary, set binary").join(open_, ["doc", "print"]).dropDuplicates(["rep"])
+    ordered = staged(sets.select("rep", "n", "copies", "set", "shared").mapInArrow(arrange, "rep long, n long, copies long, unique long, set binary"), "join-sets")
     width = float(1.001 * np.log(100 / percent))  # sets link only within a band of sizes or with the next one
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             tokens, docs = [], []
-            for doc, n, unique, raw in zip(b["doc"].to_pylist(), b["n"].to_pylist(), b["unique"].to_pylist(), b["set"].to_pylist(), strict=True):
+            for doc, n, unique, raw in zip(b["rep"].to_pylist(), b["n"].to_pylist(), b["unique"].to_pylist(), b["set"].to_pylist(), strict=True):
                 head = np.frombuffer(raw, np.uint64)[unique : _prefix(n, percent)]
                 for k in (0, 1):
                     tokens.append(_mix(head + np.uint64((int(np.log(n) / width) + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
                     docs.append(np.full(len(head), doc))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["token", "doc"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["token", "rep"])
 
-    lists = staged(ordered.mapInArrow(postings, "token long, doc long"), "join-lists")
-    first = staged(lists.groupBy("token").agg(F.min("doc").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("token", "_first"), "join-first")
-    edges = lists.join(first, "token").where(F.col("doc") != F.col("_first")).select(F.col("doc").alias("a"), F.col("_first").alias("b"))
-    clusters = staged(connected_components(edges), "join-clusters").select(F.col("node").alias("doc"), F.col("component").alias("cluster"))
+    lists = staged(ordered.mapInArrow(postings, "token long, rep long"), "join-lists")
+    first = staged(lists.groupBy("token").agg(F.min("rep").alias("_first"), F.count("*").alias("_n")).where("_n > 1").select("token", "_first"), "join-first")
+    edges = lists.join(first, "token").where(F.col("rep") != F.col("_first")).select(F.col("rep").alias("a"), F.col("_first").alias("b"))
+    clusters = staged(connected_components(edges), "join-clusters").select(F.col("node").alias("rep"), F.col("component").alias("cluster"))
 
-    members = staged(clusters.join(ordered.select("doc", "n", "copies"), "doc"), "join-members")
+    members = staged(clusters.join(ordered.select("rep", "n", "copies"), "rep"), "join-members")
     band = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
     banded = members.withColumn("_band", band)
-    sizes = banded.groupBy("cluster", "_band").agg(F.count("*").alias("_n"))
-    whole = sizes.groupBy("cluster").agg(F.sum("_n").alias("_all"), F.map_from_entries(F.collect_list(F.struct("_band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("_blocks")))).alias("_blocks"))
-    n_groups = max(1, members.count() // BLOCK)
+    loads = lambda n, size: F.greatest(F.ceil(n / BLOCK), F.ceil(8 * size / BLOCK_BYTES))
+    sizes = banded.groupBy("cluster", "_band").agg(F.count("*").alias("_n"), F.sum("n").alias("_size"))
+    whole = sizes.groupBy("cluster").agg(loads(F.sum("_n"), F.sum("_size")).alias("_all"), F.map_from_entries(F.collect_list(F.struct("_band", loads(F.col("_n"), F.col("_size")).cast("int").alias("_blocks")))).alias("_blocks"))
+    n_groups = members.agg(F.coalesce(loads(F.count("*"), F.sum("n")), F.lit(0)).cast("int")).first()[0] or 1
     blocks = lambda k: F.coalesce(F.element_at("_blocks", F.col("_band") + k), F.lit(0))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: i < n)
     i = F.col("_i")
@@ -430,23 +433,32 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     small = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(n_groups))).alias("group"), F.lit(2).alias("side")))
     tasks = (
         banded.join(staged(whole, "join-sizes"), "cluster")
-        .withColumn("_i", F.pmod(F.xxhash64("doc"), blocks(0)).cast("int"))
-        .withColumn("_t", F.explode(F.when(F.col("_all") <= BLOCK, small).otherwise(F.concat(same, above, below))))
-        .select("doc", "cluster", "copies", "_t.group", "_t.side")
+        .withColumn("_i", F.pmod(F.xxhash64("rep"), blocks(0)).cast("int"))
+        .withColumn("_t", F.explode(F.when(F.col("_all") <= 1, small).otherwise(F.concat(same, above, below))))
+        .select("rep", "cluster", "copies", "_t.group", "_t.side")
     )
-    found = staged(tasks.join(ordered.select("doc", "set"), "doc").groupBy("group").applyInArrow(_verify(percent), "a long, b long, n long"), "join-found")
-    components = staged(connected_components(found.where("b IS NOT NULL").select("a", "b")), "join-components").withColumnRenamed("node", "doc")
-    links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("doc")).agg(F.sum("n").alias("links"))
-    answers = staged(reps.join(components, "doc", "left").join(links, "doc", "left").select("print", "n", "copies", F.coalesce("component", "doc").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")), "join-answers")
+    found = staged(tasks.join(ordered.select("rep", "set"), "rep").groupBy("group").applyInArrow(_verify(percent), "a long, b long, n long"), "join-found")
+    components = staged(connected_components(found.where("b IS NOT NULL").select("a", "b")), "join-components").withColumnRenamed("node", "rep")
+    least = staged(components.join(reps.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("least")), "join-least")
+    links = found.where("n IS NOT NULL").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
+    told = components.join(least, "component")
+    answers = staged(
+        reps.join(told, "rep", "left").join(links, "rep", "left")
+        .select("print", "n", F.coalesce("component", "rep").alias("component"), F.coalesce("least", "doc").alias("least"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links")),
+        "join-answers",
+    )
     return (
-        base.select("doc_id", "n", "print")
+        base.select("doc_id", "hash", "n", "print")
         .join(answers, ["print", "n"], "left")
-        .select("doc_id", F.col("n").alias("n_shingles"), F.when(linkable, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"), F.when(linkable, F.col("links")).otherwise(0).alias("n_links"))
-    )
+        .select(
+            "doc_id", F.col("n").alias("n_shingles"), F.when(linkable, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"),
+            F.when(linkable, F.col("links")).otherwise(0).alias("n_links"), F.col("hash").alias("text_hash"), F.when(linkable, F.col("component")).alias("component"),
+        )
+    )
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90)
+    return jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"), 3, 90).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 ORACLE = r"""

@@ -67,6 +67,27 @@ def test_repeated_null_and_no_rows(spark):
     assert J.jaccard_components(docs_frame(spark, []), 3, 90).count() == 0
 
 
+def test_texts_under_one_id(spark):
+    rng = np.random.default_rng(8)
+    one, two = words_text(rng, 60), words_text(rng, 60)
+    near = lambda t, k: " ".join(t.split(" ")[:-1] + [f"end{k}"])
+    rows = [(1, one), (1, two), (3, near(two, 1)), (0, near(one, 1)), (1, two), (7, near(two, 1)), (9, words_text(rng, 50))]
+    got = sorted((r.doc_id, r.component_id, r.n_links, r.component is None) for r in J.jaccard_components(docs_frame(spark, rows), 3, 90).collect())
+    assert got == sorted((i, c, n, False) for i, c, n in [(1, 0, 1), (1, 1, 3), (3, 1, 3), (0, 0, 1), (1, 1, 3), (7, 1, 3), (9, 9, 0)])
+
+
+def test_blocks_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK_BYTES", 4000)
+    rng = np.random.default_rng(10)
+    base, rows = words_text(rng, 150).split(" "), []
+    for i in range(60):
+        w = list(base)
+        for _ in range(int(rng.integers(0, 5))):
+            w[int(rng.integers(0, len(w)))] = f"x{rng.integers(0, 1000)}"
+        rows.append((i, " ".join(w)))
+    assert found(spark, rows, 3, 90) == brute(rows, 3, 90)
+
+
 def test_join_block_derives_what_counting_gives():
     rng = np.random.default_rng(2)
     base = rng.choice(5000, 300, replace=False)
