@@ -29,29 +29,35 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links between five-word shingle sets of similarity 0.8 or more: that with the smallest id.
+    """One document of each group of links between five-word shingle sets of similarity 0.8 or more: that with the smallest id, of several with that id the one with the smallest hash of its text.
 
-    Of rows that repeat an id and a text one stays; rows with a null id are in no group and stay.
+    Of rows that repeat an id and a text the smallest by language, source and length stays. Texts without words are in no group and stay, once for each id; rows with a null id are in no
+    group and stay, all of them. An empty table gives an empty one.
     """
-    kept = jaccard_components(docs, 5, 80).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
+    found = staged(jaccard_components(docs, 5, 80).where("doc_id = component_id").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_n")), "near")
+    none = F.col("component").isNull()
+    first = found.where(~none).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "_n")).alias("_f")).select("_f.*")
+    kept = staged(first.unionByName(found.where(none).select("doc_id", "text_hash", "_n")), "kept")
+    named = docs.select(*COLUMNS, F.xxhash64("text").alias("text_hash"))
+    pick = lambda rows: named.join(rows.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_semi")
+    repeated = pick(kept.where("_n > 1")).groupBy("doc_id", "text_hash").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("_d")).select("doc_id", "_d.*")
+    return pick(kept.where("_n = 1")).select(*COLUMNS).unionByName(repeated.select(*COLUMNS)).unionByName(docs.where("doc_id IS NULL").select(*COLUMNS))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets replaced in the text, nested ones too."""
+    """All documents, with secrets replaced in the text, nested ones too; null, empty and repeated rows stay as they are, of an empty table none."""
     scanned = scan_documents(docs, COLUMNS, clean=True)
     found = F.col("spans") != ""
     return scanned.select("doc_id", F.when(found, F.col("clean_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(found, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The words that the mix takes: a row for each pass over a document."""
+    """The words that the mix takes: a row for each pass over a document. Repeated rows are documents of their own, null and empty texts stay once, an empty table gives an empty mix."""
     return mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every row of the mix."""
+    """Token counts and digests of every row of the mix, repeated rows and null ids too; null and empty texts have no tokens."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
