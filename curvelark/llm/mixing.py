@@ -72,11 +72,15 @@ def mix(rows: DataFrame, block: int = 512, n_shards: int = 64, weights: tuple[in
     shorter. The source's target, rounded to words, is a number of draws; draw d is in pass d // blocks and
     takes block permuted(d % blocks); the short block is the last of a pass and the last draw takes the words that
     are left, so the target is met to the word and no block is taken more than ``max_repeats`` times.
-    Each draw goes to an output shard by its hash: the shards' counts of a source are multinomial.
+    How many draws of a source each output shard gets is drawn first (multinomial: every draw falls to a shard by a hash, and is counted); the shard's slots
+    of that source are then the next so many draws, so slots are mapped to blocks through the source's permutation.
+
+    Rows of one (source, bucket) window are ordered by one task: a bucket holds about BUCKET_ROWS rows, unless that many repeat one id and one text. Ties in order and repeated rows
+    are rows of their own, told apart by rid; an empty table gives empty results.
     """
     keyed = rows.withColumn("_k", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n")))
     n_buckets = max(64, rows.count() // BUCKET_ROWS)
-    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64("order_by"), F.lit(n_buckets)))
+    keyed = keyed.withColumn("_b", F.pmod(F.xxhash64("order_by", "tie"), F.lit(n_buckets)))
     per_bucket = keyed.groupBy("_k", "source", "_b").agg(F.sum("size").alias("_n"))
     per_source = per_bucket.groupBy("_k", "source").agg(F.sum("_n").alias("source_size"))
     targets = source_targets(per_source.select("source", "source_size"), weights, max_repeats)
@@ -97,17 +101,26 @@ def mix(rows: DataFrame, block: int = 512, n_shards: int = 64, weights: tuple[in
     inside = W.partitionBy("_k", "_b").orderBy("order_by", "tie", "size", "rid").rowsBetween(W.unboundedPreceding, 0)
     placed = keyed.withColumn("_end", F.sum("size").over(inside)).join(offsets, ["_k", "_b"]).withColumn("_end", F.col("_end") + F.col("_before")).withColumn("_start", F.col("_end") - F.col("size"))
 
+    parts = int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    pieces = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / CHUNK).cast("long")))
+    within = lambda n: F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, n) - 1))
+    thrown = (
+        targets.where("_draws > 0").select("_k", "_draws", pieces(F.col("_draws")).alias("_chunk")).repartition(parts, "_k", "_chunk")
+        .select("_k", within(F.col("_draws")).alias("_draw"))
+        .select("_k", F.pmod(F.xxhash64(F.lit(seed), F.col("_k"), F.col("_draw")), F.lit(n_shards)).cast("int").alias("_shard"))
+    )
+    # a row for each source and shard
+    counts = thrown.groupBy("_k", "_shard").agg(F.count("*").alias("_slots")).withColumn("_first", F.sum("_slots").over(W.partitionBy("_k").orderBy("_shard").rowsBetween(W.unboundedPreceding, 0)) - F.col("_slots"))
     full = F.floor(n / block).cast("long")
-    d, j = F.col("_draw"), F.col("_slot")
+    d, j = F.col("_draw"), F.col("_place")
     draws = (
-        targets.where("_draws > 0")
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_draws") - 1) / CHUNK).cast("long"))))
-        .repartition(int(targets.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_k", "_chunk")
-        .withColumn("_draw", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least((F.col("_chunk") + 1) * CHUNK, F.col("_draws")) - 1)))
-        .withColumns({"_pass": F.floor(d / F.col("_blocks")).cast("long"), "_slot": (d % F.col("_blocks")).cast("long")})
+        staged(counts, "mix-counts").join(F.broadcast(targets), "_k")
+        .withColumn("_chunk", pieces(F.col("_slots"))).repartition(parts, "_k", "_shard", "_chunk")
+        .withColumn("_slot", within(F.col("_slots")))
+        .withColumn("_draw", F.col("_first") + F.col("_slot"))
+        .withColumns({"_pass": F.floor(d / F.col("_blocks")).cast("long"), "_place": (d % F.col("_blocks")).cast("long")})
         .select(
-            "_k", "source", "_pass", "_slot",
-            F.pmod(F.xxhash64(F.lit(seed), F.col("_k"), d), F.lit(n_shards)).cast("int").alias("_shard"),
+            "_k", "source", "_shard", "_slot", "_pass", "_place",
             F.when(j < full, permuted(j, full, F.col("_k"), seed)).otherwise(j).alias("_block"),
             F.when(F.col("_pass") < F.col("_passes"), F.lit(block).cast("long")).otherwise(F.least(F.lit(block).cast("long"), F.col("_rest") - j * block)).alias("_take"),
         )
@@ -119,20 +132,27 @@ def mix(rows: DataFrame, block: int = 512, n_shards: int = 64, weights: tuple[in
 
 
 def taken_words(rows: DataFrame, block: int = 512, **settings) -> DataFrame:
-    """Of each row of ``rows`` (see :func:`mix`): rid, doc_id, size, source_size, target, and the words that the mix takes of it, repeats counted.
+    """Of each row of ``rows`` (see :func:`mix`): rid, doc_id, size, source_size, target, the words that the mix takes of it, repeats counted, and the shards that hold them.
 
-    Every row has a result; rows without words take none.
+    ``shards`` is a list of shard:words by shard, as a string. Every row has a result; rows without words take none.
     """
     _, draws, overlaps = mix(rows, block, **settings)
-    uses = draws.groupBy("_k", "_block").agg(F.sum((F.col("_take") == block).cast("long")).alias("_times"), F.max(F.when(F.col("_take") < block, F.col("_take"))).alias("_part"))
-    begin = F.col("_block") * block
-    words = F.col("_to") - F.col("_from")
-    part = F.when(F.col("_part").isNotNull(), F.greatest(F.lit(0), F.least(F.col("_to"), begin + F.col("_part")) - F.col("_from")))
+    # a block is drawn once a pass
+    uses = draws.groupBy("_k", "_block").agg(F.collect_list(F.struct("_shard", "_take")).alias("_uses"))
+    some = F.explode_outer("_uses")
+    words = F.greatest(F.lit(0), F.least(F.col("_to"), F.col("_block") * block + F.col("_use._take")) - F.col("_from"))
+    same = ("rid", "doc_id", "source", "size", "source_size", "target")
     return (
         overlaps.join(uses.hint("merge"), ["_k", "_block"], "left")  # its size is not that of the small table it is generated from
-        .groupBy("rid", "doc_id", "source", "size", "source_size", "target")
-        .agg(F.sum(F.when(F.col("_block") < 0, 0).otherwise(F.coalesce(F.col("_times") * words, F.lit(0)) + F.coalesce(part, F.lit(0)))).cast("long").alias("taken"))
-    )
+        .select(*same, "_block", "_from", "_to", some.alias("_use"))
+        .select(*same, F.col("_use._shard").alias("_shard"), F.when((F.col("_block") >= 0) & F.col("_use").isNotNull(), words).otherwise(0).cast("long").alias("_words"))
+        .repartition("rid")
+        .groupBy(*same, "_shard").agg(F.sum("_words").alias("_words"))
+        .groupBy(*same)
+        .agg(F.sum("_words").alias("taken"), F.array_sort(F.collect_list(F.when(F.col("_words") > 0, F.struct("_shard", "_words")))).alias("_s"))  # an entry for each shard
+        .withColumn("shards", F.array_join(F.transform("_s", lambda x: F.concat_ws(":", x["_shard"].cast("string"), x["_words"].cast("string"))), ","))
+        .drop("_s")
+    )
 
 
 def narrow(docs: DataFrame) -> DataFrame:
@@ -170,6 +190,21 @@ def mixed_documents(docs: DataFrame, block: int = 512, **settings) -> DataFrame:
     )
 
 
+def mixed_blocks(docs: DataFrame, block: int = 512, **settings) -> DataFrame:
+    """The mix by output shards: (shard, source, slot, text), a row for each slot, with the words of the block that its draw takes, one blank between two.
+
+    Slots of a source in a shard count from 0 without gaps.
+    """
+    stored = staged(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text", "source"), "mix-docs")
+    rows = stored.select("rid", "doc_id", F.col("doc_id").alias("order_by"), F.xxhash64("text").alias("tie"), "source", F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long").alias("size"))
+    _, draws, overlaps = mix(staged(rows, "mix-rows"), block, **settings)
+    words = F.regexp_extract_all(F.col("text"), F.lit(WORD), F.lit(0))
+    at, n = (F.col("_from") - F.col("_start") + 1).cast("int"), (F.col("_to") - F.col("_from")).cast("int")
+    held = overlaps.where("_block >= 0").join(stored.select("rid", words.alias("_w")), "rid").select("_k", "_block", "_from", F.slice("_w", at, n).alias("_w"))
+    filled = held.groupBy("_k", "_block").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_from", "_w"))), lambda x: x["_w"])).alias("_w"))  # block words at most
+    return draws.hint("merge").join(filled, ["_k", "_block"]).select(F.col("_shard").alias("shard"), "source", F.col("_slot").alias("slot"), F.array_join(F.slice("_w", F.lit(1), F.col("_take").cast("int")), " ").alias("text"))
+
+
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(narrow(spark.read.parquet(f"{sf_dir}/documents.parquet")), "mix-rows")
-    return taken_words(rows).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return taken_words(rows).select("doc_id", "size", "source_size", "target", "taken", "shards", "source")

@@ -89,9 +89,33 @@ def test_draws_are_a_permutation_spread_over_shards(spark):
     d = draws.toPandas()
     for _, g in d.groupby(["_k", "_pass"]):
         assert g._block.is_unique
+    for _, g in d.groupby(["_k", "_shard"]):
+        assert sorted(g._slot) == list(range(len(g)))
     hot = d[d._k == "sb"]
-    assert hot._shard.nunique() == 8 and hot.groupby("_shard").size().min() > 0.5 * len(hot) / 8
-    assert (hot[hot._pass == 0].sort_values("_slot")._block.diff() == 1).mean() < 0.2
+    assert hot._shard.nunique() == 8 and hot.groupby("_shard").size().min() > 0.5 * len(hot) / 8 and hot.groupby("_shard").size().nunique() > 1
+    assert (hot[hot._pass == 0].sort_values(["_shard", "_slot"])._block.diff() == 1).mean() < 0.2
+    taken = mixing.taken_words(rows, 16, n_shards=8).collect()
+    by = {(r.rid, int(s.split(":")[0])): int(s.split(":")[1]) for r in taken for s in r.shards.split(",") if s}
+    assert sum(by.values()) == sum(r.taken for r in taken)
+    size = {"n" if r.source is None else "s" + r.source: r.source_size for r in taken}
+    for shard, g in d.groupby("_shard"):
+        assert sum(n for (_, s), n in by.items() if s == shard) == sum(min(t, size[k] - 16 * b) for k, b, t in zip(g._k, g._block, g._take, strict=True))
+
+
+def test_blocks_of_the_shards_hold_the_words_taken(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{s or 'none'}{i}_{k}" for k in range(n)), "en", s, 1) for i, (s, n) in enumerate([("a", 50), ("b", 7), (None, 33), ("a", 0), ("b", 120)])], COLUMNS)
+    got = mixing.mixed_blocks(docs, 8, n_shards=3).toPandas()
+    taken = {r.doc_id: r.taken for r in mixing.taken_words(staged(mixing.narrow(docs), "t"), 8, n_shards=3).collect()}
+    held = {}
+    for r in got.itertuples():
+        words = r.text.split(" ")
+        assert 0 < len(words) <= 8 and all(w.startswith(r.source or "none") for w in words)
+        for w in words:
+            i = int(re.sub("^[a-z]+", "", w).split("_")[0])
+            held[i] = held.get(i, 0) + 1
+    assert held == {i: n for i, n in taken.items() if n}
+    assert not got.duplicated(["shard", "source", "slot"]).any()
+    assert mixing.mixed_blocks(docs.where("false")).count() == 0
 
 
 def test_mixed_documents_hold_the_words_taken(spark):
