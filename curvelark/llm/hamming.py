@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
+from math import log2
 
 import numpy as np
 import pyarrow as pa
@@ -12,60 +15,39 @@ from pyspark.sql import functions as F
 
 from ..operators.staging import staged
 
-#: Bits of a segment: the index has 2**16 cells a segment.
-SEGMENT = 16
-_POP = np.array([x.bit_count() for x in range(1 << SEGMENT)], dtype=np.int64)
-_MASKS = [np.flatnonzero(_POP == r) for r in range(SEGMENT + 1)]
-
-
-class SegmentIndex:
-    """Codes (n, segments) of 16-bit segments; for each segment, the rows by cell."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(c, kind="stable") for c in codes.T]
-        self.offsets = [np.concatenate(([0], np.cumsum(np.bincount(c, minlength=1 << SEGMENT)))) for c in codes.T]
-        self.cells = [np.unique(c) for c in codes.T]
-
-    def probe(self, segment: int, value: int, radius: int) -> np.ndarray:
-        """Rows whose segment differs from ``value`` in just ``radius`` bits."""
-        masks, cells = _MASKS[radius], self.cells[segment]
-        at = masks ^ value if len(masks) < len(cells) else cells[_POP[cells ^ value] == radius]
-        lo, n = self.offsets[segment][at], self.offsets[segment][at + 1] - self.offsets[segment][at]
-        lo, n = lo[n > 0], n[n > 0]
-        if not len(n):
-            return lo
-        steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return self.order[segment][np.repeat(lo, n) + steps]
-
-    def nearest(self, query: np.ndarray, k: int, ids: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k rows nearest to ``query``, ties to the smaller id, without rows of id ``own``: (rows, distances).
-
-        Once segments 0..j have been searched at radius r and the others at r - 1, every code within
-        segments * r + j bits has been seen; the search ends when the kth verified distance is covered.
-        """
-        m = self.codes.shape[1]
-        seen = ids == own
-        rows, dist = np.empty(0, np.int64), np.empty(0, np.int64)
-        for radius in range(SEGMENT + 1):
-            for j in range(m):
-                found = self.probe(j, int(query[j]), radius)
-                found = found[~seen[found]]
-                if len(found):
-                    seen[found] = True
-                    rows = np.concatenate((rows, found))
-                    dist = np.concatenate((dist, _POP[self.codes[found] ^ query].sum(axis=1)))
-                if len(rows) >= k and np.partition(dist, k - 1)[k - 1] <= m * radius + j:
-                    best = np.lexsort((ids[rows], dist))[:k]
-                    return rows[best], dist[best]
-        best = np.lexsort((ids[rows], dist))[:k]
-        return rows[best], dist[best]
+BYTE = 8
+#: Bits of a segment at least and at most: between, as many as tell about as many values as there are codes.
+LEAST_BITS, MOST_BITS = 8, 24
+#: Probes that a task makes before it hands them on.
+PROBES = 1 << 18
+
+
+@lru_cache(maxsize=64)
+def masks(width: int, radius: int) -> np.ndarray:
+    """All numbers of ``width`` bits with ``radius`` bits set."""
+    return np.array([sum(1 << b for b in c) for c in combinations(range(width), radius)], np.int32)
+
+
+def segment_widths(bits: int, segment: int) -> list[int]:
+    """Nearly equal widths of about ``segment`` bits that make ``bits``."""
+    n = max(1, round(bits / segment), -(-bits // MOST_BITS))
+    return [bits // n + (i < bits % n) for i in range(n)]
+
+
+def segments(codes: np.ndarray, segment: int) -> np.ndarray:
+    """Codes as rows of bytes -> the value of each segment."""
+    bits, out, at = np.unpackbits(codes, axis=1).astype(np.int32), [], 0
+    for w in segment_widths(bits.shape[1], segment):
+        out.append(bits[:, at : at + w] @ (1 << np.arange(w - 1, -1, -1, dtype=np.int32)))
+        at += w
+    return np.stack(out, axis=1).astype(np.int32)
 
 
 def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """(id, code): a bit for each component, set where it is above zero, in 16-bit segments.
+    """(id, code): a bit for each component, set where it is above zero, in whole bytes.
 
     Null vectors and vectors that are empty or hold null or NaN take no part. Of rows with one id, the smallest vector stays.
+    Columns of other names are ignored; an empty table gives no codes.
     """
     v = F.col("_v")
     rows = (
@@ -79,46 +61,111 @@ def sign_codes(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            out = []
-            for v in b.column(1).to_pylist():
-                bits = np.zeros(-(-len(v) // SEGMENT) * SEGMENT, np.uint8)
-                bits[: len(v)] = np.asarray(v) > 0
-                out.append(np.packbits(bits).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["id", "code"])
+            v = b.column(1)
+            size = np.diff(v.offsets.to_numpy())
+            width = -(-size // BYTE) * BYTE
+            bits = np.zeros(width.sum(), np.uint8)
+            begin = np.cumsum(width) - width
+            place = np.arange(size.sum()) + np.repeat(begin - (np.cumsum(size) - size), size)
+            bits[place] = v.flatten().to_numpy(zero_copy_only=False) > 0
+            packed = np.packbits(bits)
+            codes = [packed[i : i + n].tobytes() for i, n in zip((begin // 8).tolist(), (width // 8).tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes, pa.binary())], ["id", "code"])
 
     return rows.mapInArrow(pack, "id long, code binary")
 
 
-def exact_hamming_topk(codes: DataFrame, is_query, k: int = 20, block_rows: int = 8192, query_rows: int = 4096) -> DataFrame:
+def exact_hamming_topk(codes: DataFrame, is_query, k: int = 20, segment: int | None = None) -> DataFrame:
     """(id, code) -> (query_id, rank, vec_id, distance): of each query its k nearest other codes, ties to the smaller id.
 
-    Codes are dealt by hash into blocks, each indexed and searched where it is; every query meets every block,
-    and the exact answers of the blocks are merged. Codes of another length than a query's are no candidates.
-    Fewer than k candidates give as many ranks; an empty table gives none.
+    One global index holds every code under the value of each of its segments. Round r looks up, for every query that is still open and every
+    segment, all values that differ in just r bits; what is found is verified by its whole distance. After round r each code within
+    segments * (r + 1) - 1 bits has been seen, so a query whose kth distance is no larger is closed. A pair is taken only in the round and
+    at the segment that find it first, which follows from the two codes, so nothing is looked at twice.
+
+    Equal codes are asked once, and of equal codes the index holds the k + 1 smallest ids, as no answer can need more: groups of copies of any size cost no more than that.
+    Codes of another length than a query's are no candidates. Fewer than k candidates give as many ranks; an empty table gives none, rows with a null id or code take no part,
+    and of repeated ids every row is a candidate but none of the query's own id. Columns of other names are ignored.
     """
-    codes = staged(codes.withColumn("_bits", F.octet_length("code")), "hamming-codes")
-    queries = codes.where(is_query)
-    n_blocks = max(1, -(-codes.count() // block_rows))
-    n_query = max(1, -(-queries.count() // query_rows))
-    deal = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    both = codes.select(F.lit(False).alias("ask"), "id", "code", "_bits", deal(n_blocks).alias("b"), every(n_query).alias("q")).unionByName(queries.select(F.lit(True).alias("ask"), "id", "code", "_bits", deal(n_query).alias("q"), every(n_blocks).alias("b")))
-
-    def search(table: pa.Table) -> pa.Table:
-        ask = table["ask"].to_numpy(zero_copy_only=False)
-        ids = table["id"].to_numpy()
-        codes = np.frombuffer(b"".join(table["code"].to_pylist()), ">u2").reshape(len(ids), -1).astype(np.int64)
-        index, known = SegmentIndex(codes[~ask]), ids[~ask]
-        out: list[tuple[np.ndarray, ...]] = []
-        for own, code in zip(ids[ask], codes[ask], strict=True):
-            rows, dist = index.nearest(code, k, known, own)
-            out.append((np.full(len(rows), own), known[rows], dist))
-        cols = [np.concatenate(c).astype(np.int64) if out else np.empty(0, np.int64) for c in (zip(*out, strict=True) if out else [[]] * 3)]
-        return pa.table({"query_id": cols[0], "vec_id": cols[1], "distance": cols[2].astype(np.int32)})
-
-    found = both.groupBy("b", "q", "_bits").applyInArrow(search, "query_id long, vec_id long, distance int")
-    best = W.partitionBy("query_id").orderBy("distance", "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
+    spark = codes.sparkSession
+    codes = staged(codes.where("id IS NOT NULL AND code IS NOT NULL").select("id", "code"), "hamming-codes")
+    bits = segment or min(MOST_BITS, max(LEAST_BITS, round(log2(max(2, codes.count())))))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = b["code"].to_pylist()
+            size = np.array([len(c) for c in raw])
+            values: list = [None] * len(raw)
+            for n in np.unique(size[size > 0]).tolist():
+                at = np.flatnonzero(size == n)
+                found = segments(np.frombuffer(b"".join(raw[i] for i in at), np.uint8).reshape(-1, n), bits)
+                for i, v in zip(at.tolist(), found, strict=True):
+                    values[i] = v
+            yield pa.RecordBatch.from_arrays([b["id"], b["code"], pa.array(values, pa.list_(pa.int32()))], ["id", "code", "segs"])
+
+    cut = codes.mapInArrow(split, "id long, code binary, segs array<int>").where("segs IS NOT NULL")
+    smallest = W.partitionBy("code").orderBy("id")
+    kept = staged(cut.withColumn("_r", F.row_number().over(smallest)).where(F.col("_r") <= k + 1).select(F.octet_length("code").alias("len"), "segs", "id"), "hamming-kept")
+    index = staged(kept.select("len", F.posexplode("segs").alias("seg", "value"), "segs", "id").repartition("len", "seg", "value"), "hamming-index")
+    total = {r["len"]: r["n"] for r in kept.groupBy("len").agg(F.count_distinct("id").alias("n")).collect()}  # a row for each length of code
+    if not total:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, distance int")
+    queries = staged(codes.where(is_query).select("id", "code"), "hamming-queries")
+    asked = staged(cut.join(queries.select("code").distinct(), "code", "left_semi").groupBy("code").agg(F.min("segs").alias("segs")).withColumn("q", F.monotonically_increasing_id()), "hamming-asked")
+    active = asked.select("q", F.octet_length("code").alias("len"), "segs")
+    sums = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    nearest = W.partitionBy("q").orderBy("distance", "id")
+    enough = F.element_at(F.create_map(*[x for n, c in total.items() for x in (F.lit(n), F.lit(min(k + 1, c)))]), F.col("len"))
+    carried, done = None, []
+    for radius in range(bits + MOST_BITS):
+
+        def probe(batches: Iterator[pa.RecordBatch], radius: int = radius) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                out, held = [], 0
+                for q, n, segs in zip(b["q"].to_pylist(), b["len"].to_pylist(), b["segs"].to_pylist(), strict=True):
+                    for j, (w, v) in enumerate(zip(segment_widths(8 * n, bits), segs, strict=True)):
+                        if radius <= w:
+                            found = masks(w, radius) ^ np.int32(v)
+                            out.append((q, n, j, found, segs))
+                            held += len(found)
+                    if held > PROBES:
+                        yield table(out)
+                        out, held = [], 0
+                yield table(out)
+
+        def table(out: list) -> pa.RecordBatch:
+            n = [len(x[3]) for x in out]
+            repeated = [pa.array(np.repeat(np.array([x[i] for x in out], t), n)) for i, t in ((0, np.int64), (1, np.int32), (2, np.int32))]
+            which = pa.array(np.repeat(np.arange(len(out)), n))
+            segs = pa.array([x[4] for x in out], pa.list_(pa.int32())).take(which)
+            return pa.RecordBatch.from_arrays([*repeated, pa.array(np.concatenate([x[3] for x in out]) if out else np.empty(0, np.int32)), segs], ["q", "len", "seg", "value", "asked"])
+
+        probes = active.mapInArrow(probe, "q long, len int, seg int, value int, asked array<int>")
+        apart = F.zip_with("asked", "segs", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+        m = F.size("segs")
+        met = probes.join(index, ["len", "seg", "value"]).select("q", "len", "id", "seg", m.alias("m"), apart.alias("d"))
+        first = F.array_min(F.transform("d", lambda x, i: x * F.col("m") + i)) == radius * F.col("m") + F.col("seg")
+        new = met.where(first).select("q", "len", "m", "id", sums(F.col("d")).alias("distance"))
+        both = new if carried is None else new.unionByName(carried.select(*new.columns))
+        top = both.withColumn("_r", F.row_number().over(nearest)).where(F.col("_r") <= k + 1)
+        all_ = W.partitionBy("q")
+        closed = (F.count("*").over(all_) >= enough) & (F.max("distance").over(all_) <= F.col("m") * (radius + 1) - 1)
+        top = staged(top.withColumn("closed", closed).drop("_r"), "hamming-top")
+        done.append(top.where("closed"))
+        carried = top.where("NOT closed")
+        active = staged(active.join(top.where("closed").select("q").distinct(), "q", "left_anti"), "hamming-active")
+        if not active.limit(1).count():
+            break
+        if radius >= max(max(segment_widths(8 * n, bits)) for n in total):
+            done.append(carried)  # every code has been met
+            break
+    best = done[0]
+    for d in done[1:]:
+        best = best.unionByName(d)
+    named = queries.join(asked.select("code", "q"), "code").select(F.col("id").alias("query_id"), "q")
+    order = W.partitionBy("query_id").orderBy("distance", "vec_id")
+    found = named.join(best.select("q", F.col("id").alias("vec_id"), "distance"), "q").where("vec_id <> query_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")
 
 
 def op10_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,9 +45,10 @@ def test_few_and_no_vectors(spark):
     assert ann.tree_search(ann.usable_vectors(frame(spark, []), "vec_id", "embedding"), F.col("id") == 0).count() == 0
 
 
-def test_hamming_is_exact(spark, rows):
+@pytest.mark.parametrize("segment", [None, 5, 16])
+def test_hamming_is_exact(spark, rows, segment):
     codes = hamming.sign_codes(frame(spark, rows), "vec_id", "embedding")
-    got = hamming.exact_hamming_topk(codes, F.col("id") % 50 == 0, 20, block_rows=300, query_rows=10).toPandas()
+    got = hamming.exact_hamming_topk(codes.selectExpr("*", "1 AS q", "2 AS seg", "3 AS len"), F.col("id") % 50 == 0, 20, segment).toPandas()
     own = {i: np.array(v) > 0 for i, v in rows if v is not None and None not in v and not np.isnan(v).any()}
     ids = np.array(sorted(own))
     x = np.stack([own[i] for i in ids])
@@ -60,6 +61,22 @@ def test_hamming_is_exact(spark, rows):
     assert set(got.query_id) == set(ids[ids % 50 == 0])
 
 
+def test_hamming_of_copies_and_far_codes(spark):
+    """Many copies of one code, a query without any near code, codes of several lengths, and fewer candidates than asked for."""
+    rng = np.random.default_rng(7)
+    rows = [(i, b"\x0f\xf0\x55") for i in range(300)] + [(1000, b"\xf0\x0f\xaa"), (1050, b"\x00"), (1051, b"\x01"), (1100, b"ab" * 4)]
+    rows += [(2000 + i, rng.bytes(3)) for i in range(40)] + [(None, b"abc"), (3000, None)]
+    codes = spark.createDataFrame(rows, "id long, code binary")
+    got = hamming.exact_hamming_topk(codes, F.col("id") % 50 == 0, 20).toPandas()
+    known = [(i, c) for i, c in rows if i is not None and c is not None]
+    for q, code in known:
+        if q % 50:
+            continue
+        want = sorted((sum((x ^ y).bit_count() for x, y in zip(code, c, strict=True)), i) for i, c in known if i != q and len(c) == len(code))[:20]
+        g = got[got.query_id == q].sort_values("rank")
+        assert list(zip(g.distance, g.vec_id, strict=True)) == want
+
+
 def test_hamming_of_wide_codes_and_of_none(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(v) for v in rng.normal(size=100)]) for i in range(200)]
