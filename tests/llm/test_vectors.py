@@ -20,7 +20,7 @@ def rows():
 
 
 def test_tree_search(spark, rows):
-    got = ann.tree_search(ann.usable_vectors(frame(spark, rows), "vec_id", "embedding"), F.col("id") % 20 == 0, 20, block_rows=100).toPandas()
+    got = ann.tree_search(ann.usable_vectors(frame(spark, rows), "vec_id", "embedding"), F.col("id") % 20 == 0, 20, leaf_rows=150, block_rows=100).toPandas()
     good = {i: np.array(v, np.float32).astype(float) for i, v in rows if v is not None and None not in v and np.isfinite(v).all() and any(v)}
     ids = np.array(sorted(good))
     x = np.stack([good[i] for i in ids])
@@ -39,6 +39,31 @@ def test_tree_search(spark, rows):
     assert hits / (20 * len(queries)) >= 0.9
 
 
+def test_recall_and_rows_met_on_a_whole_table(spark):
+    """The table's vectors have no clusters at all, the worst case for any tree: bins must still spare most rows."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    got = ann.tree_search(ann.usable_vectors(table, "vec_id", "embedding"), F.col("id") % 20 == 0, 20).toPandas()
+    frame_ = table.toPandas().sort_values("vec_id")
+    ids, x = frame_.vec_id.to_numpy(), np.stack(frame_.embedding).astype(float)
+    hits = 0
+    for q, g in got.groupby("query_id"):
+        s = np.where(ids == q, -np.inf, x @ x[ids == q][0])
+        hits += len(set(g.vec_id) & set(ids[np.lexsort((ids, -s))[:20]]))
+    assert len(got) == 20 * (ids % 20 == 0).sum()
+    assert hits / len(got) >= 0.93
+    assert got.groupby("query_id").met.first().mean() < len(ids) / 3
+
+
+def test_lonely_leaves_do_not_shorten_answers(spark):
+    """Queries whose best leaf holds nothing but themselves."""
+    rng = np.random.default_rng(3)
+    far = [(20 * i, [float(100 * (i + 1)) if j == i else 0.0 for j in range(16)]) for i in range(12)]
+    near = [(1001 + 2 * i, [float(v) for v in rng.normal(size=16) * 0.01]) for i in range(300)]
+    odd = [(5000 + i, [1.0] * 5) for i in range(3)]
+    got = ann.tree_search(ann.usable_vectors(frame(spark, far + near + odd), "vec_id", "embedding"), F.col("id") % 20 == 0, 20, leaf_rows=8).toPandas()
+    assert (got[got.query_id < 1000].groupby("query_id").size() == 20).all() and got[got.query_id < 1000].query_id.nunique() == 12
+
+
 def test_few_and_no_vectors(spark):
     few = ann.tree_search(ann.usable_vectors(frame(spark, [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [1.0, 0.0])]), "vec_id", "embedding"), F.col("id") == 0, 20).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in few] == [(2, 1.0), (1, 0.5)]
