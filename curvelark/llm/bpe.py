@@ -28,6 +28,8 @@ CACHE_DOCS, CACHE_WORDS = 16_000, 600_000
 TASK_BYTES = 64 << 20
 #: Characters that are split at once, and numbers of words or ids that are put together at once.
 WINDOW, CHUNK = 1 << 17, 1 << 16
+#: Characters of a plan that the session keeps.
+PLAN_CHARS = 200_000
 #: Words of more characters are encoded in pieces of so many bytes, each of which begins so many bytes after the one before.
 LONG, PIECE, STRIDE = 256, 512, 384
 # Fixed value: the pattern whose matches are found by classes of characters; those of any other pattern are found by it.
@@ -205,7 +207,9 @@ def _prime(n: int) -> int:
 
 @lru_cache(maxsize=4)
 def rank_map(path: str) -> RankMap:
-    return RankMap(load_ranks(path))
+    out = RankMap(load_ranks(path))
+    release_memory()
+    return out
 
 
 def _byte_lists(words: list[bytes]) -> pa.ListArray:
@@ -538,6 +542,11 @@ def common_words(docs: DataFrame, total: int, ranks: RankMap, splitter: Splitter
     return path
 
 
+def short_plans(spark: SparkSession) -> None:
+    """Let this session tell at most PLAN_CHARS characters of a plan: it keeps what it tells, and the literal rank map takes megabytes each time."""
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
+
+
 def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern: str, max_words: int = MAX_WORDS, common_rows: int = CACHE_DOCS) -> DataFrame:
     """The columns ``keep`` of ``docs`` with n_tokens, ids (little-endian unsigned 32-bit, binary) digested as ids_sha256, and decoded_sha256.
 
@@ -553,6 +562,7 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
     """
     ranks = rank_map(ranks_path)
     small_batches(docs.sparkSession)
+    short_plans(docs.sparkSession)
     cores = docs.sparkSession.sparkContext.defaultParallelism
     # few large tasks rather than many small ones: each word is encoded once a task
     total, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()

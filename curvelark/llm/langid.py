@@ -35,7 +35,8 @@ _WINDOW = 1 << 18
 def subword_windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Buckets of all subwords of all texts, in bounded windows: (bucket, text number) of those within one word.
 
-    Bytes are lower-cased and what is no letter below 128 becomes a space; a subword holds a space at its ends only.
+    Bytes are lower-cased and what is no letter below 128 becomes a space; a subword holds a space at its ends only, and
+    bytes of one text only: of the two spaces between texts none begins a subword.
     """
     raw = np.frombuffer(b"  ".join(texts) + b"    ", np.uint8)
     ends = np.cumsum([len(t) + 2 for t in texts])
@@ -46,11 +47,13 @@ def subword_windows(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray
         owner = None
         h = x[:n].copy()
         ok = np.ones(n, bool)
+        between = ends[np.searchsorted(ends, at + 1) : np.searchsorted(ends, at + n, "right")] - 1 - at
+        ok[between] = False
         for k in range(2, max(ORDERS) + 1):
             h |= x[k - 1 : k - 1 + n] << np.uint32(8 * (k - 1))
             if k > 2:
                 ok &= ~space[k - 2 : k - 2 + n]
-            keep = ok if k > 2 else ~(space[:n] & space[1 : n + 1])
+            keep = ok if k > 2 else ok & ~(space[:n] & space[1 : n + 1])
             if k in ORDERS:
                 if owner is None:
                     owner = np.searchsorted(ends, np.arange(at, at + n), side="right")
@@ -185,13 +188,17 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
     sample = rows.where(F.col("_h") < limit).mapInArrow(reduce, "lang string, h long, ids binary, ns binary").collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], bytes(r["ids"])))
     sample = list({(r["lang"], bytes(r["ids"]), bytes(r["ns"])): r for r in sample}.values())  # copies would flatter the calibration
-    return fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["ns"], np.uint16), r["lang"]) for r in sample])
+    model = fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["ns"], np.uint16), r["lang"]) for r in sample])
+    del sample
+    release_memory()
+    return model
 
 
 def identify(docs: DataFrame, model: LanguageModel, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of ``docs`` with lang_pred, score and rejected (undetermined, or less certain than the calibrated threshold).
 
-    Every row has a result. Only the text is read; texts are whole, empty and very long ones too.
+    Every row has a result, which depends on its text alone; texts are whole, empty and very long ones too. Repeated rows and null ids are rows like others, columns of other names
+    are ignored, an empty table gives an empty one.
     """
     spark = docs.sparkSession
     small_batches(spark)

@@ -330,7 +330,10 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     told = staged(docs.mapInArrow(describe, "doc_id long, hash long, n long, print binary, key long, slice int, cells binary"), "join-base")
     base = told.where("slice IS NULL").select("doc_id", "hash", "n", "print", "key")
     counts = summed(told.where("slice IS NOT NULL").select("slice", "cells"))
-    levels = spark.sparkContext.broadcast(np.log2(1 + counts / (1 + counts.mean())).astype(np.uint8))  # CELLS bytes
+    mean = 1 + float(counts.mean())
+    levels = spark.sparkContext.broadcast(np.concatenate([np.log2(1 + part / mean).astype(np.uint8) for part in np.split(counts, _SLICES)]))  # CELLS bytes
+    del counts
+    release_memory()
     linkable = F.col("doc_id").isNotNull() & (F.col("n") > 0)
     reps = staged(base.where(linkable).groupBy("print", "n").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.min("key").alias("key")).withColumn("rep", F.monotonically_increasing_id()), "join-reps")
     low = np.uint64(int((1 << 64) * min(1.0, SAMPLED * (100 - percent) / 100)))

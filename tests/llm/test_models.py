@@ -43,6 +43,34 @@ def test_long_text_is_the_sum_of_its_windows(monkeypatch):
     assert (count() == whole).all()
 
 
+def plain_forward(model, text):
+    """The model's prediction for one text, subword by subword."""
+    low = bytes(b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalpha() else 32 for b in text.encode()) + b"  "
+    total, n = np.zeros(len(model.langs)), 0
+    for i in range(len(low)):
+        for k in langid.ORDERS:
+            piece = low[i : i + k]
+            if len(piece) == k and 32 not in piece[1:-1] and piece != b"  ":
+                h = int.from_bytes(piece, "little")
+                bucket = (h * 2654435761 + (k * 0x9E3779B1 & 0xFFFFFFFF) & 0xFFFFFFFF) * 2246822519 % (1 << 32) >> 17
+                total += model.table[bucket].astype(float)
+                n += 1
+    z = (total / max(n, 1) + model.bias) / model.temperature
+    p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+    return model.langs[int(p.argmax())], float(p.max())
+
+
+def test_predictions_are_those_of_a_plain_forward_pass(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = langid.train(docs)
+    texts = [r.text for r in docs.where("text IS NOT NULL AND length(text) < 3000").orderBy("doc_id").limit(25).collect()] + ["a", "Ä b", "x  y", "the\nend"]
+    for window in (1 << 18, 50):
+        monkeypatch.setattr(langid, "_WINDOW", window)
+        lang, score = model.predict([t.encode() for t in texts])
+        want = [plain_forward(model, t) for t in texts]
+        assert lang == [w[0] for w in want] and score.tolist() == pytest.approx([w[1] for w in want], abs=1e-6)
+
+
 def fill(sizes, weights=(1, 2, 3), most=3):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
