@@ -24,6 +24,8 @@ SAMPLED = 2.2
 FREQUENT = 4
 #: Sets of a block, about, and their bytes: a task compares the sets of two blocks at most.
 BLOCK, BLOCK_BYTES = 1024, 16 << 20
+#: Blocks beyond which a cluster is not worked in all pairs of its blocks, but by the shingles that its sets share.
+GIANT = 16
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -256,12 +258,31 @@ def join_block(sets: list[np.ndarray], percent: int, side: np.ndarray) -> Iterat
             yield int(order[x]), order[linked]
 
 
+def _band_width(percent: int) -> float:
+    """Width of a band of log sizes: sets link only within a band or with the next one."""
+    return float(1.001 * np.log(100 / percent))
+
+
+def _band_token(shingles: np.ndarray, band: int) -> np.ndarray:
+    return _mix(shingles + np.uint64((band + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+
+
+def _meeting(s: np.ndarray, t: np.ndarray, percent: int) -> int:
+    """The token by which two linked sets are told apart from all others that they share: their first common prefix shingle, in the larger band."""
+    p = s[: _prefix(len(s), percent)]
+    common = p[np.isin(p, t[: _prefix(len(t), percent)])][:1]
+    return int(_band_token(common, int(np.log(max(len(s), len(t))) / _band_width(percent))).view(np.int64)[0])
+
+
 def _verify(percent: int):
-    """Of a group's rows (cluster, rep, copies, side, set): a spanning forest of its links, and the number of linked documents of each row."""
+    """Of a group's rows (cluster, by_token, rep, copies, side, set): a spanning forest of its links, and the number of linked documents of each row.
+
+    The sets of a token (by_token, the cluster being the token) link only where that is the token they meet by, so each link is counted once.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         cluster, doc = table["cluster"].to_numpy(), table["rep"].to_numpy()
-        copies, side = table["copies"].to_numpy(), table["side"].to_numpy()
+        copies, side, by_token = table["copies"].to_numpy(), table["side"].to_numpy(), table["by_token"].to_numpy(zero_copy_only=False)
         sets = [np.frombuffer(s, np.uint64) for s in table["set"].to_pylist()]
         a, b, links = [], [], np.zeros(len(doc), np.int64)
         order = np.argsort(cluster, kind="stable")
@@ -277,6 +298,10 @@ def _verify(percent: int):
                 return i
 
             for x, near in join_block([sets[i] for i in rows], percent, side[rows]):
+                if by_token[rows[0]]:
+                    near = near[[_meeting(sets[rows[x]], sets[rows[y]], percent) == cluster[rows[0]] for y in near.tolist()]]
+                    if not len(near):
+                        continue
                 links[rows[x]] += copies[rows[near]].sum()
                 links[rows[near]] += copies[rows[x]]
                 for y in near.tolist():
@@ -299,7 +324,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     the others found, by frequency, then all else, rare cells first. A set whose prefix is full of the first kind links with
     nothing. 3. Of the rest, sets that share a prefix shingle and a size band are clustered: every linked pair is in one
     cluster. 4. Clustered sets go to their cluster's block, or, of clusters beyond BLOCK sets or BLOCK_BYTES, to the pairs of blocks
-    whose sizes can link; see :func:`join_block`. Blocks give a forest of links and counts, never pairs. 5. Components of the forest are joined
+    whose sizes can link; those of clusters beyond GIANT blocks meet by each shingle that they share instead, so work does not grow with the square of a cluster that common passages hold together; see :func:`join_block`. Blocks give a forest of links and counts, never pairs. 5. Components of the forest are joined
     to all copies.
 
     Documents without words have no shingles, link with nothing and are their own component. Rows with a null id come out with
@@ -400,7 +425,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
     sets = docs.where("doc_id IS NOT NULL").mapInArrow(full, "doc long, print binary, set binary").join(open_, ["doc", "print"]).dropDuplicates(["rep"])
     ordered = staged(sets.select("rep", "n", "copies", "set", "shared").mapInArrow(arrange, "rep long, n long, copies long, unique long, set binary"), "join-sets")
-    width = float(1.001 * np.log(100 / percent))  # sets link only within a band of sizes or with the next one
+    width = _band_width(percent)
 
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -408,7 +433,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
             for doc, n, unique, raw in zip(b["rep"].to_pylist(), b["n"].to_pylist(), b["unique"].to_pylist(), b["set"].to_pylist(), strict=True):
                 head = np.frombuffer(raw, np.uint64)[unique : _prefix(n, percent)]
                 for k in (0, 1):
-                    tokens.append(_mix(head + np.uint64((int(np.log(n) / width) + k + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)))
+                    tokens.append(_band_token(head, int(np.log(n) / width) + k))
                     docs.append(np.full(len(head), doc))
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.concatenate(docs))], ["token", "rep"])
@@ -434,12 +459,27 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     above = F.transform(numbers(blocks(1)), lambda j: task(band_, i, next_, j, F.lit(0)))
     below = F.transform(numbers(blocks(-1)), lambda j: task(last_, j, band_, i, F.lit(1)))
     small = F.array(F.struct(F.concat(F.lit("s"), F.pmod(F.xxhash64("cluster"), F.lit(n_groups))).alias("group"), F.lit(2).alias("side")))
+    whole = staged(whole, "join-sizes")
     tasks = (
-        banded.join(staged(whole, "join-sizes"), "cluster")
+        banded.join(whole.where(F.col("_all") <= GIANT), "cluster")
         .withColumn("_i", F.pmod(F.xxhash64("rep"), blocks(0)).cast("int"))
         .withColumn("_t", F.explode(F.when(F.col("_all") <= 1, small).otherwise(F.concat(same, above, below))))
-        .select("rep", "cluster", "copies", "_t.group", "_t.side")
+        .select("rep", "cluster", F.lit(False).alias("by_token"), "copies", "_t.group", "_t.side")
     )
+    giant = whole.where(F.col("_all") > GIANT).select("cluster")
+    if giant.limit(1).count():
+        # the lists of a shingle and band: alone in a task or with other short ones, or in pairs of blocks
+        within = lists.join(first.select("token"), "token").join(members.join(giant, "cluster", "left_semi").select("rep", "n", "copies"), "rep")
+        long = staged(within.groupBy("token").agg(loads(F.count("*"), F.sum("n")).cast("int").alias("_m"), F.count("*").alias("_n")), "join-long")
+        n_lists = long.agg(F.coalesce(F.ceil(F.sum("_n") / BLOCK), F.lit(0)).cast("int")).first()[0] or 1
+        i, m = F.pmod(F.xxhash64("rep"), F.col("_m")).cast("int"), F.col("_m")
+        short = F.array(F.struct(F.concat(F.lit("t"), F.pmod(F.xxhash64("token"), F.lit(n_lists))).alias("group"), F.lit(2).alias("side")))
+        cross = F.transform(numbers(m), lambda j: F.struct(F.concat_ws(":", F.lit("t"), F.col("token"), F.least(i, j), F.greatest(i, j)).alias("group"), F.when(i == j, 2).when(i < j, 0).otherwise(1).cast("int").alias("side")))
+        tasks = tasks.unionByName(
+            within.join(long.select("token", "_m"), "token")
+            .withColumn("_t", F.explode(F.when(m <= 1, short).otherwise(cross)))
+            .select("rep", F.col("token").alias("cluster"), F.lit(True).alias("by_token"), "copies", "_t.group", "_t.side")
+        )
     found = staged(tasks.join(ordered.select("rep", "set"), "rep").groupBy("group").applyInArrow(_verify(percent), "a long, b long, n long"), "join-found")
     components = staged(connected_components(found.where("b IS NOT NULL").select("a", "b")), "join-components").withColumnRenamed("node", "rep")
     least = staged(components.join(reps.select("rep", "doc"), "rep").groupBy("component").agg(F.min("doc").alias("least")), "join-least")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)"
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^]/?#]*\]|[^/:?#]+)"
 
 
 def host_of(url: Column) -> Column:
@@ -15,11 +15,11 @@ def host_of(url: Column) -> Column:
 
 
 def suffixes(host: Column) -> Column:
-    """The host and its parent domains of two labels at least; of an address of four numbers, itself alone."""
+    """The host and its parent domains of two labels at least; of an address, of four numbers or in brackets, itself alone."""
     labels = F.split(host, r"\.")
     n = F.size(labels)
     parents = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.array_join(F.slice(labels, i, n), "."))
-    return F.when(host == "", F.array().cast("array<string>")).when((n < 2) | host.rlike(r"^[0-9.]+$"), F.array(host)).otherwise(parents)
+    return F.when(host == "", F.array().cast("array<string>")).when((n < 2) | host.rlike(r"^([0-9.]+|\[.*)$"), F.array(host)).otherwise(parents)
 
 
 def validity_intervals(entries: DataFrame) -> DataFrame:
@@ -88,11 +88,11 @@ def op3_url_list_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 WITH cap AS (
-  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)', 1)) AS host,
+  SELECT page_id, lower(regexp_extract(coalesce(url, ''), '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^]/?#]*\]|[^/:?#]+)', 1)) AS host,
     (DATE '2024-01-01' + ((page_id * 7919) % 730)::INT)::DATE AS fetched_on FROM pages),
 suf AS (
   SELECT host, unnest(CASE WHEN host = '' THEN []::VARCHAR[]
-      WHEN len(string_split(host, '.')) < 2 OR regexp_matches(host, '^[0-9.]+$') THEN [host]
+      WHEN len(string_split(host, '.')) < 2 OR regexp_matches(host, '^([0-9.]+|\[.*)$') THEN [host]
       ELSE list_transform(range(1, len(string_split(host, '.'))), lambda i: array_to_string(list_slice(string_split(host, '.'), i, len(string_split(host, '.'))), '.')) END) AS pattern
   FROM (SELECT DISTINCT host FROM cap)),
 pat AS (SELECT pattern, ('0x' || substr(md5(pattern), 1, 6))::INT AS h FROM (SELECT DISTINCT pattern FROM suf)),

@@ -154,8 +154,11 @@ def revisit_plan(pages: DataFrame, salts: int = 16) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str) -> int:
     """Write a record for each page into ``*.warc.zst`` files under ``folder`` (a URI that all executors reach); the number of records.
 
-    A task writes under names of its own and moves a file to its final name when it is whole, so a task that is run again
-    replaces its files and leaves no halves. The dictionary is trained on at most DICT_ROWS pages, by hash.
+    A task writes under names of its own and moves its files to their final names when all are whole, so a task that is run again
+    replaces its files and leaves neither halves nor surplus ones. The dictionary is trained on at most DICT_ROWS pages, by hash.
+
+    Null html is an empty payload, and null urls have no header; repeated rows and null ids are records like others, columns of other names are ignored, an empty table writes
+    no file. A record is held whole, so a very long payload takes a few times its size in a task, and its archive is longer than ARCHIVE_BYTES.
     """
     small_batches(pages.sparkSession)
     sample = hash_sample(pages.where("html IS NOT NULL"), "page_id", DICT_ROWS, 0).select(F.substring("html", 1, DICT_ROW_BYTES)).collect()
@@ -168,15 +171,24 @@ def write_archives(pages: DataFrame, folder: str) -> int:
         task = TaskContext.get()
         kept = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         press = zstandard.ZstdCompressor(level=3, dict_data=kept, write_checksum=True) if kept else zstandard.ZstdCompressor(level=3, write_checksum=True)
-        out, tmp, size, part, n = None, "", 0, 0, 0
+        out, tmp, size, part, n, whole = None, "", 0, 0, 0, []
 
         def close() -> None:
             nonlocal out, part
             if out is not None:
                 out.close()
-                store.move(tmp, f"{base}/part-{task.partitionId():06d}-{part:04d}.warc.zst")
+                whole.append(tmp)
                 out, part = None, part + 1
 
+        def settle() -> None:
+            """Give the files their names, in place of those of an earlier attempt, which may have cut its rows into more."""
+            own = f"part-{task.partitionId():06d}-"
+            for i, at in enumerate(whole):
+                store.move(at, f"{base}/{own}{i:04d}.warc.zst")
+            for f in store.get_file_info(pafs.FileSelector(base)) if task.attemptNumber() else []:
+                if f.base_name.startswith(own) and int(f.base_name[len(own) :].split(".")[0]) >= len(whole):
+                    store.delete_file(f.path)
+
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if out is None:
@@ -190,6 +202,7 @@ def write_archives(pages: DataFrame, folder: str) -> int:
                 if size >= ARCHIVE_BYTES:
                     close()
         close()
+        settle()
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
     store, base = pafs.FileSystem.from_uri(folder)

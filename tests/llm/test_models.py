@@ -232,3 +232,17 @@ def test_pipeline(spark):
     assert "abcdef0123456789XYZ" not in kept["secrets"][104] and kept["secrets"][5] == rows[5][1]
     last = corpus_pipeline.STAGES[-1][1](spark, docs, "").toPandas()
     assert len(last) == docs.count() and last.n_tokens.sum() > 1000
+
+
+def test_pipeline_of_nothing_and_of_repeats(spark):
+    text = "the and of with this that from there would could should other which their about these many then them " * 4
+    odd = text + " ".join(f"z{k}" for k in range(300))
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "r", 1), (1, odd, "en", "s", 2), (3, odd + " end", "en", "s", 2), (None, text, "en", "s", 1), (None, text, "en", "s", 1), (5, "", "en", "s", 0), (5, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted((r.doc_id or 0, len(r.text), r.source) for r in got) == sorted([(1, len(text), "r"), (1, len(odd), "s"), (0, len(text), "s"), (0, len(text), "s"), (5, 0, "s")])
+    for some in (docs, docs.where("false")):
+        now = some
+        for name, stage in corpus_pipeline.STAGES:
+            now = staged(stage(spark, now, ""), name)
+        assert (now.count() > 0) == (some is docs) and "ids_sha256" in now.columns

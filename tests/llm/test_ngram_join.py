@@ -46,8 +46,10 @@ def test_against_all_pairs(spark, n, percent):
     assert found(spark, rows, n, percent) == brute(rows, n, percent)
 
 
-def test_blocks_of_large_clusters(spark, monkeypatch):
+@pytest.mark.parametrize("giant", [16, 2])
+def test_blocks_of_large_clusters(spark, monkeypatch, giant):
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "GIANT", giant)
     rng = np.random.default_rng(9)
     base = words_text(rng, 200).split(" ")
     rows = []

@@ -31,7 +31,7 @@ def test_shards(spark):
 
 def test_url_lists(spark):
     rng = np.random.default_rng(2)
-    hosts = ["a.x.com", "b.x.com", "x.com", "y.org", "w.v.y.org", "10.0.0.1", "localhost"]
+    hosts = ["a.x.com", "b.x.com", "x.com", "y.org", "w.v.y.org", "10.0.0.1", "[2001:db8::1.2]"]
     day = lambda n: date(2024, 1, 1) + timedelta(days=int(n))
     entries = [(hosts[int(rng.integers(0, 7))], ["add", "remove"][int(rng.integers(0, 2))], day(rng.integers(0, 60))) for _ in range(60)]
     caps = [(i, f"https://u@{hosts[int(rng.integers(0, 7))].upper()}:8/p?q", day(rng.integers(0, 70))) for i in range(300)] + [(900, None, day(3)), (901, "https://x.com/", None), (902, "no url", day(3)), (903, "", day(9)), (1, caps_url := "http://x.com", day(30)), (1, caps_url, day(30))]
@@ -45,9 +45,10 @@ def test_url_lists(spark):
 
     want = []
     for i, url, when in caps:
-        host = "" if not url or "://" not in url else url.split("://")[1].split("/")[0].split("@")[-1].split(":")[0].lower()
+        host = "" if not url or "://" not in url else url.split("://")[1].split("/")[0].split("@")[-1].lower()
+        host = host.split("]")[0] + "]" if host[:1] == "[" else host.split(":")[0]
         labels = host.split(".")
-        asked = [] if not host else [host] if len(labels) < 2 or host[0].isdigit() else [".".join(labels[k:]) for k in range(len(labels) - 1)]
+        asked = [] if not host else [host] if len(labels) < 2 or host[0].isdigit() or host[0] == "[" else [".".join(labels[k:]) for k in range(len(labels) - 1)]
         hit = [p for p in asked if when is not None and state(p, when)]
         want.append((i, host, bool(hit), len(hit), max(hit, key=lambda p: (len(p), p)) if hit else None))
     assert got == sorted(want)
