@@ -14,7 +14,7 @@ from curvelark.llm.langid import identify, train
 from curvelark.llm.mixing import mixed_documents
 from curvelark.llm.ngram_join import jaccard_components
 from curvelark.llm.secrets import scan_documents
-from curvelark.operators.staging import staged
+from curvelark.operators.staging import lasting, staged, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -70,5 +70,8 @@ STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secret
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with temporary(spark):  # what a stage stores is of no use once its result is written
+            now = stage(spark, docs, sf_dir)
+            with lasting():
+                docs = staged(now, f"pipeline-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)

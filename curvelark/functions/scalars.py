@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 # Words that mark a version of a title.
 VERSION_WORDS = "album live remaster remastered version mix remix take edit recording instrumental karaoke demo mono stereo lp".split()
 _ANY = "|".join(VERSION_WORDS)
-#: What is taken from a title, in turn: brackets that hold a version word; all from the first such word on; a trailing copy number.
+# What is taken from a title, in turn: brackets that hold a version word; all from the first such word on; a trailing copy number.
 TITLE_CUTS = [rf"[(\[][^)\]]*\b({_ANY})\b[^)\]]*[)\]]", rf"\b({_ANY})\b[^\n]*$", r"[_-]\s*(take\s*)?[0-9]+$"]
-_PYTHON_CUTS = [re.compile(p, re.IGNORECASE) for p in TITLE_CUTS]
+_PYTHON_CUTS = [re.compile(p.replace("[0-9]", r"\d"), re.IGNORECASE) for p in TITLE_CUTS]  # digits of every script
 
 
 def title_of(name: str) -> str:

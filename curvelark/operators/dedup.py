@@ -30,15 +30,15 @@ def duplicate_labels(files: DataFrame, identifiers: tuple[str, ...] = IDENTIFIER
 
 
 def duplicate_groups(labelled: DataFrame) -> DataFrame:
-    """A row for each group: group (named after all its paths), label, genres, cross_genre, versions, titles, files."""
+    """A row for each group: group (named after all its paths), label, genres, cross_genre, versions, titles, files.
+
+    The name is by definition a digest of all paths in order, so one task sees a group's paths, once.
+    """
     return (
         labelled.groupBy("label")
-        .agg(
-            group_id(F.collect_list("path")).alias("group"), F.array_sort(F.collect_set("genre")).alias("genres"), F.count("*").alias("versions"),
-            F.array_sort(F.collect_set("canonical_title")).alias("titles"), F.array_sort(F.collect_list("path")).alias("files"),
-        )
-        .withColumn("cross_genre", (F.size("genres") > 1).cast("int"))
-    )
+        .agg(F.array_sort(F.collect_set("genre")).alias("genres"), F.count("*").alias("versions"), F.array_sort(F.collect_set("canonical_title")).alias("titles"), F.array_sort(F.collect_list("path")).alias("files"))
+        .withColumns({"group": group_id(F.col("files")), "cross_genre": (F.size("genres") > 1).cast("int")})
+    )
 
 
 def identifier_audit(files: DataFrame, identifiers: tuple[str, ...] = IDENTIFIERS) -> DataFrame:

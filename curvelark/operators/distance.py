@@ -166,22 +166,33 @@ def symmetric(pairs: DataFrame, value: str) -> DataFrame:
     return pairs.select(F.explode(ends).alias("_e"), F.col(value).alias("dist")).select("_e.i", "_e.j", "dist")
 
 
-def validate_distances(matrix: DataFrame, value: str = "dist") -> None:
-    """Raise unless a full matrix (i, j, value) is square, symmetric with a zero diagonal, finite and not negative, and 95 % of its pairs differ."""
+def full_matrix(pairs: DataFrame, value: str) -> DataFrame:
+    """Both directions of each pair and zeros for each item with itself: (i, j, dist)."""
+    both = symmetric(pairs, value)
+    return both.unionByName(both.select("i").distinct().select("i", F.col("i").alias("j"), F.lit(0.0).alias("dist")))
+
+
+def distance_checks(matrix: DataFrame, value: str = "dist") -> DataFrame:
+    """One row about a matrix (i, j, value): cells, items, the largest value of the diagonal, cells without their like across it, cells that are no distance, and the share of pairs that differ."""
     d = F.col(value)
     m = matrix.select("i", "j", d.alias("d"))
     both = m.join(m.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("d").alias("r")), ["i", "j"], "left")
-    got = both.agg(
-        F.count("*").alias("cells"), F.count_distinct("i").alias("n"), F.coalesce(F.max(F.when(F.col("i") == F.col("j"), F.abs("d"))), F.lit(0.0)).alias("diagonal"),
-        F.max(F.when(F.col("r").isNull() | (F.abs(F.col("d") - F.col("r")) > 1e-12), 1).otherwise(0)).alias("skew"),
-        F.max(F.when(F.col("d").isNull() | F.isnan("d") | (F.abs("d") == float("inf")) | (F.col("d") < 0), 1).otherwise(0)).alias("bad"),
+    return both.agg(
+        F.count("*").alias("cells"), F.count_distinct("i").alias("items"), F.coalesce(F.max(F.when(F.col("i") == F.col("j"), F.abs("d"))), F.lit(0.0)).alias("diagonal"),
+        F.count_if(F.col("r").isNull() | (F.abs(F.col("d") - F.col("r")) > 1e-12)).alias("skew"),
+        F.count_if(F.col("d").isNull() | F.isnan("d") | (F.abs("d") == float("inf")) | (F.col("d") < 0)).alias("bad"),
         F.avg(F.when(F.col("i") != F.col("j"), (F.col("d") > 1e-12).cast("int"))).alias("distinct"),
-    ).first()
+    )
+
+
+def validate_distances(matrix: DataFrame, value: str = "dist") -> None:
+    """Raise unless a full matrix (i, j, value) is square, symmetric with a zero diagonal, finite and not negative, and 95 % of its pairs differ."""
+    got = distance_checks(matrix, value).first()
     for wrong, said in (
-        (got["cells"] != got["n"] ** 2, "the distance matrix is not square"),
-        (got["bad"] == 1, "the distance matrix holds values that are negative or not finite"),
+        (got["cells"] != got["items"] ** 2, "the distance matrix is not square"),
+        (got["bad"], "the distance matrix holds values that are negative or not finite"),
         (got["diagonal"] > 1e-12, "the diagonal of the distance matrix is not zero"),
-        (got["skew"] == 1, "the distance matrix is not symmetric"),
+        (got["skew"], "the distance matrix is not symmetric"),
         (got["distinct"] is not None and got["distinct"] < 0.95, "too many pairs of the distance matrix have no distance"),
     ):
         if wrong:

@@ -14,10 +14,16 @@ PRIMARY_SEED = 42
 
 
 def grouped_folds(items: DataFrame, folds: int, seed: Column, by: tuple[str, ...] = ()) -> DataFrame:
-    """(id, grp, label) -> with ``fold``: groups of each label are dealt out in the order of a hash with the seed; a group is in one fold."""
-    groups = items.select(*by, "label", "grp").distinct() if not by else items.select(*by, "label", "grp").distinct()
-    order = W.partitionBy(*by, "label").orderBy(F.md5(F.concat_ws("|", seed.cast("string"), F.col("grp").cast("string"))), "grp")
-    dealt = groups.withColumn("fold", ((F.row_number().over(order) - 1) % folds).cast("int"))
+    """(id, grp, label) -> with ``fold``: groups of each label are dealt out in the order of a hash with the seed; a group is in one fold.
+
+    Places in that order are counted in ranges of the hash and offset by the ranges before, so no task orders a whole class.
+    """
+    groups = items.select(*by, "label", "grp").distinct().withColumn("_h", F.md5(F.concat_ws("|", seed.cast("string"), F.col("grp").cast("string")))).withColumn("_b", F.substring("_h", 1, 2))
+    own = (*by, "label")
+    sizes = groups.groupBy(*own, "_b").agg(F.count("*").alias("_n"))  # 256 rows a class at most
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*own).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    place = F.row_number().over(W.partitionBy(*own, "_b").orderBy("_h", "grp")) - 1
+    dealt = groups.withColumn("_place", place).join(before, [*own, "_b"]).withColumn("fold", ((F.col("_place") + F.col("_before")) % folds).cast("int"))
     one = dealt.groupBy(*by, "grp").agg(F.min("fold").alias("fold"))  # a group with several labels follows its first
     return items.join(one, [*by, "grp"])
 
@@ -53,9 +59,14 @@ def votes(neighbours: DataFrame, keys: tuple[str, ...], candidates: tuple[int, .
     return each.withColumn("prob", F.col("_w") / F.sum("_w").over(W.partitionBy(*keys, "test", "k"))).drop("_w")
 
 
-def predictions(voted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
-    """(keys, test, k, pred, prob): most votes, then the nearer voters, then the smaller class."""
-    best = W.partitionBy(*keys, "test", "k").orderBy(F.desc("n"), F.desc("closeness"), "label")
+def class_place(column: str, classes: tuple[str, ...] | None) -> Column:
+    """What orders classes that are otherwise equal: their place in ``classes``, if given, or their names."""
+    return F.array_position(F.array(*map(F.lit, classes)), F.col(column)) if classes else F.col(column)
+
+
+def predictions(voted: DataFrame, keys: tuple[str, ...], classes: tuple[str, ...] | None = None) -> DataFrame:
+    """(keys, test, k, pred, prob): most votes, then the nearer voters, then the class that comes first (in ``classes``, or by name)."""
+    best = W.partitionBy(*keys, "test", "k").orderBy(F.desc("n"), F.desc("closeness"), class_place("label", classes))
     return voted.withColumn("_r", F.row_number().over(best)).where("_r = 1").select(*keys, "test", "k", F.col("label").alias("pred"), "prob")
 
 
@@ -104,50 +115,86 @@ def inner_scores(dist: DataFrame, items: DataFrame, outer: DataFrame, seeds: tup
     return metrics(said, (*keys, "k")).select(*keys, "k", "balanced_accuracy")
 
 
-def choose(scores: DataFrame, parameters: tuple[str, ...] = ("k",)) -> DataFrame:
-    """(outer, parameters, score): the best mean over seeds and inner folds, ties to the smaller parameters."""
-    mean = scores.groupBy("outer", *parameters).agg(F.round(F.avg("balanced_accuracy"), 12).alias("score"))
-    best = W.partitionBy("outer").orderBy(F.desc("score"), *parameters)
+def choose(scores: DataFrame, parameters: tuple[str, ...] = ("k",), apart: tuple[str, ...] = ()) -> DataFrame:
+    """(outer, apart, parameters, score): the best mean over seeds and inner folds, ties to the smaller parameters; one choice for each value of ``apart``."""
+    mean = scores.groupBy("outer", *apart, *parameters).agg(F.round(F.avg("balanced_accuracy"), 12).alias("score"))
+    best = W.partitionBy("outer", *apart).orderBy(F.desc("score"), *parameters)
     return mean.withColumn("_r", F.row_number().over(best)).where("_r = 1").drop("_r")
 
 
-def tuned_evaluation(dist: DataFrame, items: DataFrame, seed: int = PRIMARY_SEED, folds: int = 5, grid: tuple[str, ...] = (), **kw) -> tuple[DataFrame, DataFrame]:
-    """Nested evaluation of a distance, or of a grid of them: (out-of-fold predictions (id, label, fold, parameters, pred, prob), chosen parameters by outer fold)."""
+def tuned_evaluation(dist: DataFrame, items: DataFrame, seed: int = PRIMARY_SEED, folds: int = 5, grid: tuple[str, ...] = (), apart: tuple[str, ...] = (), **kw) -> tuple[DataFrame, DataFrame]:
+    """Nested evaluation of a distance, or of a grid of them: (out-of-fold predictions (id, label, fold, apart, parameters, pred, prob), chosen parameters by outer fold).
+
+    ``grid`` and ``apart`` are parameter columns of ``dist``: those of ``grid`` are chosen together with k, those of ``apart`` have an evaluation of their own for each value.
+    """
+    cells = (*apart, *grid)
     outer = grouped_folds(items, folds, F.lit(seed)).select("id", "fold")
-    picked = choose(inner_scores(dist, items, outer, grid=grid, **kw), (*grid, "k"))
+    picked = choose(inner_scores(dist, items, outer, grid=cells, **kw), (*grid, "k"), apart)
     test = outer.select(F.col("fold").alias("outer"), F.col("id").alias("i"))
     train = outer.join(items.select("id", "label"), "id").withColumn("outer", F.explode(F.array(*map(F.lit, range(folds))))).where("fold <> outer").select("outer", F.col("id").alias("j"), "label")
-    near = W.partitionBy(*grid, "outer", "i").orderBy("dist", "j")
-    chosen = dist.join(test, "i").join(picked.select("outer", *grid).distinct(), ["outer", *grid]) if grid else dist.join(test, "i")
-    keys = (*grid, "outer")
+    chosen = dist.join(test, "i").join(picked.select("outer", *cells).distinct(), ["outer", *cells]) if cells else dist.join(test, "i")
+    keys = (*cells, "outer")
+    near = W.partitionBy(*keys, "i").orderBy("dist", "j")
     ranked = chosen.join(train, ["outer", "j"]).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= max(K_CANDIDATES)).select(*keys, F.col("i").alias("test"), "rank", "label")
-    said = predictions(votes(ranked, keys), keys).join(picked.select("outer", *grid, "k"), ["outer", *grid, "k"])
-    out = said.join(items.select(F.col("id").alias("test"), "label"), "test").select(F.col("test").alias("id"), "label", F.col("outer").alias("fold"), *grid, "k", "pred", "prob")
+    said = predictions(votes(ranked, keys), keys).join(picked.select("outer", *cells, "k"), ["outer", *cells, "k"])
+    out = said.join(items.select(F.col("id").alias("test"), "label"), "test").select(F.col("test").alias("id"), "label", F.col("outer").alias("fold"), *cells, "k", "pred", "prob")
     return out, picked
 
 
+def sensitivity(dist: DataFrame, items: DataFrame, base_points: int = 96, base_weight: float = 0.25, **kw) -> DataFrame:
+    """(parameter, value, fold_mean, fold_std): the accuracy over outer folds of each cell of a grid (points, weight, i, j, dist) that has the base weight, or the base points.
+
+    Each cell is evaluated apart, with its own k; all in one job.
+    """
+    cells = dist.where((F.col("weight") == base_weight) | (F.col("points") == base_points))
+    results, _ = tuned_evaluation(cells, items, apart=("points", "weight"), **kw)
+    by_fold = metrics(results, ("points", "weight", "fold"))
+    rows = by_fold.groupBy("points", "weight").agg(F.avg("accuracy").alias("fold_mean"), F.stddev_samp("accuracy").alias("fold_std"))
+    said = F.array(
+        F.when(F.col("weight") == base_weight, F.struct(F.lit("resample_points").alias("parameter"), F.col("points").cast("double").alias("value"))),
+        F.when(F.col("points") == base_points, F.struct(F.lit("velocity_weight").alias("parameter"), F.col("weight").alias("value"))),
+    )
+    return rows.withColumn("_s", F.explode(F.filter(said, lambda x: x.isNotNull()))).select("_s.*", "fold_mean", "fold_std")
+
+
 def fold_rows(results: DataFrame) -> DataFrame:
     """Metrics of each outer fold with its size and chosen k."""
     sizes = results.groupBy("fold").agg(F.count("*").alias("n_test"), F.first("k").alias("k"))
     return metrics(results, ("fold",)).join(sizes, "fold")
 
 
-def summarize(method: str, results: DataFrame) -> DataFrame:
-    """Metrics over all pieces, mean and sample deviation of fold accuracies, and the k chosen most often (ties: by the first fold)."""
+def summarize(method: str, results: DataFrame, iterations: int = 0) -> DataFrame:
+    """Metrics over all pieces, mean and sample deviation of fold accuracies, and the k chosen most often (ties: by the first fold).
+
+    With ``iterations``, the bootstrap interval of each metric too, as <metric>_low and <metric>_high.
+    """
     rows = fold_rows(results)
     mode = rows.groupBy("k").agg(F.count("*").alias("_n"), F.min("fold").alias("_f")).orderBy(F.desc("_n"), "_f").limit(1).select(F.col("k").alias("mode_k"))
     folds = rows.agg(F.avg("accuracy").alias("fold_mean"), F.stddev_samp("accuracy").alias("fold_std"))
-    return metrics(results).join(folds).join(mode).withColumn("method", F.lit(method))
+    out = metrics(results).join(folds).join(mode).withColumn("method", F.lit(method))
+    if not iterations:
+        return out
+    from .inference import bootstrap_intervals
+
+    ends = bootstrap_intervals(results.sparkSession, results, iterations)
+    only = lambda m, end: F.max(F.when(F.col("metric") == m, F.col(end))).alias(f"{m}_{end}")
+    return out.join(ends.agg(*(only(m, end) for m in ("accuracy", "balanced_accuracy", "macro_f1") for end in ("low", "high"))))
 
 
 def disagreements(named: dict[str, DataFrame]) -> DataFrame:
-    """(id, label, a prediction and its probability for each method, disagree, any_error), disagreements first."""
+    """(id, label, a prediction and its probability for each method, disagree, any_error): disagreements first, then by label and, whatever the case of its letters, by id."""
     out = None
     for name, r in named.items():
         one = r.select("id", "label", F.col("pred").alias(name), F.col("prob").alias(f"{name}_prob"))
         out = one if out is None else out.join(one.drop("label"), "id")
     preds = F.array(*(F.col(n) for n in named))
-    return out.withColumns({"disagree": (F.size(F.array_distinct(preds)) > 1).cast("int"), "any_error": F.exists(preds, lambda p: p != F.col("label")).cast("int")}).where("disagree = 1 OR any_error = 1")
+    return out.withColumns({"disagree": (F.size(F.array_distinct(preds)) > 1).cast("int"), "any_error": F.exists(preds, lambda p: p != F.col("label")).cast("int")}).where("disagree = 1 OR any_error = 1").orderBy(F.desc("disagree"), "label", F.lower(F.col("id").cast("string")), "id")
+
+
+def leading(rows: DataFrame, n: int, *order) -> DataFrame:
+    """The first ``n`` rows in an order, with their place as ``rank``: the top of a table. One task orders ``n`` rows of each part of the table."""
+    top = rows.orderBy(*order).limit(n)
+    return top.withColumn("rank", F.row_number().over(W.orderBy(*order)))
 
 
 def complementarity(a: DataFrame, b: DataFrame, fused: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -20,30 +21,48 @@ def labelled_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
     return pairs.join(a, "i").join(b, "j").withColumn("same", (F.col("label_i") == F.col("label_j")).cast("int"))
 
 
-def pair_auc(pairs: DataFrame) -> DataFrame:
-    """(auc): how likely a pair within a class is nearer than one between classes, ties half.
+def ranked_values(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Distinct distances with their numbers of pairs within (w) and between (b) classes and of such pairs below (w_below, b_below), and one row with all_w and all_b.
 
-    Pairs are counted by distance first, and distances are ranked in buckets of their own order, so no task
-    sorts all pairs: a range-partitioned running sum with the buckets' totals.
+    Pairs are counted by distance first, and distances are ranked in ranges of their own order, offset by the ranges before: no task
+    sorts all pairs.
     """
-    by_value = pairs.groupBy("dist").agg(F.sum("same").alias("w"), F.sum(1 - F.col("same")).alias("b"))
-    dealt = by_value.repartitionByRange("dist").withColumn("_part", F.spark_partition_id())
     from .staging import staged
 
-    dealt = staged(dealt, "auc")
-    totals = dealt.groupBy("_part").agg(F.sum("b").alias("_b"))
-    ahead = totals.select("_part", F.coalesce(F.sum("_b").over(W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    above = F.coalesce(F.sum("b").over(W.partitionBy("_part").orderBy(F.desc("dist")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    scored = dealt.withColumn("_above", above).join(F.broadcast(ahead), "_part")
-    return scored.agg((F.sum(F.col("w") * (F.col("_ahead") + F.col("_above") + F.col("b") / 2)) / (F.sum("w") * F.sum("b"))).alias("auc"))
+    by_value = pairs.groupBy("dist").agg(F.sum("same").alias("w"), F.sum(1 - F.col("same")).alias("b"))
+    dealt = staged(by_value.repartitionByRange("dist").withColumn("_part", F.spark_partition_id()), "ranks")
+    totals = dealt.groupBy("_part").agg(F.sum("w").alias("_w"), F.sum("b").alias("_b"))  # a row for each range
+    earlier = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    ahead = totals.select("_part", *(F.coalesce(F.sum(f"_{c}").over(earlier), F.lit(0)).alias(f"_before_{c}") for c in "wb"))
+    below = W.partitionBy("_part").orderBy("dist").rowsBetween(W.unboundedPreceding, 0)
+    here = dealt.select("*", *((F.sum(c).over(below) - F.col(c)).alias(f"_here_{c}") for c in "wb"))
+    ranked = here.join(F.broadcast(ahead), "_part").select("dist", "w", "b", *((F.col(f"_before_{c}") + F.col(f"_here_{c}")).alias(f"{c}_below") for c in "wb"))
+    return ranked, dealt.agg(F.sum("w").alias("all_w"), F.sum("b").alias("all_b"))
+
+
+def quantiles(ranked: DataFrame, totals: DataFrame, asked: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row with the linear quantiles ``asked`` (name to kind, w or b, and share) of :func:`ranked_values`."""
+    rows, out = ranked.join(F.broadcast(totals)), []
+    for name, (c, share) in asked.items():
+        at = share * (F.col(f"all_{c}") - 1)
+        value = lambda k, c=c: F.max(F.when((F.col(f"{c}_below") <= k) & (k < F.col(f"{c}_below") + F.col(c)), F.col("dist")))
+        low, high = value(F.floor(at)), value(F.ceil(at))
+        out.append((low + F.max(at - F.floor(at)) * (high - low)).alias(name))
+    return rows.agg(*out)
+
+
+def pair_auc(pairs: DataFrame) -> DataFrame:
+    """(auc): how likely a pair within a class is nearer than one between classes, ties half."""
+    ranked, totals = ranked_values(pairs)
+    above = F.col("all_b") - F.col("b_below") - F.col("b")
+    return ranked.join(F.broadcast(totals)).agg((F.sum(F.col("w") * (above + F.col("b") / 2)) / (F.sum("w") * F.sum("b"))).alias("auc"))
 
 
 def distance_statistics(pairs: DataFrame) -> DataFrame:
     """Mean and median within and between classes, and the gap of the means."""
     within, between = F.when(F.col("same") == 1, F.col("dist")), F.when(F.col("same") == 0, F.col("dist"))
-    return pairs.agg(
-        F.avg(within).alias("within_mean"), F.avg(between).alias("between_mean"), F.percentile(within, 0.5).alias("within_median"), F.percentile(between, 0.5).alias("between_median"), (F.avg(between) - F.avg(within)).alias("gap")
-    )
+    means = pairs.agg(F.avg(within).alias("within_mean"), F.avg(between).alias("between_mean"), (F.avg(between) - F.avg(within)).alias("gap"))
+    return means.join(quantiles(*ranked_values(pairs), {"within_median": ("w", 0.5), "between_median": ("b", 0.5)}))
 
 
 def label_mean_matrix(pairs: DataFrame) -> DataFrame:
@@ -54,46 +73,64 @@ def label_mean_matrix(pairs: DataFrame) -> DataFrame:
 
 def distance_histogram(pairs: DataFrame, bins: int = 54) -> DataFrame:
     """(bin, within, between): densities over even bins from 0 to the 0.995 quantile of distances between classes; beyond it nothing counts."""
-    top = pairs.where("same = 0").agg(F.percentile("dist", 0.995).alias("top"))  # one row
+    top = quantiles(*ranked_values(pairs), {"top": ("b", 0.995)})  # one row
     inside = pairs.join(F.broadcast(top)).where("dist <= top AND dist >= 0").withColumn("bin", F.least(F.floor(F.col("dist") / (F.col("top") / bins)), F.lit(bins - 1)).cast("int"))
     n = inside.agg(F.sum("same").alias("_w"), F.sum(1 - F.col("same")).alias("_b"), F.first("top").alias("_top"))
     return inside.groupBy("bin").agg(F.sum("same").alias("w"), F.sum(1 - F.col("same")).alias("b")).join(F.broadcast(n)).select("bin", (F.col("w") / F.col("_w") / (F.col("_top") / bins)).alias("within"), (F.col("b") / F.col("_b") / (F.col("_top") / bins)).alias("between"))
 
 
-def permutation_test(spark: SparkSession, pairs: DataFrame, items: DataFrame, iterations: int = 9999, seed: int = 2026) -> DataFrame:
+def permutation_test(spark: SparkSession, pairs: DataFrame, items: DataFrame, iterations: int = 9999, seed: int = 2026, block: int = 256, batch: int = 500) -> DataFrame:
     """(observed, p, iterations): is the gap larger than with labels dealt anew to groups? One-sided, with one added above and below.
 
-    Labels are permuted by group: raises if a group has several. Iterations are spread over tasks, each with a generator of its own seed and number, so
-    the result does not depend on the partitioning. The pair vector (of the sampled pieces, some hundreds) is broadcast, after a check of its size.
+    Labels are permuted by group: raises if a group has several. Each iteration has a generator of its own seed and number, so
+    the result does not depend on the partitioning. Pairs are dealt to pairs of blocks of items; each of those adds up, for all iterations, the distances and the number of pairs within a
+    class, as products of its part of the distance matrix with the labels, and the parts are summed. Only labels of items are broadcast, a number for each: as the root of the pairs.
     """
     if items.groupBy("grp").agg(F.count_distinct("label").alias("n")).where("n > 1").limit(1).count():
         raise ValueError("a group has several labels")
-    n = items.count()
-    if n > 6000:
-        raise ValueError("the permutation test holds all pairs in memory: sample 6000 items at most")
     names = items.select("id", "grp", "label").orderBy("id").toPandas()
-    at = {v: k for k, v in enumerate(names["id"])}
-    frame = pairs.select("i", "j", "dist").toPandas()
-    shared = spark.sparkContext.broadcast((frame["i"].map(at).to_numpy(), frame["j"].map(at).to_numpy(), frame["dist"].to_numpy()))
+    ids = names["id"].to_numpy()
     groups, of_item = np.unique(names["grp"].to_numpy(), return_inverse=True)
-    label = np.unique(names["label"].to_numpy(), return_inverse=True)[1]
+    classes, label = np.unique(names["label"].to_numpy(), return_inverse=True)
     of_group = np.zeros(len(groups), np.int64)
     of_group[of_item] = label
+    shared = spark.sparkContext.broadcast((ids, of_item.astype(np.int32), of_group.astype(np.int16)))
+    n_classes, batch = len(classes), max(1, min(batch, 20_000_000 // max(1, len(groups))))
 
-    def gap(labels: np.ndarray) -> float:
-        i, j, d = shared.value
-        same = labels[i] == labels[j]
-        return float(d[~same].mean() - d[same].mean())
-
-    observed = gap(label)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hits = [gap(np.random.default_rng([seed, int(k)]).permutation(of_group)[of_item]) >= observed for k in b["id"]]
-            yield pd.DataFrame({"hit": np.array(hits, np.int32)})
+            i, j = (np.searchsorted(shared.value[0], b[c].to_numpy()) for c in "ij")
+            lo, hi = np.minimum(i, j), np.maximum(i, j)
+            yield pa.RecordBatch.from_arrays([pa.array(lo // block), pa.array(hi // block), pa.array(lo % block), pa.array(hi % block), b["dist"]], ["bi", "bj", "i", "j", "dist"])
+
+    def add(table: pa.Table) -> pa.Table:
+        _, item, group = shared.value
+        bi, bj = table["bi"][0].as_py(), table["bj"][0].as_py()
+        d, there = np.zeros((block, block)), np.zeros((block, block))
+        np.add.at(d, (table["i"].to_numpy(), table["j"].to_numpy()), table["dist"].to_numpy())
+        np.add.at(there, (table["i"].to_numpy(), table["j"].to_numpy()), 1.0)
+        left, right = item[bi * block : (bi + 1) * block], item[bj * block : (bj + 1) * block]
+        d, there = d[: len(left), : len(right)], there[: len(left), : len(right)]
+        sums, counts = np.zeros(iterations + 1), np.zeros(iterations + 1)
+        for first in range(0, iterations + 1, batch):
+            own = range(first, min(first + batch, iterations + 1))
+            dealt = np.stack([group if k == 0 else np.random.default_rng([seed, k - 1]).permutation(group) for k in own], axis=1)
+            a, b = dealt[left], dealt[right]
+            for c in range(n_classes):
+                mine, other = a == c, (b == c).astype(np.float64)
+                sums[own.start : own.stop] += np.where(mine, d @ other, 0).sum(axis=0)
+                counts[own.start : own.stop] += np.where(mine, there @ other, 0).sum(axis=0)
+        return pa.table({"iteration": np.arange(iterations + 1), "s": sums, "n": counts, "all_s": np.full(iterations + 1, d.sum()), "all_n": np.full(iterations + 1, there.sum())})
+
+    parts = pairs.select("i", "j", F.col("dist").cast("double").alias("dist")).mapInArrow(place, "bi long, bj long, i long, j long, dist double")
+    summed = parts.groupBy("bi", "bj").applyInArrow(add, "iteration long, s double, n double, all_s double, all_n double").groupBy("iteration").agg(*(F.sum(c).alias(c) for c in ("s", "n", "all_s", "all_n")))
+    gaps = summed.select("iteration", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) - F.col("s") / F.col("n")).alias("gap"))
+    from .staging import staged
 
-    hits = spark.range(iterations).repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInPandas(run, "hit int")
-    return hits.agg(F.lit(observed).alias("observed"), ((1 + F.coalesce(F.sum("hit"), F.lit(0))) / (iterations + 1.0)).alias("p"), F.lit(iterations).alias("iterations"))
+    gaps = staged(gaps, "gaps")
+    observed = gaps.where("iteration = 0").select(F.col("gap").alias("observed"))  # one row
+    hits = gaps.where("iteration > 0").join(F.broadcast(observed)).agg(F.sum((F.col("gap") >= F.col("observed") - 1e-12 * F.abs("observed")).cast("int")).alias("hits"))
+    return observed.join(hits).select("observed", ((1 + F.coalesce("hits", F.lit(0))) / (iterations + 1.0)).alias("p"), F.lit(iterations).alias("iterations"))
 
 
 def bootstrap_intervals(spark: SparkSession, results: DataFrame, iterations: int = 2000, seed: int = 2026) -> DataFrame:

@@ -53,6 +53,11 @@ def resample(melody: DataFrame, points: int) -> DataFrame:
     return seg.select("piece_id", "k", "t", (F.col("pitch") + share * (F.col("_q") - F.col("pitch"))).alias("pitch"), (F.col("velocity") + share * (F.col("_v") - F.col("velocity"))).alias("velocity"))
 
 
+def resample_selected(melody: DataFrame, sample: DataFrame, points: int) -> DataFrame:
+    """The curves, of any number of points, of the pieces that a sample (piece_id) holds: the same pieces again, read anew."""
+    return resample(melody.join(sample.select("piece_id").distinct(), "piece_id", "left_semi"), points)
+
+
 def minmax_curve(curve: DataFrame) -> DataFrame:
     """Each coordinate of each piece scaled to 0..1; without extent it is 0.5."""
 

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the session has none (tests, local runs) is a local temporary folder set.
+    Where the session has none: on one machine (tests, local runs) a temporary folder, removed at the end; on a cluster the warehouse, which is shared.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found:
         return found.rstrip("/")
-    given = spark.sparkContext.getCheckpointDir()
-    if given:
-        return given.rstrip("/")
-    own = "file://" + tempfile.mkdtemp(prefix="curvelark-")
+    if spark.sparkContext.master.split("[")[0] == "local":
+        folder = tempfile.mkdtemp(prefix="curvelark-")
+        atexit.register(shutil.rmtree, folder, True)
+        own = "file://" + folder
+    else:
+        own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_curvelark"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -28,14 +36,39 @@ def shared_dir(spark: SparkSession) -> str:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
-    Survives lost executors, unlike a local checkpoint, and later passes read columns, not lineage.
+    Survives lost executors, unlike a local checkpoint, and later passes read columns, not lineage. Within :func:`temporary` the
+    folder is removed at the end of that; otherwise it stays as long as the shared folder, for results may be read from it at any time.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables staged inside are removed at the end: for work whose result has been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def lasting() -> Iterator[None]:
+    """Tables staged inside stay, whatever is around."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        _scopes.pop()
+
+
 #: Rows of an Arrow batch when they are whole texts.
 TEXT_BATCH_ROWS = 500
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FEATURE_GROUPS, canonical_title, combined_digest, prediction_key
 from ..operators import dedup, distance, evaluation, inference, melody, models
 from ..operators.staging import staged
+from ..sources.index import run_signature
 from ..sources.midi import note_rows, render_midi
 from . import bases as B
 from . import oracles
@@ -83,15 +85,68 @@ def features(group: str):
 
 def forest_probs(spark: SparkSession, sf: str) -> DataFrame:
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
-    return models.cross_validated(B.described(spark, sf).cache(), cols, lambda t: models.fit_forest(t, cols, TREES))
+    return models.cross_validated(B.described(spark, sf), cols, lambda t: models.fit_forest(t, cols, TREES))
+
+
+def grid_distances(spark: SparkSession, sf: str) -> DataFrame:
+    """(points, weight, i, j, dist) of the whole grid, both directions, stored."""
+    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    mhd = distance.mhd_grid(B.melodies(spark, sf)).select("points", "weight", F.explode(ends).alias("_e"), F.col("mhd").alias("dist"))
+    return staged(mhd.select("points", "weight", "_e.*", "dist"), "mhd")
+
+
+def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The accuracy of curve distances by points, at the base weight, and by weight, at the base points."""
+    return rounded(evaluation.sensitivity(grid_distances(spark, sf), B.described(spark, sf).select("id", "grp", "label"), B.BASE_POINTS))
+
+
+def tuned_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Points, weight and k chosen together inside each outer fold, with bootstrap intervals."""
+    results, _ = evaluation.tuned_evaluation(grid_distances(spark, sf), B.described(spark, sf).select("id", "grp", "label"), grid=("points", "weight"))
+    return rounded(evaluation.summarize("tuned_mhd", staged(results, "tuned"), 2000))
+
+
+def leak_check(spark: SparkSession, sf: str) -> DataFrame:
+    """(split, grp, folds) of groups of ten pieces and more that are in several folds: none where folds deal out groups, most where they deal out pieces."""
+    own = B.items(spark, sf).withColumn("grp", F.col("id") % 50)
+    sound = evaluation.group_leaks(evaluation.grouped_folds(own, 5, F.lit(42)))
+    pieces = evaluation.grouped_folds(B.items(spark, sf), 5, F.lit(42)).withColumn("grp", F.col("id") % 50)
+    return sound.select(F.lit("by_group").alias("split"), "grp", "folds").unionByName(evaluation.group_leaks(pieces).select(F.lit("by_piece").alias("split"), "grp", "folds"))
+
+
+def aligned_votes(spark: SparkSession, sf: str) -> DataFrame:
+    voted = staged(B.knn(spark, sf), "votes")
+    return rounded(evaluation.aligned(voted, B.items(spark, sf), ("fold",)).select("test", "k", "label", "prob"))
+
+
+def mds_points(spark: SparkSession, sf: str) -> DataFrame:
+    """(label, x, y, stress): classes in the plane by their mean distances."""
+    means = inference.label_mean_matrix(B.named_pairs(spark, sf)).orderBy("label_a", "label_b").collect()  # a cell for each two classes
+    names = sorted({r["label_a"] for r in means})
+    matrix = np.zeros((len(names), len(names)))
+    for r in means:
+        if r["label_a"] != r["label_b"]:
+            matrix[names.index(r["label_a"]), names.index(r["label_b"])] = r["mean_dist"]
+    at, stress = inference.mds(matrix)
+    return spark.createDataFrame([(n, float(x), float(y), stress) for n, (x, y) in zip(names, at, strict=True)], "label string, x double, y double, stress double")
+
+
+def top_disagreements(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 30 pieces that methods disagree on or get wrong."""
+    rows = disagreements(spark, sf)
+    return evaluation.leading(rows, 30, F.desc("disagree"), "label", F.lower(F.col("id").cast("string")), "id").select("rank", "id", "label", "disagree", "any_error")
+
+
+def signature(spark: SparkSession, sf: str) -> DataFrame:
+    """(signature) of the metrics and predictions of nearest neighbours."""
+    found = staged(B.knn_results(spark, sf), "knn")
+    return spark.createDataFrame([(run_signature(rounded(evaluation.metrics(found, ("k",))), rounded(found)),)], "signature string")
 
 
 def fusion(spark: SparkSession, sf: str) -> DataFrame:
     """Forest and K-NN on the whole grid of curve distances; points, weight, k and the forest's share chosen together inside each outer fold."""
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
-    ends = F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
-    mhd = distance.mhd_grid(B.melodies(spark, sf)).select("points", "weight", F.explode(ends).alias("_e"), F.col("mhd").alias("dist"))
-    dist = staged(mhd.select("points", "weight", "_e.*", "dist"), "mhd")
+    dist = grid_distances(spark, sf)
     fit = lambda trees: lambda t: models.fit_forest(t, cols, trees)
     return evaluation.metrics(staged(models.nested_fusion(B.described(spark, sf), dist, cols, fit(TREES), grid=("points", "weight"), inner_fit=fit(INNER_TREES)), "fusion"))
 
@@ -99,18 +154,18 @@ def fusion(spark: SparkSession, sf: str) -> DataFrame:
 def logistic(spark: SparkSession, sf: str) -> DataFrame:
     """The cost chosen inside each outer fold."""
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
-    return evaluation.metrics(models.best_class(models.nested_logistic(B.described(spark, sf).cache(), cols)))
+    return evaluation.metrics(models.best_class(models.nested_logistic(B.described(spark, sf), cols)))
 
 
 def importance(spark: SparkSession, sf: str) -> DataFrame:
     cols = [c for g in FEATURE_GROUPS.values() for c in g]
-    rows = B.described(spark, sf).cache()
+    rows = staged(B.described(spark, sf), "described")
     return models.importance_summary(models.heldout_importance(rows, FEATURE_GROUPS, lambda t: models.fit_forest(t, cols, TREES)))
 
 
 def ablated(spark: SparkSession, sf: str) -> DataFrame:
     """Forests without each group, for every outer seed."""
-    rows = B.described(spark, sf).cache()
+    rows = staged(B.described(spark, sf), "described")
     out = None
     for seed in SEEDS:
         one = models.feature_ablation(rows, FEATURE_GROUPS, lambda t, cols: models.fit_forest(t, cols, ABLATION_TREES), seed)
@@ -146,7 +201,7 @@ QUERIES = {
     "balanced_sample": lambda s, d: dedup.balanced_sample(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE).select("genre", "path", "label", "position"),
     "dedup_audit": lambda s, d: dedup.data_audit(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE),
     "grouped_folds": lambda s, d: evaluation.grouped_folds(B.items(s, d), 5, F.lit(42)).select("id", "label", "fold"),
-    "fold_leak_check": lambda s, d: evaluation.group_leaks(evaluation.grouped_folds(B.items(s, d).withColumn("grp", F.col("grp") % 50), 5, F.lit(42))),
+    "fold_leak_check": leak_check,
     "curve_phase_rmse": lambda s, d: B.pairs(s, d),
     "curve_hausdorff_family": lambda s, d: rounded(distance.distance_family(B.vector_curves(s, d))),
     "dtw_distances": lambda s, d: rounded(distance.multivariate_dtw(B.vector_curves(s, d).select("id", F.transform("values", lambda p: F.slice(p, 2, 1)).alias("values")), 0.1, 64)),
@@ -172,6 +227,13 @@ QUERIES = {
     "paired_differences": lambda s, d: rounded(inference.paired_differences(B.runs(s, d, SEEDS), "knn_1", "knn_9")),
     "ablation_summary": ablation,
     "covariance_ellipses": ellipses,
+    "aligned_probabilities": aligned_votes,
+    "distance_checks": lambda s, d: rounded(distance.distance_checks(distance.full_matrix(B.pairs(s, d), "dist"))),
+    "top_disagreements": top_disagreements,
+    "mds_points": mds_points,
+    "run_signature": signature,
+    "sensitivity": sensitivity,
+    "tuned_distance": tuned_distance,
     "tuned_evaluation": lambda s, d: evaluation.summarize("tuned", staged(evaluation.tuned_evaluation(staged(distance.symmetric(B.pairs(s, d), "dist"), "pairs"), B.items(s, d))[0], "tuned")),
     "bootstrap_ci": lambda s, d: inference.bootstrap_intervals(s, results(5)(s, d)),
     "permutation_test": lambda s, d: inference.permutation_test(s, B.pairs(s, d), B.items(s, d)),

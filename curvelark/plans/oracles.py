@@ -129,6 +129,48 @@ met AS (
 
 RUNS = "WITH" + KNN_ALL + metrics("res", "seed, k") + ", runs AS (SELECT 'knn_' || k AS method, 2026 AS sample_seed, seed AS outer_seed, accuracy, balanced_accuracy, macro_f1 FROM met)"
 _STAT = ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std, round(min({m}), 6) AS {m}_min, round(max({m}), 6) AS {m}_max" for m in ("accuracy", "balanced_accuracy", "macro_f1"))
+
+
+def _grid_curve(points: int, weight: float) -> str:
+    """Relations from ``sky`` to ``rel`` (piece_id, k, t, pitch, velocity): curves of ``points`` points, pitch about its median, velocity weighted, and to ``loc``, each coordinate in its own range."""
+    n = points - 1
+    return SKY + f""",
+ends AS (SELECT *, min(beat) OVER p AS b0, max(beat) OVER p AS b1 FROM sky WINDOW p AS (PARTITION BY piece_id)),
+phase AS (SELECT *, (beat - b0) / (b1 - b0) AS p0 FROM ends),
+seg AS (SELECT *, lead(p0) OVER w AS p1, lead(pitch) OVER w AS q, lead(velocity) OVER w AS u FROM phase WINDOW w AS (PARTITION BY piece_id ORDER BY beat)),
+curve AS (
+  SELECT piece_id, k::INT AS k, k / {n}.0 AS t, pitch + (k / {n}.0 - p0) / (p1 - p0) * (q - pitch) AS pitch, velocity + (k / {n}.0 - p0) / (p1 - p0) * (u - velocity) AS velocity
+  FROM seg, range({points}) g(k) WHERE p1 IS NOT NULL AND k / {n}.0 >= p0 AND (k / {n}.0 < p1 OR (p1 = 1 AND k = {n}))),
+rel AS (SELECT piece_id, k, t, (pitch - quantile_cont(pitch, 0.5) OVER p) / 12 AS pitch, {weight} * (velocity - 64) / 32 AS velocity FROM curve WINDOW p AS (PARTITION BY piece_id)),
+loc AS (SELECT piece_id, k, """ + ", ".join(f"CASE WHEN max({c}) OVER p > min({c}) OVER p THEN ({c} - min({c}) OVER p) / (max({c}) OVER p - min({c}) OVER p) ELSE 0.5 END AS {c}" for c in ("t", "pitch", "velocity")) + """ FROM curve WINDOW p AS (PARTITION BY piece_id))"""
+
+
+def _family(name: str, source: str, square: str) -> str:
+    """Relation ``name`` (i, j, hd, q95, mhd) of the curves of ``source``, with the squared distance of points a and b given."""
+    one = "max(d) AS hd, quantile_cont(d, 0.95) AS q95, avg(d) AS mhd"
+    return f""",
+{name}_d AS NOT MATERIALIZED (SELECT a.piece_id AS i, b.piece_id AS j, a.k AS ka, b.k AS kb, sqrt({square}) AS d FROM {source} a JOIN {source} b ON a.piece_id < b.piece_id),
+{name} AS (
+  SELECT i, j, greatest(x.hd, y.hd) AS hd, greatest(x.q95, y.q95) AS q95, greatest(x.mhd, y.mhd) AS mhd
+  FROM (SELECT i, j, {one} FROM (SELECT i, j, ka, min(d) AS d FROM {name}_d GROUP BY ALL) GROUP BY ALL) x
+  JOIN (SELECT i, j, {one} FROM (SELECT i, j, kb, min(d) AS d FROM {name}_d GROUP BY ALL) GROUP BY ALL) y USING (i, j))"""
+
+
+_TP, _TPV = "(a.t - b.t) ^ 2 + (a.pitch - b.pitch) ^ 2", "(a.t - b.t) ^ 2 + (a.pitch - b.pitch) ^ 2 + (a.velocity - b.velocity) ^ 2"
+BASE_DISTANCES = (
+    "WITH" + _grid_curve(96, 0.25) + _family("l", "loc", _TPV) + _family("p", "rel", _TP) + _family("v", "rel", _TPV) + """,
+r AS (SELECT i, j, sqrt(sum(s) / 96) AS rmse FROM (
+  SELECT a.piece_id AS i, b.piece_id AS j, (a.pitch - b.pitch) ^ 2 + (a.velocity - b.velocity) ^ 2 AS s FROM rel a JOIN rel b ON a.piece_id < b.piece_id AND a.k = b.k) GROUP BY ALL)
+SELECT i, j, round(l.hd, 6) AS hd_local, round(p.hd, 6) AS hd_tp, round(v.hd, 6) AS hd_tpv, round(v.q95, 6) AS q95_tpv, round(v.mhd, 6) AS mhd_tpv, round(rmse, 6) AS phase_rmse
+FROM l JOIN p USING (i, j) JOIN v USING (i, j) JOIN r USING (i, j)"""
+)
+MHD_GRID = " UNION ALL ".join(
+    "SELECT * FROM (WITH" + _grid_curve(n, w) + _family("v", "rel", _TPV) + f" SELECT {n} AS points, {w}::DOUBLE AS weight, i, j, round(mhd, 6) AS mhd FROM v)" for n in (48, 72, 96) for w in (0.0, 0.1, 0.25, 0.5)
+)
+VECTOR_FAMILY = (
+    "WITH pt AS (SELECT vec_id AS piece_id, k::INT AS k, k / (len(embedding) - 1.0) AS t, embedding[k + 1]::DOUBLE AS pitch FROM embeddings, range(64) g(k))" + _family("p", "pt", _TP)
+    + " SELECT i, j, round(hd, 6) AS hd, round(q95, 6) AS q95, round(mhd, 6) AS mhd FROM p"
+)
 HEX8 = "right(lpad(to_hex(({})::BIGINT), 16, '0'), 8)"
 
 ORACLES = {
@@ -162,8 +204,25 @@ by_genre AS (SELECT own.*, (SELECT count(*) FROM sample s WHERE s.genre = own.ge
 SELECT genre, raw, cross_genre_groups, candidate_groups, usable_groups, selected FROM by_genre
 UNION ALL SELECT 'TOTAL', (SELECT count(*) FROM files), (SELECT count(*) FROM grp WHERE cross_genre = 1), (SELECT count(*) FROM grp WHERE cross_genre = 0), sum(usable_groups)::BIGINT, sum(selected)::BIGINT FROM by_genre""",
     "grouped_folds": "WITH" + KNN42 + " SELECT id, label, fold FROM folds",
-    "fold_leak_check": "SELECT 0::BIGINT AS grp, 0::BIGINT AS folds WHERE false",
+    "fold_leak_check": "WITH" + KNN42 + """,
+g AS (SELECT DISTINCT label, id % 50 AS grp FROM e),
+dealt AS (SELECT grp, ((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || grp), grp) - 1) % 5)::INT AS fold FROM g),
+by_group AS (SELECT e.id % 50 AS grp, d.fold FROM e JOIN (SELECT grp, min(fold) AS fold FROM dealt GROUP BY grp) d ON d.grp = e.id % 50)
+SELECT 'by_group' AS split, grp, count(DISTINCT fold) AS folds FROM by_group GROUP BY grp HAVING count(DISTINCT fold) > 1
+UNION ALL SELECT 'by_piece', id % 50, count(DISTINCT fold) FROM folds GROUP BY id % 50 HAVING count(DISTINCT fold) > 1""",
+    "aligned_probabilities": "WITH" + KNN42 + """,
+p AS (SELECT test, k, label, w / sum(w) OVER (PARTITION BY test, k) AS prob FROM votes)
+SELECT a.test, a.k, c.label, round(coalesce(p.prob, 0), 6) AS prob
+FROM (SELECT DISTINCT test, k FROM votes) a CROSS JOIN (SELECT DISTINCT label FROM e) c LEFT JOIN p ON p.test = a.test AND p.k = a.k AND p.label = c.label""",
+    "distance_checks": "WITH" + E + """,
+m AS (SELECT i, j, dist FROM pairs UNION ALL SELECT j, i, dist FROM pairs UNION ALL SELECT id, id, 0.0 FROM e),
+b AS (SELECT m.*, r.dist AS r FROM m LEFT JOIN m r ON r.i = m.j AND r.j = m.i)
+SELECT count(*) AS cells, count(DISTINCT i) AS items, coalesce(max(abs(dist)) FILTER (i = j), 0)::DOUBLE AS diagonal, count(*) FILTER (r IS NULL OR abs(dist - r) > 1e-12) AS skew,
+  count(*) FILTER (dist IS NULL OR isnan(dist) OR isinf(dist) OR dist < 0) AS bad, round(avg((dist > 1e-12)::INT) FILTER (i <> j), 6) AS "distinct" FROM b""",
     "curve_phase_rmse": "WITH" + E + " SELECT i, j, dist FROM pairs",
+    "base_distances": BASE_DISTANCES,
+    "curve_hausdorff_family": VECTOR_FAMILY,
+    "mhd_grid": MHD_GRID,
     "synthetic_robustness": """WITH b AS (SELECT k, k / 95.0 AS t, sin(2 * pi() * k / 95.0) AS p FROM range(96) r(k)),
 m AS (SELECT s, round(s * 0.2, 1) AS shift, k AS kj, t AS u, p + CASE WHEN k = 48 THEN round(s * 0.2, 1) ELSE 0 END AS q FROM b, range(11) x(s)),
 d AS (SELECT s, shift, k AS ki, kj, sqrt((t - u) ^ 2 + (p - q) ^ 2) AS d FROM m, b),
@@ -194,6 +253,10 @@ w AS (SELECT id, label, """ + ", ".join(f"max(CASE WHEN k = {k} THEN pred END) A
 SELECT id, label, knn_1, round(p1, 6) AS knn_1_prob, knn_5, round(p5, 6) AS knn_5_prob, knn_9, round(p9, 6) AS knn_9_prob, (NOT (knn_1 = knn_5 AND knn_5 = knn_9))::INT AS disagree,
   (knn_1 <> label OR knn_5 <> label OR knn_9 <> label)::INT AS any_error
 FROM w WHERE NOT (knn_1 = knn_5 AND knn_5 = knn_9) OR knn_1 <> label OR knn_5 <> label OR knn_9 <> label""",
+    "top_disagreements": "WITH" + KNN42 + """,
+w AS (SELECT id, label, """ + ", ".join(f"max(CASE WHEN k = {k} THEN pred END) AS k{k}" for k in (1, 5, 9)) + """ FROM res GROUP BY ALL),
+d AS (SELECT id, label, (NOT (k1 = k5 AND k5 = k9))::INT AS disagree, (k1 <> label OR k5 <> label OR k9 <> label)::INT AS any_error FROM w)
+SELECT (row_number() OVER (ORDER BY disagree DESC, label, id::VARCHAR, id))::INT AS rank, id, label, disagree, any_error FROM d WHERE disagree = 1 OR any_error = 1 QUALIFY rank <= 30""",
     "complementarity": "WITH" + KNN42 + """,
 w AS (SELECT id, """ + ", ".join(f"max(CASE WHEN k = {k} THEN (label = pred)::INT END) AS k{k}" for k in (1, 5, 9)) + """ FROM res GROUP BY id)
 SELECT k1 AS a_right, k9 AS b_right, count(*) AS n, sum(k5)::BIGINT AS fused_right FROM w GROUP BY ALL""",

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import importlib.metadata
 import json
 import math
-import os
 import platform
 import subprocess
-from pathlib import Path
+import sys
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from .midi import note_rows, scan_files
 #: The classes, in the order that breaks ties, and the version of the pipeline.
 GENRES = ["Classical", "Jazz", "Rock", "Blues", "Electronic"]
 PIPELINE_VERSION = "v4"
+#: The byte order mark that CSV files begin with.
+BOM = "\ufeff"
 
 
 def genre_order(column: str = "genre", genres: list[str] = GENRES):
@@ -74,31 +77,78 @@ def cache_path(folder: str, kind: str, **keys: object) -> str:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV with header; an empty table writes nothing."""
+    """A CSV in UTF-8 whose header begins with a byte order mark; an empty table writes nothing."""
     if df.limit(1).count():
-        df.write.mode("overwrite").option("header", True).csv(path)
+        first, *others = df.columns
+        df.toDF(BOM + first, *others).write.mode("overwrite").option("header", True).csv(path)
+
+
+def frame_of(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Result rows, some tens, as a table of strings: its columns are the keys of all rows, each where it comes first; what a row lacks is null."""
+    keys = list(dict.fromkeys(k for r in rows for k in r))
+    return spark.createDataFrame([[None if r.get(k) is None else str(r[k]) for k in keys] for r in rows], ", ".join(f"`{k}` string" for k in keys))
+
+
+def write_matrix_csv(cells: DataFrame, names: list[str], path: str) -> None:
+    """(label_a, label_b, mean_dist) as one CSV file of numbers: a line and a column for each of ``names``, in that order, under a header."""
+    place = F.array_position(F.array(*map(F.lit, names)), F.col("label_a"))
+    wide = cells.groupBy("label_a").pivot("label_b", names).agg(F.first("mean_dist")).orderBy(place)
+    wide.select(*names).coalesce(1).write.mode("overwrite").option("header", True).csv(path)  # as many lines as classes
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """A CSV with header, a byte order mark or none; all columns are strings unless a schema is given."""
     reader = spark.read.option("header", True)
-    return (reader.schema(schema) if schema else reader).csv(path)
+    df = (reader.schema(schema).option("enforceSchema", True) if schema else reader).csv(path)
+    return df.toDF(*(c.removeprefix(BOM) for c in df.columns))
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def put_text(path: str, text: str) -> None:
+    """Write one file in UTF-8, wherever Spark can write."""
+    at, store = _hadoop_path(SparkSession.active(), path)
+    out = store.create(at, True)
+    out.write(bytearray(text.encode("utf-8")))
+    out.close()
+
+
+def get_text(path: str) -> str | None:
+    """The text of one file, or None if it isn't there."""
+    spark = SparkSession.active()
+    at, store = _hadoop_path(spark, path)
+    return spark.read.text(path, wholetext=True).first()[0] if store.exists(at) else None
 
 
 def write_json(value: object, path: str) -> None:
     """JSON without NaN: a result that is not finite is an error, not a value."""
-    Path(path).write_text(json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False), encoding="utf-8")
+    put_text(path, json.dumps(value, ensure_ascii=False, indent=2, allow_nan=False))
+
+
+#: Packages whose versions a manifest tells.
+PACKAGES = ("pyspark", "numpy", "pandas", "pyarrow")
 
 
-def environment() -> dict[str, str | None]:
+def environment() -> dict[str, object]:
+    """What a run depends on: interpreter, machine, package versions, time, and the state of the repository."""
     def git(*args: str) -> str | None:
         out = subprocess.run(["git", *args], capture_output=True, text=True, check=False)
         return out.stdout.strip() or None if out.returncode == 0 else None
 
-    import numpy
-    import pyspark
+    def version(name: str) -> str:
+        try:
+            return importlib.metadata.version(name)
+        except importlib.metadata.PackageNotFoundError:
+            return "not installed"
 
-    return {"python": platform.python_version(), "platform": platform.platform(), "numpy": numpy.__version__, "pyspark": pyspark.__version__, "commit": git("rev-parse", "HEAD"), "branch": git("rev-parse", "--abbrev-ref", "HEAD")}
+    changes = git("status", "--porcelain")
+    return {
+        "time": datetime.now(UTC).isoformat(timespec="seconds"), "python": sys.version, "executable": sys.executable, "platform": platform.platform(), "processor": platform.processor(),
+        "packages": {name: version(name) for name in PACKAGES}, "commit": git("rev-parse", "HEAD"), "branch": git("branch", "--show-current"), "changed": changes is not None, "changes": changes,
+    }
 
 
 def artifact_inventory(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,21 +166,27 @@ def write_manifest(spark: SparkSession, folder: str, path: str, **extra: object)
 
 
 def run_signature(metrics: DataFrame, predictions: DataFrame) -> str:
-    """A digest of all metrics and predictions: equal for runs with equal results, in whatever order rows come."""
+    """A digest of all metrics and predictions: equal for runs with equal results, in whatever order rows come.
+
+    Rows' digests are digested in order by their first three digits, and those 4096 digests in turn, so no task sees all rows.
+    """
     lines = []
     for df in (metrics, predictions):
-        cols = sorted(df.columns)
-        row = F.concat_ws("\x1f", *(F.coalesce(F.format_number(c, 12) if t == "double" else F.col(c).cast("string"), F.lit("\0")) for c, t in ((c, dict(df.dtypes)[c]) for c in cols)))
-        lines.append(df.select(F.sha2(row, 256).alias("h")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256)).first()[0])
+        kinds = dict(df.dtypes)
+        row = F.concat_ws("\x1f", *(F.coalesce(F.format_number(c, 12) if kinds[c] == "double" else F.col(c).cast("string"), F.lit("\0")) for c in sorted(df.columns)))
+        rows = df.select(F.sha2(row, 256).alias("h"))
+        parts = rows.groupBy(F.left("h", F.lit(3)).alias("at")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("d")).orderBy("at").collect()
+        lines += [f"{r['at']}:{r['d']}" for r in parts] + [""]
     return hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
 def determinism(signature_now: str, path: str) -> bool | None:
     """Whether a run repeats the stored signature; None and stored for later if there is none."""
-    if not os.path.exists(path):
-        Path(path).write_text(signature_now)
+    before = get_text(path)
+    if before is None:
+        put_text(path, signature_now)
         return None
-    return Path(path).read_text().strip() == signature_now
+    return before.strip() == signature_now
 
 
 def json_ready(value: object) -> object:

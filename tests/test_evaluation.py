@@ -7,7 +7,8 @@ from curvelark.operators import evaluation as E
 from curvelark.operators import inference as I
 from curvelark.operators import models as M
 from curvelark.operators.graph import connected_components
-from curvelark.sources.index import cache_path, json_ready, read_csv, write_csv, write_json
+from curvelark.operators.staging import staged
+from curvelark.sources.index import cache_path, frame_of, get_text, json_ready, read_csv, write_csv, write_json, write_matrix_csv
 
 
 @pytest.fixture(scope="module")
@@ -58,11 +59,51 @@ def test_nested_evaluation(spark, line):
     assert row.accuracy > 0.6 and row.mode_k in E.K_CANDIDATES
     ci = {r.metric: (r.low, r.high) for r in I.bootstrap_intervals(spark, results, 50).collect()}
     assert ci["accuracy"][0] <= row.accuracy <= ci["accuracy"][1]
+    wide = E.summarize("line", staged(results, "r"), 50).first()
+    assert wide.accuracy_low <= row.accuracy <= wide.accuracy_high and wide.macro_f1_low <= wide.macro_f1_high
     grid = dist.withColumn("w", F.lit(0.5)).unionByName(dist.withColumn("w", F.lit(0.1)))
     tuned, chosen = E.tuned_evaluation(grid, items, grid=("w",), seeds=(2026,))
     assert tuned.count() == 25 and {r.w for r in chosen.collect()} == {0.1}
 
 
+def test_sensitivity_evaluates_each_cell_apart(spark, line):
+    items, dist = line
+    cells = None
+    for n, w in ((48, 0.25), (96, 0.25), (48, 0.0)):
+        one = dist.select(F.lit(n).alias("points"), F.lit(w).alias("weight"), "i", "j", (F.col("dist") + F.pmod(F.hash("i", "j", F.lit(n), F.lit(w)), F.lit(7))).alias("dist"))
+        cells = one if cells is None else cells.unionByName(one)
+    got = {(r.parameter, r.value): (r.fold_mean, r.fold_std) for r in E.sensitivity(cells, items, 96, seeds=(2026,)).collect()}
+    assert got.keys() == {("resample_points", 48.0), ("resample_points", 96.0), ("velocity_weight", 0.25)}
+    one = E.metrics(E.tuned_evaluation(cells.where("points = 96 AND weight = 0.25").drop("points", "weight"), items, seeds=(2026,))[0], ("fold",)).toPandas().accuracy
+    assert got["resample_points", 96.0] == got["velocity_weight", 0.25] == pytest.approx((one.mean(), one.std())) != got["resample_points", 48.0]
+
+
+def test_class_order_breaks_ties(spark):
+    voted = spark.createDataFrame([(1, 0, 1, "a", 1, 0, 0.5), (1, 0, 1, "b", 1, 0, 0.5)], "z int, test long, k int, label string, n long, closeness long, prob double")
+    assert E.predictions(voted, ("z",)).first().pred == "a" and E.predictions(voted, ("z",), ("b", "a")).first().pred == "b"
+    probs = spark.createDataFrame([(0, "a", "a", 0.5), (0, "a", "b", 0.5)], "id long, label string, class string, prob double")
+    assert M.best_class(probs).first().pred == "a" and M.best_class(probs, (), ("b", "a")).first().pred == "b"
+
+
+def test_disagreements_come_first(spark):
+    side = lambda preds: spark.createDataFrame([(i, label, p, 0.5) for (i, label), p in zip([("b", "x"), ("A", "x"), ("c", "x"), ("d", "y")], preds, strict=True)], "id string, label string, pred string, prob double")
+    rows = E.disagreements({"m": side("xyyy"), "n": side("yyxy")}).collect()
+    assert [(r.id, r.disagree) for r in rows] == [("b", 1), ("c", 1), ("A", 0)]
+    assert [(r["rank"], r.id) for r in E.leading(side("xxxx"), 2, F.desc("id")).orderBy("rank").collect()] == [(1, "d"), (2, "c")]
+
+
+def test_repeated_validation(spark, line):
+    items, dist = line
+    rows = items.withColumns({"x": F.col("id").cast("double"), "y": (F.col("id") % 5).cast("double")})
+    grid = dist.withColumn("w", F.lit(0.5)).unionByName(dist.withColumn("w", F.lit(0.1)))
+    runs, summary = M.repeated_validation({2026: (rows, grid)}, ["x", "y"], lambda t: M.fit_forest(t, ["x", "y"], 3), (23,), (2026,), ("w",))
+    got = {(r.method, r.sample_seed, r.outer_seed): r for r in runs.collect()}
+    assert set(got) == {(m, 2026, s) for m in ("tuned_mhd", "rf", "fusion") for s in (23,)}
+    plain = E.summarize("t", E.tuned_evaluation(grid, rows, 23, grid=("w",), seeds=(2026,))[0]).first()
+    assert got["tuned_mhd", 2026, 23].accuracy == pytest.approx(plain.accuracy) and got["tuned_mhd", 2026, 23].fold_std == pytest.approx(plain.fold_std)
+    assert {r.method: r.runs for r in summary.collect()} == {"tuned_mhd": 1, "rf": 1, "fusion": 1}
+
+
 def test_metrics(spark):
     rows = [("a", "a"), ("a", "b"), ("b", "b"), ("b", "b"), ("a", "z")]
     got = E.metrics(spark.createDataFrame(rows, "label string, pred string")).first()
@@ -96,6 +137,25 @@ def test_statistics(spark, line):
     assert t.p == pytest.approx(0.01) and t.observed == pytest.approx(s.gap)
     with pytest.raises(ValueError, match="several labels"):
         I.permutation_test(spark, dist, items.withColumn("grp", F.lit("x")), 9)
+    rng = np.random.default_rng(4)
+    loose = spark.createDataFrame([(i, f"g{i % 13}", f"c{i % 13 % 3}") for i in range(40)], "id long, grp string, label string")
+    noise = {(i, j): float(rng.random()) for i in range(40) for j in range(i + 1, 40)}
+    t = I.permutation_test(spark, spark.createDataFrame([(i, j, d) for (i, j), d in noise.items()], "i long, j long, dist double"), loose, 60, block=7, batch=9).first()
+    groups = sorted({f"g{i % 13}" for i in range(40)})
+    own = np.array([int(g[1:]) % 3 for g in groups])
+
+    def gap(of_group):
+        c = [of_group[groups.index(f"g{i % 13}")] for i in range(40)]
+        same = np.array([c[i] == c[j] for i, j in noise])
+        d = np.array(list(noise.values()))
+        return d[~same].mean() - d[same].mean()
+
+    hits = sum(gap(np.random.default_rng([2026, k]).permutation(own)) >= gap(own) - 1e-12 for k in range(60))
+    assert t.observed == pytest.approx(gap(own)) and t.p == pytest.approx((1 + hits) / 61)
+    m = rng.integers(0, 9, 500) / 4
+    some = spark.createDataFrame([(float(v), int(k)) for k, v in enumerate(m)], "dist double, same int").withColumn("same", F.col("same") % 2)
+    q = I.quantiles(*I.ranked_values(some), {"a": ("w", 0.3), "z": ("b", 0.995)}).first()
+    assert q.a == pytest.approx(np.quantile(m[1::2], 0.3)) and q.z == pytest.approx(np.quantile(m[::2], 0.995))
     assert I.label_mean_matrix(pairs).count() == 25
     h = I.distance_histogram(pairs, 10).toPandas()
     assert (h.between * 1.0).sum() > 0
@@ -190,7 +250,15 @@ def test_tables_in_and_out(spark, tmp_path):
     assert not (tmp_path / "none").exists()
     (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfx,y\n1,2\n")
     assert read_csv(spark, str(tmp_path / "bom.csv")).columns == ["x", "y"]
+    assert (tmp_path / "t").exists() and next((tmp_path / "t").glob("*.csv")).read_bytes().startswith(b"\xef\xbb\xbfa,b")
     with pytest.raises(ValueError):
         write_json({"a": float("nan")}, str(tmp_path / "j"))
+    write_json({"a": "é"}, str(tmp_path / "j"))
+    assert (tmp_path / "j").read_text() == '{\n  "a": "é"\n}' and get_text(str(tmp_path / "j")) == '{\n  "a": "é"\n}' and get_text(str(tmp_path / "none")) is None
+    both = frame_of(spark, [{"b": 1, "a": None}, {"c": "x"}])
+    assert both.columns == ["b", "a", "c"] and [tuple(r) for r in both.collect()] == [("1", None, None), (None, None, "x")]
+    cells = spark.createDataFrame([(a, b, float(i)) for i, (a, b) in enumerate([("x", "x"), ("x", "y"), ("y", "x"), ("y", "y")])], "label_a string, label_b string, mean_dist double")
+    write_matrix_csv(cells, ["y", "x"], str(tmp_path / "m"))
+    assert next((tmp_path / "m").glob("*.csv")).read_text() == "y,x\n3.0,2.0\n1.0,0.0\n"
     assert json_ready({"a": np.float64(2), "b": np.zeros(3), "c": float("inf")}) == {"a": 2.0, "c": None}
     assert cache_path("r", "mhd", seed=1, points=96) == "r/mhd/version=v4/points=96/seed=1"

@@ -15,7 +15,7 @@ from curvelark.operators import distance, inference, models
 from curvelark.plans import bases as B
 from curvelark.plans.catalog import ORACLES, QUERIES
 
-CHEAP = ["skyline", "resample_in_time", "melody_fingerprint", "features_rhythm", "canonical_titles", "document_duplicate_groups", "dedup_audit", "midi_note_ons", "curve_phase_rmse", "knn_probabilities", "mcnemar_holm", "pair_auc", "synthetic_robustness"]
+CHEAP = ["skyline", "resample_in_time", "melody_fingerprint", "features_rhythm", "canonical_titles", "document_duplicate_groups", "dedup_audit", "midi_note_ons", "curve_phase_rmse", "knn_probabilities", "mcnemar_holm", "pair_auc", "synthetic_robustness", "fold_leak_check", "aligned_probabilities", "distance_checks", "top_disagreements", "base_distances", "distance_statistics", "distance_histogram", "grouped_folds"]
 
 
 def tables(sf):
