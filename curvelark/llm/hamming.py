@@ -143,7 +143,8 @@ def exact_hamming_topk(codes: DataFrame, is_query, k: int = 20, segment: int | N
         probes = active.mapInArrow(probe, "q long, len int, seg int, value int, asked array<int>")
         apart = F.zip_with("asked", "segs", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
         m = F.size("segs")
-        met = probes.join(index, ["len", "seg", "value"]).select("q", "len", "id", "seg", m.alias("m"), apart.alias("d"))
+        # probes are many more than the queries that their size is guessed from: never broadcast
+        met = probes.hint("merge").join(index, ["len", "seg", "value"]).select("q", "len", "id", "seg", m.alias("m"), apart.alias("d"))
         first = F.array_min(F.transform("d", lambda x, i: x * F.col("m") + i)) == radius * F.col("m") + F.col("seg")
         new = met.where(first).select("q", "len", "m", "id", sums(F.col("d")).alias("distance"))
         both = new if carried is None else new.unionByName(carried.select(*new.columns))
