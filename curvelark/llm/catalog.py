@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, bpe, hamming, langid, mixing, ngram_join, repeats, secrets, sharding, url_lists, warc
+from . import ann, bpe, hamming, langid, mixing, ngram_join, pivots, repeats, secrets, sharding, url_lists, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_kmeans_tree_search": ann.op8_kmeans_tree_search,
     "op9_language_id": langid.op9_language_id,
     "op10_hamming_topk": hamming.op10_hamming_topk,
+    "op11_pivot_negatives": pivots.op11_pivot_negatives,
     "op12_seed_extend_dedup": repeats.op12_seed_extend_dedup,
 }
 
@@ -24,5 +25,6 @@ ORACLES = {
     "op4_prefix_sum_shards": sharding.ORACLE,
     "op5_warc_zstd": warc.ORACLE,
     "op10_hamming_topk": hamming.ORACLE,
+    "op11_pivot_negatives": pivots.ORACLE,
     "op12_seed_extend_dedup": repeats.ORACLE,
 }
