@@ -104,6 +104,39 @@ class Seeds:
         return doc[run], chosen - origin, start[run] - origin, count, grams[chosen], _sums(h, start, start + words)
 
 
+    def rows(self, take: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        """(anchor, a, b, first, reach) of some anchors; a and b are the halves of the texts' digests."""
+        reach = self.reach[np.repeat(take, self.count)].view(np.int64)
+        offsets = np.concatenate(([0], np.cumsum(self.count[take]))).astype(np.int32)
+        doc = self.doc[take]
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(reach))
+        return pa.RecordBatch.from_arrays([pa.array(self.name[take].view(np.int64)), pa.array(a[doc]), pa.array(b[doc]), pa.array(self.first[take].astype(np.int32)), lists], ["anchor", "a", "b", "first", "reach"])
+
+    def hot_rows(self, take: np.ndarray, a: np.ndarray, b: np.ndarray, words: int) -> Iterator[pa.RecordBatch]:
+        """The same with ``whole``, a hash of all windows: of those alike in a text only the first, and rows without anchor for the ranges [first, stop) of windows that those alike have."""
+        edge = np.cumsum(self.count)
+        at = np.flatnonzero(take)
+        whole = _sums(self.reach, (edge - self.count)[at], edge[at]) if len(at) else np.empty(0, np.uint64)
+        order = np.lexsort((at, whole, self.name[at], self.doc[at]))
+        by = [x[order] for x in (self.doc[at], self.name[at], whole)]
+        new = np.concatenate(([True], np.logical_or.reduce([x[1:] != x[:-1] for x in by]))) if len(order) else np.empty(0, bool)
+        size = np.diff(np.concatenate((np.flatnonzero(new), [len(order)])))
+        one, twice = np.zeros(len(self.name), bool), np.zeros(len(self.name), bool)
+        one[at[order[new]]] = True
+        twice[at[order]] = np.repeat(size > 1, size)
+        names = np.zeros(len(self.name), np.uint64)
+        names[at] = whole
+        batch = self.rows(one, a, b)
+        columns = ["anchor", "a", "b", "first", "reach", "whole", "stop"]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names[one].view(np.int64)), pa.nulls(batch.num_rows, pa.int32())], columns)
+        i = np.flatnonzero(twice)
+        head = np.concatenate(([True], (self.doc[i[1:]] != self.doc[i[:-1]]) | (self.first[i[1:]] != (self.first + self.count)[i[:-1]]))) if len(i) else np.empty(0, bool)
+        tail = np.concatenate((head[1:], [True])) if len(i) else head
+        doc, first, stop = self.doc[i[head]], self.first[i[head]], (self.first + self.count)[i[tail]] + words - 1
+        none = pa.nulls(len(doc), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, pa.array(a[doc]), pa.array(b[doc]), pa.array(first.astype(np.int32)), pa.nulls(len(doc), pa.list_(pa.int64())), none, pa.array(stop.astype(np.int32))], columns)
+
+
 def _spot(a: np.ndarray, b: np.ndarray, place: np.ndarray) -> np.ndarray:
     """One number for a place in a text."""
     return _mix(a.view(np.uint64) ^ _mix(b.view(np.uint64) + place.astype(np.uint64) * _STEP))
@@ -171,7 +204,8 @@ def repeated_ranges(texts: DataFrame, words: int = REPEAT_WORDS, hot_rows: int =
     shuffle; those at one place only are no seeds, and neither are the windows that chose them repeats. 2. The seeds' occurrences are joined by anchor, each with
     hashes of all windows that chose it, that is, of its extensions both ways; where two occurrences agree over ``words`` words or more, the ranges in which they do are
     kept. A task reads its occurrences sorted by anchor and holds those of one anchor, of ``hot_rows`` at most. 3. Anchors with more occurrences (a bounded number, HOT_ANCHORS) are
-    extended window by window instead: windows are counted by key, combined before the shuffle, and joined back.
+    extended by keys instead, which are counted before the shuffle: occurrences that agree in all their windows first, within a text before that, and then, of one occurrence for each
+    kind, the single windows.
 
     Seeds and hot anchors are told to the tasks as bits, 8 MB each whatever the input. Copies of a text count as one text here.
     """
@@ -190,18 +224,17 @@ def repeated_ranges(texts: DataFrame, words: int = REPEAT_WORDS, hot_rows: int =
     any_hot = bool(hot.limit(1).count())
     shared = spark.sparkContext.broadcast((_bits(seeds), _bits(hot)))
 
-    def occurrences(hot: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            seed_bits, hot_bits = shared.value
-            for own, a, b in _new_texts(batches):
-                s = Seeds(own, words)
-                take = _within(seed_bits, s.name) & (_within(hot_bits, s.name) == hot)
-                values = s.reach[np.repeat(take, s.count)].view(np.int64)
-                offsets = np.concatenate(([0], np.cumsum(s.count[take]))).astype(np.int32)
-                doc = s.doc[take]
-                yield pa.RecordBatch.from_arrays([pa.array(s.name[take].view(np.int64)), pa.array(a[doc]), pa.array(b[doc]), pa.array(s.first[take].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["anchor", "a", "b", "first", "reach"])
+    def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed_bits, hot_bits = shared.value
+        for own, a, b in _new_texts(batches):
+            s = Seeds(own, words)
+            yield s.rows(_within(seed_bits, s.name) & ~_within(hot_bits, s.name), a, b)
 
-        return texts.mapInArrow(run, "anchor long, a long, b long, first int, reach array<long>")
+    def hot_occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seed_bits, hot_bits = shared.value
+        for own, a, b in _new_texts(batches):
+            s = Seeds(own, words)
+            yield from s.hot_rows(_within(seed_bits, s.name) & _within(hot_bits, s.name), a, b, words)
 
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -219,14 +252,21 @@ def repeated_ranges(texts: DataFrame, words: int = REPEAT_WORDS, hot_rows: int =
             yield _extended(pa.Table.from_batches(held), words)
         release_memory()
 
-    found = occurrences(False).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(extend, "a long, b long, start int, stop int")
-    if any_hot:
-        windows = staged(occurrences(True).select("anchor", "a", "b", "first", F.posexplode("reach").alias("at", "window")).select("anchor", "window", "a", "b", (F.col("first") + F.col("at")).alias("start")), "repeat-windows")
-        spot = F.xxhash64("a", "b", "start")
-        several = windows.groupBy("anchor", "window").agg(F.min(spot).alias("low"), F.max(spot).alias("high")).where("low < high").select("anchor", "window")
-        more = windows.join(several.hint("merge"), ["anchor", "window"], "left_semi")
-        found = found.unionByName(more.select("a", "b", "start", (F.col("start") + words).alias("stop")))
-    return found
+    columns = "anchor long, a long, b long, first int, reach array<long>"
+    found = texts.mapInArrow(occurrences, columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(extend, "a long, b long, start int, stop int")
+    if not any_hot:
+        return found
+    spot, key = F.xxhash64("a", "b", "first"), ["anchor", "whole"]
+    met = staged(texts.mapInArrow(hot_occurrences, columns + ", whole long, stop int"), "repeat-hot")
+    within_texts = met.where("anchor IS NULL").select("a", "b", F.col("first").alias("start"), "stop")
+    met = met.where("anchor IS NOT NULL").drop("stop").withColumn("spot", spot)
+    kinds = met.groupBy(*key).agg(F.min("spot").alias("low"), F.max("spot").alias("high"))
+    met = staged(met.join(kinds.hint("merge"), key), "repeat-kinds")
+    alike = met.where("low < high").select("a", "b", F.col("first").alias("start"), (F.col("first") + F.size("reach") - 1 + words).alias("stop"))
+    windows = met.where("spot = low").select("anchor", "whole", "a", "b", "first", (F.col("low") == F.col("high")).alias("lone"), F.posexplode("reach").alias("at", "window"))
+    several = windows.groupBy("anchor", "window").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low < high").select("anchor", "window")
+    edges = windows.where("lone").join(several.hint("merge"), ["anchor", "window"], "left_semi").withColumn("start", F.col("first") + F.col("at"))
+    return found.unionByName(within_texts).unionByName(alike).unionByName(edges.select("a", "b", "start", (F.col("start") + words).alias("stop")))
 
 
 def remove_repeats(docs: DataFrame, columns: list[str], words: int = REPEAT_WORDS, hot_rows: int = HOT_ROWS) -> DataFrame:
