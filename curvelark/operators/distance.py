@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 #: Curves in a block: a task compares one pair of blocks.
 BLOCK = 128
 
@@ -26,7 +28,8 @@ def block_pairs(curves: DataFrame, kernel: Callable[[np.ndarray, np.ndarray], di
 
     def run(table: pa.Table) -> pa.Table:
         ids, at = table["id"].to_numpy(), table["_b"].to_numpy()
-        x = np.array(table["values"].to_pylist(), dtype=np.float64)
+        values = table["values"].combine_chunks()
+        x = values.flatten().flatten().to_numpy().reshape(len(ids), -1, len(values[0][0]))
         same = table["_lo"][0].as_py() == table["_hi"][0].as_py()
         left = np.arange(len(ids)) if same else np.flatnonzero(at == table["_lo"][0].as_py())
         right = left if same else np.flatnonzero(at != table["_lo"][0].as_py())
@@ -92,23 +95,25 @@ def phase_aligned_rmse(curves: DataFrame, **kw) -> DataFrame:
     return block_pairs(curves, rmse_kernel, ["rmse"], **kw)
 
 
-def dtw_kernel(window: int) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
-    """Dynamic time warping in a band, divided by the sum of lengths: one curve against many at once, cell by cell."""
+def warped(cost: np.ndarray, window: int) -> np.ndarray:
+    """Dynamic time warping in a band, divided by the sum of lengths, of many matrices of costs (n, m, matrix) at once, cell by cell."""
+    n, m, many = cost.shape
+    band = max(window, abs(n - m))
+    row = np.full((m + 1, many), np.inf)
+    row[0] = 0
+    for i in range(1, n + 1):
+        new = np.full((m + 1, many), np.inf)
+        for j in range(max(1, i - band), min(m, i + band) + 1):
+            np.minimum(row[j], row[j - 1], out=new[j])
+            np.minimum(new[j], new[j - 1], out=new[j])
+            new[j] += cost[i - 1, j - 1]
+        row = new
+    return row[m] / (n + m)
 
-    def run(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
-        n, m = len(a), b.shape[1]
-        band = max(window, abs(n - m))
-        cost = np.sqrt(((a[None, :, None, :] - b[:, None, :, :]) ** 2).sum(axis=-1)).transpose(1, 2, 0)
-        row = np.full((m + 1, len(b)), np.inf)
-        row[0] = 0
-        for i in range(1, n + 1):
-            new = np.full((m + 1, len(b)), np.inf)
-            for j in range(max(1, i - band), min(m, i + band) + 1):
-                new[j] = cost[i - 1, j - 1] + np.minimum(np.minimum(row[j], new[j - 1]), row[j - 1])
-            row = new
-        return {"dtw": row[m] / (n + m)}
 
-    return run
+def dtw_kernel(window: int) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+    """One curve against many: see :func:`warped`."""
+    return lambda a, b: {"dtw": warped(np.sqrt(((a[None, :, None, :] - b[:, None, :, :]) ** 2).sum(axis=-1)).transpose(1, 2, 0), window)}
 
 
 def multivariate_dtw(curves: DataFrame, fraction: float, points: int, **kw) -> DataFrame:
@@ -121,43 +126,96 @@ def as_points(curve: DataFrame, columns: tuple[str, ...] = ("t", "pitch", "veloc
     return curve.groupBy(F.col("piece_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("k", F.array(*(F.col(c).cast("double") for c in columns)).alias("p")))).alias("_c")).select("id", F.col("_c.p").alias("values"))
 
 
-def base_distances(curve: DataFrame) -> DataFrame:
-    """(i, j) with hd_local, hd_tp, hd_tpv, q95_tpv, mhd_tpv and phase_rmse of long curves."""
+def base_kernel(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+    """All base distances of one curve to many; points hold phase, relative pitch, relative loudness, and the three in their own ranges."""
+    full, local = nearest_summaries(a[:, :3], b[:, :, :3]), nearest_summaries(a[:, 3:], b[:, :, 3:])
+    tp = nearest_summaries(a[:, :2], b[:, :, :2])
+    return {"hd_local": local["hd"], "hd_tp": tp["hd"], "hd_tpv": full["hd"], "q95_tpv": full["q95"], "mhd_tpv": full["mhd"], "phase_rmse": rmse_kernel(a[:, :3], b[:, :, :3])["rmse"]}
+
+
+def base_distances(curve: DataFrame, weight: float = 0.25) -> DataFrame:
+    """(i, j) with hd_local, hd_tp, hd_tpv, q95_tpv, mhd_tpv and phase_rmse of long curves, each pair met once."""
     from .melody import minmax_curve, relative_curve
 
-    tpv = as_points(relative_curve(curve, 0.25))
-    local = distance_family(as_points(minmax_curve(curve)), ("hd",)).withColumnRenamed("hd", "hd_local")
-    tp = distance_family(as_points(relative_curve(curve, 0.0)), ("hd",)).withColumnRenamed("hd", "hd_tp")
-    full = distance_family(tpv).withColumnsRenamed({"hd": "hd_tpv", "q95": "q95_tpv", "mhd": "mhd_tpv"})
-    return local.join(tp, ["i", "j"]).join(full, ["i", "j"]).join(phase_aligned_rmse(tpv).withColumnRenamed("rmse", "phase_rmse"), ["i", "j"])
+    local = minmax_curve(curve).withColumnsRenamed({"t": "lt", "pitch": "lp", "velocity": "lv"})
+    points = relative_curve(curve, weight).join(local, ["piece_id", "k"])
+    return block_pairs(staged(as_points(points, ("t", "pitch", "velocity", "lt", "lp", "lv")), "base-curves"), base_kernel, ["hd_local", "hd_tp", "hd_tpv", "q95_tpv", "mhd_tpv", "phase_rmse"])
 
 
-def mhd_grid(melody: DataFrame, points: tuple[int, ...] = (48, 72, 96), weights: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5)) -> DataFrame:
-    """(points, weight, i, j, mhd) for every cell of the grid."""
+#: Pairs of points that a kernel holds at once, so that they stay near the processor.
+HELD = 1 << 15
+
+
+def grid_curves(melody: DataFrame, points: tuple[int, ...]) -> DataFrame:
+    """(id, values), stored: one array a piece with the relative pitch and the unweighted loudness of its curves of all these numbers of points, one after another."""
     from .melody import relative_curve, resample
 
     out = None
     for n in points:
-        curve = resample(melody, n)
-        for w in weights:
-            cell = distance_family(as_points(relative_curve(curve, w)), ("mhd",)).select(F.lit(n).alias("points"), F.lit(float(w)).alias("weight"), "i", "j", "mhd")
-            out = cell if out is None else out.unionByName(cell)
-    return out
+        one = as_points(relative_curve(resample(melody, n), 1.0), ("pitch", "velocity")).withColumnRenamed("values", f"_v{n}")
+        out = one if out is None else out.join(one, "id")
+    return staged(out.select("id", F.concat(*(F.col(f"_v{n}") for n in points)).alias("values")), "grid-curves")
 
 
-def dtw_grid(melody: DataFrame, points: tuple[int, ...] = (36, 48), weights: tuple[float, ...] = (0.0, 0.25, 0.5), windows: tuple[float, ...] = (0.1, 0.2)) -> DataFrame:
-    """(points, weight, window, i, j, dtw) for every cell of the grid."""
-    from .melody import relative_curve, resample
+def mhd_kernel(points: tuple[int, ...], weights: tuple[float, ...]) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+    """One piece against many in all cells of the grid: squared differences of pitch and of loudness are formed once for each number of points and added up by weight."""
 
-    out = None
-    for n in points:
-        curve = resample(melody, n)
-        for w in weights:
-            values = as_points(relative_curve(curve, w), ("pitch", "velocity"))
-            for share in windows:
-                cell = multivariate_dtw(values, share, n).select(F.lit(n).alias("points"), F.lit(float(w)).alias("weight"), F.lit(float(share)).alias("window"), "i", "j", "dtw")
-                out = cell if out is None else out.unionByName(cell)
-    return out
+    def run(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        out = {f"c{i}_{j}": np.empty(len(b)) for i in range(len(points)) for j in range(len(weights))}
+        at = 0
+        for i, n in enumerate(points):
+            p, q = a[at : at + n], b[:, at : at + n]
+            phase = np.arange(n) / (n - 1)
+            apart = (phase[:, None] - phase) ** 2
+            step = max(1, HELD // (n * n))
+            room = np.empty((step, n, n))
+            for s in range(0, len(b), step):
+                some = q[s : s + step]
+                base = some[:, :, None, 0] - p[None, None, :, 0]
+                base *= base
+                base += apart
+                loud = some[:, :, None, 1] - p[None, None, :, 1]
+                loud *= loud
+                for j, w in enumerate(weights):
+                    square = base if w == 0 else np.add(base, np.multiply(loud, w * w, out=room[: len(some)]), out=room[: len(some)])
+                    out[f"c{i}_{j}"][s : s + step] = np.maximum(np.sqrt(square.min(axis=1)).mean(axis=1), np.sqrt(square.min(axis=2)).mean(axis=1))
+            at += n
+        return out
+
+    return run
+
+
+def mhd_grid(melody: DataFrame, points: tuple[int, ...] = (48, 72, 96), weights: tuple[float, ...] = (0.0, 0.1, 0.25, 0.5)) -> DataFrame:
+    """(points, weight, i, j, mhd) for every cell of the grid, from one pass over the pairs of pieces."""
+    pairs = block_pairs(grid_curves(melody, points), mhd_kernel(points, weights), [f"c{i}_{j}" for i in range(len(points)) for j in range(len(weights))])
+    cells = F.array(*(F.struct(F.lit(n).alias("points"), F.lit(float(w)).alias("weight"), F.col(f"c{i}_{j}").alias("mhd")) for i, n in enumerate(points) for j, w in enumerate(weights)))
+    return pairs.select("i", "j", F.explode(cells).alias("_c")).select("_c.points", "_c.weight", "i", "j", "_c.mhd")
+
+
+def dtw_cells(points: tuple[int, ...], weights: tuple[float, ...], windows: tuple[float, ...]) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
+    """One piece against many in all cells of the grid: all weights are warped together, and each band once."""
+
+    def run(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
+        out, at = {}, 0
+        for i, n in enumerate(points):
+            p, q = a[at : at + n], b[:, at : at + n]
+            pitch, loud = ((q[:, None, :, d] - p[None, :, None, d]) ** 2 for d in (0, 1))
+            cost = np.sqrt(np.stack([pitch + w * w * loud for w in weights])).reshape(len(weights) * len(b), n, n).transpose(1, 2, 0).copy()
+            for k, share in enumerate(windows):
+                got = warped(cost, max(1, round(n * share))).reshape(len(weights), len(b))
+                out |= {f"c{i}_{j}_{k}": got[j] for j in range(len(weights))}
+            at += n
+        return out
+
+    return run
+
+
+def dtw_grid(melody: DataFrame, points: tuple[int, ...] = (36, 48), weights: tuple[float, ...] = (0.0, 0.25, 0.5), windows: tuple[float, ...] = (0.1, 0.2)) -> DataFrame:
+    """(points, weight, window, i, j, dtw) for every cell of the grid, from one pass over the pairs of pieces."""
+    names = [(f"c{i}_{j}_{k}", n, w, share) for i, n in enumerate(points) for j, w in enumerate(weights) for k, share in enumerate(windows)]
+    pairs = block_pairs(grid_curves(melody, points), dtw_cells(points, weights, windows), [c for c, *_ in names], block=64)
+    cells = F.array(*(F.struct(F.lit(n).alias("points"), F.lit(float(w)).alias("weight"), F.lit(float(share)).alias("window"), F.col(c).alias("dtw")) for c, n, w, share in names))
+    return pairs.select("i", "j", F.explode(cells).alias("_c")).select("_c.points", "_c.weight", "_c.window", "i", "j", "_c.dtw")
 
 
 def symmetric(pairs: DataFrame, value: str) -> DataFrame:

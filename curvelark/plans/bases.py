@@ -19,14 +19,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def notes(spark: SparkSession, sf: str) -> DataFrame:
+def notes_of(events: DataFrame) -> DataFrame:
     """Events as note-ons: a piece for each user, a tick for six hours, four ticks a beat."""
-    return table(spark, sf, "events").select(
+    return events.select(
         F.col("user_id").alias("piece_id"), F.lit(4).alias("division"), F.floor(F.unix_timestamp("ts") / 21600).alias("tick"),
         (36 + F.get_json_object("props", "$.k").cast("int") % 48).alias("pitch"), (F.floor("value").cast("int") % 128).alias("velocity"),
     )
 
 
+def notes(spark: SparkSession, sf: str) -> DataFrame:
+    return notes_of(table(spark, sf, "events"))
+
+
 def melodies(spark: SparkSession, sf: str) -> DataFrame:
     return skyline(notes(spark, sf))
 
@@ -35,11 +39,11 @@ def curves(spark: SparkSession, sf: str, points: int = 16) -> DataFrame:
     return resample(melodies(spark, sf), points)
 
 
-def files(spark: SparkSession, sf: str) -> DataFrame:
+def files_of(documents: DataFrame) -> DataFrame:
     """Documents as files of a class, which follows from the source's number, with three identifiers over their whole texts."""
     squeezed = lambda c, keep: F.nullif(F.regexp_replace(F.lower(c), f"[^{keep}]+", ""), F.lit(""))
     number = F.coalesce(F.nullif(F.regexp_extract("source", "([0-9]+)$", 1), F.lit("")).cast("int"), F.lit(0)) % 5
-    d = table(spark, sf, "documents").withColumn("genre", F.get(F.array(*map(F.lit, GENRES)), number))
+    d = documents.withColumn("genre", F.get(F.array(*map(F.lit, GENRES)), number))
     return d.select(
         F.concat(F.col("genre"), F.lit("/"), F.lpad(F.col("doc_id").cast("string"), 10, "0"), F.lit(".txt")).alias("path"), "genre", "n_chars",
         squeezed(F.regexp_extract("text", r"^([^\n]*)", 1), "a-z0-9").alias("canonical_title"), F.sha2("text", 256).alias("sha256"),
@@ -47,6 +51,10 @@ def files(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def files(spark: SparkSession, sf: str) -> DataFrame:
+    return files_of(table(spark, sf, "documents"))
+
+
 def items(spark: SparkSession, sf: str) -> DataFrame:
     """Embeddings as labelled pieces, each a group of its own."""
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("vec_id").alias("grp"), F.col("label").cast("string").alias("label"))

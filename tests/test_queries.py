@@ -14,6 +14,7 @@ import __spark_entry__ as entry
 from curvelark.operators import distance, inference, models
 from curvelark.plans import bases as B
 from curvelark.plans.catalog import ORACLES, QUERIES
+from jobs.registered import QUERIES as JOBS
 
 CHEAP = ["skyline", "resample_in_time", "melody_fingerprint", "features_rhythm", "canonical_titles", "document_duplicate_groups", "dedup_audit", "midi_note_ons", "curve_phase_rmse", "knn_probabilities", "mcnemar_holm", "pair_auc", "synthetic_robustness", "fold_leak_check", "aligned_probabilities", "distance_checks", "top_disagreements", "base_distances", "distance_statistics", "distance_histogram", "grouped_folds"]
 
@@ -46,12 +47,13 @@ def test_contract_without_the_subpackage(tmp_path):
     """The entry, from a copy without the subpackage: whether corpus_pipeline.py is left over or gone."""
     root = Path(entry.__file__).parent
     shutil.copytree(root / "curvelark", tmp_path / "curvelark", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copytree(root / "jobs", tmp_path / "jobs", ignore=shutil.ignore_patterns("__pycache__"))
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     said = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); print(len(q), set(o) <= set(q), any(n.startswith('op') or n == 'pipeline' for n in q))"
     for left in (True, False):
         (tmp_path / "corpus_pipeline.py").write_text("import curvelark.llm.bpe\n") if left else (tmp_path / "corpus_pipeline.py").unlink()
         out = subprocess.run([sys.executable, "-c", said], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
-        assert out.stdout.split()[-3:] == [str(len(QUERIES)), "True", "False"]
+        assert out.stdout.split()[-3:] == [str(len(QUERIES) + len(JOBS)), "True", "False"]
 
 
 def test_grids_are_whole(spark, sf):
