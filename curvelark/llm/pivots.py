@@ -142,11 +142,17 @@ class PivotTable:
         return rows.mapInArrow(place, schema).withColumn("bucket", F.pmod(F.xxhash64("label"), F.lit(BUCKETS)).cast("int"))
 
     def chunks(self, anchors: DataFrame) -> DataFrame:
-        """Anchors with their distances to the pivots, in chunks of neighbours."""
+        """Anchors with their distances to the pivots, in chunks of neighbours: those of several small cells, or a part of those of a large one."""
         placed = staged(self._placed(anchors, False), "pivot-anchors")
-        sizes = placed.groupBy("cell").agg(F.ceil(F.count("*") / self.chunk_rows).cast("int").alias("_n"))  # a row for each pivot at most
-        chunk = F.col("cell").cast("long") * (1 << 32) + F.pmod(F.xxhash64("id"), F.col("_n"))
-        return placed.join(F.broadcast(sizes), "cell").select("id", "label", "v", "at", "bucket", chunk.alias("chunk"))
+        named, chunk, held = [], 0, 0
+        for r in placed.groupBy("cell").count().orderBy("cell").collect():  # a row for each pivot at most
+            if held and held + r["count"] > self.chunk_rows:
+                chunk, held = chunk + 1, 0
+            parts = -(-r["count"] // self.chunk_rows)
+            named.append((r["cell"], chunk, parts))
+            chunk, held = (chunk, held + r["count"]) if parts == 1 else (chunk + parts, 0)
+        cells = placed.sparkSession.createDataFrame(named, "cell int, _c int, _n int")
+        return placed.join(F.broadcast(cells), "cell").select("id", "label", "v", "at", "bucket", (F.col("_c") + F.pmod(F.xxhash64("id"), F.col("_n"))).cast("long").alias("chunk"))
 
     def _round(self, asks: DataFrame, same: bool, k: int, first: bool) -> DataFrame:
         """The k best of each range of scores: in the first round in one block for each anchor, that with the best bound; else in all blocks whose brackets meet a range."""
