@@ -57,14 +57,18 @@ _PACKED = re.compile(rb"\x1f\x8b\x08|" + b"|".join(re.escape(h.to_bytes(2, "big"
 _PACKED_TEXT = re.compile("\x1f\x8b\x08|x[\x01^\x9c\xda]")
 _WIDE = re.compile("[^\x00-\xff]")
 _NOISE = re.compile("[\x00-\x08\x0e-\x1b\x7f-\x9f\udc80-\udcff]")
-#: Fewer bytes hold no secret, in no coding.
-LEAST_BYTES = 16
+#: Fewer bytes are no compressed data, and so hold no secret in any coding: all other codings shrink when they are undone.
+LEAST_BYTES = 8
+#: Text of two bytes a character, the low or the high byte first; all signs that secrets and their codings are made of have a zero byte there.
+_UTF16 = (re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){8,}"), "utf-16-le"), (re.compile(rb"(?:\x00[\t\n\r\x20-\x7e]){8,}"), "utf-16-be")
 _PIECE = 1 << 14
 #: Of compressed data, so many bytes are a layer, which begins so many bytes before the last one's end: matches and codings shorter than that are in one layer whole.
 PART_BYTES, OVERLAP_BYTES = 16 << 20, 1 << 20
 #: Bytes that all compressed data of a document unfold to at most (what is beyond is counted in n_refused): the guard against archives that unfold without end.
 MAX_DOCUMENT_BYTES = 4 << 30
 
+_UTF16_TEXT = re.compile("(?:[\t\n\r\x20-\x7e]\x00){8}|(?:\x00[\t\n\r\x20-\x7e]){8}")
+
 
 def scan(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all base matches, in code points."""
@@ -205,7 +209,7 @@ def decoded_layers(layer: Layer, budget: list[int], document: bool = False) -> I
     """The layers that one step unwraps, none for one that is refused.
 
     Percent and backslash escapes rewrite the layer as a whole; a run of base64 is a layer of its own for each of the four places where
-    its groups may begin, since other text may stand before it without a gap; its characters come from the groups of four they are coded in.
+    its groups may begin, since other text may stand before it without a gap; its characters come from the groups of four they are coded in. Stretches of text in two bytes a character are layers, too.
     Of compressed data every character comes from the whole of it.
     """
     text = layer.text
@@ -229,6 +233,11 @@ def decoded_layers(layer: Layer, budget: list[int], document: bool = False) -> I
         yield from _base64_layers(layer, m)
         done = m.end()
     yield from _short_layers(layer, done, len(text))
+    if "\x00" in text:
+        raw = layer.bytes()
+        of = layer.bytes_span(raw)
+        for m, coding in _two_bytes(raw):
+            yield Layer(m[0].decode(coding), lambda a, b, of=of, at=m.start(): of(at + 2 * a, at + 2 * b))
     if not document:
         raw = layer.bytes()
         if _PACKED.search(raw):
@@ -245,6 +254,19 @@ def decoded_layers(layer: Layer, budget: list[int], document: bool = False) -> I
             at = stop + 1
 
 
+def _two_bytes(raw: bytes) -> Iterator[tuple[re.Match, str]]:
+    """Stretches of text in two bytes a character with their coding. One order of bytes looks like the other, shifted by one, but for the ends: the longer one is meant."""
+    low, high = ([(m, coding) for m in pattern.finditer(raw)] for pattern, coding in _UTF16)
+    for own, other, least in ((low, high, 0), (high, low, 1)):
+        at = 0
+        for m, coding in own:
+            while at < len(other) and other[at][0].end() <= m.start():
+                at += 1
+            rest = other[at][0] if at < len(other) and other[at][0].start() < m.end() else None
+            if rest is None or len(m[0]) >= len(rest[0]) + least:
+                yield m, coding
+
+
 def _base64_layers(layer: Layer, m: re.Match) -> Iterator[Layer]:
     run = m[0].rstrip("=")
     pieces, begin = [], 0
@@ -361,7 +383,7 @@ def deep_scan(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, in
 
 
 def _may_decode(text: str) -> bool:
-    return "%" in text or "\\" in text or _BASE64.search(text) is not None or _SHORT.search(text) is not None or (not text.isascii() and _PACKED_TEXT.search(text) is not None)
+    return "%" in text or "\\" in text or _BASE64.search(text) is not None or _SHORT.search(text) is not None or ("\x00" in text and _UTF16_TEXT.search(text) is not None) or (not text.isascii() and _PACKED_TEXT.search(text) is not None)
 
 
 def _sorted(spans: set[tuple[str, int, int]]) -> list[tuple[str, int, int]]:

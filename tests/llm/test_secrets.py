@@ -160,3 +160,24 @@ def test_a_long_text_that_decodes_is_held_in_little_memory():
     tracemalloc.stop()
     at = 5 * 400_000 + 2_100_000 + 1
     assert ("assign", at, at + 3 * len(SECRET)) in spans and most < 25 * len(text)
+
+
+def test_short_layers_between_others():
+    """Layers shorter than any secret, that unfold further."""
+    inner = zlib.compress(b"a" * 64)
+    assert len(inner) < 16
+    for code in (base64.b64encode(gzip.compress(inner)).decode(), base64.b64encode(zlib.compress(gzip.compress(inner))).decode()):
+        _, spans, _, _ = S.deep_scan("x " + code + " y")
+        assert [k for k, a, b in spans if 2 <= a < b <= 2 + len(code)] == ["hex"]
+
+
+@pytest.mark.parametrize("coding", ["utf-16-le", "utf-16-be", "utf-16"])
+def test_two_bytes_a_character(coding):
+    """Encoded shell commands, and codings within."""
+    for text in ("Zażółć " + SECRET + " gęślą", "run " + base64.b64encode(gzip.compress(SECRET.encode())).decode()):
+        code = base64.b64encode(text.encode(coding)).decode()
+        _, spans, _, _ = S.deep_scan("pwsh -e " + code)
+        found = [s for s in spans if s[0] == "assign"]
+        assert found and all(8 <= a < b <= 8 + len(code) for _, a, b in found)
+    plain = "".join(c + "\0" for c in SECRET)
+    assert ("assign", 2, 2 + len(plain)) in S.deep_scan("é " + plain)[1]
