@@ -137,6 +137,8 @@ def records(data: bytes) -> Iterator[dict]:
 def revisit_plan(pages: DataFrame, salts: int = 16) -> DataFrame:
     """(page_id, url, payload, payload_bytes, payload_digest, refers_to): refers_to is the largest page_id of those with the payload, null for that page itself and for small payloads.
 
+    A page without an id revisits like others; where no page with the payload has one, none is a revisit. Rows that repeat the largest id all stay responses.
+
     Payloads are compared by SHA-1 over narrow rows. Digests of single pages need no join; the others are one row each, salted,
     so a payload that a third of all pages share is spread.
     """
@@ -147,7 +149,7 @@ def revisit_plan(pages: DataFrame, salts: int = 16) -> DataFrame:
     return (
         rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int"))
         .join(shared, ["payload_digest", "_salt"], "left")
-        .select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("_last") > F.col("page_id"), F.col("_last")).alias("refers_to"))
+        .select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("page_id").isNull() | (F.col("_last") > F.col("page_id")), F.col("_last")).alias("refers_to"))
     )
 
 

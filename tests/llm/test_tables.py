@@ -78,6 +78,13 @@ def test_archives_round_trip(spark, tmp_path, monkeypatch):
     assert warc.write_archives(pages(spark, []), f"file://{tmp_path}/none") == 0
 
 
+def test_pages_without_an_id_are_revisits(spark):
+    same, alone, nameless = "s" * 2000, "a" * 2000, "n" * 2000
+    pages = spark.createDataFrame([(1, "u", same), (5, "u", same), (None, "u", same), (None, "u", alone), (None, "u", nameless), (None, "u", nameless), (7, "u", "small"), (8, "u", "small")], "page_id long, url string, html string")
+    got = sorted(((r.page_id or 0, r.payload_bytes, r.refers_to or 0) for r in warc.revisit_plan(pages).collect()))
+    assert got == [(0, 2000, 0)] * 3 + [(0, 2000, 5), (1, 2000, 5), (5, 2000, 0), (7, 5, 0), (8, 5, 0)]
+
+
 def test_archives_are_validated():
     press = zstandard.ZstdCompressor()
     rec = warc.record("response", 1, "u", b"abc", "a9993e364706816aba3e25717850c26c9cd0d89d", 3, None)
