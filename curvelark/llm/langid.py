@@ -127,8 +127,8 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 8, rat
         buckets, counts, lang = examples[used[step % len(used)]]
         if not len(buckets):
             continue
-        if step % 2 or len(buckets) > 1500:
-            buckets, counts = part(buckets, counts, short if step % 2 else 1500)
+        if step % 2:
+            buckets, counts = part(buckets, counts, short)
         share = (counts / counts.sum())[:, None]
         mean = (embed[buckets] * share).sum(axis=0)
         p = _softmax((mean @ weight + bias)[None])[0]
@@ -162,12 +162,12 @@ def held_out(doc_id: Column) -> Column:
 
 
 def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
-    """Fit to documents with a language and text, held-out ones aside: about ``fit_rows`` of each language, chosen by hash.
+    """Fit to documents with a language and text, held-out ones aside: about ``fit_rows`` of each language, chosen by a hash of id and text, and twice as many in all at most.
 
     Executors reduce the chosen texts to counts of buckets; only those reach the driver. Without any such row there
     is no language, and every text is undetermined.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 40)).alias("_h"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.pmod(F.xxhash64(F.lit(9), "doc_id", "text"), F.lit(1 << 40)).alias("_h"))
     counts = rows.groupBy("lang").count().collect()
     if not counts:
         return LanguageModel([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -182,13 +182,15 @@ def train(docs: DataFrame, fit_rows: int = FIT_ROWS) -> LanguageModel:
                     n += np.bincount(bucket, minlength=BUCKETS)
                 found = np.flatnonzero(n)
                 ids.append(found.astype(np.uint16).tobytes())
-                ns.append(np.minimum(n[found], 0xFFFF).astype(np.uint16).tobytes())
+                ns.append(n[found].astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b["lang"], b["_h"], pa.array(ids, pa.binary()), pa.array(ns, pa.binary())], ["lang", "h", "ids", "ns"])
 
-    sample = rows.where(F.col("_h") < limit).mapInArrow(reduce, "lang string, h long, ids binary, ns binary").collect()
+    # by hash again: of rows that repeat an id and a text one stays, and no number of rows comes to more than the bound
+    chosen = rows.where(F.col("_h") < limit).dropDuplicates(["lang", "_h"])
+    sample = chosen.mapInArrow(reduce, "lang string, h long, ids binary, ns binary").orderBy("h", "lang").limit(2 * fit_rows * len(counts)).collect()
     sample.sort(key=lambda r: (r["h"], r["lang"], bytes(r["ids"])))
     sample = list({(r["lang"], bytes(r["ids"]), bytes(r["ns"])): r for r in sample}.values())  # copies would flatter the calibration
-    model = fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["ns"], np.uint16), r["lang"]) for r in sample])
+    model = fit([(np.frombuffer(r["ids"], np.uint16), np.frombuffer(r["ns"], np.uint32), r["lang"]) for r in sample])
     del sample
     release_memory()
     return model

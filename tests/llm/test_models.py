@@ -35,6 +35,19 @@ def test_language(spark, sf):
     assert [r.lang_pred for r in langid.identify(odd, none, ["doc_id"]).collect()] == ["und"] * 7
 
 
+def test_languages_of_rows_without_an_id_are_learnt(spark):
+    """All of a language's rows may lack an id, or share one: texts decide which are drawn, and copies are drawn once."""
+    rng = np.random.default_rng(8)
+    kinds = {"aa": "bcdfg aeiou", "bb": "klmnp uyoe"}
+    text = lambda lang: " ".join("".join(rng.choice(list(kinds[lang].replace(" ", "")), 6)) for _ in range(40))
+    rows = [(None, text("aa"), "aa", "s", 1) for _ in range(300)] + [(4, text("bb"), "bb", "s", 1) for _ in range(300)] + [(None, rows_text, "aa", "s", 1) for rows_text in [text("aa")] * 200]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = langid.train(docs, 50)
+    assert model.langs == ["aa", "bb"]
+    got = langid.identify(docs, model, ["lang"]).groupBy("lang", "lang_pred").count().collect()
+    assert sum(r["count"] for r in got if r["lang"] == r["lang_pred"]) >= 0.95 * len(rows)
+
+
 def test_long_text_is_the_sum_of_its_windows(monkeypatch):
     text = [("the quick bröwn fox " * 50).encode(), b"", b"x"]
     count = lambda: sum(np.bincount(b + o * langid.BUCKETS, minlength=3 * langid.BUCKETS) for b, o in langid.subword_windows(text))
