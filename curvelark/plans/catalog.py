@@ -166,11 +166,7 @@ def importance(spark: SparkSession, sf: str) -> DataFrame:
 def ablated(spark: SparkSession, sf: str) -> DataFrame:
     """Forests without each group, for every outer seed."""
     rows = staged(B.described(spark, sf), "described")
-    out = None
-    for seed in SEEDS:
-        one = models.feature_ablation(rows, FEATURE_GROUPS, lambda t, cols: models.fit_forest(t, cols, ABLATION_TREES), seed)
-        out = one if out is None else out.unionByName(one)
-    return out
+    return models.feature_ablation(rows, FEATURE_GROUPS, lambda t, cols: models.fit_forest(t, cols, ABLATION_TREES), SEEDS)
 
 
 def ellipses(spark: SparkSession, sf: str) -> DataFrame:

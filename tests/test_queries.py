@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -71,7 +72,7 @@ def test_base_distances_have_96_points(spark, sf):
 
 
 def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
-    trees, costs, fusions, ablations, tests = [], [], [], [], []
+    trees, stacks, fusions, ablations, tests = [], [], [], [], []
     fit = models.fit_forest
     monkeypatch.setattr(models, "fit_forest", lambda t, cols, n=500, seed=42: trees.append(n) or fit(t, cols, 1, seed))
     QUERIES["rf_eval"](spark, sf)
@@ -79,16 +80,18 @@ def test_model_queries_run_the_whole_job(spark, sf, monkeypatch):
     trees.clear()
     QUERIES["permutation_importance"](spark, sf)
     assert trees == [500] * 5
-    monkeypatch.setattr(models, "choose_cost", lambda t, cols, seeds: costs.append(seeds) or 1.0)
+    stacked = models.Stacked
+    monkeypatch.setattr(models, "Stacked", lambda rows, n_sets, n_classes, costs: stacks.append((n_sets, costs)) or stacked(rows, n_sets, n_classes, costs))
+    monkeypatch.setattr(stacked, "fit", lambda self: np.zeros((len(self.sets), self.n_classes, self.dim + 1)))
     QUERIES["logistic_eval"](spark, sf)
-    assert costs == [(2026, 2027, 2028)] * 5
+    assert stacks == [(5 * 3 * 3 + 5, (0.01, 0.1, 1.0, 10.0))]
     stub = spark.createDataFrame([("a", "a", 1.0)], "label string, pred string, prob double")
     monkeypatch.setattr(models, "nested_fusion", lambda items, dist, cols, fit, **kw: fusions.append((dist.select("points", "weight").distinct().count(), kw["grid"], fit, kw["inner_fit"])) or stub)
     QUERIES["fusion_eval"](spark, sf)
     assert fusions[0][:2] == (12, ("points", "weight"))
-    monkeypatch.setattr(models, "feature_ablation", lambda items, groups, fit, seed=42: ablations.append((seed, fit)) or stub)
+    monkeypatch.setattr(models, "feature_ablation", lambda items, groups, fit, seeds: ablations.append((seeds, fit)) or stub)
     QUERIES["feature_ablation"](spark, sf)
-    assert [s for s, _ in ablations] == [11, 23, 42, 67, 101]
+    assert [s for s, _ in ablations] == [(11, 23, 42, 67, 101)]
     trees.clear()
     monkeypatch.setattr(models, "fit_forest", lambda t, cols, n=500, seed=42: trees.append(n))
     fusions[0][2](None), fusions[0][3](None), ablations[0][1](None, [])
