@@ -9,6 +9,7 @@ from ..operators.distance import phase_aligned_rmse, symmetric
 from ..operators.evaluation import K_CANDIDATES, grouped_folds, metrics, predictions, votes
 from ..operators.inference import labelled_pairs
 from ..operators.melody import melody_features, resample, skyline
+from ..operators.nearest import nearest_neighbours
 from ..sources.index import GENRES
 
 #: Points of a curve for the base distances.
@@ -105,3 +106,13 @@ def described(spark: SparkSession, sf: str) -> DataFrame:
     """Descriptors of all melodies, labelled by the user's most frequent kind of event."""
     kinds = table(spark, sf, "events").groupBy("user_id", "event_type").count().groupBy("user_id").agg(F.max_by("event_type", F.struct("count", "event_type")).alias("label"))
     return melody_features(melodies(spark, sf)).join(kinds, F.col("piece_id") == F.col("user_id")).drop("user_id").withColumn("id", F.col("piece_id")).withColumn("grp", F.col("piece_id"))
+
+
+def pivot_knn(spark: SparkSession, sf: str) -> DataFrame:
+    """The votes of :func:`knn` from exact neighbours by pivots: no pair is computed that cannot hold a neighbour of another fold."""
+    own = items(spark, sf).withColumn("seed", F.lit(42))
+    dealt = grouped_folds(own, 5, F.col("seed"), ("seed",)).select("id", "label", "fold")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")).join(dealt.select("id", F.col("fold").alias("part")), "id")
+    near = nearest_neighbours(vectors, max(K_CANDIDATES), 8.0)  # RMSE over 64 components
+    labelled = near.join(dealt.select(F.col("id").alias("neighbour"), "label"), "neighbour").join(dealt.select("id", "fold"), "id")
+    return votes(labelled.select("fold", F.col("id").alias("test"), "rank", "label"), ("fold",))

@@ -175,9 +175,11 @@ def ellipses(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def digests(spark: SparkSession, sf: str) -> DataFrame:
-    """One digest a source over the sorted digests of its texts, in slices of 512 by hash."""
-    d = B.table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("h"), (F.col("doc_id") % 64).alias("slice"))
-    return d.groupBy("source", "slice").agg(combined_digest(F.array_sort(F.collect_list("h"))).alias("digest"))
+    """One digest a source over the digests of 4096 slices, each over the sorted digests of its texts: slices are the first three digits of a text's digest, so they grow alike whatever the ids are."""
+    d = B.table(spark, sf, "documents").select("source", F.sha2("text", 256).alias("h")).where("h IS NOT NULL").withColumn("slice", F.substring("h", 1, 3))
+    slices = d.groupBy("source", "slice").agg(combined_digest(F.array_sort(F.collect_list("h"))).alias("digest"), F.count("*").alias("n"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("slice", "digest"))), lambda x: x["digest"])
+    return slices.groupBy("source").agg(combined_digest(ordered).alias("digest"), F.sum("n").alias("n_texts"))
 
 
 QUERIES = {
@@ -206,6 +208,7 @@ QUERIES = {
     "dtw_grid": lambda s, d: rounded(distance.dtw_grid(B.melodies(s, d))),
     "synthetic_robustness": lambda s, d: rounded(distance.synthetic_robustness(s)),
     "knn_probabilities": lambda s, d: rounded(B.knn(s, d).select("test", "k", "label", "prob"), 6),
+    "knn_pivots": lambda s, d: rounded(B.pivot_knn(s, d).select("test", "k", "label", "prob"), 6),
     "knn_predictions": lambda s, d: B.knn_results(s, d).select("id", "fold", "k", "label", "pred"),
     "choose_k": choose_k,
     "confusion": lambda s, d: evaluation.confusion(results(5)(s, d)),

@@ -189,7 +189,9 @@ t AS (
   SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_replace(file, '\\.[^.]*$', '')), '[(\\[][^)\\]]*\\b({_ANY})\\b[^)\\]]*[)\\]]', ' ', 'g'), '\\b({_ANY})\\b[^\\n]*$', ' '), '[_-]\\s*(take\\s*)?[0-9]+$', ' ') AS x FROM f)
 SELECT p_partkey, file, coalesce(nullif(regexp_replace(x, '[^a-z0-9]', '', 'g'), ''), 'untitled-' || lower(file)) AS title FROM t""",
     "prediction_keys": "SELECT p_partkey, replace(replace(replace(replace(lower(p_name || '-' || p_type || ' (x)'), '-', '_'), ' ', '_'), '(', ''), ')', '') AS key FROM part",
-    "combined_digest": "SELECT source, doc_id % 64 AS slice, sha256(string_agg(sha256(text) || chr(10), '' ORDER BY sha256(text))) AS digest FROM documents GROUP BY ALL",
+    "combined_digest": """WITH slices AS (
+  SELECT source, left(h, 3) AS slice, count(*) AS n, sha256(string_agg(h || chr(10), '' ORDER BY h)) AS digest FROM (SELECT source, sha256(text) AS h FROM documents WHERE text IS NOT NULL) GROUP BY ALL)
+SELECT source, sha256(string_agg(digest || chr(10), '' ORDER BY slice)) AS digest, sum(n)::BIGINT AS n_texts FROM slices GROUP BY source""",
     "midi_note_ons": "WITH" + NOTES + " SELECT piece_id::VARCHAR AS path, 4 AS division, tick, pitch, velocity, NULL::VARCHAR AS error FROM notes WHERE velocity > 0",
     "identifier_audit": "WITH" + FILES + " " + " UNION ALL ".join(f"SELECT '{n}' AS identifier, (SELECT count(*) FROM (SELECT {c} FROM files WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1)) AS duplicate_sets" for n, c in (("canonical_title", "title"), ("sha256", "sha"), ("melody_fingerprint", "print"))),
     "document_duplicate_groups": LABELS + ' SELECT "group", label, genres, cross_genre, versions, n_titles FROM grp',
@@ -230,6 +232,7 @@ i AS (SELECT s, shift, max(d) AS hd, quantile_cont(d, 0.95) AS q95, avg(d) AS mh
 j AS (SELECT s, max(d) AS hd, quantile_cont(d, 0.95) AS q95, avg(d) AS mhd FROM (SELECT s, kj, min(d) AS d FROM d GROUP BY ALL) GROUP BY ALL)
 SELECT round(shift::DOUBLE, 6) AS shift, round(greatest(i.hd, j.hd), 6) AS hd, round(greatest(i.q95, j.q95), 6) AS q95, round(greatest(i.mhd, j.mhd), 6) AS mhd FROM i JOIN j USING (s)""",
     "knn_probabilities": "WITH" + KNN42 + " SELECT test, k, label, round(w / sum(w) OVER (PARTITION BY test, k), 6) AS prob FROM votes",
+    "knn_pivots": "WITH" + KNN42 + " SELECT test, k, label, round(w / sum(w) OVER (PARTITION BY test, k), 6) AS prob FROM votes",
     "knn_predictions": "WITH" + KNN42 + " SELECT id, fold, k, label, pred FROM res",
     "choose_k": "WITH" + KNN42 + """,
 tr AS (SELECT o.outer_, s.seed AS sd, f.id, f.label FROM folds f, (SELECT unnest(range(5))::INT AS outer_) o, (SELECT unnest([2026, 2027, 2028])::INT AS seed) s WHERE f.fold <> o.outer_),
