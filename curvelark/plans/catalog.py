@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import FEATURE_GROUPS, canonical_title, combined_digest, prediction_key
-from ..operators import dedup, distance, evaluation, inference, melody, models
+from ..operators import dedup, distance, evaluation, inference, melody, models, warping
 from ..operators.staging import staged
 from ..sources.index import run_signature
 from ..sources.midi import note_rows, render_midi
@@ -95,6 +95,12 @@ def grid_distances(spark: SparkSession, sf: str) -> DataFrame:
     return staged(mhd.select("points", "weight", "_e.*", "dist"), "mhd")
 
 
+def warped_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The nine nearest pieces by warping, at 36 points, weight 0.25 and a band of a tenth."""
+    curves = distance.as_points(melody.relative_curve(melody.resample(B.melodies(spark, sf), 36), 0.25), ("pitch", "velocity"))
+    return rounded(warping.dtw_neighbours(curves, 9, 0.1, 36).select("id", "rank", "neighbour", "dist"))
+
+
 def sensitivity(spark: SparkSession, sf: str) -> DataFrame:
     """The accuracy of curve distances by points, at the base weight, and by weight, at the base points."""
     return rounded(evaluation.sensitivity(grid_distances(spark, sf), B.described(spark, sf).select("id", "grp", "label"), B.BASE_POINTS))
@@ -205,6 +211,7 @@ QUERIES = {
     "dtw_distances": lambda s, d: rounded(distance.multivariate_dtw(B.vector_curves(s, d).select("id", F.transform("values", lambda p: F.slice(p, 2, 1)).alias("values")), 0.1, 64)),
     "base_distances": lambda s, d: rounded(distance.base_distances(B.curves(s, d, B.BASE_POINTS))),
     "mhd_grid": lambda s, d: rounded(distance.mhd_grid(B.melodies(s, d))),
+    "dtw_neighbours": warped_neighbours,
     "dtw_grid": lambda s, d: rounded(distance.dtw_grid(B.melodies(s, d))),
     "synthetic_robustness": lambda s, d: rounded(distance.synthetic_robustness(s)),
     "knn_probabilities": lambda s, d: rounded(B.knn(s, d).select("test", "k", "label", "prob"), 6),

@@ -167,6 +167,29 @@ FROM l JOIN p USING (i, j) JOIN v USING (i, j) JOIN r USING (i, j)"""
 MHD_GRID = " UNION ALL ".join(
     "SELECT * FROM (WITH" + _grid_curve(n, w) + _family("v", "rel", _TPV) + f" SELECT {n} AS points, {w}::DOUBLE AS weight, i, j, round(mhd, 6) AS mhd FROM v)" for n in (48, 72, 96) for w in (0.0, 0.1, 0.25, 0.5)
 )
+def _dtw(points: int, weight: float, band: int) -> str:
+    """Relation ``pair`` (i, j, dtw), by anti-diagonals: d holds the costs of a diagonal by row (the first entry is row 0), c those of the one before."""
+    n, inf = points, "'inf'::DOUBLE"
+    return "WITH RECURSIVE" + _grid_curve(n, weight) + f""",
+list AS (SELECT piece_id AS id, list(pitch ORDER BY k) AS p, list(velocity ORDER BY k) AS v FROM rel GROUP BY piece_id),
+step AS (
+  SELECT a.id AS i, b.id AS j, a.p AS ap, a.v AS av, b.p AS bp, b.v AS bv, 1 AS s,
+    list_transform(range(0, {n} + 1), lambda r: {inf}) AS d, list_transform(range(0, {n} + 1), lambda r: CASE WHEN r = 0 THEN 0 ELSE {inf} END) AS c
+  FROM list a JOIN list b ON a.id < b.id
+  UNION ALL
+  SELECT i, j, ap, av, bp, bv, s + 1, list_transform(range(0, {n} + 1), lambda r: CASE WHEN r >= 1 AND s + 1 - r BETWEEN 1 AND {n} AND abs(2 * r - s - 1) <= {band}
+    THEN sqrt((ap[r] - bp[s + 1 - r]) ^ 2 + (av[r] - bv[s + 1 - r]) ^ 2) + least(d[r], d[r + 1], c[r]) ELSE {inf} END), d
+  FROM step WHERE s < 2 * {n}),
+pair AS (SELECT i, j, d[{n} + 1] / (2 * {n}) AS dtw FROM step WHERE s = 2 * {n})"""
+
+
+DTW_NEIGHBOURS = _dtw(36, 0.25, 4) + """,
+two AS (SELECT i AS id, j AS neighbour, round(dtw, 9) AS dist FROM pair UNION ALL SELECT j, i, round(dtw, 9) FROM pair)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY dist, neighbour)::INT AS rank, neighbour, round(dist, 6) AS dist FROM two QUALIFY rank <= 9"""
+DTW_GRID = " UNION ALL ".join(
+    "SELECT * FROM (" + _dtw(n, w, band) + f" SELECT {n} AS points, {w}::DOUBLE AS weight, {share}::DOUBLE AS \"window\", i, j, round(dtw, 6) AS dtw FROM pair)"
+    for n, bands in ((36, ((0.1, 4), (0.2, 7))), (48, ((0.1, 5), (0.2, 10)))) for w in (0.0, 0.25, 0.5) for share, band in bands
+)
 VECTOR_FAMILY = (
     "WITH pt AS (SELECT vec_id AS piece_id, k::INT AS k, k / (len(embedding) - 1.0) AS t, embedding[k + 1]::DOUBLE AS pitch FROM embeddings, range(64) g(k))" + _family("p", "pt", _TP)
     + " SELECT i, j, round(hd, 6) AS hd, round(q95, 6) AS q95, round(mhd, 6) AS mhd FROM p"
@@ -232,6 +255,8 @@ i AS (SELECT s, shift, max(d) AS hd, quantile_cont(d, 0.95) AS q95, avg(d) AS mh
 j AS (SELECT s, max(d) AS hd, quantile_cont(d, 0.95) AS q95, avg(d) AS mhd FROM (SELECT s, kj, min(d) AS d FROM d GROUP BY ALL) GROUP BY ALL)
 SELECT round(shift::DOUBLE, 6) AS shift, round(greatest(i.hd, j.hd), 6) AS hd, round(greatest(i.q95, j.q95), 6) AS q95, round(greatest(i.mhd, j.mhd), 6) AS mhd FROM i JOIN j USING (s)""",
     "knn_probabilities": "WITH" + KNN42 + " SELECT test, k, label, round(w / sum(w) OVER (PARTITION BY test, k), 6) AS prob FROM votes",
+    "dtw_neighbours": DTW_NEIGHBOURS,
+    "dtw_grid": DTW_GRID,
     "knn_pivots": "WITH" + KNN42 + " SELECT test, k, label, round(w / sum(w) OVER (PARTITION BY test, k), 6) AS prob FROM votes",
     "knn_predictions": "WITH" + KNN42 + " SELECT id, fold, k, label, pred FROM res",
     "choose_k": "WITH" + KNN42 + """,
