@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,6 +83,42 @@ def balanced_sample(labelled: DataFrame, per_genre: int, seed: int, usable: str
     return picked.join(F.broadcast(quota), F.col("position") <= F.col("_quota")).drop("_quota")
 
 
+def sample_by_rounds(labelled: DataFrame, per_genre: int, seed: int, parse: Callable[[DataFrame], DataFrame], max_rounds: int = 200) -> tuple[DataFrame, int]:
+    """The balanced sample where only reading a file tells whether it is usable: (the sample of :func:`balanced_sample`, how many files were read).
+
+    ``parse`` gets files (path, genre, label and all other columns of ``labelled``) and gives the paths of those that can be read. In each round just the next version of those of each class's
+    first ``per_genre`` groups that have none yet is read; a version that fails gives way to the group's next one, and a group without another to the group that follows in the class. So hardly more files are read than
+    are sampled, and none twice. Each round is written, so a lost executor costs no file that was read before. Raises if ``max_rounds`` (versions tried one after another) don't suffice.
+    """
+    key = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *c))
+    group = ["genre", "label"]
+    files = staged(candidates(labelled), "sample-files")
+    place = W.partitionBy("genre").orderBy(key(F.lit("group"), F.col("genre"), F.col("label")), "label")
+    version = W.partitionBy(*group).orderBy(key(F.lit("version"), F.col("path")), "path")
+    ordered = staged(files.select(*group, "path", F.row_number().over(version).alias("version")), "sample-versions")
+    # a row for each group: its next version, and the path once one was read
+    state = staged(ordered.groupBy(*group).agg(F.max("version").alias("last")).withColumns({"version": F.lit(1), "path": F.lit(None).cast("string")}), "sample-groups")
+    read = 0
+    for _ in range(max_rounds):
+        leading = state.where("path IS NOT NULL OR version <= last").withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= per_genre)
+        due = staged(leading.where("path IS NULL").select(*group, "version").join(ordered, [*group, "version"]), "sample-due")
+        n = due.count()
+        if not n:
+            break
+        read += n
+        good = parse(files.join(due.select("path"), "path", "left_semi")).select("path").distinct().withColumn("_good", F.lit(True))
+        tried = due.select(*group, F.col("path").alias("_tried")).join(good, F.col("_tried") == F.col("path"), "left").select(*group, "_tried", "_good")
+        after = state.join(tried, group, "left")
+        failed = F.col("_tried").isNotNull() & F.col("_good").isNull()
+        state = staged(after.select(*group, "last", (F.col("version") + failed.cast("int")).alias("version"), F.coalesce("path", F.when(F.col("_good"), F.col("_tried"))).alias("path")), "sample-groups")
+    else:
+        raise RuntimeError(f"some groups have no readable version after {max_rounds} rounds")
+    picked = state.where("path IS NOT NULL").withColumn("position", F.row_number().over(place)).where(F.col("position") <= per_genre)
+    quota = picked.groupBy("genre").agg(F.max("position").alias("n")).agg(F.min("n").alias("_quota"))  # one row
+    chosen = picked.join(F.broadcast(quota), F.col("position") <= F.col("_quota")).select("path", "position")
+    return files.join(chosen, "path"), read
+
+
 def checked_sample(sample: DataFrame) -> DataFrame:
     """The sample, stored, after making sure that there is one and that no group repeats."""
     stored = staged(sample, "sample")

@@ -45,6 +45,12 @@ def duplicate_groups(spark: SparkSession, sf: str) -> DataFrame:
     return g.select("group", "label", F.array_join("genres", "/").alias("genres"), "cross_genre", F.col("versions").cast("long").alias("versions"), F.size("titles").cast("long").alias("n_titles"))
 
 
+def read_in_rounds(spark: SparkSession, sf: str) -> DataFrame:
+    """A balanced sample of files of which some, by a digit of their digest, turn out unreadable only when they are read."""
+    sample, _ = dedup.sample_by_rounds(labelled(spark, sf), PER_GENRE, SAMPLE_SEED, lambda files: files.where("n_chars >= 200 AND sha256 >= '4'"))
+    return sample.select("genre", "path", "label", "position")
+
+
 def results(k: int):
     return lambda spark, sf: B.knn_results(spark, sf).where(F.col("k") == k)
 
@@ -203,6 +209,7 @@ QUERIES = {
     "document_duplicate_groups": duplicate_groups,
     "cross_label_conflicts": lambda s, d: dedup.conflict_summary(dedup.duplicate_groups(labelled(s, d))),
     "balanced_sample": lambda s, d: dedup.balanced_sample(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE).select("genre", "path", "label", "position"),
+    "sample_by_rounds": read_in_rounds,
     "dedup_audit": lambda s, d: dedup.data_audit(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE),
     "grouped_folds": lambda s, d: evaluation.grouped_folds(B.items(s, d), 5, F.lit(42)).select("id", "label", "fold"),
     "fold_leak_check": leak_check,

@@ -220,6 +220,7 @@ SELECT source, sha256(string_agg(digest || chr(10), '' ORDER BY slice)) AS diges
     "document_duplicate_groups": LABELS + ' SELECT "group", label, genres, cross_genre, versions, n_titles FROM grp',
     "cross_label_conflicts": LABELS + ' SELECT genres, count(*) AS group_count, sum(versions)::BIGINT AS versions, arg_min(title, "group") AS title, arg_min(file, "group") AS file FROM grp WHERE cross_genre = 1 GROUP BY genres',
     "balanced_sample": SAMPLE + " SELECT genre, path, label, position FROM sample",
+    "sample_by_rounds": SAMPLE.replace("n_chars >= 200", "n_chars >= 200 AND sha >= '4'") + " SELECT genre, path, label, position FROM sample",
     "dedup_audit": SAMPLE + """,
 own AS (
   SELECT lab.genre, count(*) AS raw, count(DISTINCT CASE WHEN cross_genre = 1 THEN label END) AS cross_genre_groups, count(DISTINCT CASE WHEN cross_genre = 0 THEN label END) AS candidate_groups,

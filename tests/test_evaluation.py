@@ -201,6 +201,28 @@ def test_duplicates_and_sample(spark, files):
         dedup.checked_sample(dedup.balanced_sample(labelled, 2, 1, "false"))
 
 
+def test_sampling_reads_few_files(spark):
+    """Planted broken versions: the sample is that of a filter beforehand, and few files are read for it, none twice."""
+    rng = np.random.default_rng(9)
+    rows = [(f"{g}/{i}-{v}", g, f"{g}/{i}", int(rng.random() < 0.6)) for g in ("Jazz", "Rock") for i in range(60) for v in range(int(rng.integers(1, 4)))]
+    rows += [(f"both/{i}", g, "both", 1) for i, g in enumerate(("Jazz", "Rock"))]
+    files = spark.createDataFrame(rows, "path string, genre string, label string, fine int")
+    seen = []
+
+    def parse(some):
+        seen.extend(r.path for r in some.collect())
+        return some.where("fine = 1")
+
+    got, read = dedup.sample_by_rounds(files, 12, 5, parse)
+    want = dedup.balanced_sample(files, 12, 5, "fine = 1")
+    columns = ["genre", "label", "path", "position"]
+    assert sorted(map(tuple, got.select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect())) and got.count() == 24
+    assert read == len(seen) == len(set(seen)) < 60
+    assert dedup.sample_by_rounds(files, 12, 5, lambda some: some.where("false"))[0].count() == 0
+    with pytest.raises(RuntimeError):
+        dedup.sample_by_rounds(files, 60, 5, lambda some: some.where("fine = 1"), 1)
+
+
 def test_models(spark):
     rng = np.random.default_rng(4)
     rows = [(i, f"g{i}", "ab"[i % 2], float(i % 2 + rng.normal() * 0.2), float(rng.normal())) for i in range(40)]
