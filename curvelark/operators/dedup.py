@@ -86,9 +86,12 @@ def balanced_sample(labelled: DataFrame, per_genre: int, seed: int, usable: str
 def sample_by_rounds(labelled: DataFrame, per_genre: int, seed: int, parse: Callable[[DataFrame], DataFrame], max_rounds: int = 200) -> tuple[DataFrame, int]:
     """The balanced sample where only reading a file tells whether it is usable: (the sample of :func:`balanced_sample`, how many files were read).
 
-    ``parse`` gets files (path, genre, label and all other columns of ``labelled``) and gives the paths of those that can be read. In each round just the next version of those of each class's
-    first ``per_genre`` groups that have none yet is read; a version that fails gives way to the group's next one, and a group without another to the group that follows in the class. So hardly more files are read than
-    are sampled, and none twice. Each round is written, so a lost executor costs no file that was read before. Raises if ``max_rounds`` (versions tried one after another) don't suffice.
+    ``parse`` gets files (path, genre, label and all other columns of ``labelled``) and gives the paths of those that can be read. In each round just
+    the next version of those of each class's
+    first ``per_genre`` groups that have none yet is read; a version that fails gives way to the group's next one, and a group without another to the
+    group that follows in the class. So hardly more files are read than
+    are sampled, and none twice. Each round is written, so a lost executor costs no file that was read before. Raises if ``max_rounds`` (versions
+    tried one after another) don't suffice.
     """
     key = lambda *c: F.md5(F.concat_ws("|", F.lit(str(seed)), *c))
     group = ["genre", "label"]
@@ -134,10 +137,13 @@ def data_audit(labelled: DataFrame, per_genre: int, seed: int, usable: str = "tr
     """By class, and in total: files, groups that span classes, groups within the class, usable ones (the quota at most), and selected ones."""
     spans = labelled.groupBy("label").agg((F.count_distinct("genre") > 1).cast("int").alias("_x"))
     rows = labelled.join(spans, "label")
-    own = rows.groupBy("genre").agg(F.count("*").alias("raw"), F.count_distinct(F.when(F.col("_x") == 1, F.col("label"))).alias("cross_genre_groups"), F.count_distinct(F.when(F.col("_x") == 0, F.col("label"))).alias("candidate_groups"), F.count_distinct(F.when((F.col("_x") == 0) & F.expr(usable), F.col("label"))).alias("_usable"))
+    groups = lambda where: F.count_distinct(F.when(where, F.col("label")))
+    across, within = F.col("_x") == 1, F.col("_x") == 0
+    counted = [F.count("*").alias("raw"), groups(across).alias("cross_genre_groups"), groups(within).alias("candidate_groups")]
+    own = rows.groupBy("genre").agg(*counted, groups(within & F.expr(usable)).alias("_usable"))
     own = own.withColumn("usable_groups", F.least("_usable", F.lit(per_genre))).drop("_usable")
     chosen = balanced_sample(labelled, per_genre, seed, usable).groupBy("genre").agg(F.count("*").alias("selected"))
     by_genre = own.join(chosen, "genre", "left").withColumn("selected", F.coalesce("selected", F.lit(0)))
-    all_ = rows.agg(F.lit("TOTAL").alias("genre"), F.count("*").alias("raw"), F.count_distinct(F.when(F.col("_x") == 1, F.col("label"))).alias("cross_genre_groups"), F.count_distinct(F.when(F.col("_x") == 0, F.col("label"))).alias("candidate_groups"))
+    all_ = rows.agg(F.lit("TOTAL").alias("genre"), *counted)
     summed = by_genre.agg(F.lit("TOTAL").alias("genre"), F.sum("usable_groups").alias("usable_groups"), F.sum("selected").alias("selected"))
     return by_genre.unionByName(all_.join(summed, "genre"))

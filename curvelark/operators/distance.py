@@ -56,7 +56,8 @@ def _q95(d: np.ndarray) -> np.ndarray:
 
 
 def nearest_summaries(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
-    """Curve (n, d) and curves (m, k, d): of the distances to the nearest point of the other curve, the larger of both directions' maxima (hd), 0.95 quantiles (q95) and means (mhd).
+    """Curve (n, d) and curves (m, k, d): of the distances to the nearest point of the other curve, the larger of both directions' maxima (hd), 0.95
+    quantiles (q95) and means (mhd).
 
     One matrix product finds the nearest points; their distances are then taken from the differences, so equal points are at 0.
     """
@@ -147,7 +148,9 @@ HELD = 1 << 15
 
 
 def grid_curves(melody: DataFrame, points: tuple[int, ...]) -> DataFrame:
-    """(id, values), stored: one array a piece with the relative pitch and the unweighted loudness of its curves of all these numbers of points, one after another."""
+    """(id, values), stored: one array a piece with the relative pitch and the unweighted loudness of its curves of all these numbers of points, one
+    after another.
+    """
     from .melody import relative_curve, resample
 
     out = None
@@ -158,7 +161,9 @@ def grid_curves(melody: DataFrame, points: tuple[int, ...]) -> DataFrame:
 
 
 def mhd_kernel(points: tuple[int, ...], weights: tuple[float, ...]) -> Callable[[np.ndarray, np.ndarray], dict[str, np.ndarray]]:
-    """One piece against many in all cells of the grid: squared differences of pitch and of loudness are formed once for each number of points and added up by weight."""
+    """One piece against many in all cells of the grid: squared differences of pitch and of loudness are formed once for each number of points and
+    added up by weight.
+    """
 
     def run(a: np.ndarray, b: np.ndarray) -> dict[str, np.ndarray]:
         out = {f"c{i}_{j}": np.empty(len(b)) for i in range(len(points)) for j in range(len(weights))}
@@ -231,7 +236,9 @@ def full_matrix(pairs: DataFrame, value: str) -> DataFrame:
 
 
 def distance_checks(matrix: DataFrame, value: str = "dist") -> DataFrame:
-    """One row about a matrix (i, j, value): cells, items, the largest value of the diagonal, cells without their like across it, cells that are no distance, and the share of pairs that differ."""
+    """One row about a matrix (i, j, value): cells, items, the largest value of the diagonal, cells without their like across it, cells that are no
+    distance, and the share of pairs that differ.
+    """
     d = F.col(value)
     m = matrix.select("i", "j", d.alias("d"))
     both = m.join(m.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("d").alias("r")), ["i", "j"], "left")

@@ -39,7 +39,9 @@ def farthest_first(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def _search(k: int, divisor: float, same_block: bool):
-    """The function of two blocks: (id, neighbour, dist, computed) of the k nearest items of the second for each item of the first, as far as they are within its reach."""
+    """The function of two blocks: (id, neighbour, dist, computed) of the k nearest items of the second for each item of the first, as far as they are
+    within its reach.
+    """
 
     def run(asks: pa.Table, rows: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -64,13 +66,18 @@ def _search(k: int, divisor: float, same_block: bool):
 
 
 def nearest_neighbours(items: DataFrame, k: int, divisor: float = 1.0, pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(id, v, part) -> (id, rank, neighbour, dist, computed): of each item its k nearest items of other parts, by Euclidean distance of v over ``divisor`` (to DIGITS digits), ties to the smaller id.
-
-    Every item has its distances to a bounded number of pivots and is in the cell of its nearest one; cells are split into blocks by hash. 1. Each item is compared with its own block, so its kth
-    distance cannot be larger than what it finds. 2. It then meets the blocks of those cells whose pivot distances, by the triangle inequality, let them hold a nearer item, and there
-    only such items. ``computed`` tells how many distances were computed for the item, which is what pruning saves; it is nearly all where items have no clusters. Blocks meet in tasks of two blocks.
-
-    A null part means that the item may have neighbours of every part. Vectors have one length; items with null vectors or components take no part. Ids are unique. Fewer candidates than k give as many ranks, an empty table gives none.
+    """(id, v, part) -> (id, rank, neighbour, dist, computed): of each item its k nearest items of other parts, by Euclidean distance of v over
+    ``divisor`` (to DIGITS digits), ties to the smaller id.
+
+    Every item has its distances to a bounded number of pivots and is in the cell of its nearest one; cells are split into blocks by hash. 1. Each
+    item is compared with its own block, so its kth
+    distance cannot be larger than what it finds. 2. It then meets the blocks of those cells whose pivot distances, by the triangle inequality, let
+    them hold a nearer item, and there
+    only such items. ``computed`` tells how many distances were computed for the item, which is what pruning saves; it is nearly all where items have
+    no clusters. Blocks meet in tasks of two blocks.
+
+    A null part means that the item may have neighbours of every part. Vectors have one length; items with null vectors or components take no part.
+    Ids are unique. Fewer candidates than k give as many ranks, an empty table gives none.
     """
     spark = items.sparkSession
     v = F.col("v").cast("array<double>")

@@ -35,9 +35,11 @@ def _probabilities(x: np.ndarray, models: np.ndarray) -> np.ndarray:
 
 
 class Stacked:
-    """Models of all pairs of training sets and costs. ``rows`` is (id, x: features, y: class number, ins: sets that the row trains, outs: sets that it is held out of), stored; sets are numbered from 0.
+    """Models of all pairs of training sets and costs. ``rows`` is (id, x: features, y: class number, ins: sets that the row trains, outs: sets that
+    it is held out of), stored; sets are numbered from 0.
 
-    A model has least cost * sum(w * loss) + |coefficients|^2 / 2, intercepts free, on features standardized within its set (population deviation; a feature without one stays 0), w giving all
+    A model has least cost * sum(w * loss) + |coefficients|^2 / 2, intercepts free, on features standardized within its set (population deviation; a
+    feature without one stays 0), w giving all
     classes of the set the same sum. What tasks and driver hold is bounded by models, classes and features, never by rows: a task sends one gradient a model.
     """
 
