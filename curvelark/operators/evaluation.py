@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .staging import staged
+
 # Fixed values of the protocol.
 K_CANDIDATES = (1, 3, 5, 7, 9)
 INNER_SEEDS = (2026, 2027, 2028)
@@ -18,16 +21,66 @@ def grouped_folds(items: DataFrame, folds: int, seed: Column, by: tuple[str, ...
 
     Places in that order are counted in ranges of the hash and offset by the ranges before, so no task orders a whole class.
     """
-    groups = items.select(*by, "label", "grp").distinct().withColumn("_h", F.md5(F.concat_ws("|", seed.cast("string"), F.col("grp").cast("string")))).withColumn("_b", F.substring("_h", 1, 2))
-    own = (*by, "label")
-    sizes = groups.groupBy(*own, "_b").agg(F.count("*").alias("_n"))  # 256 rows a class at most
-    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*own).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    place = F.row_number().over(W.partitionBy(*own, "_b").orderBy("_h", "grp")) - 1
-    dealt = groups.withColumn("_place", place).join(before, [*own, "_b"]).withColumn("fold", ((F.col("_place") + F.col("_before")) % folds).cast("int"))
+    groups = items.select(*by, "label", "grp").distinct().withColumn("_h", F.md5(F.concat_ws("|", seed.cast("string"), F.col("grp").cast("string"))))
+    dealt = _placed(groups, (*by, "label")).withColumn("fold", (F.col("_place") % folds).cast("int"))
     one = dealt.groupBy(*by, "grp").agg(F.min("fold").alias("fold"))  # a group with several labels follows its first
     return items.join(one, [*by, "grp"])
 
 
+def _placed(groups: DataFrame, own: tuple[str, ...]) -> DataFrame:
+    """Adds ``_place``, from 0, in the order of a hash ``_h`` (hexadecimal digits) among the groups with the same ``own`` columns."""
+    ranged = groups.withColumn("_b", F.substring("_h", 1, 2))
+    sizes = ranged.groupBy(*own, "_b").agg(F.count("*").alias("_n"))  # 256 rows at most for each value of own
+    before = sizes.withColumn("_before", F.sum("_n").over(W.partitionBy(*own).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
+    within = F.row_number().over(W.partitionBy(*own, "_b").orderBy("_h", "grp")) - 1
+    return ranged.withColumn("_within", within).join(before, [*own, "_b"]).withColumn("_place", F.col("_within") + F.col("_before")).drop("_b", "_within", "_before")
+
+
+#: Kinds of groups that one task deals out.
+KINDS = 4096
+
+
+def stratified_group_folds(items: DataFrame, folds: int = 5, seed: int = 42, kinds: int = KINDS) -> DataFrame:
+    """(id, grp, label) -> with ``fold``: a group is in one fold, and the rows of every label are spread over the folds as evenly as whole groups allow.
+
+    Groups with equal counts of all labels are of one kind. Whole rounds of a kind (a group for each fold) change no fold's shares, so they are dealt
+    in the order of a hash with the seed; only what is left over of each kind, fewer groups than folds, is dealt one after another, larger groups first, each
+    to the fold where it least raises the sum over labels of the squared shares (ties to the fold with fewer rows, then to the first). The cost is thus that of
+    kinds, not of groups; beyond ``kinds`` of them, shares of the kinds by hash are balanced apart, each in a task of its own. Rows without a
+    group are one group, those without a label one label; an empty table stays empty.
+    """
+    totals = items.groupBy("label").agg(F.count("*").alias("n")).collect()  # a row for each label
+    names = sorted(r["label"] for r in totals if r["label"] is not None)
+    number = F.coalesce(F.array_position(F.array(*map(F.lit, names)).cast("array<string>"), F.col("label").cast("string")), F.lit(0)).cast("int")
+    size = {r["label"]: r["n"] for r in totals}
+    weight = [1.0 / max(1, size.get(None, 0)) ** 2, *(1.0 / size[n] ** 2 for n in names)]
+    held = items.groupBy("grp", number.alias("_l")).agg(F.count("*").alias("_n")).groupBy("grp").agg(F.array_sort(F.collect_list(F.struct("_l", "_n"))).alias("_v"))
+    kind = F.array_join(F.transform("_v", lambda x: F.concat_ws(":", x["_l"].cast("string"), x["_n"].cast("string"))), ",")
+    hashed = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("grp").cast("string"), F.lit(""))))
+    groups = staged(_placed(held.select("grp", "_v", kind.alias("kind"), hashed.alias("_h")), ("kind",)), "groups")
+    left = groups.groupBy("kind").agg(F.count("*").alias("_m"), F.first("_v").alias("_v")).where(F.col("_m") % folds > 0)
+    chunks = max(1, -(-left.count() // kinds))
+    chunk = F.pmod(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "kind")), 1, 8), 16, 10).cast("long"), F.lit(chunks)).cast("int")
+
+    def deal(own: pd.DataFrame) -> pd.DataFrame:
+        order = sorted(((-sum(x["_n"] for x in v), k, m, [(x["_l"], x["_n"]) for x in v]) for k, m, v in zip(own["kind"], own["_m"], own["_v"], strict=True)), key=lambda o: o[:2])
+        have, rows, out = [[0] * len(weight) for _ in range(folds)], [0] * folds, []
+        for negative, k, m, v in order:
+            for place in range(m - m % folds, m):
+                cost = [round(sum(have[f][label] * n * weight[label] for label, n in v), 12) for f in range(folds)]
+                f = min(range(folds), key=lambda f: (cost[f], rows[f], f))
+                rows[f] -= negative
+                for label, n in v:
+                    have[f][label] += n
+                out.append((k, place, (f + int(own["_c"].iloc[0])) % folds))
+        return pd.DataFrame(out, columns=["kind", "_place", "_f"])
+
+    dealt = left.withColumn("_c", chunk).groupBy("_c").applyInPandas(deal, "kind string, _place long, _f int")
+    fold = F.coalesce("_f", (F.col("_place") % folds).cast("int"))
+    one = groups.join(dealt, ["kind", "_place"], "left").select(F.col("grp").alias("_grp"), fold.alias("fold"))
+    return items.join(one, F.col("grp").eqNullSafe(F.col("_grp"))).drop("_grp")
+
+
 def group_leaks(folds: DataFrame) -> DataFrame:
     """(grp, folds) of groups in more than one fold: none, if folds are sound."""
     return folds.groupBy("grp").agg(F.count_distinct("fold").alias("folds")).where("folds > 1")

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .staging import hash_sample, staged
+
 
 def labelled_pairs(pairs: DataFrame, items: DataFrame) -> DataFrame:
     """(i, j, dist) with the labels and groups of both ends and whether the labels are the same."""
@@ -27,7 +29,7 @@ def ranked_values(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     Pairs are counted by distance first, and distances are ranked in ranges of their own order, offset by the ranges before: no task
     sorts all pairs.
     """
-    from .staging import staged
+
 
     by_value = pairs.groupBy("dist").agg(F.sum("same").alias("w"), F.sum(1 - F.col("same")).alias("b"))
     dealt = staged(by_value.repartitionByRange("dist").withColumn("_part", F.spark_partition_id()), "ranks")
@@ -125,7 +127,7 @@ def permutation_test(spark: SparkSession, pairs: DataFrame, items: DataFrame, it
     parts = pairs.select("i", "j", F.col("dist").cast("double").alias("dist")).mapInArrow(place, "bi long, bj long, i long, j long, dist double")
     summed = parts.groupBy("bi", "bj").applyInArrow(add, "iteration long, s double, n double, all_s double, all_n double").groupBy("iteration").agg(*(F.sum(c).alias(c) for c in ("s", "n", "all_s", "all_n")))
     gaps = summed.select("iteration", ((F.col("all_s") - F.col("s")) / (F.col("all_n") - F.col("n")) - F.col("s") / F.col("n")).alias("gap"))
-    from .staging import staged
+
 
     gaps = staged(gaps, "gaps")
     observed = gaps.where("iteration = 0").select(F.col("gap").alias("observed"))  # one row
@@ -227,6 +229,64 @@ def mds(matrix: np.ndarray, seed: int = 42, inits: int = 2, iterations: int = 30
     return best
 
 
+def landmark_layout(vectors: DataFrame, scale: float = 1.0, landmarks: int = 256, seed: int = 42) -> DataFrame:
+    """(id, v) -> (id, x, y, error): a position in the plane for every item, whatever their number.
+
+    ``landmarks`` items, drawn by a hash of the id, are laid out by :func:`mds`; their vectors and positions, bounded by that number, go to all tasks. Every other item
+    is put where its distances to the landmarks are met best, from its three nearest landmarks, by the same majorization; error is
+    the root mean square of what they are missed by. Distances are Euclidean over ``scale``. Items whose vector is null, of another length
+    than most, or holds null or non-finite components have null positions. Equal vectors get equal positions, but for landmarks, which keep their own.
+    """
+    spark = vectors.sparkSession
+    sound = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    rows = vectors.select("id", F.col("v").cast("array<double>").alias("v"))
+    most = rows.where(sound).groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    if most is None:
+        return rows.select("id", *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "error")))
+    usable = sound & (F.size("v") == most["n"])
+    chosen = sorted(hash_sample(rows.where(usable), "id", landmarks, seed).collect(), key=lambda r: r["id"])
+    marks = np.array([r["v"] for r in chosen])
+    gap = lambda x: np.sqrt(np.maximum((x * x).sum(1)[:, None] - 2 * x @ marks.T + (marks * marks).sum(1), 0)) / scale
+    between = gap(marks)
+    np.fill_diagonal(between, 0)
+    spots, _ = mds((between + between.T) / 2, seed)
+    shared = spark.sparkContext.broadcast(({r["id"]: i for i, r in enumerate(chosen)}, spots))
+
+    def placed(want: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+        at, rest = shared.value[1], None
+        starts = np.argsort(want, axis=1, kind="stable")[:, :3]
+        for s in starts.T:
+            x = at[s] + 1e-6
+            for _ in range(rounds):
+                off = x[:, None] - at[None]
+                far = np.sqrt((off * off).sum(-1))
+                x = (at[None] + off * (want / np.maximum(far, 1e-12))[..., None]).mean(axis=1)
+            error = np.sqrt(((np.sqrt(((x[:, None] - at[None]) ** 2).sum(-1)) - want) ** 2).mean(axis=1))
+            if rest is None:
+                best, rest = x, error
+            else:
+                better = error < rest
+                best, rest = np.where(better[:, None], x, best), np.where(better, error, rest)
+        return best, rest
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, at = shared.value
+        for b in batches:
+            for a in range(0, len(b), 512):
+                part = b.iloc[a : a + 512]
+                want = gap(np.array(part["v"].tolist()))
+                x, error = placed(want)
+                for i, k in enumerate(part["id"]):
+                    if k in own:
+                        x[i] = at[own[k]]
+                        error[i] = np.sqrt(((np.sqrt(((x[i] - at) ** 2).sum(-1)) - want[i]) ** 2).mean())
+                yield pd.DataFrame({"id": part["id"], "x": x[:, 0], "y": x[:, 1], "error": error})
+
+    kind = rows.schema["id"].dataType.simpleString()
+    found = rows.where(usable).mapInPandas(run, f"id {kind}, x double, y double, error double")
+    return found.unionByName(rows.where(~F.coalesce(usable, F.lit(False))).select("id", *(F.lit(None).cast("double").alias(c) for c in ("x", "y", "error"))))
+
+
 def covariance_ellipses(points: DataFrame, scale: float = 3.1) -> DataFrame:
     """(label, x, y, width, height, angle) of (label, x, y): axes of the covariance, ``scale`` deviations long. The eigenvalues of two by two have a closed form."""
     c = points.groupBy("label").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"), F.var_samp("x").alias("a"), F.covar_samp("x", "y").alias("b"), F.var_samp("y").alias("d"))

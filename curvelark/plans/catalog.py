@@ -143,6 +143,19 @@ def mds_points(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(n, float(x), float(y), stress) for n, (x, y) in zip(names, at, strict=True)], "label string, x double, y double, stress double")
 
 
+def layout(spark: SparkSession, sf: str) -> DataFrame:
+    """Every embedding in the plane, by its distances to 256 landmarks."""
+    e = B.table(spark, sf, "embeddings")
+    at = inference.landmark_layout(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), 8.0)  # RMSE over 64 components
+    return rounded(at.join(B.items(spark, sf).select("id", "label"), "id").select("id", "label", "x", "y", "error"), 4)
+
+
+def order_folds(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders in folds: all orders of a customer in one, with priorities spread evenly."""
+    o = B.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("grp"), F.col("o_orderpriority").alias("label"))
+    return evaluation.stratified_group_folds(o).select("id", "grp", "label", "fold")
+
+
 def top_disagreements(spark: SparkSession, sf: str) -> DataFrame:
     """The first 30 pieces that methods disagree on or get wrong."""
     rows = disagreements(spark, sf)
@@ -212,6 +225,7 @@ QUERIES = {
     "sample_by_rounds": read_in_rounds,
     "dedup_audit": lambda s, d: dedup.data_audit(labelled(s, d), PER_GENRE, SAMPLE_SEED, USABLE),
     "grouped_folds": lambda s, d: evaluation.grouped_folds(B.items(s, d), 5, F.lit(42)).select("id", "label", "fold"),
+    "stratified_group_folds": order_folds,
     "fold_leak_check": leak_check,
     "curve_phase_rmse": lambda s, d: B.pairs(s, d),
     "curve_hausdorff_family": lambda s, d: rounded(distance.distance_family(B.vector_curves(s, d))),
@@ -244,6 +258,7 @@ QUERIES = {
     "distance_checks": lambda s, d: rounded(distance.distance_checks(distance.full_matrix(B.pairs(s, d), "dist"))),
     "top_disagreements": top_disagreements,
     "mds_points": mds_points,
+    "mds_pieces": layout,
     "run_signature": signature,
     "sensitivity": sensitivity,
     "tuned_distance": tuned_distance,

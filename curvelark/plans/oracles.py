@@ -196,6 +196,31 @@ VECTOR_FAMILY = (
 )
 HEX8 = "right(lpad(to_hex(({})::BIGINT), 16, '0'), 8)"
 
+# The sequential deal, one step a group: labels by number, counts of all labels as lists, the state as one list of folds by labels.
+ORDER_FOLDS = """WITH RECURSIVE
+c AS (SELECT o_custkey AS g, o_orderpriority AS l, count(*) AS n FROM orders GROUP BY ALL),
+lab AS (SELECT l, sum(n)::DOUBLE AS t, row_number() OVER (ORDER BY l) AS p FROM c GROUP BY l),
+w AS (SELECT list(1.0 / (t * t) ORDER BY p) AS w, count(*)::INT AS nl FROM lab),
+grid AS (SELECT g, p, coalesce(n, 0) AS n FROM (SELECT DISTINCT g FROM c) CROSS JOIN lab LEFT JOIN c USING (g, l)),
+v AS (SELECT g, list(n ORDER BY p) AS v, string_agg(p || ':' || n, ',' ORDER BY p) FILTER (n > 0) AS kind, sum(n)::BIGINT AS size FROM grid GROUP BY g),
+placed AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY md5('42|' || g), g) - 1 AS place, count(*) OVER (PARTITION BY kind) AS m FROM v),
+chunks AS (SELECT greatest(1, ceil(count(DISTINCT kind) / 4096.0))::BIGINT AS n FROM placed WHERE m % 5 > 0),
+rest AS (SELECT g, v, size, (('0x' || substr(md5('42|' || kind), 1, 8))::BIGINT % n)::INT AS chunk, kind, place FROM placed, chunks WHERE place >= m - m % 5),
+ord AS (SELECT *, row_number() OVER (PARTITION BY chunk ORDER BY size DESC, kind, place) AS o FROM rest),
+deal(chunk, o, g, f, s) AS (
+  SELECT DISTINCT chunk, 0::BIGINT, NULL::BIGINT, NULL::INT, list_transform(range(5 * nl), lambda i: 0::BIGINT) FROM ord, w
+  UNION ALL
+  SELECT chunk, o, g, f, list_transform(range(5 * nl), lambda i: s[i + 1] + CASE WHEN i // nl = f THEN v[i % nl + 1] ELSE 0 END)
+  FROM (
+    SELECT d.chunk, r.o, r.g, r.v, d.s, nl, list_sort(list_transform(range(5), lambda f: struct_pack(
+        cost := round(list_sum(list_transform(range(nl), lambda i: d.s[f * nl + i + 1] * r.v[i + 1] * w[i + 1])), 12),
+        held := list_sum(list_transform(range(nl), lambda i: d.s[f * nl + i + 1])), f := f)))[1].f::INT AS f
+    FROM deal d JOIN ord r ON r.chunk = d.chunk AND r.o = d.o + 1, w)),
+fold AS (
+  SELECT g, ((f + chunk) % 5)::INT AS fold FROM deal WHERE o > 0
+  UNION ALL SELECT g, (place % 5)::INT FROM placed WHERE place < m - m % 5)
+SELECT o_orderkey AS id, o_custkey AS grp, o_orderpriority AS label, fold FROM orders JOIN fold ON g = o_custkey"""
+
 ORACLES = {
     "skyline": "WITH" + SKY + " SELECT piece_id, beat, pitch, velocity FROM sky",
     "resample_in_time": "WITH" + CURVE + " SELECT piece_id, k, round(t, 6) AS t, round(pitch, 6) AS pitch, round(velocity, 6) AS velocity FROM curve",
@@ -230,6 +255,7 @@ by_genre AS (SELECT own.*, (SELECT count(*) FROM sample s WHERE s.genre = own.ge
 SELECT genre, raw, cross_genre_groups, candidate_groups, usable_groups, selected FROM by_genre
 UNION ALL SELECT 'TOTAL', (SELECT count(*) FROM files), (SELECT count(*) FROM grp WHERE cross_genre = 1), (SELECT count(*) FROM grp WHERE cross_genre = 0), sum(usable_groups)::BIGINT, sum(selected)::BIGINT FROM by_genre""",
     "grouped_folds": "WITH" + KNN42 + " SELECT id, label, fold FROM folds",
+    "stratified_group_folds": ORDER_FOLDS,
     "fold_leak_check": "WITH" + KNN42 + """,
 g AS (SELECT DISTINCT label, id % 50 AS grp FROM e),
 dealt AS (SELECT grp, ((row_number() OVER (PARTITION BY label ORDER BY md5('42|' || grp), grp) - 1) % 5)::INT AS fold FROM g),

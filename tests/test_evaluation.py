@@ -1,3 +1,7 @@
+import hashlib
+import random
+from collections import Counter, defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -19,6 +23,74 @@ def line(spark):
     return items, dist
 
 
+def dealt_one_by_one(rows, folds, seed):
+    """Group to fold, by the plain rule: every group in turn against the sums of squared shares."""
+    counts, totals = defaultdict(Counter), Counter()
+    for grp, label in rows:
+        counts[grp][label] += 1
+        totals[label] += 1
+    names = sorted(totals, key=lambda n: (n is not None, n))
+    number = {n: i if None in totals else i + 1 for i, n in enumerate(names)}
+    kinds = defaultdict(list)
+    for grp, c in counts.items():
+        kinds[",".join(f"{number[n]}:{c[n]}" for n in names if n in c)].append(grp)
+    out, state = {}, [Counter() for _ in range(folds)]
+    for kind, own in kinds.items():
+        own.sort(key=lambda g: (hashlib.md5(f"{seed}|{'' if g is None else g}".encode()).hexdigest(), g))
+        kinds[kind] = own
+    for kind, own in sorted(kinds.items(), key=lambda k: (-sum(counts[k[1][0]].values()), k[0])):
+        for place, grp in enumerate(own):
+            if place < len(own) - len(own) % folds:
+                out[grp] = place % folds
+                continue
+            spread = lambda f: round(sum(state[f][n] * counts[grp][n] / totals[n] ** 2 for n in names), 12)  # noqa: B023,E731
+            f = min(range(folds), key=lambda f: (spread(f), sum(state[f].values()), f))
+            state[f].update(counts[grp])
+            out[grp] = f
+    return out
+
+
+def shares_apart(rows, fold, folds):
+    """The largest difference of a fold's share of a label from an even one."""
+    by = defaultdict(Counter)
+    for grp, label in rows:
+        by[label][fold[grp]] += 1
+    return max(abs(c[f] / sum(c.values()) - 1 / folds) for c in by.values() for f in range(folds))
+
+
+def test_stratified_group_folds(spark):
+    rng = random.Random(5)
+    rows = []
+    for g in range(300):
+        for _ in range(rng.choice([1, 1, 1, 2, 3, 8])):
+            rows.append((g, rng.choices(["a", "b", "c", None], [6, 3, 1, 1])[0]))
+    rows += [(1000, "a")] * 40 + [(None, "b")] * 3
+    items = spark.createDataFrame([(i, g, x) for i, (g, x) in enumerate(rows)], "id long, grp long, label string").repartition(7)
+    for seed in (42, 7):
+        got = E.stratified_group_folds(items, 5, seed).collect()
+        assert sorted(r.id for r in got) == list(range(len(rows)))
+        fold = {r.grp: r.fold for r in got}
+        assert all(fold[r.grp] == r.fold for r in got) and fold == dealt_one_by_one(rows, 5, seed)
+        assert shares_apart(rows, fold, 5) < 0.03
+    apart = {r.grp: r.fold for r in E.stratified_group_folds(items, 5, 42, kinds=16).collect()}  # kinds in several tasks
+    assert len(apart) == 302 and shares_apart(rows, apart, 5) < 0.15
+    assert E.stratified_group_folds(items.where("false")).count() == 0
+
+
+def test_layout_by_landmarks(spark):
+    rng = np.random.default_rng(3)
+    plane = rng.normal(size=(700, 2)) * 4
+    turned = plane @ np.linalg.qr(rng.normal(size=(6, 6)))[0][:2]  # a plane in six dimensions
+    data = [(i, v.tolist()) for i, v in enumerate(turned)] + [(900, turned[5].tolist()), (901, None), (902, [float("nan")] * 6), (903, [1.0]), (904, [None] * 6)]
+    got = {r.id: r for r in I.landmark_layout(spark.createDataFrame(data, "id long, v array<double>"), 2.0, 60).collect()}
+    assert len(got) == 705 and all(got[i].x is None and got[i].error is None for i in (901, 902, 903, 904))
+    at = np.array([[got[i].x, got[i].y] for i in range(700)])
+    gap = lambda x: np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    assert np.abs(gap(at) - gap(plane) / 2).max() < 0.1 and max(got[i].error for i in range(700)) < 0.05
+    assert np.hypot(got[900].x - got[5].x, got[900].y - got[5].y) < 0.05
+    assert I.landmark_layout(spark.createDataFrame([], "id long, v array<double>")).count() == 0
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 9), (5, 5), (None, 1), (4, 3), *[(k, k + 1) for k in range(20, 60)]], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}

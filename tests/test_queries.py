@@ -17,7 +17,7 @@ from curvelark.plans import bases as B
 from curvelark.plans.catalog import ORACLES, QUERIES
 from jobs.registered import QUERIES as JOBS
 
-CHEAP = ["skyline", "resample_in_time", "melody_fingerprint", "features_rhythm", "canonical_titles", "document_duplicate_groups", "dedup_audit", "midi_note_ons", "curve_phase_rmse", "knn_probabilities", "knn_pivots", "mcnemar_holm", "pair_auc", "synthetic_robustness", "fold_leak_check", "aligned_probabilities", "distance_checks", "top_disagreements", "base_distances", "distance_statistics", "distance_histogram", "grouped_folds"]
+CHEAP = ["skyline", "resample_in_time", "melody_fingerprint", "features_rhythm", "canonical_titles", "document_duplicate_groups", "dedup_audit", "midi_note_ons", "curve_phase_rmse", "knn_probabilities", "knn_pivots", "mcnemar_holm", "pair_auc", "synthetic_robustness", "fold_leak_check", "aligned_probabilities", "distance_checks", "top_disagreements", "base_distances", "distance_statistics", "distance_histogram", "grouped_folds", "stratified_group_folds"]
 
 
 def tables(sf):
