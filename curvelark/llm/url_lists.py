@@ -44,24 +44,34 @@ def judge_captures(captures: DataFrame, entries: DataFrame, salts: int = 16) ->
     """Captures (any columns, with url and fetched_on) joined as of fetch time with the entries active then.
 
     Adds host, blocked, n_active (patterns of the host or a parent domain that were active), pattern (the longest of
-    them) and listed_on (since when). Captures are first reduced to distinct (host, fetch time), so one
-    host with a third of all captures is as many keys as it has fetch times; a parent domain that many hosts share is
-    salted. Each capture has one result, repeated ones too; null URLs and times match nothing.
+    them) and listed_on (when the span that holds the fetch time began: an add of what is listed already begins a new one); columns of these names that
+    captures have are replaced. Captures are first reduced to distinct (host, fetch time). Those times and the starts of spans are put in one order
+    for each pattern, and each time looks back to the last start: one row for each pattern of a key, however often the pattern was listed and
+    removed. A parent domain that many hosts share is salted. Each capture has one result, repeated ones too; null URLs and times match nothing, and
+    such captures are not brought together in one task. URLs of any length are read whole. Without captures there are no rows, without entries nothing is blocked.
     """
-    keyed = captures.withColumn("host", host_of(F.col("url")))
-    keys = keyed.where("host <> '' AND fetched_on IS NOT NULL").select("host", "fetched_on").distinct()
+    keyed = captures.drop("host", "blocked", "n_active", "pattern", "listed_on").withColumn("host", host_of(F.col("url")))
+    known = (F.col("host") != "") & F.col("fetched_on").isNotNull()
+    keys = keyed.where(known).select("host", "fetched_on").distinct()
     asked = keys.select("host", "fetched_on", F.explode(suffixes(F.col("host"))).alias("pattern"), F.pmod(F.xxhash64("host", "fetched_on"), F.lit(salts)).cast("int").alias("_salt"))
     spans = validity_intervals(entries).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    starts = spans.select("pattern", "_salt", F.col("valid_from").alias("_at"), F.struct("valid_from", "valid_to").alias("_span"))
+    times = asked.select("pattern", "_salt", F.col("fetched_on").alias("_at"), "host", "fetched_on")
+    back = W.partitionBy("pattern", "_salt").orderBy("_at", F.col("host").isNotNull()).rowsBetween(W.unboundedPreceding, W.currentRow)
     active = (
-        asked.join(spans, ["pattern", "_salt"])
-        .where((F.col("valid_from") <= F.col("fetched_on")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to"))))
+        starts.unionByName(times, allowMissingColumns=True)
+        .withColumn("_span", F.last("_span", ignorenulls=True).over(back))
+        .where(F.col("host").isNotNull() & F.col("_span").isNotNull() & (F.col("_span.valid_to").isNull() | (F.col("fetched_on") < F.col("_span.valid_to"))))
         .groupBy("host", "fetched_on")
-        .agg(F.count("*").alias("n_active"), F.max(F.struct(F.length("pattern"), F.col("pattern"), F.col("valid_from"))).alias("_top"))
+        .agg(F.count("*").alias("_judge_n"), F.max(F.struct(F.length("pattern"), F.col("pattern"), F.col("_span.valid_from").alias("valid_from"))).alias("_judge_top"))
+        .withColumn("_judge_apart", F.lit(0).cast("long"))
     )
+    # captures that can match nothing get a key of their own each
+    apart = keyed.withColumn("_judge_apart", F.when(known, 0).otherwise(F.monotonically_increasing_id() + 1).cast("long"))
     return (
-        keyed.join(active, ["host", "fetched_on"], "left")
-        .withColumns({"blocked": F.col("n_active").isNotNull(), "n_active": F.coalesce("n_active", F.lit(0)), "pattern": F.col("_top.pattern"), "listed_on": F.col("_top.valid_from")})
-        .drop("_top")
+        apart.join(active, ["host", "fetched_on", "_judge_apart"], "left")
+        .withColumns({"blocked": F.col("_judge_n").isNotNull(), "n_active": F.coalesce("_judge_n", F.lit(0)), "pattern": F.col("_judge_top.pattern"), "listed_on": F.col("_judge_top.valid_from")})
+        .drop("_judge_top", "_judge_n", "_judge_apart")
     )
 
 

@@ -52,6 +52,13 @@ def test_url_lists(spark):
         hit = [p for p in asked if when is not None and state(p, when)]
         want.append((i, host, bool(hit), len(hit), max(hit, key=lambda p: (len(p), p)) if hit else None))
     assert got == sorted(want)
+    clash = c.selectExpr("*", "'mine' AS host", "true AS blocked", "7L AS n_active", "'p' AS pattern", "5 AS valid_to", "6 AS _at", "8 AS _span", "9 AS action")
+    said = url_lists.judge_captures(clash, e, 4)  # columns that are added replace those of the same name, others stay
+    assert len(set(said.columns)) == len(said.columns) and said.where("valid_to = 5 AND _at = 6 AND _span = 8 AND action = 9 AND n = 2").count() == len(caps)
+    assert sorted((r.page_id, r.host, r.blocked, r.n_active, r.pattern) for r in said.collect()) == got
+    twice = spark.createDataFrame([("x.com", "add", day(1)), ("x.com", "add", day(5)), ("x.com", "remove", day(9))], "pattern string, action string, listed_on date")
+    asked = spark.createDataFrame([(n, "http://x.com", day(n)) for n in (0, 1, 4, 5, 8, 9)], "page_id long, url string, fetched_on date")
+    assert [r.listed_on for r in url_lists.judge_captures(asked, twice).orderBy("page_id").collect()] == [None, day(1), day(1), day(5), day(5), None]
     assert url_lists.judge_captures(c.where("false"), e).count() == 0 and url_lists.judge_captures(c, e.where("false")).where("blocked").count() == 0
 
 
