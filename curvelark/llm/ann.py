@@ -137,7 +137,7 @@ def tree_search(vectors: DataFrame, is_query, k: int = 20, target_recall: float
 
     The upper tree is fitted to at most ``fit_rows`` rows (smallest hashes first), which bounds what is broadcast; it has a leaf for each ``leaf_rows`` rows of the table, LEAVES
     at most. Every row is indexed in its leaf, a leaf with more than ``block_rows`` rows in parts by hash, and each part is split further where it lies, down to bins of
-    some BIN_ROWS rows, so the tree grows with the table. A query visits leaves best bin first, and in each leaf all bins whose cosine with it reaches a threshold.
+    some BIN_ROWS rows, so the tree grows with the table; the queries that visit a leaf meet it in blocks of some ``block_rows`` too, so no task holds more. A query visits leaves best bin first, and in each leaf all bins whose cosine with it reaches a threshold.
     Both are calibrated: of at most ``calibration_rows`` queries the true neighbours among all rows are found by brute force; leaf visits are widened, and the
     threshold is lowered, until ``target_recall`` of them is met. A query that met fewer than k other rows searches all of them.
 
@@ -223,13 +223,17 @@ def tree_search(vectors: DataFrame, is_query, k: int = 20, target_recall: float
             cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.empty(0)] * 4
             return pa.table({"query_id": cols[0].astype(np.int64), "vec_id": cols[1].astype(np.int64), "score": cols[2].astype(np.float64), "met": cols[3].astype(np.int64)})
 
+        routed = staged(queries.select("id", "v").mapInArrow(route, f"id long, v {kind}, leaves array<int>"), "ann-routed")
+        # a leaf that many queries visit is met by blocks of them
+        blocks = staged(routed.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")), "ann-blocks")
         asked = (
-            queries.select("id", "v").mapInArrow(route, f"id long, v {kind}, leaves array<int>")
-            .select("id", "v", F.explode("leaves").alias("leaf"))
+            routed.select("id", "v", F.explode("leaves").alias("leaf"))
             .join(F.broadcast(parts), "leaf")
-            .select("id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("bin"))
+            .join(F.broadcast(blocks), "leaf")
+            .select("id", "v", "leaf", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(-1).alias("bin"), F.pmod(F.xxhash64(F.lit(1), "id"), F.col("blocks")).cast("int").alias("block"))
         )
-        found = indexed.unionByName(asked).groupBy("leaf", "part").applyInArrow(search, "query_id long, vec_id long, score double, met long")
+        met = indexed.join(F.broadcast(blocks), "leaf").select(*indexed.columns, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+        found = met.unionByName(asked).groupBy("leaf", "part", "block").applyInArrow(search, "query_id long, vec_id long, score double, met long")
         ranked = _ranked(found.withColumn("met", F.sum("met").over(W.partitionBy("query_id"))), k)
         return staged(ranked.select("query_id", "rank", "vec_id", "score", "met"), "ann-found")
 
