@@ -131,8 +131,12 @@ class Sketch:
                 yield s, press.compress(own.tobytes())
 
 
+#: Sums of a slice over a share of the tasks each, which are then added up: of 100,000 tasks, 400 at first and 256 sums at last.
+SUMS = 256
+
+
 def summed(slices: DataFrame) -> np.ndarray:
-    """The tasks' slices (slice, cells) added up by key; CELLS numbers reach the driver, whatever the input."""
+    """The tasks' slices (slice, cells) added up by key, in two levels, so that no task gets those of all others; CELLS numbers reach the driver, whatever the input."""
     per = CELLS // _SLICES
 
     def add(table: pa.Table) -> pa.Table:
@@ -143,7 +147,8 @@ def summed(slices: DataFrame) -> np.ndarray:
         return pa.table({"slice": pa.array([table["slice"][0].as_py()], pa.int32()), "cells": pa.array([zstandard.ZstdCompressor(level=1).compress(total.tobytes())], pa.binary())})
 
     out = np.zeros(CELLS, np.uint32)
-    for r in slices.groupBy("slice").applyInArrow(add, "slice int, cells binary").collect():
+    some = slices.withColumn("_part", F.pmod(F.spark_partition_id(), F.lit(SUMS))).groupBy("slice", "_part").applyInArrow(add, "slice int, cells binary")
+    for r in some.groupBy("slice").applyInArrow(add, "slice int, cells binary").collect():
         out[r["slice"] * per : (r["slice"] + 1) * per] = np.frombuffer(zstandard.ZstdDecompressor().decompress(r["cells"]), np.uint32)
     return out
 
@@ -390,6 +395,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     same = W.partitionBy("token")
     shared = (
         docs.where("doc_id IS NOT NULL").select("text").mapInArrow(draw, "token long, key long, slack int")
+        .groupBy("token", "key").agg(F.max("slack").alias("slack"))  # copies of a text are one row, before a shingle's rows come together
         .withColumns({"_lo": F.min("key").over(same), "_hi": F.max("key").over(same), "_n": F.count("*").over(same).cast("int")})
         .where("_lo <> _hi OR slack < 0")
         .groupBy("key")
