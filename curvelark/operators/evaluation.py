@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .staging import staged
+from .vectors import SCHEMES, neighbours_by_scheme, part_code
 
 # Fixed values of the protocol.
 K_CANDIDATES = (1, 3, 5, 7, 9)
@@ -151,21 +152,52 @@ def class_recall(results: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return results.groupBy(*keys, "label").agg(F.count("*").alias("n"), F.avg((F.col("label") == F.col("pred")).cast("int")).alias("recall"))
 
 
+def inner_dealt(items: DataFrame, outer: DataFrame, seeds: tuple[int, ...], inner_folds: int) -> DataFrame:
+    """(outer, seed, id, grp, label, inner): the inner folds of the training part of each outer fold."""
+    n_outer = [r[0] for r in outer.select("fold").distinct().orderBy("fold").collect()]
+    training = items.join(outer.select("id", "fold"), "id").withColumn("outer", F.explode(F.array(*map(F.lit, n_outer)))).where("fold <> outer").drop("fold").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    return grouped_folds(training, inner_folds, F.col("seed"), ("outer", "seed")).withColumnRenamed("fold", "inner")
+
+
+def _scored(ranked: DataFrame, items: DataFrame, keys: tuple[str, ...], candidates: tuple[int, ...]) -> DataFrame:
+    """(keys, k, balanced_accuracy) of every candidate from (keys, test, rank, label)."""
+    said = predictions(votes(ranked, keys, candidates), keys).join(items.select(F.col("id").alias("test"), F.col("label").alias("label")), "test")
+    return metrics(said, (*keys, "k")).select(*keys, "k", "balanced_accuracy")
+
+
+def inner_scores_of_vectors(vectors: DataFrame, items: DataFrame, outer: DataFrame, divisor: float = 1.0, seeds: tuple[int, ...] = INNER_SEEDS, inner_folds: int = 3, candidates: tuple[int, ...] = K_CANDIDATES) -> DataFrame:
+    """(outer, seed, inner, k, balanced_accuracy) as :func:`inner_scores`, by distances between vectors (id, v) over ``divisor``: no pair leaves its task that
+    cannot be among the nearest. Outer folds and seeds are searched for together, SCHEMES of them at once.
+    """
+    inner = staged(inner_dealt(items, outer, seeds, inner_folds).select("outer", "seed", "id", "label", "inner"), "inner")
+    asked = [(r["outer"], r["seed"]) for r in inner.select("outer", "seed").distinct().orderBy("outer", "seed").collect()]  # outer folds times seeds
+    near = None
+    for first in range(0, len(asked), SCHEMES):
+        some = asked[first : first + SCHEMES]
+        part = [F.max(F.when((F.col("outer") == o) & (F.col("seed") == s), F.col("inner"))) for o, s in some]
+        found = neighbours_by_scheme(vectors.join(inner.groupBy("id").agg(part_code(part).alias("parts")), "id"), max(candidates), len(some), divisor)
+        own = F.element_at(F.array(*(F.struct(F.lit(o).alias("outer"), F.lit(s).alias("seed")) for o, s in some)), F.col("scheme") + 1)
+        one = found.select(own.alias("_s"), "id", "rank", "neighbour").select("_s.*", "id", "rank", "neighbour")
+        near = one if near is None else near.unionByName(one)
+    keys = ("outer", "seed", "inner")
+    if near is None:
+        return _scored(inner.select(*keys, F.col("id").alias("test"), F.lit(1).alias("rank"), "label"), items, keys, candidates)
+    ranked = near.join(inner.select(*keys, "id"), ["outer", "seed", "id"]).join(items.select(F.col("id").alias("neighbour"), "label"), "neighbour")
+    return _scored(ranked.select(*keys, F.col("id").alias("test"), "rank", "label"), items, keys, candidates)
+
+
 def inner_scores(dist: DataFrame, items: DataFrame, outer: DataFrame, seeds: tuple[int, ...] = INNER_SEEDS, inner_folds: int = 3, candidates: tuple[int, ...] = K_CANDIDATES, grid: tuple[str, ...] = ()) -> DataFrame:
     """(grid, outer, seed, inner, k, balanced_accuracy): every candidate on every inner fold of every outer fold, in one job.
 
     ``outer`` is (id, fold); the inner folds of an outer fold divide its training part. ``grid`` are parameter columns of ``dist``.
     """
-    n_outer = [r[0] for r in outer.select("fold").distinct().orderBy("fold").collect()]
-    training = items.join(outer.select("id", "fold"), "id").withColumn("outer", F.explode(F.array(*map(F.lit, n_outer)))).where("fold <> outer").drop("fold").withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
-    inner = grouped_folds(training, inner_folds, F.col("seed"), ("outer", "seed")).withColumnRenamed("fold", "inner")
+    inner = inner_dealt(items, outer, seeds, inner_folds)
     keys = (*grid, "outer", "seed", "inner")
     test = inner.select("outer", "seed", "inner", F.col("id").alias("i"))
     train = inner.select("outer", "seed", F.col("inner").alias("_own"), F.col("id").alias("j"), "label").withColumn("inner", F.explode(F.array(*map(F.lit, range(inner_folds))))).where("inner <> _own").drop("_own")
     near = W.partitionBy(*keys, "i").orderBy("dist", "j")
     ranked = dist.join(test, "i").join(train, ["outer", "seed", "inner", "j"]).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= max(candidates)).select(*keys, F.col("i").alias("test"), "rank", "label")
-    said = predictions(votes(ranked, keys, candidates), keys).join(items.select(F.col("id").alias("test"), F.col("label").alias("label")), "test")
-    return metrics(said, (*keys, "k")).select(*keys, "k", "balanced_accuracy")
+    return _scored(ranked, items, keys, candidates)
 
 
 def choose(scores: DataFrame, parameters: tuple[str, ...] = ("k",), apart: tuple[str, ...] = ()) -> DataFrame:

@@ -43,7 +43,7 @@ def test_few_candidates(spark):
     assert sorted(tuple(r) for r in got.select("id", "rank", "neighbour").collect()) == [(1, 1, 2), (2, 1, 1), (2, 2, 3), (3, 1, 2)]
 
 
-KNN = ["knn_probabilities", "knn_predictions", "confusion", "fold_metrics", "run_summary", "paired_differences", "paired_bootstrap", "ablation_summary", "run_signature"]
+KNN = ["knn_probabilities", "knn_predictions", "confusion", "fold_metrics", "run_summary", "paired_differences", "paired_bootstrap", "ablation_summary", "run_signature", "choose_k"]
 
 
 @pytest.mark.parametrize("name", KNN)
