@@ -83,3 +83,21 @@ def test_statistics_form_no_pairs(spark, sf, monkeypatch, name):
 
     monkeypatch.setattr(B, "pairs", none)
     assert catalog.QUERIES[name](spark, sf).count() > 0
+
+
+def test_permutations_of_vectors(spark, sf, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=4)], f"g{i % 9:02d}", f"c{i % 9 % 3}") for i in range(90)]
+    items = spark.createDataFrame(rows, "id long, v array<double>, grp string, label string")
+    flat = [(a[0], b[0], round(float(np.sqrt(((np.array(a[1]) - b[1]) ** 2).sum())), 9)) for a in rows for b in rows if a[0] < b[0]]
+    monkeypatch.setattr(I, "PERMUTED", 40)
+    got, want = (I.permutation_test(spark, p, items, 40).first() for p in (items.select("id", "v"), spark.createDataFrame(flat, "i long, j long, dist double")))
+    assert got.observed == pytest.approx(want.observed) and got.p == want.p
+
+    def none(*a, **kw):
+        raise AssertionError("all pairs are formed")
+
+    monkeypatch.setattr(B, "pairs", none)
+    test = I.permutation_test
+    monkeypatch.setattr(I, "permutation_test", lambda s, v, items: test(s, v, items, 9))
+    assert catalog.QUERIES["permutation_test"](spark, sf).count() == 1
