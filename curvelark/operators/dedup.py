@@ -19,8 +19,9 @@ def duplicate_labels(files: DataFrame, identifiers: tuple[str, ...] = IDENTIFIER
     """``files`` (path, genre, identifiers) with ``label``, the smallest path that is reached by equal identifiers.
 
     Every file points at the first file with its identifier: a star for each value, one equi-join an identifier, no join on
-    alternatives. Null and empty identifiers link nothing.
+    alternatives. Null and empty identifiers link nothing. ``files`` is written first, so identifiers are derived once, not for each star and join.
     """
+    files = staged(files, "identified")
     edges = None
     for c in identifiers:
         known = files.where(F.col(c).isNotNull() & (F.col(c) != "")).select("path", c)
