@@ -1,7 +1,7 @@
 """From raw documents to token ids: language, near-duplicates, secrets, mix, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents, but
-for the last. Between stages the documents are written as Parquet in the shared folder and read back.
+for the last, and begins by clearing the driver's heap of the plans before it. Between stages the documents are written as Parquet in the shared folder and read back.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from curvelark.llm.langid import identify, train
 from curvelark.llm.mixing import mixed_documents
 from curvelark.llm.ngram_join import jaccard_components
 from curvelark.llm.secrets import scan_documents
-from curvelark.operators.staging import lasting, staged, temporary
+from curvelark.operators.staging import lasting, release_heap, staged, temporary
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined with the calibrated certainty; the others go (null texts and those without a letter among them)."""
+    release_heap(spark)
     marked = identify(docs, train(docs), COLUMNS)
     return marked.where(~F.col("rejected")).select(*COLUMNS)
 
@@ -34,6 +35,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat an id and a text the smallest by language, source and length stays. Texts without words are in no group and stay, once for each id; rows with a null id are in no
     group and stay, all of them. An empty table gives an empty one.
     """
+    release_heap(spark)
     found = staged(jaccard_components(docs, 5, 80).where("doc_id = component_id").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_n")), "near")
     none = F.col("component").isNull()
     first = found.where(~none).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "_n")).alias("_f")).select("_f.*")
@@ -46,6 +48,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets replaced in the text, nested ones too; null, empty and repeated rows stay as they are, of an empty table none."""
+    release_heap(spark)
     scanned = scan_documents(docs, COLUMNS, clean=True)
     found = F.col("spans") != ""
     return scanned.select("doc_id", F.when(found, F.col("clean_text")).otherwise(F.col("text")).alias("text"), "lang", "source", F.when(found, F.length("clean_text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))
@@ -53,6 +56,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each pass over a document. Repeated rows are documents of their own, null and empty texts stay once, an empty table gives an empty mix."""
+    release_heap(spark)
     return mixed_documents(docs)
 
 
@@ -60,6 +64,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of every row of the mix, repeated rows and null ids too; null and empty texts have no tokens."""
     import public_tokenizers
 
+    release_heap(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return encode_documents(docs, ["doc_id", "lang", "source"], path, public_tokenizers.PATTERN)
 

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.staging import release_memory, shared_dir, small_batches, staged
+from ..operators.staging import release_heap, release_memory, shared_dir, small_batches, staged
 
 #: Distinct words that a task holds, beside the common ones, before it begins a new dictionary, and the bytes of pieces of long words.
 MAX_WORDS, MAX_PIECE_BYTES = 500_000, 16 << 20
@@ -571,6 +571,7 @@ def encode_documents(docs: DataFrame, keep: list[str], ranks_path: str, pattern:
     kept = ", ".join(f"`{c}` {given.schema[c].dataType.simpleString()}" for c in keep)
     splitter = Splitter(pattern)
     path = common_words(docs, total, ranks, splitter, common_rows)
+    release_heap(docs.sparkSession)  # of the plan before, whose literals come again in this one
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [*keep, "word", "doc"]
