@@ -1,7 +1,7 @@
 """From raw documents to token ids: language, near-duplicates, secrets, mix, encoding.
 
 Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept and returns the columns of documents, but
-for the last, and begins by clearing the driver's heap of the plans before it. Between stages the documents are written as Parquet in the shared folder and read back.
+for the last. It begins by clearing the driver's memory of the plans before it, and does so again after its own preparations. Between stages the documents are written as Parquet in the shared folder and read back.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is determined with the calibrated certainty; the others go (null texts and those without a letter among them)."""
     release_heap(spark)
     marked = identify(docs, train(docs), COLUMNS)
+    release_heap(spark)
     return marked.where(~F.col("rejected")).select(*COLUMNS)
 
 
@@ -37,6 +38,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     release_heap(spark)
     found = staged(jaccard_components(docs, 5, 80).where("doc_id = component_id").groupBy("component", "doc_id", "text_hash").agg(F.count("*").alias("_n")), "near")
+    release_heap(spark)
     none = F.col("component").isNull()
     first = found.where(~none).groupBy("component").agg(F.min(F.struct("doc_id", "text_hash", "_n")).alias("_f")).select("_f.*")
     kept = staged(first.unionByName(found.where(none).select("doc_id", "text_hash", "_n")), "kept")
@@ -57,7 +59,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for each pass over a document. Repeated rows are documents of their own, null and empty texts stay once, an empty table gives an empty mix."""
     release_heap(spark)
-    return mixed_documents(docs)
+    mixed = mixed_documents(docs)
+    release_heap(spark)
+    return mixed
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +70,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     release_heap(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return encode_documents(docs, ["doc_id", "lang", "source"], path, public_tokenizers.PATTERN)
+    encoded = encode_documents(docs, ["doc_id", "lang", "source"], path, public_tokenizers.PATTERN)
+    release_heap(spark)
+    return encoded
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixing", mixing), ("tokens", tokens)]

@@ -12,3 +12,10 @@ def test_stages_begin_with_a_cleared_heap(spark, monkeypatch):
         with pytest.raises(AttributeError):
             stage(spark, None, "")
     assert cleared == [spark] * len(corpus_pipeline.STAGES)
+
+
+def test_the_driver_gives_freed_memory_back(spark):
+    """Not only the heap: what compilers and threads have freed outside it goes back to the system, and the stages of the pipeline ask for that."""
+    from curvelark.operators.staging import release_heap
+
+    assert "trim native heap" in (release_heap(spark) or "").lower()
