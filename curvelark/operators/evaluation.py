@@ -225,9 +225,22 @@ def tuned_evaluation(dist: DataFrame, items: DataFrame, seed: int = PRIMARY_SEED
     keys = (*cells, "outer")
     near = W.partitionBy(*keys, "i").orderBy("dist", "j")
     ranked = chosen.join(train, ["outer", "j"]).withColumn("rank", F.row_number().over(near)).where(F.col("rank") <= max(K_CANDIDATES)).select(*keys, F.col("i").alias("test"), "rank", "label")
-    said = predictions(votes(ranked, keys), keys).join(picked.select("outer", *cells, "k"), ["outer", *cells, "k"])
-    out = said.join(items.select(F.col("id").alias("test"), "label"), "test").select(F.col("test").alias("id"), "label", F.col("outer").alias("fold"), *cells, "k", "pred", "prob")
-    return out, picked
+    return _tuned(ranked, picked, items, cells), picked
+
+
+def _tuned(ranked: DataFrame, picked: DataFrame, items: DataFrame, cells: tuple[str, ...] = ()) -> DataFrame:
+    """(id, label, fold, cells, k, pred, prob): what the nearest training items (cells, outer, test, rank, label) say with the chosen parameters."""
+    said = predictions(votes(ranked, (*cells, "outer")), (*cells, "outer")).join(picked.select("outer", *cells, "k"), ["outer", *cells, "k"])
+    return said.join(items.select(F.col("id").alias("test"), "label"), "test").select(F.col("test").alias("id"), "label", F.col("outer").alias("fold"), *cells, "k", "pred", "prob")
+
+
+def tuned_evaluation_of_vectors(vectors: DataFrame, items: DataFrame, divisor: float = 1.0, seed: int = PRIMARY_SEED, folds: int = 5, **kw) -> tuple[DataFrame, DataFrame]:
+    """As :func:`tuned_evaluation`, by distances between vectors (id, v) over ``divisor``: no pair leaves its task that cannot be among the nearest."""
+    outer = staged(grouped_folds(items, folds, F.lit(seed)).select("id", "fold"), "outer")
+    picked = staged(choose(inner_scores_of_vectors(vectors, items, outer, divisor, **kw)), "picked")
+    near = neighbours_by_scheme(vectors.join(outer.select("id", part_code([F.col("fold")]).alias("parts")), "id"), max(K_CANDIDATES), 1, divisor)
+    ranked = near.join(outer.select("id", F.col("fold").alias("outer")), "id").join(items.select(F.col("id").alias("neighbour"), "label"), "neighbour")
+    return _tuned(ranked.select("outer", F.col("id").alias("test"), "rank", "label"), picked, items), picked
 
 
 def sensitivity(dist: DataFrame, items: DataFrame, base_points: int = 96, base_weight: float = 0.25, **kw) -> DataFrame:

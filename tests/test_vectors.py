@@ -101,3 +101,22 @@ def test_permutations_of_vectors(spark, sf, monkeypatch):
     test = I.permutation_test
     monkeypatch.setattr(I, "permutation_test", lambda s, v, items: test(s, v, items, 9))
     assert catalog.QUERIES["permutation_test"](spark, sf).count() == 1
+
+
+def test_tuned_evaluation_needs_no_pairs(spark, sf, monkeypatch):
+    """The same choices and predictions as from a table of all pairs; the query forms none."""
+    from curvelark.operators import evaluation as E
+    from curvelark.operators.distance import symmetric
+
+    items, few = B.items(spark, sf), dict(seeds=(2026,))
+    want, chosen = E.tuned_evaluation(symmetric(B.pairs(spark, sf), "dist"), items, **few)
+    got, picked = E.tuned_evaluation_of_vectors(B.vectors(spark, sf), items, 8.0, **few)
+    key = lambda df: sorted((r.id, r.label, r.fold, r.k, r.pred, round(r.prob, 9)) for r in df.collect())
+    assert sorted(map(tuple, picked.select("outer", "k", "score").collect())) == sorted(map(tuple, chosen.select("outer", "k", "score").collect()))
+    assert key(got) == key(want) and len(key(got)) == items.count()
+
+    def none(*a, **kw):
+        raise AssertionError("all pairs are formed")
+
+    monkeypatch.setattr(B, "pairs", none)
+    assert catalog.QUERIES["tuned_evaluation"](spark, sf).count() == 1
