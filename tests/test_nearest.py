@@ -52,3 +52,19 @@ def test_under_half_of_the_pairs_of_clustered_items(spark):
         d = ((x - x[i]) ** 2).sum(axis=1)
         d[i] = np.inf
         assert first[i] == d.argmin()
+
+
+def test_a_large_table_has_few_blocks(spark, monkeypatch):
+    """An item was once a row for each block of 512 others that it was sent to, in a table small enough on disk to be broadcast: now there are few blocks, and no such table."""
+    from curvelark.operators import nearest
+
+    stored, staged = {}, nearest.staged
+    monkeypatch.setattr(nearest, "staged", lambda df, name: stored.setdefault(name, staged(df, name)))
+    monkeypatch.setattr(nearest, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(nearest, "BLOCKS", 6)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in rng.normal(size=6)], i % 3) for i in range(600)] + [(1000 + i, [0.5] * 6, i % 2) for i in range(90)]
+    got = nearest_neighbours(frame(spark, rows), 3).collect()
+    assert [r[:3] for r in sorted(tuple(r)[:4] for r in got)] == [r[:3] for r in brute(rows, 3, 1.0)]
+    assert stored["near-index"].select("block").distinct().count() <= 12 and "near-met" not in stored
+    assert all(len(df.columns) < 8 and df.count() <= 4 * 690 for df in stored.values())
